@@ -16,6 +16,12 @@ def vocabulary() -> str:
     return os.path.join(tokenizer_dir(), "byte_bpe_50k.tiktoken")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.conversations import rebuild
+
+    return rebuild(table(spark, sf_dir, "memories"), table(spark, sf_dir, "sessions"), table(spark, sf_dir, "filtered_turns"), f"{sf_dir}/memories.parquet*")
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.tokenize import encode_corpus
 
@@ -41,5 +47,16 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shares(draw(counted, targets), counted, targets)
 
 
-QUERIES: dict[str, Query] = {"p6_ids": p6_ids, "p7_mixture": p7_mixture, "p7_shares": p7_shares}
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Query] = {"p3_found": p3_found, "p6_ids": p6_ids, "p7_mixture": p7_mixture, "p7_shares": p7_shares}
+#: SQL of the same results, where SQL can express the operator.
+ORACLES: dict[str, str] = {"p3_found": r"""with s as (select distinct id, tool, native_id, segment_index from sessions where id is not null and tool is not null and native_id is not null),
+segs as (select tool, native_id, min(coalesce(segment_index,-1))=0 and max(segment_index)+1=count(distinct segment_index) as whole from s group by all),
+m as (select * from (select *, row_number() over (partition by session_id, turn_index order by reingested_at desc nulls last, id desc) rn from (select distinct id, session_id, turn_index, reingested_at from memories)) where rn=1),
+t as (select memory_id, bool_or(coalesce(regexp_matches(user_prompt,'[\p{L}\p{N}]') and regexp_matches(assistant_response,'[\p{L}\p{N}]'),false)) ok from filtered_turns group by 1),
+x as (select s.tool, s.native_id, s.segment_index, m.turn_index, m.id as memory_id, coalesce(t.ok,false) ok, segs.whole,
+  row_number() over (partition by s.tool, s.native_id order by s.segment_index, m.turn_index)-1 as pos
+  from m join s on m.session_id=s.id join segs on segs.tool=s.tool and segs.native_id=s.native_id left join t on t.memory_id=m.id),
+good as (select tool, native_id from x group by all having bool_and(ok and whole and pos=turn_index))
+select tool, native_id, cast(pos*2+sp.a as bigint) as msg_index, sp.speaker, memory_id
+from x join good using (tool, native_id) cross join (select 0 as a, 'user' as speaker union all select 1, 'assistant') sp
+"""}
