@@ -22,6 +22,18 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rebuild(table(spark, sf_dir, "memories"), table(spark, sf_dir, "sessions"), table(spark, sf_dir, "filtered_turns"), f"{sf_dir}/memories.parquet*")
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.spans import texts_with_shared_spans
+
+    return texts_with_shared_spans(table(spark, sf_dir, "filtered_turns"))
+
+
+def p4_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.spans import shared_shares
+
+    return shared_shares(table(spark, sf_dir, "filtered_turns"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.neighbours import neighbour_pairs
 
@@ -53,7 +65,7 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shares(draw(counted, targets), counted, targets)
 
 
-QUERIES: dict[str, Query] = {"p3_found": p3_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_mixture": p7_mixture, "p7_shares": p7_shares}
+QUERIES: dict[str, Query] = {"p3_found": p3_found, "p4_found": p4_found, "p4_shares": p4_shares, "p5_found": p5_found, "p6_ids": p6_ids, "p7_mixture": p7_mixture, "p7_shares": p7_shares}
 #: SQL of the same results, where SQL can express the operator.
 ORACLES: dict[str, str] = {"p3_found": r"""with s as (select distinct id, tool, native_id, segment_index from sessions where id is not null and tool is not null and native_id is not null),
 segs as (select tool, native_id, min(coalesce(segment_index,-1))=0 and max(segment_index)+1=count(distinct segment_index) as whole from s group by all),
