@@ -30,8 +30,9 @@ GRAM = 128
 CHUNK = 1 << 18
 #: Occurrences from which a print's windows are spread over tasks.
 HOT = 4096
-#: Rows up to which keys are broadcast (about 32 MB); beyond, the join shuffles.
-BROADCAST_ROWS = 1 << 20
+#: Rows up to which prints, and texts with their prints, are broadcast (each about 32 MB); beyond, the join shuffles.
+BROADCAST_PRINTS = 1 << 20
+BROADCAST_TEXTS = 1 << 16
 
 _MULT = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
@@ -126,8 +127,8 @@ def text_prints(turns: DataFrame) -> DataFrame:
     return turns.where("memory_id is not null").select("memory_id", *FIELDS).mapInArrow(run, "fp bigint, memory_id bigint, field tinyint")
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def _occurrences(candidates: DataFrame) -> DataFrame:
@@ -216,8 +217,8 @@ def shared_intervals(turns: DataFrame) -> DataFrame:
     occ = cut(text_prints(turns), "prints")
     shared = cut(occ.groupBy("fp").agg(F.min("memory_id").alias("lo"), F.max("memory_id").alias("hi"), F.count("*").alias("n"))
                  .where("lo <> hi").select("fp", (F.col("n") > HOT).alias("hot")), "shared-prints")
-    wanted = cut(occ.join(_small(shared), "fp").groupBy("memory_id").agg(F.collect_set(F.struct("field", "fp", "hot")).alias("all")), "shared-texts")
-    texts = (turns.select("memory_id", *FIELDS).join(_small(wanted), "memory_id")
+    wanted = cut(occ.join(_small(shared, BROADCAST_PRINTS), "fp").groupBy("memory_id").agg(F.collect_set(F.struct("field", "fp", "hot")).alias("all")), "shared-texts")
+    texts = (turns.select("memory_id", *FIELDS).join(_small(wanted, BROADCAST_TEXTS), "memory_id")
              .withColumn("f", F.explode(F.array(*[F.struct(F.lit(i).cast("tinyint").alias("field"), F.col(c).alias("text")) for i, c in enumerate(FIELDS)])))
              .select("memory_id", "f.field", "f.text", F.transform(F.filter("all", lambda x: x["field"] == F.col("f.field")), lambda x: F.struct(x["fp"].alias("fp"), x["hot"].alias("hot"))).alias("fps"))
              .where(F.size("fps") > 0).where(F.length("text") >= SPAN))
