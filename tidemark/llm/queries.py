@@ -22,6 +22,18 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_defects(table(spark, sf_dir, "filtered_turns"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.pii import find_all
+
+    return find_all(table(spark, sf_dir, "filtered_turns")).select("memory_id", "field", "pii_type", "pii_text").distinct()
+
+
+def p2_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.pii import redact_all
+
+    return redact_all(table(spark, sf_dir, "filtered_turns"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.conversations import rebuild
 
@@ -71,7 +83,7 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shares(draw(counted, targets), counted, targets)
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p4_shares": p4_shares, "p5_found": p5_found, "p6_ids": p6_ids, "p7_mixture": p7_mixture, "p7_shares": p7_shares}
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p2_found": p2_found, "p2_redacted": p2_redacted, "p3_found": p3_found, "p4_found": p4_found, "p4_shares": p4_shares, "p5_found": p5_found, "p6_ids": p6_ids, "p7_mixture": p7_mixture, "p7_shares": p7_shares}
 #: SQL of the same results, where SQL can express the operator.
 ORACLES: dict[str, str] = {"p3_found": r"""with s as (select distinct id, tool, native_id, segment_index from sessions where id is not null and tool is not null and native_id is not null),
 segs as (select tool, native_id, min(coalesce(segment_index,-1))=0 and max(segment_index)+1=count(distinct segment_index) as whole from s group by all),
