@@ -47,14 +47,25 @@ DIGIT_WORDS = {
     "0": "zero oh null nul cero zéro", "1": "one eins uno un", "2": "two zwei zwo dos deux", "3": "three drei tres trois", "4": "four vier cuatro quatre",
     "5": "five fünf cinco cinq", "6": "six sechs seis", "7": "seven sieben siete sept", "8": "eight acht ocho huit", "9": "nine neun nueve neuf",
 }
+_DIGIT_BYTES = frozenset(w.encode() for ws in DIGIT_WORDS.values() for w in ws.split())
 _DIGIT_OF = {w: d for d, ws in DIGIT_WORDS.items() for w in ws.split()}
 _DIGIT = "|".join(sorted(_DIGIT_OF, key=len, reverse=True))
 _SPELLED = re.compile(rf"\b(?:{_DIGIT})(?:[ \-,.]{{1,2}}(?:{_DIGIT}))+\b", re.I)
 _AT = re.compile(r"(?<=[\w+%-])\s?[\[({<]\s?(?:at|ät|arroba|arobase|@)\s?[\])}>]\s?(?=\w)|(?<=[\w+%-]) @ (?=\w)|(?<=[\w+%-]) (?:at|arroba|arobase) (?=[\w-]+(?: (?:dot|punto|punkt|point) [\w-]+)+)", re.I)
 _DOT = re.compile(r"\s?[\[({<]\s?(?:dot|punto|punkt|point|\.)\s?[\])}>]\s?| (?:dot|punto|punkt|point) ", re.I)
+_AT_BYTES = frozenset((b"at", "ät".encode(), b"arroba", b"arobase"))
 _DOMAIN = re.compile(rf"@[\w-]+(?:(?:\.|{_DOT.pattern})[\w-]+)*", re.I)
 
 
+#: Bytes that stand between words.
+_BETWEEN = bytes(32 if b < 48 or 57 < b < 65 or 90 < b < 97 or 122 < b < 128 else b for b in range(256))
+
+
+def words_of(text: str) -> frozenset[bytes]:
+    """The lower-case words of a text as UTF-8, a cheap way to see what cannot be in it."""
+    return frozenset(text.lower().encode("utf-8", "replace").translate(_BETWEEN).split())
+
+
 class Rewritten(NamedTuple):
     """A text, and for each of its characters the half-open source range it stands for (``None``: its own)."""
 
@@ -93,8 +104,9 @@ def _plain(ch: str) -> str | None:
     return plain if len(plain) == 1 and plain.isascii() else None
 
 
-def rewrite(text: str) -> Rewritten:
+def rewrite(text: str, words: frozenset[bytes] | None = None) -> Rewritten:
     """Undo disguises; most texts come back unchanged and without a map."""
+    words = words_of(text) if words is None else words
     r = Rewritten(text, None)
     if not text.isascii():
         edits = [(i, i + 1, new) for i, ch in enumerate(text) if ch > "\x7f" and (new := _plain(ch)) is not None]
@@ -102,12 +114,11 @@ def rewrite(text: str) -> Rewritten:
         edits = [e for e in edits if text[e[0]] not in LOOK_ALIKES or any("a" <= c.lower() <= "z" or c in "@." for c in text[max(0, e[0] - 1):e[0] + 2])]
         if edits:
             r = r.replace(edits)
-    lower = r.text.lower()
-    if sum(w in lower for w in ("zero", "one", "two", "three", "four", "five", "eins", "zwei", "uno", "dos", "deux", "trois")) >= 2:
+    if len(_DIGIT_BYTES & words) >= 2:
         edits = [(m.start(), m.end(), "".join(_DIGIT_OF[w.lower()] for w in re.split(r"[ \-,.]+", m.group()))) for m in _SPELLED.finditer(r.text)]
         if edits:
             r = r.replace(edits)
-    if "at)" in lower or "at]" in lower or " at " in lower and " dot " in lower or " @ " in lower or "arroba" in lower or "arobase" in lower or "at}" in lower:
+    if not _AT_BYTES.isdisjoint(words) or " @ " in r.text or "(@)" in r.text or "[@]" in r.text:
         edits = [(m.start(), m.end(), "@") for m in _AT.finditer(r.text)]
         if edits:
             r = r.replace(edits)
@@ -140,7 +151,9 @@ _PHONES = (
 )
 _EXTENSION = r"(?:,? ?(?:ext\.?|extension|x|Durchwahl|poste) ?\d{1,6})?"
 _PHONE = re.compile("|".join(f"(?P<k{i}>(?<![\\w./#@+-])(?<!\\d:)(?:{p.replace(chr(92) + '1', f'(?P=s{i})').replace('([.-])', f'(?P<s{i}>[.-])').replace('([ -])', f'(?P<s{i}>[ -])')}){_EXTENSION}(?![\\w@/]|[.:-]\\w|\\(\\)))" for i, p in enumerate(_PHONES)))
-_NUMBERS = re.compile(r"\d[\d ./()-]{6,}|[A-Z]\d\d[A-Z]\d|[XYZ]-?\d{7}|[A-Z0-9]{9}")
+#: Where one of these may stand: eight or more digits with their separators, or nine capitals and digits.
+_NUMBERS = re.compile(r"(?<![\w.])[+(]?\d[\d ./()-]{7,}|(?<!\w)[A-Z]-?(?=\w*\d)[A-Z0-9]{7}-?[A-Z0-9](?!\w)")
+_DATE = re.compile(r"\d{4}-\d\d-\d\d(?![\d-])")
 
 _CAP = r"[A-ZÀ-Ý][\wÀ-ÿ'’]*"
 _TOWN = rf"{_CAP}(?:[ -](?:(?:am|an der|im|sur|de|del|la|le|les|el) )?{_CAP}){{0,2}}"
@@ -155,13 +168,13 @@ _LINK = r"(?:de la |de los |de las |del |de |des |du |de l['’]|d['’]|la |las
 #: Words that begin a French sentence rather than go on with a street's name.
 _STARTS = r"(?:[CDJLMNST]['’]|(?:À|Ajoute|Annule|Après|Au|Aussi|Avant|Bonjour|Ce|Cela|Ces|Cette|Comment|Dans|De|Depuis|Des|Elle|Elles|En|Ensuite|Est|Et|Il|Ils|Je|La|Le|Les|Mais|Merci|Mon|Ne|Notre|Nous|On|Ou|Où|Oui|Non|Par|Peut|Peux|Pour|Pourquoi|Quand|Que|Qui|Quoi|Renomme|Sans|Ses|Si|Son|Sur|Tu|Un|Une|Votre|Vous|Voici|Voilà)\b)"
 _ADDRESSES = [
-    (re.compile(r"Street|St\b|Road|Rd\b|Lane|Ln\b|Ave|Drive|Dr\b|Court|Ct\b|Terrace|Place|Square|Way\b|Boulevard|Blvd|Close|Crescent|Parkway|Row\b|Walk|Hill|Grove|Gardens"),
+    (" Street| St| Road| Rd| Lane| Ln| Ave| Drive| Dr| Court| Ct| Terrace| Place| Square| Way| Boulevard| Blvd| Close| Crescent| Parkway| Row| Walk| Hill| Grove| Gardens".split("|"),
      re.compile(rf"(?<![\w./:-]){_NO} (?:{_CAP} ){{1,3}}{_EN_TYPE}(?!\w){_UNIT}{_ZIP_TOWN}")),
-    (re.compile(r"weg|stra(?:ß|ss)e|str\.|platz|gasse|allee|kamp|stieg|steig|ufer|damm|ring|hof|graben|markt|wall|chaussee|pfad|park"),
+    ("weg |straße |strasse |str. |platz |gasse |allee |kamp |stieg |steig |ufer |damm |ring |hof |graben |markt |wall |chaussee |pfad |park |Weg |Straße |Strasse |Str. |Platz |Gasse |Allee |Ring |Ufer |Damm ".split("|"),
      re.compile(rf"(?<![\w./:-])(?:{_CAP}{_DE_TYPE}|(?:{_CAP}[ -]){{1,2}}(?:Weg|Stra(?:ß|ss)e|Str\.|Platz|Gasse|Allee|Ring|Ufer|Damm)) {_NO}(?![\w/.:-]\w){_UNIT}{_ZIP_TOWN}")),
-    (re.compile(r"Calle|C/|C\.|Av|Paseo|Plaza|Pl\.|Camino|Ronda|Travesía|Carretera|Cuesta|Glorieta|P\.º"),
+    ("Calle |C/ |C. |Avenida |Avda|Av. |Paseo |Plaza |Pl. |Camino |Ronda |Travesía |Carretera |Cuesta |Glorieta |P.º ".split("|"),
      re.compile(rf"(?<!\w){_ES_TYPE} (?:{_LINK}|{_CAP} ){{0,4}}{_CAP},? (?:(?:nº|n\.º|núm\.?|número|no\.) ?)?{_NO}(?![\w/.:-]\w){_UNIT}{_ZIP_TOWN}")),
-    (re.compile(r"rue|avenue|av\.|place|boulevard|bd|chemin|impasse|allée|quai|cours|route|square|passage|sentier", re.I),
+    (" rue | avenue | av. | place | boulevard | bd | chemin | impasse | allée | quai | cours | route | square | passage | sentier ".split("|"),
      re.compile(rf"(?<![\w./:-]){_NO}(?: (?:bis|ter))?,? {_FR_TYPE} {_LINK}?{_CAP}(?:[ -](?:{_LINK})?(?!{_STARTS}){_CAP}){{0,3}}{_UNIT}{_ZIP_TOWN}")),
 ]
 
@@ -174,38 +187,38 @@ _NAME = "|".join(
     for i, w, p in ((0, _T, _PARTICLE), (2, _U, f"(?:{_PARTICLE}|(?:VON|VAN|DE|DEL|DER|DI|DA|LA) )")))
 #: Phrases that introduce a person; a name follows.
 BEFORE = (
-    "my name is ", "name is ", "i am called ", "talked to ", "talk to ", "spoke with ", "spoke to ", "loop in ", "signed-off by: ", "signed-off-by: ", "reviewed by ", "reviewed-by: ", "co-authored-by: ", "reviewer=", "reviewer: ",
-    "assignee: ", "assignee=", "assignee in the fixture is \"", "author: ", "author=", "owner: ", "owner=", "contact: ", "contact=", "contact ", "as ", "regards,\n", "thanks!\n", "thanks,\n", "best,\n", "cheers,\n", "ask ", "name: ", "name=",
-    "mein name ist ", "ich heiße ", "vorher mit ", "gesprochen mit ", "bearbeiter: ", "bearbeiter=", "grüße\n", "grüßen\n", "gruß\n", "kontakt: ", "kontakt=", "zuständig: ",
-    "je m'appelle ", "je m’appelle ", "prévenir ", "responsable : ", "responsable: ", "responsable=", "cordialement,\n", "cordialement\n", "merci,\n", "merci !\n",
-    "me llamo ", "mi nombre es ", "avisa a ", "hablé con ", "contacto: ", "contacto=", "saludos,\n", "gracias,\n", "¡gracias!\n", "\": \"", ";",
+    "my name is ", "talked to ", "spoke with ", "spoke to ", "loop in ", "signed-off by: ", "signed-off-by: ", "reviewed by ", "reviewed-by: ", "co-authored-by: ", "reviewer=", "reviewer: ",
+    "assignee: ", "assignee=", "assignee in the fixture is \"", "author: ", "author=", "regards,\n", "thanks!\n", "thanks,\n", "cheers,\n",
+    "mein name ist ", "ich heiße ", "gesprochen mit ", "stimm das vorher mit ", "bearbeiter: ", "bearbeiter=", "grüße\n", "grüßen\n", "gruß\n", "zuständig: ",
+    "je m'appelle ", "je m’appelle ", "prévenir ", "responsable : ", "responsable: ", "responsable=", "cordialement,\n", "cordialement\n",
+    "me llamo ", "mi nombre es ", "avisa a ", "hablé con ", "saludos,\n", "gracias,\n", "¡gracias!\n",
 )
-#: Of these, the ones too common to take what follows for a person unless the words are known.
-_WEAK = ("as ", "contact ", "ask ", "name is ", "talk to ", "name: ", "name=", "vorher mit ", "owner: ", "owner=", "contact: ", "contact=", "\": \"", ";")
 #: What follows a person who did something.
 AFTER = (" reported it", " wrote in", " from support", " hat den Fehler gemeldet", " hat gemeldet", " a signalé", " informó del", " avisó de")
 _AFTER_NAME = re.compile(rf"(?:{_NAME})(?=(?:{'|'.join(map(re.escape, AFTER))})\b)")
 _NAME_AT = re.compile(_NAME)
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
-_APART = str.maketrans({c: " " for c in "\n\r\t\"',;:.!?()[]{}<>=|/`*_-@+"})
+_CUES = [(cue, max(words_of(cue), key=len)) for cue in BEFORE]
+_AFTER_WORDS = frozenset(max(words_of(x), key=len) for x in AFTER)
 #: Capitalised words that begin sentences and are no given names.
 _NO_NAMES = frozenset("the a an as in on at if this that these those please could can would should is are was were why how what when where who next line row row14 here there it we you they he she my your their our reviewed bump rename compare draft write nothing both unfortunately with reverting something after der die das den dem ein eine wie warum bitte als von la le les un une el los las por si no yes oui sí ja call contact on-call geocoding ship send passport".split())
 
 
-def _introduced(text: str) -> Iterator[tuple[re.Match, bool]]:
-    """Names after or before an introduction, and whether the introduction suffices."""
-    lower = text.lower()
-    if len(lower) != len(text):
-        lower = text
-    for cue in BEFORE:
-        at = lower.find(cue)
-        while at >= 0:
-            if not (at and cue[0].isalpha() and lower[at - 1].isalnum()) and (m := _NAME_AT.match(text, at + len(cue))):
-                yield m, cue not in _WEAK
-            at = lower.find(cue, at + len(cue))
-    if any(x in text for x in AFTER):
-        for m in _AFTER_NAME.finditer(text):
-            yield m, True
+def _introduced(text: str, words: frozenset[bytes]) -> Iterator[re.Match]:
+    """Names after or before an introduction."""
+    cues = [cue for cue, word in _CUES if word in words]
+    if cues:
+        lower = text.lower()
+        if len(lower) != len(text):
+            lower = text
+        for cue in cues:
+            at = lower.find(cue)
+            while at >= 0:
+                if not (at and cue[0].isalpha() and lower[at - 1].isalnum()) and (m := _NAME_AT.match(text, at + len(cue))):
+                    yield m
+                at = lower.find(cue, at + len(cue))
+    if not _AFTER_WORDS.isdisjoint(words) and any(x in text for x in AFTER):
+        yield from _AFTER_NAME.finditer(text)
 
 
 def _parts(m: re.Match) -> tuple[list[str], list[str]]:
@@ -220,6 +233,8 @@ class Names:
 
     def __init__(self, given: Iterable[str], family: Iterable[str]):
         self.given, self.family = frozenset(given) - _NO_NAMES, frozenset(family)
+        # of a hyphenated name the last part shows in a text's words
+        self.shown = frozenset(max(words_of(w), key=len) for w in self.given if words_of(w))
         ends = Counter(w[-4:] for w in self.family if len(w) >= 6)
         self.ends = frozenset(e for e, n in ends.items() if n >= 3)
 
@@ -227,15 +242,11 @@ class Names:
         parts = [w for w in word.casefold().split("-") if w]
         return bool(parts) and all(w in self.family or len(w) >= 6 and w[-4:] in self.ends for w in parts)
 
-    def find(self, text: str) -> Iterator[tuple[int, int]]:
-        for m, enough in _introduced(text):
-            g, f = _parts(m)
-            if g[0] in _NO_NAMES:
-                continue
-            if enough or g[0] in self.given and all(map(self.is_family, f)):
+    def find(self, text: str, present: frozenset[bytes]) -> Iterator[tuple[int, int]]:
+        for m in _introduced(text, present):
+            if _parts(m)[0][0] not in _NO_NAMES:
                 yield m.start(), m.end()
-        folded = text.casefold()
-        if self.given.isdisjoint(folded.translate(_APART).split()):
+        if self.shown.isdisjoint(present):
             return
         words = list(_WORD.finditer(text))
         for i, w in enumerate(words):
@@ -275,7 +286,8 @@ def find(text: str | None, names: Names = NOBODY) -> list[Found]:
     """Personal information of a text in order, as source spans that do not overlap."""
     if not text:
         return []
-    r = rewrite(text)
+    words = words_of(text)
+    r = rewrite(text, words)
     t = r.text
     found: list[Found] = []
     taken: list[tuple[int, int]] = []
@@ -291,16 +303,17 @@ def find(text: str | None, names: Names = NOBODY) -> list[Found]:
         for m in _EMAIL.finditer(t):
             take("email", m.start(), m.end())
     if any(ch in t for ch in "0123456789"):
-        for key, rx in _ADDRESSES:
-            if key.search(t):
+        for keys, rx in _ADDRESSES:
+            if any(k in t for k in keys):
                 for m in rx.finditer(t):
                     take("address", m.start(), m.end())
-        if _NUMBERS.search(t):
-            for m in _ID.finditer(t):
-                take("id_number", m.start(), m.end())
-            for m in _PHONE.finditer(t):
-                take("phone", m.start(), m.end())
-    for begin, end in names.find(text):
+        near = [(max(0, m.start() - 8), m.end()) for m in _NUMBERS.finditer(t) if not _DATE.match(t, m.start())]
+        for kind, rx in (("id_number", _ID), ("phone", _PHONE)):
+            for begin, end in near:
+                for m in rx.finditer(t, begin, end + 60):
+                    if m.start() < end:
+                        take(kind, m.start(), m.end())
+    for begin, end in names.find(text, words):
         take("name", begin, end, False)
     return sorted(found, key=lambda x: x.begin)
 
@@ -327,11 +340,10 @@ def learn_names(turns: DataFrame) -> Names:
             for column in batch.columns:
                 for t in column.to_pylist():
                     if t:
-                        for m, enough in _introduced(t):
-                            if enough:
-                                g, f = _parts(m)
-                                if g[0] not in _NO_NAMES:
-                                    seen.update([("g", g[0]), *(("f", w) for w in f)])
+                        for m in _introduced(t, words_of(t)):
+                            g, f = _parts(m)
+                            if g[0] not in _NO_NAMES:
+                                seen.update([("g", g[0]), *(("f", w) for w in f)])
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in seen], pa.string()), pa.array([w for _, w in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], names=["part", "word", "n"])
 
     counts = turns.select(*FIELDS).mapInArrow(run, "part string, word string, n bigint").groupBy("part", "word").agg(F.sum("n").alias("n"))
