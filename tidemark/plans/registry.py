@@ -1,11 +1,7 @@
 """All queries of the core and their SQL."""
 
-from __future__ import annotations
+from tidemark.plans.core_queries import ORACLES, QUERIES
 
-from collections.abc import Callable
+FLAGSHIP = "session_rollups"
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-FLAGSHIP = "stats_by_tool"
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
