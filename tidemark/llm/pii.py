@@ -153,6 +153,7 @@ _EXTENSION = r"(?:,? ?(?:ext\.?|extension|x|Durchwahl|poste) ?\d{1,6})?"
 _PHONE = re.compile("|".join(f"(?P<k{i}>(?<![\\w./#@+-])(?<!\\d:)(?:{p.replace(chr(92) + '1', f'(?P=s{i})').replace('([.-])', f'(?P<s{i}>[.-])').replace('([ -])', f'(?P<s{i}>[ -])')}){_EXTENSION}(?![\\w@/]|[.:-]\\w|\\(\\)))" for i, p in enumerate(_PHONES)))
 #: Where one of these may stand: eight or more digits with their separators, or nine capitals and digits.
 _NUMBERS = re.compile(r"(?<![\w.])[+(]?\d[\d ./()-]{7,}|(?<!\w)[A-Z]-?(?=\w*\d)[A-Z0-9]{7}-?[A-Z0-9](?!\w)")
+_SAID = re.compile(r"(?<!\w)\+?\d{9,13}(?!\w)")
 _DATE = re.compile(r"\d{4}-\d\d-\d\d(?![\d-])")
 
 _CAP = r"[A-ZÀ-Ý][\wÀ-ÿ'’]*"
@@ -313,6 +314,11 @@ def find(text: str | None, names: Names = NOBODY) -> list[Found]:
                 for m in rx.finditer(t, begin, end + 60):
                     if m.start() < end:
                         take(kind, m.start(), m.end())
+    if r.ranges is not None:
+        for m in _SAID.finditer(t):
+            begin, end = r.source(m.start(), m.end())
+            if any(map(str.isalpha, text[begin:end])):  # said in words, so without the separators that tell a number's kind
+                take("phone", m.start(), m.end())
     for begin, end in names.find(text, words):
         take("name", begin, end, False)
     return sorted(found, key=lambda x: x.begin)
