@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import expr as E
+from tidemark.functions import shell, titles
 from tidemark.operators import assemble, dedupe, governance, ledger, projects, recall, rollups, segments, stats, store, vectors
 from tidemark.runtime import table
 
@@ -586,3 +587,22 @@ def embedding_sources(spark, d):
 def tool_call_counts(spark, d):
     t = table(spark, d, "filtered_turns").select("memory_id", "tool_calls").distinct().select("memory_id", F.explode("tool_calls").alias("k"))
     return t.groupBy(F.col("k.name").alias("tool_call")).agg(F.count("*").alias("calls"), F.countDistinct("memory_id").alias("memories"), F.sum(F.greatest(F.lit(0), F.coalesce(F.size("k.file_paths"), F.lit(0)))).cast("bigint").alias("paths"))
+
+
+@query()
+def sanitized_prompts(spark, d):
+    c = store.current_copies(table(spark, d, "filtered_turns"))
+    p = F.col("user_prompt")
+    return c.select("memory_id", shell.has_shell(p).alias("detected"), shell.strip_shell(p).alias("stripped"), shell.escape_shell(p).alias("escaped"))
+
+
+@query()
+def derived_titles(spark, d):
+    f = store.first_prompts(*_t(spark, d, "memories", "filtered_turns"))
+    return f.select("session_id", titles.derived_title(F.col("document")).alias("title"))
+
+
+@query()
+def reply_units(spark, d):
+    c = store.current_copies(table(spark, d, "filtered_turns"))
+    return c.select("memory_id", F.size(titles.text_units(F.col("assistant_response"))).alias("units"))
