@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import expr as E
 from tidemark.functions import shell, titles
-from tidemark.operators import assemble, dedupe, governance, ledger, projects, recall, rollups, segments, stats, store, vectors
+from tidemark.operators import assemble, dedupe, evidence, governance, ledger, projects, recall, rollups, segments, stats, store, transcripts, vectors
 from tidemark.runtime import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -606,3 +606,124 @@ def derived_titles(spark, d):
 def reply_units(spark, d):
     c = store.current_copies(table(spark, d, "filtered_turns"))
     return c.select("memory_id", F.size(titles.text_units(F.col("assistant_response"))).alias("units"))
+
+
+# --- transcripts and evidence ----------------------------------------------------------------------------------------
+
+@query("""with e as (select user_id as file, event_id as pos, case event_type when 'signup' then 'started' when 'purchase' then 'finished' when 'error' then 'failed' end as state from events)
+select file, arg_max(state, pos) as state, count(*) filter (state = 'failed') as failures, count(*) filter (state = 'started') as starts from e where state is not null group by file""")
+def lifecycles(spark, d):
+    signal = F.when(F.col("event_type") == "signup", "task_started").when(F.col("event_type") == "purchase", "task_complete").when(F.col("event_type") == "error", "error")
+    return transcripts.lifecycle(table(spark, d, "events").select(F.col("user_id").alias("file"), F.col("event_id").alias("pos"), signal.alias("signal")))
+
+
+@query("""with c as (select user_id as file, json_extract_string(props, '$.k') as call_id, arg_max(event_type, event_id) as last from events group by 1, 2)
+select file, list_sort(list(call_id)) as open from c where last = 'click' and call_id is not null group by file""")
+def open_tool_calls(spark, d):
+    e = table(spark, d, "events").select(F.col("user_id").alias("file"), F.col("event_id").alias("pos"), F.get_json_object("props", "$.k").alias("call_id"), F.when(F.col("event_type") == "click", "use").otherwise("result").alias("kind"))
+    return transcripts.open_calls(e)
+
+
+@query(ctes("s") + """ select native_id, arg_max(title, (last_turn_at is not null, coalesce(last_turn_at, timestamp '1900-01-01'), id)) as title from (select * from s where title is not null) group by native_id""")
+def indexed_titles(spark, d):
+    s = store.current_sessions(table(spark, d, "sessions")).where("title is not null")
+    return transcripts.indexed_titles(s.select("native_id", F.col("last_turn_at").alias("updated_at"), F.col("id").alias("pos"), "title"))
+
+
+@query("""select o_orderkey as id, o_orderdate as time_updated, o_custkey, coalesce(string_agg(l_returnflag || l_linestatus, chr(10) order by l_shipdate, l_linenumber, l_returnflag || l_linestatus), '') as text from orders left join lineitem on l_orderkey = o_orderkey group by all""")
+def messages_with_parts(spark, d):
+    o, l = _t(spark, d, "orders", "lineitem")
+    m = o.select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("time_updated"), "o_custkey")
+    p = l.select(F.col("l_orderkey").alias("message_id"), F.lit("text").alias("type"), F.col("l_shipdate").alias("time_created"), F.col("l_linenumber").alias("id"), F.concat("l_returnflag", "l_linestatus").alias("text"))
+    return transcripts.messages_with_parts(m, p)
+
+
+@query("""select * from (select o_orderkey as id, o_orderdate as time_updated from orders where (o_orderdate > timestamp '1997-01-01' or (o_orderdate = timestamp '1997-01-01' and o_orderkey > 100)) and o_orderkey not in (select o_orderkey from orders where o_orderstatus = 'F') order by o_orderdate, o_orderkey limit 201)""")
+def dirty_sessions(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("time_updated"), "o_orderstatus")
+    from datetime import datetime
+
+    return transcripts.dirty_sessions(o.drop("o_orderstatus"), datetime(1997, 1, 1), 100, o.where("o_orderstatus = 'F'"), 200)
+
+
+EVIDENCE = ctes("m", "c") + f""", t as (select session_id as chat, turn_index as turn, m.id, user_prompt as text from m join c on c.memory_id = m.id where session_id is not null and turn_index is not null),"""
+
+
+def _chat_turns(spark, d):
+    m, c = _t(spark, d, "memories", "filtered_turns")
+    return (store.current_memories(m).where("session_id is not null and turn_index is not null").select("id", F.col("session_id").alias("chat"), F.col("turn_index").alias("turn"))
+            .join(store.current_copies(c).select(F.col("memory_id").alias("id"), F.col("user_prompt").alias("text")), "id"))
+
+
+@query(EVIDENCE + f""" h as (select *, len(list_filter({_TOKENS!r}, lambda x: list_contains({components('text')}, x))) as hits from t),
+r as (select *, row_number() over w as rank, sum(length(text)) over w as used from h where hits > 0 window w as (partition by chat order by hits desc, turn desc rows unbounded preceding))
+select chat, turn, hits, cast(rank as int) as rank from r where rank <= 3 and used <= 3000""")
+def chat_evidence(spark, d):
+    return evidence.chat_evidence(_chat_turns(spark, d), _TOKENS)
+
+
+@query(EVIDENCE + """ q as (select id as quote_id, chat, turn, substr(text, 1, 30) as quote from t where text is not null), j as (select q.*, t.turn as pos, t.text, row_number() over (partition by quote_id order by t.turn desc) as n from q join t on t.chat = q.chat and t.turn <= q.turn)
+select quote_id, max(case when n <= 64 and contains(text, quote) and quote <> '' then pos end) as found_at, case when max(case when n <= 64 and contains(text, quote) and quote <> '' then pos end) is not null then 'verified' when max(n) > 64 then 'incomplete' else 'absent' end as state from j group by quote_id""")
+def verified_quotes(spark, d):
+    t = _chat_turns(spark, d)
+    return evidence.quotes(t.where("text is not null").select(F.col("id").alias("quote_id"), "chat", "turn", F.substr("text", F.lit(1), F.lit(30)).alias("quote")), t)
+
+
+@query(ctes("s", "m") + """ select m.id as turn_id, v.session_id as served_id from m join s on s.id = m.session_id join (select distinct session_id, computed_at from session_embeddings where session_id is not null) v on v.session_id = s.id and v.computed_at <= m.turn_started_at""")
+def served_before(spark, d):
+    s, m, v = _t(spark, d, "sessions", "memories", "session_embeddings")
+    turns = store.current_memories(m).join(store.current_sessions(s).select(F.col("id").alias("session_id")), "session_id").select(F.col("id").alias("turn_id"), F.col("session_id").alias("chat"), F.col("turn_started_at").alias("ended_at"))
+    served = v.where("session_id is not null").select("session_id", "computed_at").distinct().select(F.col("session_id").alias("chat"), F.col("session_id").alias("served_id"), F.col("computed_at").alias("served_at"))
+    return evidence.served_before(turns, served)
+
+
+@query("""with g as (select user_id || '-' || cast(ts as date) as chat, json_extract_string(props, '$.k') as call_id, count(distinct (event_type, value > 50)) as kinds, min(value > 50) as turn, min(event_type) as body from events group by 1, 2)
+select chat, call_id, turn, body from g where kinds = 1 and chat not in (select chat from g where kinds > 1)""")
+def receipts(spark, d):
+    e = table(spark, d, "events").select(F.concat_ws("-", "user_id", F.to_date("ts")).alias("chat"), F.get_json_object("props", "$.k").alias("call_id"), (F.col("value") > 50).alias("turn"), F.col("event_type").alias("body"))
+    return evidence.record_receipts(e)
+
+
+@query(ctes("v") + """ select session_id, truncated from (select session_id, row_number() over w as rn, count(*) over (partition by model, model_revision) > 200 as truncated from v window w as (partition by model, model_revision order by session_id desc)) where rn <= 200""")
+def capped_scan(spark, d):
+    return evidence.scan_cap(vectors.fresh(table(spark, d, "session_embeddings")), ["model", "model_revision"], [F.desc("session_id")], 200).select("session_id", "truncated")
+
+
+@query()
+def fitting_turns(spark, d):
+    t = _chat_turns(spark, d).withColumn("n", F.coalesce(F.length("text"), F.lit(0))).withColumn("back", -F.col("turn"))
+    return evidence.fits(t, "chat", ["back", "id"], "n", 128, 1500).select("id")
+
+
+@query(ctes("c") + """, o as (select *, greatest(0, coalesce(length(user_prompt), 0) + coalesce(length(assistant_response), 0) - 600) as omitted from c)
+select memory_id, omitted, case when least(omitted, coalesce(length(user_prompt), 0)) > 0 then right(user_prompt, length(user_prompt) - least(omitted, length(user_prompt))) else user_prompt end as user_prompt,
+case when omitted - least(omitted, coalesce(length(user_prompt), 0)) > 0 then right(assistant_response, length(assistant_response) - (omitted - least(omitted, coalesce(length(user_prompt), 0)))) else assistant_response end as assistant_response from o""")
+def bounded_copies(spark, d):
+    c = store.current_copies(table(spark, d, "filtered_turns"))
+    return evidence.bounded_projection(c, ["user_prompt", "assistant_response"], 600).select("memory_id", "omitted", "user_prompt", "assistant_response")
+
+
+@query(ctes("c") + rf""" select memory_id, concat_ws(chr(10) || chr(10), case when coalesce(omitted_before_chars, 0) > 0 then '[... ' || omitted_before_chars || ' characters omitted ...]' end,
+case when not {blank('user_prompt')} then '**User**' || chr(10) || chr(10) || {trimmed('user_prompt')} end, case when not {blank('assistant_response')} then '**Assistant**' || chr(10) || chr(10) || {trimmed('assistant_response')} end) as rendered from c""")
+def rendered_turns(spark, d):
+    return evidence.rendered(store.current_copies(table(spark, d, "filtered_turns"))).select("memory_id", "rendered")
+
+
+@query(ctes("s") + """, x as (select id, case when segment_index > 0 then (select min(b.id) from s b where b.tool = a.tool and b.native_id = a.native_id and b.segment_index = 0) end as parent_id from s a),
+k as (select parent_id, list_sort(list(id)) as children from x where parent_id in (select id from x) group by parent_id) select x.id, coalesce(children, []) as children from x left join k on k.parent_id = x.id where x.parent_id is null or x.parent_id not in (select id from x)""")
+def attached_children(spark, d):
+    s = store.current_sessions(table(spark, d, "sessions"))
+    first = s.where("segment_index = 0").groupBy("tool", "native_id").agg(F.min("id").alias("first"))
+    return evidence.attach_children(s.join(first, ["tool", "native_id"], "left").select("id", F.when(F.col("segment_index") > 0, F.col("first")).alias("parent_id")))
+
+
+@query(ctes("s") + """ select count(*) as total, count(*) filter (coalesce(last_turn_at, started_at) >= timestamp '2025-12-01' - interval 7 day) as recent, count(distinct project_id) as projects from s where kind is distinct from 'adjudicator'""")
+def recent_counts(spark, d):
+    s = store.current_sessions(table(spark, d, "sessions")).where(store.served_kind())
+    return s.agg(F.count("*").alias("total"), F.count_if(F.coalesce("last_turn_at", "started_at") >= F.lit("2025-11-24").cast("timestamp_ntz")).alias("recent"), F.countDistinct("project_id").alias("projects"))
+
+
+@query(NOTES + """ select session_id, key, turn_index from (select *, row_number() over (partition by session_id order by turn_index desc, key desc) rn from notes) where rn <= 3""")
+def newest_decisions(spark, d):
+    n = rollups.merged_decisions(store.current_memories(table(spark, d, "memories")))
+    return store.newest_per_key(n, ["session_id"], [F.desc("turn_index"), F.desc("key")], 3).select("session_id", "key", "turn_index")
