@@ -30,10 +30,11 @@ def near_verbatim(text: Column, body: Column) -> Column:
     """
     t, b = E.normalized(text), E.normalized(body)
     lines = F.filter(F.transform(F.split(body, r"\r?\n"), lambda x: E.normalized(x)), lambda x: F.length(x) >= LONG_LINE)
-    shingles = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(b) - (SHINGLE - 1))), lambda i: F.substr(b, i, F.lit(SHINGLE))))
-    shared = F.size(F.filter(shingles, lambda x: F.contains(t, x)))
-    enough = (F.length(b) >= SHINGLE) & (shared >= F.ceil(F.size(shingles) * SHARE))
-    return F.coalesce(F.exists(lines, lambda x: F.contains(t, x)) | enough, F.lit(False))
+    grams = lambda x: F.regexp_extract_all(x, F.lit(f"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1))  # noqa: E731  # overlapping, in one pass
+    shingles = F.array_distinct(grams(b))
+    enough = F.size(F.array_intersect(shingles, grams(t))) >= F.ceil(F.size(shingles) * SHARE)
+    # the cheap tests come first; shingles are made only where they can decide
+    return F.coalesce(F.when(t.isNull() | b.isNull(), False).when(F.exists(lines, lambda x: F.contains(t, x)), True).when((F.length(b) < SHINGLE) | (F.length(t) < SHINGLE), False).when(F.contains(t, b), True).otherwise(enough), F.lit(False))
 
 
 def first_changes(old: DataFrame, new: DataFrame, chat: str, turn: str, d: str) -> DataFrame:

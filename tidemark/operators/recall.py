@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import expr as E
+from tidemark.runtime import cut
 
 #: Words of a question that are not searched for.
 FILLERS = ("a", "about", "did", "do", "i", "in", "of", "the", "we", "what")
@@ -34,25 +35,19 @@ def postings(docs: DataFrame, doc: str, text) -> DataFrame:
             .select("p.token", "doc", "p.tf", "length"))
 
 
-def matches(docs: DataFrame, doc: str, text, tokens: list[str]) -> DataFrame:
-    """``doc, token, tf, length`` for the query's tokens only: read from the texts without exploding the rest."""
-    t = docs.select(F.col(doc).alias("doc"), E.components(text).alias("t")).where(F.size("t") > 0)
-    wanted = F.array(*[F.lit(w) for w in tokens])
-    return (t.select("doc", F.size("t").alias("length"), F.explode(F.transform(wanted, lambda w: F.struct(w.alias("token"), F.size(F.filter("t", lambda x: x == w)).alias("tf")))).alias("p"))
-            .select("doc", "p.token", "p.tf", "length"))
-
-
 def bm25(docs: DataFrame, doc: str, text, query: str, limit: int = 20) -> DataFrame:
     """The best documents for any token of the query by BM25 (k1 1.2, b 0.75, inverse frequency at least 1e-6); ties go to the smaller id."""
     tokens = query_tokens(query)
-    m = matches(docs, doc, text, tokens)
-    size = m.where(F.col("token") == tokens[0]).agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
-    df = m.where("tf > 0").groupBy("token").agg(F.count("*").alias("df"))  # a row per query token
-    s = m.where("tf > 0").join(F.broadcast(df), "token").crossJoin(F.broadcast(size))
-    weight = F.greatest(F.lit(1e-6), F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    part = weight * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    scored = s.groupBy("doc").agg(F.round(F.sum(part), 6).alias("score"))
-    return scored.orderBy(F.desc("score"), "doc").limit(limit)
+    wanted = F.array(*[F.lit(w) for w in tokens])
+    t = docs.select(F.col(doc).alias("doc"), E.components(text).alias("t")).where(F.size("t") > 0)
+    t = t.select("doc", F.size("t").alias("length"), F.transform(wanted, lambda w: F.size(F.filter("t", lambda x: x == w))).alias("tf"))
+    # one row: documents, their mean length, and how many hold each token
+    whole = t.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), F.array(*[F.count_if(F.col("tf")[i] > 0) for i in range(len(tokens))]).alias("df"))
+    s = t.where(F.exists("tf", lambda x: x > 0)).crossJoin(F.broadcast(whole))
+    weight = lambda df: F.greatest(F.lit(1e-6), F.log((F.col("n") - df + 0.5) / (df + 0.5)))
+    part = lambda tf, df: weight(df) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.col("mean")))
+    score = F.aggregate(F.zip_with("tf", "df", part), F.lit(0.0), lambda acc, x: acc + x)
+    return s.select("doc", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "doc").limit(limit)
 
 
 def recall(sessions: DataFrame, contents: DataFrame, query: str, strict: bool = True, limit: int = 5) -> DataFrame:
@@ -79,8 +74,9 @@ def recall(sessions: DataFrame, contents: DataFrame, query: str, strict: bool =
     floor = F.greatest(*[weight(i) for i in range(len(tokens))]) if len(tokens) > 1 else weight(0)
     tier = (F.when(F.size("in_title") > 0, TIERS["title"]).when((F.lit(len(tokens) > 1)) & F.col("is_phrase"), TIERS["phrase"]).when(F.size("in_text") > 0, TIERS["content"]).otherwise(TIERS["body"]))
     s = s.select("id", "ended_at", F.round(score, 6).alias("score"), tier.alias("tier"), F.size("hit").alias("hits"), F.round(floor, 6).alias("floor")).where("score >= floor")
-    if strict:
-        s = s.withColumn("_all", F.max("hits").over(Window.partitionBy(F.lit(1)))).where((F.col("_all") < len(tokens)) | (F.col("hits") == len(tokens))).drop("_all")
+    s = cut(s, "hits")
+    if strict and not s.where(F.col("hits") == len(tokens)).isEmpty():
+        s = s.where(F.col("hits") == len(tokens))
     order = [F.desc("score"), F.desc("tier"), F.desc("ended_at"), F.asc("id")]
     top = s.orderBy(*order).limit(limit)  # the floor by tokens is set by the first, so it is applied to the few that are shown
     w = Window.orderBy(*order)

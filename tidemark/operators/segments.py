@@ -41,13 +41,12 @@ def assess(gap, trailing_branch, branch, trailing_files, files, marker):
     return F.when(gap >= CUT_HOURS, True).when(gap < LEAST_HOURS, False).when(F.coalesce(overlap >= HIGH_OVERLAP, F.lit(False)), False).otherwise(evidence)
 
 
-def with_state(rows: DataFrame, key: str, time: str, order: list[str], branch: str, files: str, chunk: int = 4096) -> DataFrame:
+def with_state(rows: DataFrame, key: str, time: str, order: list[str], branch: str, files: str) -> DataFrame:
     """Segment numbers by all evidence, whose file memory starts empty at each cut.
 
     The state depends on the cuts, so each key is folded in order. A gap that
-    cuts by itself resets it: keys are first split there, and again at every
-    row that no state can change (a first row, or a gap below the least), so
-    that the fold runs over short arrays whatever a key's size.
+    cuts by itself resets the state, so keys are split there and only the runs
+    between such gaps are folded, each in its own array.
     """
     w = Window.partitionBy(key).orderBy(*order)
     g = rows.withColumn("_gap", gap_hours(time, w)).withColumn("_n", F.row_number().over(w))
