@@ -29,8 +29,13 @@ from tidemark.runtime import cut
 LANGUAGE_SAMPLE = 6000
 #: Nats by which the best language must lead, in prompt and in response.
 MARGIN = 3.0
-#: Sentence ends with the same last words that make an end without punctuation complete.
-ENDS = 2
+#: A response that ends without punctuation is complete if its last words end so many sentences,
+#: and at least this share of all places where they stand.
+ENDS, END_SHARE = 2, 0.1
+#: Most words of a line that counts as ended by its line break alone (items, trailers); longer ones may be pasted in halves.
+LINE_WORDS = 7
+#: Last words up to which the set of those to be counted is broadcast (about 25 MB); beyond, all are counted.
+BROADCAST_WORDS = 1 << 18
 #: Most letters and digits of an introduction before a repeated prompt.
 INTRODUCTION = 40
 
@@ -173,21 +178,21 @@ _KINDS = _Kinds()
 
 
 def _last_words(tokens: list[str], at: int) -> tuple[str, str]:
-    """The four and the three last words of a sentence that ends with token ``at``; ``^`` is its start."""
+    """The five and the three last words of a sentence that ends with token ``at``; ``^`` is its start. Short sentences only have the first form."""
     words: list[str] = []
     k = at
-    while k >= 0 and len(words) < 4:
+    while k >= 0 and len(words) < 5:
         t = tokens[k]
         if k < at and t[-1] in ".!?" and len(t) > 1 and not t[:-1].isdigit():
             break
         kind = _KINDS[t.rstrip(".!?") if k == at else t]
         words.append("P" if k < at and kind[:2] == "P." else kind)
         k -= 1
-    if len(words) < 4:
+    if len(words) < 5:
         words.append("^")
     words.reverse()
-    four = " ".join(words)
-    return four, " ".join(words[1:]) if len(words) == 4 and words[0] != "^" else four
+    five = " ".join(words)
+    return five, " ".join(words[-3:]) if words[0] != "^" else five
 
 
 def sentence_ends(text: str, into: Counter) -> None:
@@ -198,10 +203,27 @@ def sentence_ends(text: str, into: Counter) -> None:
         tokens = line.split()
         last = len(tokens) - 1
         for k, t in enumerate(tokens):
-            if t[-1] in ".!?" and len(t) > 1 or k == last and i < final:
-                four, three = _last_words(tokens, k)
-                into[four] += 1
-                if three != four:
+            if t[-1] in ".!?" and len(t) > 1 or k == last and i < final and last < LINE_WORDS:
+                five, three = _last_words(tokens, k)
+                into[five] += 1
+                if three != five:
+                    into[three] += 1
+
+
+def occurrences(text: str, wanted: frozenset[str] | None, last: frozenset[str] | None, into: Counter) -> None:
+    """Count where last words (the wanted ones, if given) stand at all, whether a sentence ends there or not; the open end of the text is left out, as it tells neither."""
+    lines = text.split("\n")
+    final = max((i for i, x in enumerate(lines) if x.strip()), default=-1)
+    for i, line in enumerate(lines):
+        tokens = line.split()
+        for k, t in enumerate(tokens):
+            if i == final and k == len(tokens) - 1 and t[-1] not in ".!?":
+                continue
+            if last is None or _KINDS[t.rstrip(".!?")] in last:
+                five, three = _last_words(tokens, k)
+                if wanted is None or five in wanted:
+                    into[five] += 1
+                if three != five and (wanted is None or three in wanted):
                     into[three] += 1
 
 
@@ -228,8 +250,10 @@ def ending(text: str, omitted: bool) -> bool | tuple[str, str]:
             after = langid.prose("\n".join(lines[fences[-1] + 1:]))
             if not (omitted and after):
                 return True
-    if _LIST_MARK.fullmatch(last) or last[-1:] in tuple(",;:(=[{+&\\–—-"):
+    if _LIST_MARK.fullmatch(last) or last[-1:] in tuple(",:(=[{+&\\–—-"):
         return True
+    if last[-1:] == ";":
+        return bool(langid.prose(last))  # code ends so
     if last.startswith("|") and last.endswith("|"):
         before = lines[-2].strip() if len(lines) > 1 else ""
         return before.startswith("|") and last.count("|") != before.count("|")
@@ -244,7 +268,7 @@ def ending(text: str, omitted: bool) -> bool | tuple[str, str]:
 
 
 def _classify(model: np.ndarray, prompts: list, responses: list, omitted: list) -> Iterator[tuple[int, str | None, str | None, str | None]]:
-    """Row number, defect, last four and three words of the pairs of a batch that may be defective."""
+    """Row number, defect, last five and three words of the pairs of a batch that may be defective."""
     undecided = []
     for i, (u, a) in enumerate(zip(prompts, responses)):
         if not visible(u):
@@ -289,10 +313,10 @@ def find_defects(turns: DataFrame) -> DataFrame:
     h = F.pmod(F.xxhash64("memory_id", F.lit(3)), F.lit(1 << 30))
     sample = rows.where(h <= F.lit(int(min(1.0, part) * (1 << 30)))).orderBy(h, "memory_id").limit(LANGUAGE_SAMPLE).select("user_prompt", "assistant_response").collect()
     model = spark.sparkContext.broadcast(langid.fit_pairs([(r[0], r[1]) for r in sample]))
-    schema = "memory_id bigint, defect string, four string, three string, n bigint"
+    schema = "memory_id bigint, defect string, five string, three string, n bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["memory_id", "defect", "four", "three", "n"]
+        names = ["memory_id", "defect", "five", "three", "n"]
         ends: Counter = Counter()
 
         def flush() -> pa.RecordBatch:
@@ -316,9 +340,28 @@ def find_defects(turns: DataFrame) -> DataFrame:
         yield flush()
 
     out = cut(rows.mapInArrow(run, schema), "pairs")
-    counts = out.where("n is not null").groupBy("four").agg(F.sum("n").alias("ends")).where(F.col("ends") >= ENDS)
-    seen4, seen3 = counts.select("four", F.lit(True).alias("s4")), counts.select(F.col("four").alias("three"), F.lit(True).alias("s3"))
-    open_ = out.where("n is null and defect is null").select("memory_id", "four", "three").distinct()
-    broken = (open_.join(seen4, "four", "left").join(seen3, "three", "left").where("s4 is null and s3 is null")
+    ends = out.where("n is not null").groupBy(F.col("five").alias("words")).agg(F.sum("n").alias("ends")).where(F.col("ends") >= ENDS)
+    open_ = out.where("n is null and defect is null").select("memory_id", "five", "three").distinct()
+    asked = cut(open_.select(F.explode(F.array("five", "three")).alias("words")).distinct().join(ends, "words"), "last-words")
+    few = asked.select("words").limit(BROADCAST_WORDS + 1).collect()
+    wanted = frozenset(r["words"] for r in few) if len(few) <= BROADCAST_WORDS else None
+    shared = spark.sparkContext.broadcast((wanted, wanted and frozenset(w.rpartition(" ")[2] for w in wanted)))
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, last = shared.value
+        seen: Counter = Counter()
+        for batch in batches:
+            for a in batch.column(0).to_pylist():
+                if a:
+                    occurrences(a, words, last, seen)
+            if len(seen) > 200_000:
+                yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["words", "n"])
+                seen.clear()
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["words", "n"])
+
+    total = rows.select("assistant_response").mapInArrow(places, "words string, n bigint").groupBy("words").agg(F.sum("n").alias("n"))
+    known = cut(asked.join(total, "words").where(F.col("ends") >= END_SHARE * F.col("n")).select("words"), "sentence-ends")
+    five, three = known.select(F.col("words").alias("five"), F.lit(True).alias("s4")), known.select(F.col("words").alias("three"), F.lit(True).alias("s3"))
+    broken = (open_.join(five, "five", "left").join(three, "three", "left").where("s4 is null and s3 is null")
               .select("memory_id", F.lit("truncated").alias("defect")))
     return out.where("defect is not null").select("memory_id", "defect").unionByName(broken).groupBy("memory_id").agg(F.max("defect").alias("defect"))
