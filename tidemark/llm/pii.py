@@ -53,7 +53,9 @@ _DIGIT = "|".join(sorted(_DIGIT_OF, key=len, reverse=True))
 _SPELLED = re.compile(rf"\b(?:{_DIGIT})(?:[ \-,.]{{1,2}}(?:{_DIGIT}))+\b", re.I)
 _AT = re.compile(r"(?<=[\w+%-])\s?[\[({<]\s?(?:at|ät|arroba|arobase|@)\s?[\])}>]\s?(?=\w)|(?<=[\w+%-]) @ (?=\w)|(?<=[\w+%-]) (?:at|arroba|arobase) (?=[\w-]+(?: (?:dot|punto|punkt|point) [\w-]+)+)", re.I)
 _DOT = re.compile(r"\s?[\[({<]\s?(?:dot|punto|punkt|point|\.)\s?[\])}>]\s?| (?:dot|punto|punkt|point) ", re.I)
-_AT_BYTES = frozenset((b"at", "ät".encode(), b"arroba", b"arobase"))
+_AT_BYTES = frozenset(("ät".encode(), b"arroba", b"arobase"))
+_DOT_BYTES = frozenset((b"dot", b"punto", b"punkt", b"point"))
+_AT_MARKS = ("at)", "at]", "at}", "at>", "AT)", "AT]", "AT}", "At)", "At]", "(@)", "[@]", " @ ")
 _DOMAIN = re.compile(rf"@[\w-]+(?:(?:\.|{_DOT.pattern})[\w-]+)*", re.I)
 
 
@@ -89,6 +91,10 @@ class Rewritten(NamedTuple):
         return Rewritten("".join(out) + self.text[at:], ranges + own[at:])
 
 
+#: Characters that may be read as others.
+_ODD = re.compile("[" + "".join(map(re.escape, LOOK_ALIKES)) + "\uff00-\uffef\U0001d400-\U0001d7ff" + "".join(ch for ch in map(chr, range(0x80, 0x11000)) if unicodedata.category(ch) in ("Cf", "Nd")) + "]")
+
+
 def _plain(ch: str) -> str | None:
     """What a non-ASCII character is read as, or None if it stays."""
     if ch in LOOK_ALIKES:
@@ -109,16 +115,16 @@ def rewrite(text: str, words: frozenset[bytes] | None = None) -> Rewritten:
     words = words_of(text) if words is None else words
     r = Rewritten(text, None)
     if not text.isascii():
-        edits = [(i, i + 1, new) for i, ch in enumerate(text) if ch > "\x7f" and (new := _plain(ch)) is not None]
+        edits = [(m.start(), m.end(), new) for m in _ODD.finditer(text) if (new := _plain(m.group())) is not None]
         # letters of another script count as disguised only in words that are Latin otherwise
         edits = [e for e in edits if text[e[0]] not in LOOK_ALIKES or any("a" <= c.lower() <= "z" or c in "@." for c in text[max(0, e[0] - 1):e[0] + 2])]
         if edits:
             r = r.replace(edits)
-    if len(_DIGIT_BYTES & words) >= 2:
+    if len(_DIGIT_BYTES & words) >= 3:
         edits = [(m.start(), m.end(), "".join(_DIGIT_OF[w.lower()] for w in re.split(r"[ \-,.]+", m.group()))) for m in _SPELLED.finditer(r.text)]
         if edits:
             r = r.replace(edits)
-    if not _AT_BYTES.isdisjoint(words) or " @ " in r.text or "(@)" in r.text or "[@]" in r.text:
+    if not _AT_BYTES.isdisjoint(words) or b"at" in words and not _DOT_BYTES.isdisjoint(words) or any(x in r.text for x in _AT_MARKS):
         edits = [(m.start(), m.end(), "@") for m in _AT.finditer(r.text)]
         if edits:
             r = r.replace(edits)
@@ -152,7 +158,7 @@ _PHONES = (
 _EXTENSION = r"(?:,? ?(?:ext\.?|extension|x|Durchwahl|poste) ?\d{1,6})?"
 _PHONE = re.compile("|".join(f"(?P<k{i}>(?<![\\w./#@+-])(?<!\\d:)(?:{p.replace(chr(92) + '1', f'(?P=s{i})').replace('([.-])', f'(?P<s{i}>[.-])').replace('([ -])', f'(?P<s{i}>[ -])')}){_EXTENSION}(?![\\w@/]|[.:-]\\w|\\(\\)))" for i, p in enumerate(_PHONES)))
 #: Where one of these may stand: eight or more digits with their separators, or nine capitals and digits.
-_NUMBERS = re.compile(r"(?<![\w.])[+(]?\d[\d ./()-]{7,}|(?<!\w)[A-Z]-?(?=\w*\d)[A-Z0-9]{7}-?[A-Z0-9](?!\w)")
+_NUMBERS = (re.compile(r"\d[\d ./()-]{6,}\d"), re.compile(r"[A-Z]-?(?=\w*\d)[A-Z0-9]{7}-?[A-Z0-9](?!\w)"))
 _SAID = re.compile(r"(?<!\w)\+?\d{9,13}(?!\w)")
 _DATE = re.compile(r"\d{4}-\d\d-\d\d(?![\d-])")
 
@@ -168,14 +174,19 @@ _FR_TYPE = r"(?:rue|avenue|av\.|place|boulevard|bd|chemin|impasse|allée|quai|co
 _LINK = r"(?:de la |de los |de las |del |de |des |du |de l['’]|d['’]|la |las |los |le |les |el |à |aux )"
 #: Words that begin a French sentence rather than go on with a street's name.
 _STARTS = r"(?:[CDJLMNST]['’]|(?:À|Ajoute|Annule|Après|Au|Aussi|Avant|Bonjour|Ce|Cela|Ces|Cette|Comment|Dans|De|Depuis|Des|Elle|Elles|En|Ensuite|Est|Et|Il|Ils|Je|La|Le|Les|Mais|Merci|Mon|Ne|Notre|Nous|On|Ou|Où|Oui|Non|Par|Peut|Peux|Pour|Pourquoi|Quand|Que|Qui|Quoi|Renomme|Sans|Ses|Si|Son|Sur|Tu|Un|Une|Votre|Vous|Voici|Voilà)\b)"
+def _bytes(words: str) -> frozenset[bytes]:
+    return frozenset(w.encode() for w in words.split())
+
+
+#: For each language: words (or, as a tuple, endings of words) without which there is no address, what must stand around a number, and the form.
 _ADDRESSES = [
-    (" Street| St| Road| Rd| Lane| Ln| Ave| Drive| Dr| Court| Ct| Terrace| Place| Square| Way| Boulevard| Blvd| Close| Crescent| Parkway| Row| Walk| Hill| Grove| Gardens".split("|"),
+    (_bytes("street st road rd lane ln avenue ave drive dr court ct terrace place square way boulevard blvd close crescent parkway row walk hill grove gardens"), re.compile(r"\d[a-zA-Z]? [A-ZÀ-Ý]"),
      re.compile(rf"(?<![\w./:-]){_NO} (?:{_CAP} ){{1,3}}{_EN_TYPE}(?!\w){_UNIT}{_ZIP_TOWN}")),
-    ("weg |straße |strasse |str. |platz |gasse |allee |kamp |stieg |steig |ufer |damm |ring |hof |graben |markt |wall |chaussee |pfad |park |Weg |Straße |Strasse |Str. |Platz |Gasse |Allee |Ring |Ufer |Damm ".split("|"),
+    (tuple(_bytes("weg straße strasse str platz gasse allee kamp stieg steig ufer damm ring hof graben markt wall chaussee pfad park")), re.compile(rf"(?:{_DE_TYPE}|Weg|Stra(?:ß|ss)e|Str\.|Platz|Gasse|Allee|Ring|Ufer|Damm) \d"),
      re.compile(rf"(?<![\w./:-])(?:{_CAP}{_DE_TYPE}|(?:{_CAP}[ -]){{1,2}}(?:Weg|Stra(?:ß|ss)e|Str\.|Platz|Gasse|Allee|Ring|Ufer|Damm)) {_NO}(?![\w/.:-]\w){_UNIT}{_ZIP_TOWN}")),
-    ("Calle |C/ |C. |Avenida |Avda|Av. |Paseo |Plaza |Pl. |Camino |Ronda |Travesía |Carretera |Cuesta |Glorieta |P.º ".split("|"),
+    (_bytes("calle c avenida avda av paseo plaza pl p camino ronda travesía carretera cuesta glorieta"), re.compile(rf"{_ES_TYPE} "),
      re.compile(rf"(?<!\w){_ES_TYPE} (?:{_LINK}|{_CAP} ){{0,4}}{_CAP},? (?:(?:nº|n\.º|núm\.?|número|no\.) ?)?{_NO}(?![\w/.:-]\w){_UNIT}{_ZIP_TOWN}")),
-    (" rue | avenue | av. | place | boulevard | bd | chemin | impasse | allée | quai | cours | route | square | passage | sentier ".split("|"),
+    (_bytes("rue avenue av place boulevard bd chemin impasse allée quai cours route square passage sentier"), re.compile(rf"\d(?: ?[a-zA-Z])?(?: bis| ter)?,? {_FR_TYPE} "),
      re.compile(rf"(?<![\w./:-]){_NO}(?: (?:bis|ter))?,? {_FR_TYPE} {_LINK}?{_CAP}(?:[ -](?:{_LINK})?(?!{_STARTS}){_CAP}){{0,3}}{_UNIT}{_ZIP_TOWN}")),
 ]
 
@@ -304,11 +315,11 @@ def find(text: str | None, names: Names = NOBODY) -> list[Found]:
         for m in _EMAIL.finditer(t):
             take("email", m.start(), m.end())
     if any(ch in t for ch in "0123456789"):
-        for keys, rx in _ADDRESSES:
-            if any(k in t for k in keys):
+        for keys, gate, rx in _ADDRESSES:
+            if (any(w.endswith(keys) for w in words) if isinstance(keys, tuple) else not keys.isdisjoint(words)) and gate.search(t):
                 for m in rx.finditer(t):
                     take("address", m.start(), m.end())
-        near = [(max(0, m.start() - 8), m.end()) for m in _NUMBERS.finditer(t) if not _DATE.match(t, m.start())]
+        near = [(max(0, m.start() - 8), m.end()) for rx in _NUMBERS for m in rx.finditer(t) if not _DATE.match(t, m.start())]
         for kind, rx in (("id_number", _ID), ("phone", _PHONE)):
             for begin, end in near:
                 for m in rx.finditer(t, begin, end + 60):
