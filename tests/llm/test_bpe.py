@@ -56,6 +56,14 @@ def test_long_pretokens_are_streamed_in_constant_memory(merges, reference):
         assert most <= 6 * merges.longest + far
 
 
+def test_windows_hold_little_of_a_long_run(merges, reference):
+    for text in ("x" * 30_000, " " * 20_000 + "y", "1" * 9_000 + "a", "-=" * 8_000 + " ", "é" * 7_000 + "\n" * 3_000):
+        e = bpe.Encoder(merges, window=256)
+        parts = list(e.stream(text[k:k + 256] for k in range(0, len(text), 256)))
+        assert [i for p in parts for i in p] == reference.encode_ordinary(text)
+        assert max(map(len, parts)) < 2_500  # ids leave as they become stable, not all at the end
+
+
 def test_decoder_gives_text_as_soon_as_it_is_whole(merges):
     ids = bpe.Encoder(merges).encode("日本語")
     machine = bpe.ByteToText(merges)

@@ -26,6 +26,8 @@ import regex
 
 #: Fixed value: the pretoken pattern of the byte-level BPE family.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: What a pretoken runs on: white space, letters, digits, or other marks.
+RUNS = [regex.compile(p) for p in (r"\s+", r"\p{L}+", r"\p{N}+", r"[^\s\p{L}\p{N}]+")]
 #: Code points after a pretoken that can still change where it ends.
 TEXT_LOOKAHEAD = 3
 #: Code points of text looked at together.
@@ -212,20 +214,50 @@ class Encoder:
         return [i for ids in self.stream(text[k:k + self.window] for k in range(0, len(text), self.window)) for i in ids]
 
     def stream(self, chunks: Iterable[str]) -> Iterator[list[int]]:
-        """Ids of a text given in chunks; a chunk's ids are given once they are stable."""
+        """Ids of a text given in chunks; a chunk's ids are given once they are stable.
+
+        What is held is less than a window, even inside a pretoken that is
+        longer: its run of letters, digits, marks or white space is handed to the
+        piece transducer as it comes.
+        """
         held = ""
+        run: tuple[regex.Pattern, int, PieceTransducer] | None = None
         for chunk in chunks:
             held += chunk
-            done, out = 0, []
+            out: list[int] = []
+            if run:
+                # the last white space of a run belongs to what follows
+                pattern, keep, piece = run
+                m = pattern.match(held)
+                end = (m.end() if m else 0) - keep
+                out += piece.push(held[:end].encode("utf-8", "replace"))
+                still = end + keep == len(held)
+                held = held[end:]
+                if still:
+                    yield out
+                    continue
+                out += piece.finish()
+                run = None
+            done, last = 0, None
             sure = min(len(held) - TEXT_LOOKAHEAD, len(held.rstrip()))  # a run of white space ends differently if more follows
             for x in self.find(held):
                 if x.end() > sure:
+                    last = x
                     break
                 out += self._piece(x.group())
                 done = x.end()
+            if last and not done and last.end() == len(held) > self.window:
+                inner = held[1] if held[0] == " " and not held[1].isspace() else held[0]
+                pattern = next(r for r in RUNS if r.match(inner))
+                run = pattern, int(pattern is RUNS[0]), PieceTransducer(self.m)
+                done = len(held) - run[1]
+                out += run[2].push(held[:done].encode("utf-8", "replace"))
             held = held[done:]
             yield out
-        yield [i for piece in self.all(held) for i in self._piece(piece)]
+        if run:
+            yield run[2].push(held.encode("utf-8", "replace")) + run[2].finish()
+        else:
+            yield [i for piece in self.all(held) for i in self._piece(piece)]
 
 
 class ByteToText:
