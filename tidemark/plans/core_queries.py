@@ -376,7 +376,18 @@ def semantic_top5(spark, d):
 QUESTION = "Why does the flush interval lease fail in the roster worker?"
 
 
-@query()
+_TOKENS = recall.query_tokens(QUESTION)
+_HELD = f"list_filter({_TOKENS!r}, lambda w: list_contains({{}}, w))"
+
+
+@query(ctes("s", "m", "c") + f""", sv as (select id, coalesce(last_turn_at, last_ingested_at, started_at) as ended_at, {components("concat_ws(' ', custom_title, title)")} as ct, {components('first_prompt_search')} as cp from s where kind is distinct from 'adjudicator'),
+tx as (select session_id as id, {components("concat_ws(chr(10), user_prompt, assistant_response)")} as t from m join c on c.memory_id = m.id), it as (select id, list_distinct(flatten(list({_HELD.format('t')}))) as it from tx group by id),
+h as (select id, ended_at, {_HELD.format('ct')} as a, {_HELD.format('cp')} as b, coalesce(it, []) as it, contains(array_to_string(cp, ' '), '{' '.join(_TOKENS)}') as ph from sv left join it using (id)),
+u as (select *, list_distinct(list_concat(list_concat(a, b), it)) as hit from h), n as (select count(*) as n from u), k as (select token, count(*) filter (list_contains(hit, token)) as df from u, (select unnest({_TOKENS!r}) as token) group by token),
+w as (select token, ln((n + 1) / (df + 1)) + 1 as wt from k, n), sc as (select id, ended_at, round(sum(wt), 6) as score, any_value(case when len(a) > 0 then 5 when {len(_TOKENS)} > 1 and ph then 4 when len(it) > 0 then 2 else 1 end) as tier, count(*) as hits from u join w on list_contains(hit, token) group by id, ended_at),
+f as (select * from sc where score >= (select round(max(wt), 6) from w)), g as (select * from f where hits = {len(_TOKENS)} or not exists (select 1 from f where hits = {len(_TOKENS)})),
+top as (select *, row_number() over (order by score desc, tier desc, ended_at desc, id) as r from g order by r limit 5)
+select id, score, tier, cast(hits as int) as hits from top where hits >= 2 or (select hits from top where r = 1) < 2""")
 def recall_sessions(spark, d):
     s, m, c = _t(spark, d, "sessions", "memories", "filtered_turns")
     served = store.current_sessions(s).where(store.served_kind()).select("id", F.concat_ws(" ", "custom_title", "title").alias("title"), F.col("first_prompt_search").alias("prompt"), store.ended_at().alias("ended_at"))
@@ -384,9 +395,6 @@ def recall_sessions(spark, d):
     return recall.recall(served, text, QUESTION)
 
 
-_TOKENS = recall.query_tokens(QUESTION)
-
-
 @query(ctes("c") + f""", t as (select memory_id as doc, {components("concat_ws(' ', user_prompt, assistant_response)")} as t from c), n as (select doc, t, len(t) as length from t where len(t) > 0),
 q as (select unnest({_TOKENS!r}) as token), p as (select doc, length, token, len(list_filter(t, lambda x: x = token)) as tf from n, q), df as (select token, count(*) as df from p where tf > 0 group by token), z as (select count(*) as n, avg(length) as mean from n)
 select doc, round(sum(greatest(1e-6, ln((z.n - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 6) as score from p join df using (token), z where tf > 0 group by doc order by score desc, doc limit 20""")
