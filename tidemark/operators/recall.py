@@ -41,6 +41,7 @@ def bm25(docs: DataFrame, doc: str, text, query: str, limit: int = 20) -> DataFr
     wanted = F.array(*[F.lit(w) for w in tokens])
     t = docs.select(F.col(doc).alias("doc"), E.components(text).alias("t")).where(F.size("t") > 0)
     t = t.select("doc", F.size("t").alias("length"), F.transform(wanted, lambda w: F.size(F.filter("t", lambda x: x == w))).alias("tf"))
+    t = cut(t, "term-counts")  # narrow rows, so that texts are taken apart once
     # one row: documents, their mean length, and how many hold each token
     whole = t.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), F.array(*[F.count_if(F.col("tf")[i] > 0) for i in range(len(tokens))]).alias("df"))
     s = t.where(F.exists("tf", lambda x: x > 0)).crossJoin(F.broadcast(whole))
