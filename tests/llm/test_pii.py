@@ -63,3 +63,15 @@ def test_table(spark):
     texts = {r.memory_id: r for r in pii.redact_all(df).collect()}
     assert texts[10].user_prompt == "[NAME] was here, and [NAME]" and texts[11].user_prompt is None and texts[11].replaced == 0
     assert pii.find_all(df.limit(0)).count() == 0 and pii.redact_all(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("text,kind,value", [
+    ("at 48 Quarry Str\u0435et now", "address", "48 Quarry Str\u0435et"), ("at 48 Quarry Str\u200beet now", "address", "48 Quarry Str\u200beet"), ("my f\u0456ve f\u0456ve f\u0456ve zer\u043e zer\u043e zer\u043e zer\u043e zer\u043e zer\u043e line", "phone", "f\u0456ve f\u0456ve f\u0456ve zer\u043e zer\u043e zer\u043e zer\u043e zer\u043e zer\u043e"),
+    ("to jo \u0430t host d\u043et example", "email", "jo \u0430t host d\u043et example"), ("\u201c48 Quarry Street\u201d", "address", "48 Quarry Street"), ("\u00abCalle de los Olmos 31\u00bb", "address", "Calle de los Olmos 31"), ("\u201eEdda Vintovsen\u201c", "name", "Edda Vintovsen"), ("\u00ab\u00a0Edda Vintovsen\u00a0\u00bb", "name", "Edda Vintovsen"),
+    ("call five five five five five five five five five", "phone", "five five five five five five five five five"), ("to ab [ at ] host.test", "email", "ab [ at ] host.test"), ("to ab {@} host.test", "email", "ab {@} host.test")])
+def test_disguises_and_typography_do_not_hide(text, kind, value):
+    assert kinds(text) == [(kind, value)]
+
+
+def test_words_end_at_whatever_is_no_letter():
+    assert pii.words_of("\u201cRue\u201d\u00a0\u2014x\u00b2y \u00e9t\u00e9_STRASSE9Stra\u00dfe") == {x.encode() for x in ("rue", "x", "y", "\u00e9t\u00e9", "strasse")}

@@ -55,17 +55,37 @@ _AT = re.compile(r"(?<=[\w+%-])\s?[\[({<]\s?(?:at|ät|arroba|arobase|@)\s?[\])}>
 _DOT = re.compile(r"\s?[\[({<]\s?(?:dot|punto|punkt|point|\.)\s?[\])}>]\s?| (?:dot|punto|punkt|point) ", re.I)
 _AT_BYTES = frozenset(("ät".encode(), b"arroba", b"arobase"))
 _DOT_BYTES = frozenset((b"dot", b"punto", b"punkt", b"point"))
-_AT_MARKS = ("at)", "at]", "at}", "at>", "AT)", "AT]", "AT}", "At)", "At]", "(@)", "[@]", " @ ")
+_AT_MARK = re.compile(r"[\[({<]\s?(?:at|@)\s?[\])}>]| @ ", re.I)
 _DOMAIN = re.compile(rf"@[\w-]+(?:(?:\.|{_DOT.pattern})[\w-]+)*", re.I)
 
 
-#: Bytes that stand between words.
-_BETWEEN = bytes(32 if b < 48 or 57 < b < 65 or 90 < b < 97 or 122 < b < 128 else b for b in range(256))
+#: ASCII that stands between words, and all else that is no letter.
+_BETWEEN = bytes(32 if b < 65 or 90 < b < 97 or 122 < b < 128 else b for b in range(256))
+
+
+class _Letters(dict):
+    """What a word with bytes beyond ASCII falls into where all that is no letter is taken out."""
+
+    def __missing__(self, word: bytes) -> list[bytes]:
+        if len(self) > 1 << 17:
+            self.clear()
+        t = word.decode("utf-8", "replace")
+        out = self[word] = [word] if t.isalpha() else "".join(c if c.isalpha() else " " for c in t).encode().split()
+        return out
+
+
+_LETTERS = _Letters()
+
+
+def _split(text: str) -> list[bytes]:
+    """The case-folded words of a text as UTF-8; all but letters stands between them."""
+    words = text.casefold().encode("utf-8", "replace").translate(_BETWEEN).split()
+    return words if text.isascii() else [x for w in words for x in ((w,) if w.isascii() else _LETTERS[w])]
 
 
 def words_of(text: str) -> frozenset[bytes]:
-    """The lower-case words of a text as UTF-8, a cheap way to see what cannot be in it."""
-    return frozenset(text.lower().encode("utf-8", "replace").translate(_BETWEEN).split())
+    """The distinct words, a cheap way to see what cannot be in a text."""
+    return frozenset(_split(text))
 
 
 class Rewritten(NamedTuple):
@@ -112,7 +132,6 @@ def _plain(ch: str) -> str | None:
 
 def rewrite(text: str, words: frozenset[bytes] | None = None) -> Rewritten:
     """Undo disguises; most texts come back unchanged and without a map."""
-    words = words_of(text) if words is None else words
     r = Rewritten(text, None)
     if not text.isascii():
         edits = [(m.start(), m.end(), new) for m in _ODD.finditer(text) if (new := _plain(m.group())) is not None]
@@ -120,11 +139,14 @@ def rewrite(text: str, words: frozenset[bytes] | None = None) -> Rewritten:
         edits = [e for e in edits if text[e[0]] not in LOOK_ALIKES or any("a" <= c.lower() <= "z" or c in "@." for c in text[max(0, e[0] - 1):e[0] + 2])]
         if edits:
             r = r.replace(edits)
-    if len(_DIGIT_BYTES & words) >= 3:
+    # a disguise may hide a word, so what the text can hold is seen in the rewritten one
+    words = words_of(r.text) if words is None or r.ranges is not None else words
+    digits = _DIGIT_BYTES & words
+    if len(digits) >= 2 or digits and sum(w in digits for w in _split(r.text)) >= 2:
         edits = [(m.start(), m.end(), "".join(_DIGIT_OF[w.lower()] for w in re.split(r"[ \-,.]+", m.group()))) for m in _SPELLED.finditer(r.text)]
         if edits:
             r = r.replace(edits)
-    if not _AT_BYTES.isdisjoint(words) or b"at" in words and not _DOT_BYTES.isdisjoint(words) or any(x in r.text for x in _AT_MARKS):
+    if not _AT_BYTES.isdisjoint(words) or b"at" in words and not _DOT_BYTES.isdisjoint(words) or (b"at" in words or "@" in r.text) and _AT_MARK.search(r.text):
         edits = [(m.start(), m.end(), "@") for m in _AT.finditer(r.text)]
         if edits:
             r = r.replace(edits)
@@ -175,7 +197,7 @@ _LINK = r"(?:de la |de los |de las |del |de |des |du |de l['’]|d['’]|la |las
 #: Words that begin a French sentence rather than go on with a street's name.
 _STARTS = r"(?:[CDJLMNST]['’]|(?:À|Ajoute|Annule|Après|Au|Aussi|Avant|Bonjour|Ce|Cela|Ces|Cette|Comment|Dans|De|Depuis|Des|Elle|Elles|En|Ensuite|Est|Et|Il|Ils|Je|La|Le|Les|Mais|Merci|Mon|Ne|Notre|Nous|On|Ou|Où|Oui|Non|Par|Peut|Peux|Pour|Pourquoi|Quand|Que|Qui|Quoi|Renomme|Sans|Ses|Si|Son|Sur|Tu|Un|Une|Votre|Vous|Voici|Voilà)\b)"
 def _bytes(words: str) -> frozenset[bytes]:
-    return frozenset(w.encode() for w in words.split())
+    return frozenset(w.casefold().encode() for w in words.split())
 
 
 #: For each language: words (or, as a tuple, endings of words) without which there is no address, what must stand around a number, and the form.
@@ -301,6 +323,7 @@ def find(text: str | None, names: Names = NOBODY) -> list[Found]:
     words = words_of(text)
     r = rewrite(text, words)
     t = r.text
+    shown = words if r.ranges is None else words_of(t)
     found: list[Found] = []
     taken: list[tuple[int, int]] = []
 
@@ -316,7 +339,7 @@ def find(text: str | None, names: Names = NOBODY) -> list[Found]:
             take("email", m.start(), m.end())
     if any(ch in t for ch in "0123456789"):
         for keys, gate, rx in _ADDRESSES:
-            if (any(w.endswith(keys) for w in words) if isinstance(keys, tuple) else not keys.isdisjoint(words)) and gate.search(t):
+            if (any(w.endswith(keys) for w in shown) if isinstance(keys, tuple) else not keys.isdisjoint(shown)) and gate.search(t):
                 for m in rx.finditer(t):
                     take("address", m.start(), m.end())
         near = [(max(0, m.start() - 8), m.end()) for rx in _NUMBERS for m in rx.finditer(t) if not _DATE.match(t, m.start())]
