@@ -75,3 +75,10 @@ def test_disguises_and_typography_do_not_hide(text, kind, value):
 
 def test_words_end_at_whatever_is_no_letter():
     assert pii.words_of("\u201cRue\u201d\u00a0\u2014x\u00b2y \u00e9t\u00e9_STRASSE9Stra\u00dfe") == {x.encode() for x in ("rue", "x", "y", "\u00e9t\u00e9", "strasse")}
+
+
+@pytest.mark.parametrize("kind,value", [("phone", "030 / 23125084"), ("phone", "(457) 555-0191"), ("phone", "0301 312 5084"), ("id_number", "929-86-0000"), ("id_number", "50.003.803-D")])
+def test_numbers_after_a_date(kind, value):
+    for date in ("2025-06-20 ", "[2025-06-20] ", "2025-06-20  "):
+        text = f"{date}{value} ok"
+        assert kinds(text) == [(kind, value)], text

@@ -342,7 +342,8 @@ def find(text: str | None, names: Names = NOBODY) -> list[Found]:
             if (any(w.endswith(keys) for w in shown) if isinstance(keys, tuple) else not keys.isdisjoint(shown)) and gate.search(t):
                 for m in rx.finditer(t):
                     take("address", m.start(), m.end())
-        near = [(max(0, m.start() - 8), m.end()) for rx in _NUMBERS for m in rx.finditer(t) if not _DATE.match(t, m.start())]
+        # of a run that begins with a date, the date is passed over
+        near = [(d.end() if (d := _DATE.match(t, m.start())) else max(0, m.start() - 8), m.end()) for rx in _NUMBERS for m in rx.finditer(t)]
         for kind, rx in (("id_number", _ID), ("phone", _PHONE)):
             for begin, end in near:
                 for m in rx.finditer(t, begin, end + 60):
