@@ -82,3 +82,14 @@ def test_numbers_after_a_date(kind, value):
     for date in ("2025-06-20 ", "[2025-06-20] ", "2025-06-20  "):
         text = f"{date}{value} ok"
         assert kinds(text) == [(kind, value)], text
+
+
+@pytest.mark.parametrize("before", ["I am called ", "Best,\n", "Kontakt: ", "kontakt=", "Contacto: ", "contacto=", "Merci,\n", "Merci !\n"])
+def test_introductions_that_suffice(before):
+    assert kinds(f"{before}Zora Quill\n") == [("name", "Zora Quill")]
+
+
+def test_introductions_teach_names(spark):
+    rows = [(1, "Kontakt: Zora Quillton", "Best,\nZora Quillton"), (2, "so zora quillton said", None)]
+    df = spark.createDataFrame(rows, "memory_id bigint, user_prompt string, assistant_response string")
+    assert ("zora quillton",) in {(r.pii_text,) for r in pii.find_all(df).collect()}

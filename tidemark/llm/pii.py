@@ -221,11 +221,11 @@ _NAME = "|".join(
     for i, w, p in ((0, _T, _PARTICLE), (2, _U, f"(?:{_PARTICLE}|(?:VON|VAN|DE|DEL|DER|DI|DA|LA) )")))
 #: Phrases that introduce a person; a name follows.
 BEFORE = (
-    "my name is ", "talked to ", "spoke with ", "spoke to ", "loop in ", "signed-off by: ", "signed-off-by: ", "reviewed by ", "reviewed-by: ", "co-authored-by: ", "reviewer=", "reviewer: ",
-    "assignee: ", "assignee=", "assignee in the fixture is \"", "author: ", "author=", "regards,\n", "thanks!\n", "thanks,\n", "cheers,\n",
-    "mein name ist ", "ich heiße ", "gesprochen mit ", "stimm das vorher mit ", "bearbeiter: ", "bearbeiter=", "grüße\n", "grüßen\n", "gruß\n", "zuständig: ",
-    "je m'appelle ", "je m’appelle ", "prévenir ", "responsable : ", "responsable: ", "responsable=", "cordialement,\n", "cordialement\n",
-    "me llamo ", "mi nombre es ", "avisa a ", "hablé con ", "saludos,\n", "gracias,\n", "¡gracias!\n",
+    "my name is ", "i am called ", "talked to ", "spoke with ", "spoke to ", "loop in ", "signed-off by: ", "signed-off-by: ", "reviewed by ", "reviewed-by: ", "co-authored-by: ", "reviewer=", "reviewer: ",
+    "assignee: ", "assignee=", "assignee in the fixture is \"", "author: ", "author=", "regards,\n", "thanks!\n", "thanks,\n", "best,\n", "cheers,\n",
+    "mein name ist ", "ich heiße ", "gesprochen mit ", "stimm das vorher mit ", "bearbeiter: ", "bearbeiter=", "grüße\n", "grüßen\n", "gruß\n", "kontakt: ", "kontakt=", "zuständig: ",
+    "je m'appelle ", "je m’appelle ", "prévenir ", "responsable : ", "responsable: ", "responsable=", "cordialement,\n", "cordialement\n", "merci,\n", "merci !\n",
+    "me llamo ", "mi nombre es ", "avisa a ", "hablé con ", "contacto: ", "contacto=", "saludos,\n", "gracias,\n", "¡gracias!\n",
 )
 #: What follows a person who did something.
 AFTER = (" reported it", " wrote in", " from support", " hat den Fehler gemeldet", " hat gemeldet", " a signalé", " informó del", " avisó de")
