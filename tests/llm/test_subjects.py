@@ -57,3 +57,13 @@ def test_empty_tables(spark):
     assert subjects.assign(docs, m).count() == 0 and subjects.composition(subjects.assign(docs, m), docs).count() == 0
     some = spark.createDataFrame([(1, "A statute that lacks a clause is listed.")], "doc_id bigint, text string")
     assert subjects.assign(some, m).count() == 0
+
+
+def test_labelled_documents_are_used_beyond_five_thousand(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(subjects, "calibrated", lambda areas, labelled, unlabelled: seen.append((len(labelled), len(unlabelled))))
+    docs = spark.range(12_000).selectExpr("id as doc_id", "concat('text ', id) as text")
+    lab = spark.range(6_000).selectExpr("id as doc_id", "'law' as subject")
+    areas = spark.createDataFrame([("law", "d")], "subject string, description string")
+    subjects.learn(docs, lab, areas)
+    assert seen[0][0] == 6_000 and seen[0][1] > 2_500

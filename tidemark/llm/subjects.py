@@ -27,9 +27,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Labelled documents the models are fitted on, those with the smallest hashed ids.
-LABELLED = 5_000
+LABELLED = 8_000
 #: Documents without label whose clear sentences train the later rounds too, chosen alike.
-UNLABELLED = 2_500
+UNLABELLED = 8_000
 #: Rounds in which sentences are assigned anew.
 ROUNDS = 5
 #: Weights of bigram, unigram and uniform probabilities.
