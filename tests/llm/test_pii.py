@@ -93,3 +93,16 @@ def test_introductions_teach_names(spark):
     rows = [(1, "Kontakt: Zora Quillton", "Best,\nZora Quillton"), (2, "so zora quillton said", None)]
     df = spark.createDataFrame(rows, "memory_id bigint, user_prompt string, assistant_response string")
     assert ("zora quillton",) in {(r.pii_text,) for r in pii.find_all(df).collect()}
+
+
+@pytest.mark.parametrize("most", [3, 1000])
+def test_names_beyond_the_lexicon_that_is_broadcast(spark, monkeypatch, most):
+    monkeypatch.setattr(pii, "LEXICON", most)
+    people = ["Zora Quillton", "Edo Marbelton", "Ilka-Mae Varnhalt", "Bero Sandelton"]
+    rows = [(i, f"My name is {n}, hello", None) for i, n in enumerate(people * 2)]
+    rows += [(20, "so zora quillton and Varnhalt, Ilka-Mae spoke", "Bero Sandelton-Varnhalt left")] * 2 + [(21, "with Edo Newbelton here", None), (None, "edo marbelton", ""), (22, None, None)]
+    df = spark.createDataFrame(rows, "memory_id bigint, user_prompt string, assistant_response string")
+    got = sorted((r.memory_id, r.pii_text) for r in pii.find_all(df).collect() if r.memory_id >= 20)
+    assert got == sorted([(20, "zora quillton"), (20, "Varnhalt, Ilka-Mae"), (20, "Bero Sandelton-Varnhalt")] * 2 + [(21, "Edo Newbelton")])
+    redacted = pii.redact_all(df).collect()
+    assert len(redacted) == len(rows) and ("[NAME]", 1) in {(r.user_prompt, r.replaced) for r in redacted} and sum(r.replaced for r in redacted) == 8 + 6 + 1 + 1

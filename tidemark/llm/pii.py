@@ -17,18 +17,20 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.runtime import cut
+
 FIELDS = ("user_prompt", "assistant_response")
 PLACEHOLDERS = {"name": "[NAME]", "email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]"}
 #: Introductions that make a word part of the lexicon.
 SEEN = 2
-#: Most words of the lexicon, by number of introductions; about 20 MB. Names beyond are still found by their introduction.
+#: Most words of a lexicon that is broadcast, about 20 MB; the words of a larger one are joined to the texts that hold them.
 LEXICON = 200_000
 
 
@@ -265,12 +267,13 @@ def _parts(m: re.Match) -> tuple[list[str], list[str]]:
 class Names:
     """Given and family names, and how family names end."""
 
-    def __init__(self, given: Iterable[str], family: Iterable[str]):
+    def __init__(self, given: Iterable[str], family: Iterable[str], ends: frozenset[str] | None = None):
         self.given, self.family = frozenset(given) - _NO_NAMES, frozenset(family)
         # of a hyphenated name the last part shows in a text's words
         self.shown = frozenset(max(words_of(w), key=len) for w in self.given if words_of(w))
-        ends = Counter(w[-4:] for w in self.family if len(w) >= 6)
-        self.ends = frozenset(e for e, n in ends.items() if n >= 3)
+        if ends is None:
+            ends = frozenset(e for e, n in Counter(w[-4:] for w in self.family if len(w) >= 6).items() if n >= 3)
+        self.ends = ends
 
     def is_family(self, word: str) -> bool:
         parts = [w for w in word.casefold().split("-") if w]
@@ -372,11 +375,17 @@ def redact(text: str | None, found: list[Found]) -> str | None:
 
 # --- on tables -------------------------------------------------------------------------------------------------------
 
-def learn_names(turns: DataFrame) -> Names:
-    """The lexicon of all names introduced in either field of any row."""
+def introduced_words(turns: DataFrame) -> DataFrame:
+    """``part, word``: given (g) and family (f) names introduced often enough in either field of any row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
+
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array([k for k, _ in seen], pa.string()), pa.array([w for _, w in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], names=["part", "word", "n"])
+            seen.clear()
+            return out
+
         for batch in batches:
             for column in batch.columns:
                 for t in column.to_pylist():
@@ -385,11 +394,52 @@ def learn_names(turns: DataFrame) -> Names:
                             g, f = _parts(m)
                             if g[0] not in _NO_NAMES:
                                 seen.update([("g", g[0]), *(("f", w) for w in f)])
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in seen], pa.string()), pa.array([w for _, w in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], names=["part", "word", "n"])
+            if len(seen) > 200_000:
+                yield flush()
+        yield flush()
 
     counts = turns.select(*FIELDS).mapInArrow(run, "part string, word string, n bigint").groupBy("part", "word").agg(F.sum("n").alias("n"))
-    rows = counts.where(F.col("n") >= SEEN).orderBy(F.desc("n"), "part", "word").limit(LEXICON).collect()
-    return Names((r["word"] for r in rows if r["part"] == "g"), (r["word"] for r in rows if r["part"] == "f"))
+    return cut(counts.where(F.col("n") >= SEEN).select("part", "word"), "lexicon")
+
+
+def _texts_and_names(turns: DataFrame) -> tuple[DataFrame, Callable[[pa.RecordBatch], list[Names]]]:
+    """The ids and texts of the turns, and a function that gives for each row of a batch the names to find in it.
+
+    Up to ``LEXICON`` words every row has all names. Beyond, the words of each
+    text are joined with the whole lexicon, so that a row has those it holds;
+    how family names end is counted over the whole lexicon either way.
+    """
+    spark = turns.sparkSession
+    lexicon = introduced_words(turns)
+    texts = turns.select("memory_id", *FIELDS)
+    rows = lexicon.limit(LEXICON + 1).collect()
+    if len(rows) <= LEXICON:
+        names = spark.sparkContext.broadcast(Names((r["word"] for r in rows if r["part"] == "g"), (r["word"] for r in rows if r["part"] == "f")))
+        return texts, lambda batch: [names.value] * batch.num_rows
+    del rows
+    # four letters, so few even of a large lexicon
+    ends = lexicon.where((F.col("part") == "f") & (F.length("word") >= 6)).groupBy(F.substring("word", -4, 4).alias("e")).count().where("count >= 3").collect()
+    shared = spark.sparkContext.broadcast(frozenset(r["e"] for r in ends))
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 1000):
+                part = batch.slice(k, 1000)
+                keys, held = [], []
+                for key, *both in zip(*(c.to_pylist() for c in part.columns)):
+                    own = {w.group().casefold() for t in both if t for w in _WORD.finditer(t)}
+                    own |= {x for w in own if "-" in w for x in w.split("-")}
+                    keys += [key] * len(own)
+                    held += own
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(held, pa.string())], names=["key", "word"])
+
+    keyed = texts.withColumn("key", F.sha2(F.concat(F.coalesce("user_prompt", F.lit("")), F.lit("\n"), F.coalesce("assistant_response", F.lit(""))), 256))
+    held = keyed.select("key", *FIELDS).mapInArrow(words, "key string, word string").join(lexicon, "word").groupBy("key").agg(F.collect_set(F.struct("part", "word")).alias("known"))
+
+    def of(batch: pa.RecordBatch) -> list[Names]:
+        return [Names([x["word"] for x in known or () if x["part"] == "g"], [x["word"] for x in known or () if x["part"] == "f"], shared.value) for known in batch.column(3).to_pylist()]
+
+    return keyed.join(held, "key", "left").select("memory_id", *FIELDS, "known"), of
 
 
 def find_all(turns: DataFrame) -> DataFrame:
@@ -399,28 +449,29 @@ def find_all(turns: DataFrame) -> DataFrame:
     null, empty and blank texts hold none; repeated rows each give their pieces;
     extra columns are ignored; an empty table gives no rows.
     """
-    names = turns.sparkSession.sparkContext.broadcast(learn_names(turns))
+    texts, names_of = _texts_and_names(turns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_pylist()
+            ids, names = batch.column(0).to_pylist(), names_of(batch)
             rows = [(i, FIELDS[k], x.begin, x.end - x.begin, x.kind, t[x.begin:x.end])
-                    for k in (0, 1) for i, t in zip(ids, batch.column(1 + k).to_pylist()) if t for x in find(t, names.value)]
+                    for k in (0, 1) for i, t, n in zip(ids, batch.column(1 + k).to_pylist(), names) if t for x in find(t, n)]
             cols = list(zip(*rows)) or [[]] * 6
             kinds = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["memory_id", "field", "begin", "length", "pii_type", "pii_text"])
 
-    return turns.where("memory_id is not null").select("memory_id", *FIELDS).mapInArrow(run, "memory_id bigint, field string, begin int, length int, pii_type string, pii_text string")
+    return texts.where("memory_id is not null").mapInArrow(run, "memory_id bigint, field string, begin int, length int, pii_type string, pii_text string")
 
 
 def redact_all(turns: DataFrame) -> DataFrame:
     """``memory_id, user_prompt, assistant_response, replaced`` of every row: the texts with placeholders, otherwise unchanged, and how many there are."""
-    names = turns.sparkSession.sparkContext.broadcast(learn_names(turns))
+    texts, names_of = _texts_and_names(turns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [[find(t, names.value) for t in batch.column(k).to_pylist()] for k in (1, 2)]
+            names = names_of(batch)
+            found = [[find(t, n) for t, n in zip(batch.column(k).to_pylist(), names)] for k in (1, 2)]
             texts = [pa.array([redact(t, x) for t, x in zip(batch.column(k + 1).to_pylist(), found[k])], pa.string()) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *texts, pa.array([len(a) + len(b) for a, b in zip(*found)], pa.int32())], names=["memory_id", *FIELDS, "replaced"])
 
-    return turns.select("memory_id", *FIELDS).mapInArrow(run, "memory_id bigint, user_prompt string, assistant_response string, replaced int")
+    return texts.mapInArrow(run, "memory_id bigint, user_prompt string, assistant_response string, replaced int")
