@@ -50,3 +50,18 @@ def test_code_says_nothing_of_a_language():
     model = langid.fit([t for p in GOOD for t in p])
     x = langid.log_posteriors(model, [None, "", "```\nthe code is the code\n```", "fooBar(1) x/y.py 77"])
     assert (x.max(axis=1) == x.min(axis=1)).all()
+
+
+def test_padding_and_length_hide_nothing():
+    for pad in (" " * 60, "\n" * 60, "\u200b" * 60):
+        assert pairs.is_empty("N/A" + pad) and pairs.is_empty(pad + "null" + pad) and not pairs.is_empty("null" + pad + "and so on")
+        assert pairs.is_copied("Move the check", pad * 5 + "move the check" + pad * 5) and pairs.is_copied(pad * 9 + "Move the check", "move the check.")
+    assert not pairs.is_copied("Move the check", "Moved the check and ran all tests")
+    assert pairs.is_refusal("I cannot help with this request. " * 60) and not pairs.is_refusal("I cannot help with this request. " * 60 + "The loader is fixed now.")
+
+
+def test_language_model_counts_all_rows(spark):
+    rows = [(i, "the check is in the loader and it was there", "we have it now and that is how it was") for i in range(7000)] + [(7000, "Zqxwv ist nicht in der Liste und das ist wie es war", None)]
+    df = spark.createDataFrame(rows, "memory_id bigint, user_prompt string, assistant_response string")
+    want = langid.fit_pairs([(r[1], r[2]) for r in rows])
+    assert abs(pairs.language_model(df) - want).max() < 0.01

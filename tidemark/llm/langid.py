@@ -1,6 +1,6 @@
 """Language posteriors from a naive Bayes model over character trigrams.
 
-The model is trained here: lines of a bounded sample of texts are labelled by
+The model is trained here: lines are labelled by
 the function words they hold, and trigram counts of the labelled lines give the
 class likelihoods. Code, identifiers, paths and numbers are left out of both
 training and scoring, and so are lines that mostly consist of them.
@@ -85,34 +85,43 @@ def seed_label(line: str) -> int | None:
 _SEED_SETS = [frozenset(s.split()) for s in SEEDS.values()]
 
 
-def _likelihoods(lines: list[str], labels: list[int | None], smoothing: float = 0.5) -> np.ndarray:
+def _counts(lines: list[str], labels: list[int | None]) -> np.ndarray:
+    """Trigram counts of labelled lines, a row per bucket and a column per language."""
     counts = np.zeros((BUCKETS, len(LANGUAGES)))
-    for k, seeds in enumerate(SEEDS.values()):
-        # the seed words themselves are the least that is known of a language
-        grams, _ = _grams([x for x, y in zip(lines, labels) if y == k] + seeds.split())
-        counts[:, k] = np.bincount(grams, minlength=BUCKETS)
+    for k in range(len(LANGUAGES)):
+        own = [x for x, y in zip(lines, labels) if y == k]
+        if own:
+            counts[:, k] = np.bincount(_grams(own)[0], minlength=BUCKETS)
+    return counts
+
+
+def likelihoods(counts: np.ndarray, smoothing: float = 0.5) -> np.ndarray:
+    """Log likelihoods from summed counts, a row per bucket and a column per language."""
+    # the seed words themselves are the least that is known of a language
+    counts = counts + _counts([w for s in SEEDS.values() for w in s.split()], [k for k, s in enumerate(SEEDS.values()) for _ in s.split()])
     counts *= counts.sum() / len(LANGUAGES) / counts.sum(axis=0)  # equal weight
     counts += smoothing
     return np.log(counts / counts.sum(axis=0)).astype(np.float32)
 
 
-def fit(texts: list[str]) -> np.ndarray:
-    """Log likelihoods, a row per bucket and a column per language."""
+def seed_counts(texts: list[str | None]) -> np.ndarray:
+    """Counts of the lines whose function words tell their language."""
     lines = [x for t in texts for x in prose(t)]
-    return _likelihoods(lines, [seed_label(x) for x in lines])
+    return _counts(lines, [seed_label(x) for x in lines])
 
 
-def fit_pairs(pairs: list[tuple[str | None, str | None]], sure: float = 15.0) -> np.ndarray:
-    """Like :func:`fit`, but a text too short to tell its language also learns from its partner.
+def pair_counts(first: np.ndarray, pairs: list[tuple[str | None, str | None]], sure: float = 15.0) -> np.ndarray:
+    """Counts of a second round, in which a text too short to tell its language also learns from its partner.
 
-    Both texts of nearly all pairs are in one language. In a second round a text
-    that the first model cannot tell takes the label of the other text of its
-    pair, so that phrases like "go on" become known.
+    Both texts of nearly all pairs are in one language. A text that the first
+    model cannot tell takes the label of the other text of its pair, so that
+    phrases like "go on" become known.
     """
     flat = [t for pair in pairs for t in pair]
-    first = log_posteriors(fit([t for t in flat if t]), flat)
-    ranked = np.sort(first, axis=1)
-    lead, best = ranked[:, -1] - ranked[:, -2], first.argmax(axis=1)
+    ranked = log_posteriors(first, flat)
+    best = ranked.argmax(axis=1)
+    ranked = np.sort(ranked, axis=1)
+    lead = ranked[:, -1] - ranked[:, -2]
     lines, labels = [], []
     for i, t in enumerate(flat):
         other = i ^ 1
@@ -121,7 +130,17 @@ def fit_pairs(pairs: list[tuple[str | None, str | None]], sure: float = 15.0) ->
             x = prose(t)
             lines += x
             labels += [own] * len(x)
-    return _likelihoods(lines, labels)
+    return _counts(lines, labels)
+
+
+def fit(texts: list[str]) -> np.ndarray:
+    """Log likelihoods, a row per bucket and a column per language."""
+    return likelihoods(seed_counts(texts))
+
+
+def fit_pairs(pairs: list[tuple[str | None, str | None]]) -> np.ndarray:
+    """Like :func:`fit`, in two rounds."""
+    return likelihoods(pair_counts(fit([t for pair in pairs for t in pair if t]), pairs))
 
 
 def log_posteriors(model: np.ndarray, texts: list[str | None]) -> np.ndarray:

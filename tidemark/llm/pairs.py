@@ -15,7 +15,8 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +26,6 @@ from pyspark.sql import functions as F
 from tidemark.llm import langid
 from tidemark.runtime import cut
 
-#: Rows the language model is fitted on, the ones with the smallest hashed ids.
-LANGUAGE_SAMPLE = 6000
 #: Nats by which the best language must lead, in prompt and in response.
 MARGIN = 3.0
 #: A response that ends without punctuation is complete if its last words end so many sentences,
@@ -114,7 +113,7 @@ def is_empty(text: str | None) -> bool:
     """Null, nothing visible, mere punctuation, or a stand-in for missing text."""
     if not visible(text):
         return True
-    if len(text) > 40:
+    if sum(1 for _ in islice(filter(str.isalnum, text), 41)) > 40:
         return False
     core = "".join(ch if ch.isalnum() or ch in "/'" else " " for ch in text.casefold())
     return " ".join(core.split()) in STAND_INS
@@ -122,8 +121,6 @@ def is_empty(text: str | None) -> bool:
 
 def is_refusal(text: str) -> bool:
     """Whether every sentence declines, or goes with declining, and one declines."""
-    if len(text) > 1200:
-        return False
     declines = False
     for s in _SENTENCE.split(text.strip()):
         s = s.strip()
@@ -144,9 +141,13 @@ def _letters(text: str) -> str:
     return "".join(filter(str.isalnum, text.casefold()))
 
 
+def _last_letter(text: str) -> str:
+    return next((x[-1] for x in map(_letters, reversed(text)) if x), "")
+
+
 def is_copied(prompt: str, response: str) -> bool:
     """Whether a response is the prompt again, in another form or behind an introduction."""
-    if len(response) > 2 * len(prompt) + 2 * INTRODUCTION + 40 or 4 * len(response) < len(prompt):
+    if _last_letter(prompt) != _last_letter(response):
         return False
     a, b = _letters(prompt), _letters(response)
     if a == b:
@@ -297,6 +298,28 @@ def _classify(model: np.ndarray, prompts: list, responses: list, omitted: list)
             yield i, None, *end
 
 
+def language_model(rows: DataFrame) -> np.ndarray:
+    """The language model of all pairs, in two rounds of trigram counts summed over the rows."""
+
+    def summed(count: Callable[[list, list], np.ndarray]) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((langid.BUCKETS, len(langid.LANGUAGES)))
+            for batch in batches:
+                for k in range(0, batch.num_rows, 2000):
+                    total += count(*(c.to_pylist() for c in batch.slice(k, 2000).columns))
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel()[at])], names=["at", "n"])
+
+        parts = rows.select("user_prompt", "assistant_response").mapInArrow(run, "at bigint, n double").groupBy("at").agg(F.sum("n").alias("n"))
+        out = np.zeros(langid.BUCKETS * len(langid.LANGUAGES))
+        for at, n in parts.collect():  # at most a row per bucket and language
+            out[at] = n
+        return out.reshape(langid.BUCKETS, -1)
+
+    first = rows.sparkSession.sparkContext.broadcast(langid.likelihoods(summed(lambda u, a: langid.seed_counts([*u, *a]))))
+    return langid.likelihoods(summed(lambda u, a: langid.pair_counts(first.value, list(zip(u, a)))))
+
+
 def find_defects(turns: DataFrame) -> DataFrame:
     """``memory_id, defect`` of the pairs whose response does not serve the prompt.
 
@@ -308,11 +331,7 @@ def find_defects(turns: DataFrame) -> DataFrame:
     """
     spark = turns.sparkSession
     rows = turns.where("memory_id is not null").select("memory_id", "user_prompt", "assistant_response", F.coalesce("omitted_before_chars", F.lit(0)).cast("bigint").alias("omitted"))
-    n = rows.count()
-    part = 4.0 * LANGUAGE_SAMPLE / max(n, 1)
-    h = F.pmod(F.xxhash64("memory_id", F.lit(3)), F.lit(1 << 30))
-    sample = rows.where(h <= F.lit(int(min(1.0, part) * (1 << 30)))).orderBy(h, "memory_id").limit(LANGUAGE_SAMPLE).select("user_prompt", "assistant_response").collect()
-    model = spark.sparkContext.broadcast(langid.fit_pairs([(r[0], r[1]) for r in sample]))
+    model = spark.sparkContext.broadcast(language_model(rows))
     schema = "memory_id bigint, defect string, five string, three string, n bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
