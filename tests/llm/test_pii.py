@@ -106,3 +106,35 @@ def test_names_beyond_the_lexicon_that_is_broadcast(spark, monkeypatch, most):
     assert got == sorted([(20, "zora quillton"), (20, "Varnhalt, Ilka-Mae"), (20, "Bero Sandelton-Varnhalt")] * 2 + [(21, "Edo Newbelton")])
     redacted = pii.redact_all(df).collect()
     assert len(redacted) == len(rows) and ("[NAME]", 1) in {(r.user_prompt, r.replaced) for r in redacted} and sum(r.replaced for r in redacted) == 8 + 6 + 1 + 1
+
+
+@pytest.mark.parametrize("text,value", [
+    ("my name is J\u043ehn Smith here", "J\u043ehn Smith"), ("my name is J\u200bohn Smith here", "J\u200bohn Smith"), ("so \u0435dda vint\u043evsen said", "\u0435dda vint\u043evsen"), ("so Edda Vint\u00adovsen said", "Edda Vint\u00adovsen")])
+def test_disguised_names(text, value):
+    assert kinds(text) == [("name", value)]
+
+
+def test_account_numbers_are_no_phone_numbers():
+    assert kinds("pay to DE44 0044 0532 0130 0012 34 today") == [] and kinds("pay to DE44004405320130001234 today") == []
+    assert kinds("pay DE44 0044 0532 0130 0012 34 or call (457) 555-0191") == [("phone", "(457) 555-0191")]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["a@b.example", "x (at) y dot test", "jo at host dot example", "929-86-0000", "Edda Vintovsen", "V\u0456ntovsen, Edda", "f\u0456ve five", "five two", "zero", "48 Quarry Str\u0435et", "Kranichweg 106b", "my name is", "Zora Quill",
+                                 "\u200b", "\n", "\u201c", "+49 30 23125 727", "12 rue des Lilas", "reported it", "de", "DE44 0044 0532 0130 0012 34", "."]), max_size=10))
+def test_gates_change_nothing(parts):
+    text = " ".join(parts)
+    assert pii.find(text, NAMES) == pii.find(text, NAMES, gated=False)
+
+
+def test_contexts_are_learned(spark):
+    people = [f"{g} {f}ton" for g in ("Zora", "Edo", "Ilka", "Bero") for f in ("Quill", "Marbel", "Varn")]
+    rows = [(i, f"My name is {n}, hello", None) for i, n in enumerate(people * 2)]
+    rows += [(100 + i, f"then please ask for {n} when it fails", None) for i, n in enumerate(people)]
+    rows += [(200, "then please ask for Ursel Humbrecht when it fails", None), (201, "then see Load Balancer Ursel Humbrecht", "ask for it")]
+    rows += [(300 + i, "so my name is Row Counter and the row is a row in this row of the row", None) for i in range(3)]
+    df = spark.createDataFrame(rows, "memory_id bigint, user_prompt string, assistant_response string")
+    lexicon, cues = pii.introduced_words(df)
+    assert "ask for " in cues.learned and ("g", "row") not in {tuple(r) for r in lexicon.collect()}
+    got = {(r.memory_id, r.pii_text) for r in pii.find_all(df).collect() if r.memory_id in (200, 201)}
+    assert got == {(200, "Ursel Humbrecht")}

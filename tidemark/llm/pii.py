@@ -6,10 +6,12 @@ and keeps, for each character of the result, the source characters it came from.
 Identifiers are detected in the rewritten text and their spans mapped back, so
 what is reported is the exact source substring and everything else stays as it is.
 
-Names have no form of their own. Phrases that introduce a person ("my name is
-…", "signed-off by: …", in four languages) give names directly; the given and
-family names they introduce anywhere in the corpus form a lexicon by which the
-same people, and new combinations, are found without such a phrase.
+Names have no form of their own. A few seed phrases ("my name is …", in four
+languages) introduce people; the given and family names they introduce anywhere
+in the corpus form a lexicon. The words that stand before names of the lexicon
+are counted over the whole corpus, and those n-grams after which such names
+mostly stand become introductions themselves, whose names join the lexicon. By
+it the same people, and new combinations, are found without any introduction.
 """
 
 from __future__ import annotations
@@ -24,12 +26,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.langid import SEEDS
 from tidemark.runtime import cut
 
 FIELDS = ("user_prompt", "assistant_response")
 PLACEHOLDERS = {"name": "[NAME]", "email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]"}
 #: Introductions that make a word part of the lexicon.
 SEEN = 2
+#: Known names that must stand after a context for it to be learned: this many, and this share of all known names seen
+#: (so that there are 1,000 contexts at most); and the least share of names in all that stands there in the form of a name.
+CONTEXT_SEEN, CONTEXT_SHARE, CONTEXT_NAMES = 5, 1e-3, 0.4
+#: Least share of a given name's occurrences that begin with a capital.
+CAPITAL = 0.3
 #: Most words of a lexicon that is broadcast, about 20 MB; the words of a larger one are joined to the texts that hold them.
 LEXICON = 200_000
 
@@ -132,8 +140,13 @@ def _plain(ch: str) -> str | None:
     return plain if len(plain) == 1 and plain.isascii() else None
 
 
-def rewrite(text: str, words: frozenset[bytes] | None = None) -> Rewritten:
-    """Undo disguises; most texts come back unchanged and without a map."""
+def _may(keys: frozenset[bytes], words: frozenset[bytes] | None) -> bool:
+    """Whether one of the keys may be among the words of a text; without words, anything may."""
+    return words is None or not keys.isdisjoint(words)
+
+
+def rewrite(text: str, words: frozenset[bytes] | None = None, gated: bool = True) -> Rewritten:
+    """Undo disguises; most texts come back unchanged and without a map. ``gated`` looks only for what the words allow, with the same result."""
     r = Rewritten(text, None)
     if not text.isascii():
         edits = [(m.start(), m.end(), new) for m in _ODD.finditer(text) if (new := _plain(m.group())) is not None]
@@ -142,13 +155,13 @@ def rewrite(text: str, words: frozenset[bytes] | None = None) -> Rewritten:
         if edits:
             r = r.replace(edits)
     # a disguise may hide a word, so what the text can hold is seen in the rewritten one
-    words = words_of(r.text) if words is None or r.ranges is not None else words
-    digits = _DIGIT_BYTES & words
-    if len(digits) >= 2 or digits and sum(w in digits for w in _split(r.text)) >= 2:
+    words = None if not gated else words_of(r.text) if words is None or r.ranges is not None else words
+    digits = _DIGIT_BYTES if words is None else _DIGIT_BYTES & words
+    if words is None or len(digits) >= 2 or digits and sum(w in digits for w in _split(r.text)) >= 2:
         edits = [(m.start(), m.end(), "".join(_DIGIT_OF[w.lower()] for w in re.split(r"[ \-,.]+", m.group()))) for m in _SPELLED.finditer(r.text)]
         if edits:
             r = r.replace(edits)
-    if not _AT_BYTES.isdisjoint(words) or b"at" in words and not _DOT_BYTES.isdisjoint(words) or (b"at" in words or "@" in r.text) and _AT_MARK.search(r.text):
+    if _may(_AT_BYTES, words) or b"at" in words and not _DOT_BYTES.isdisjoint(words) or (b"at" in words or "@" in r.text) and _AT_MARK.search(r.text):
         edits = [(m.start(), m.end(), "@") for m in _AT.finditer(r.text)]
         if edits:
             r = r.replace(edits)
@@ -184,6 +197,7 @@ _PHONE = re.compile("|".join(f"(?P<k{i}>(?<![\\w./#@+-])(?<!\\d:)(?:{p.replace(c
 #: Where one of these may stand: eight or more digits with their separators, or nine capitals and digits.
 _NUMBERS = (re.compile(r"\d[\d ./()-]{6,}\d"), re.compile(r"[A-Z]-?(?=\w*\d)[A-Z0-9]{7}-?[A-Z0-9](?!\w)"))
 _SAID = re.compile(r"(?<!\w)\+?\d{9,13}(?!\w)")
+_ACCOUNT = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
 _DATE = re.compile(r"\d{4}-\d\d-\d\d(?![\d-])")
 
 _CAP = r"[A-ZÀ-Ý][\wÀ-ÿ'’]*"
@@ -221,40 +235,58 @@ _T, _U = r"[A-ZÀ-Ý][a-zà-ÿ'’]+", r"[A-ZÀ-Ý'’]{2,}"
 _NAME = "|".join(
     rf"(?P<g{i}>{w}(?:-{w})?)(?: [A-ZÀ-Ý]\.){{0,2}} (?P<f{i}>(?:{p}){{0,2}}{w}(?:-{w})?)(?![\w-])|(?P<f{i + 1}>(?:{p}){{0,2}}{w}(?:-{w})?), (?P<g{i + 1}>{w}(?:-{w})?)(?: [A-ZÀ-Ý]\.)*(?![\w-])"
     for i, w, p in ((0, _T, _PARTICLE), (2, _U, f"(?:{_PARTICLE}|(?:VON|VAN|DE|DEL|DER|DI|DA|LA) )")))
-#: Phrases that introduce a person; a name follows.
+#: Seed phrases that introduce a person; a name follows.
 BEFORE = (
-    "my name is ", "i am called ", "talked to ", "spoke with ", "spoke to ", "loop in ", "signed-off by: ", "signed-off-by: ", "reviewed by ", "reviewed-by: ", "co-authored-by: ", "reviewer=", "reviewer: ",
-    "assignee: ", "assignee=", "assignee in the fixture is \"", "author: ", "author=", "regards,\n", "thanks!\n", "thanks,\n", "best,\n", "cheers,\n",
-    "mein name ist ", "ich heiße ", "gesprochen mit ", "stimm das vorher mit ", "bearbeiter: ", "bearbeiter=", "grüße\n", "grüßen\n", "gruß\n", "kontakt: ", "kontakt=", "zuständig: ",
+    "my name is ", "i am called ", "talked to ", "spoke with ", "spoke to ", "signed-off by: ", "signed-off-by: ", "reviewed by ", "reviewed-by: ", "co-authored-by: ",
+    "reviewer=", "reviewer: ", "assignee: ", "assignee=", "author: ", "author=", "contact: ", "regards,\n", "thanks!\n", "thanks,\n", "best,\n", "cheers,\n",
+    "mein name ist ", "ich heiße ", "gesprochen mit ", "bearbeiter: ", "bearbeiter=", "grüße\n", "grüßen\n", "gruß\n", "kontakt: ", "kontakt=", "zuständig: ",
     "je m'appelle ", "je m’appelle ", "prévenir ", "responsable : ", "responsable: ", "responsable=", "cordialement,\n", "cordialement\n", "merci,\n", "merci !\n",
     "me llamo ", "mi nombre es ", "avisa a ", "hablé con ", "contacto: ", "contacto=", "saludos,\n", "gracias,\n", "¡gracias!\n",
 )
 #: What follows a person who did something.
-AFTER = (" reported it", " wrote in", " from support", " hat den Fehler gemeldet", " hat gemeldet", " a signalé", " informó del", " avisó de")
+AFTER = (" reported it", " wrote in", " hat den Fehler gemeldet", " hat gemeldet", " a signalé", " informó del", " avisó de")
 _AFTER_NAME = re.compile(rf"(?:{_NAME})(?=(?:{'|'.join(map(re.escape, AFTER))})\b)")
 _NAME_AT = re.compile(_NAME)
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
-_CUES = [(cue, max(words_of(cue), key=len)) for cue in BEFORE]
 _AFTER_WORDS = frozenset(max(words_of(x), key=len) for x in AFTER)
-#: Capitalised words that begin sentences and are no given names.
-_NO_NAMES = frozenset("the a an as in on at if this that these those please could can would should is are was were why how what when where who next line row row14 here there it we you they he she my your their our reviewed bump rename compare draft write nothing both unfortunately with reverting something after der die das den dem ein eine wie warum bitte als von la le les un une el los las por si no yes oui sí ja call contact on-call geocoding ship send passport".split())
-
-
-def _introduced(text: str, words: frozenset[bytes]) -> Iterator[re.Match]:
-    """Names after or before an introduction."""
-    cues = [cue for cue, word in _CUES if word in words]
-    if cues:
-        lower = text.lower()
-        if len(lower) != len(text):
-            lower = text
-        for cue in cues:
-            at = lower.find(cue)
-            while at >= 0:
-                if not (at and cue[0].isalpha() and lower[at - 1].isalnum()) and (m := _NAME_AT.match(text, at + len(cue))):
-                    yield m
-                at = lower.find(cue, at + len(cue))
-    if not _AFTER_WORDS.isdisjoint(words) and any(x in text for x in AFTER):
-        yield from _AFTER_NAME.finditer(text)
+#: Function words begin sentences and are no given names.
+_NO_NAMES = frozenset(w for words in SEEDS.values() for w in words.split())
+#: What stands before a name: the rest of its own token, and one token more.
+_LEFT = re.compile(r"(?<!\S)(?:\S{1,24}[^\S\n]+)?\S{0,24}\s*\Z")
+_LEFT_SIZE = 52
+
+
+class Cues:
+    """Introductions: the seed phrases and contexts learned."""
+
+    def __init__(self, learned: Iterable[str] = ()):
+        self.learned = frozenset(learned)
+        self.by_word: dict[bytes, list[str]] = {}
+        for cue in {*BEFORE, *self.learned}:
+            self.by_word.setdefault(max(words_of(cue), key=lambda w: (len(w), w)), []).append(cue)
+
+    def names(self, text: str, words: frozenset[bytes] | None) -> Iterator[tuple[str, re.Match]]:
+        """Each introduction (empty for what follows a name) and the name."""
+        shown = self.by_word.keys() if words is None else self.by_word.keys() & words
+        if shown:
+            lower = text.lower()
+            if len(lower) != len(text):
+                lower = "".join(c if len(x := c.lower()) != 1 else x for c in text)
+            for cue in sorted(c for w in shown for c in self.by_word[w]):
+                at = lower.find(cue)
+                while at >= 0:
+                    if not (at and cue[0].isalnum() and lower[at - 1].isalnum()) and (m := _NAME_AT.match(text, at + len(cue))):
+                        yield cue, m
+                    at = lower.find(cue, at + len(cue))
+        if _may(_AFTER_WORDS, words) and any(x in text for x in AFTER):
+            for m in _AFTER_NAME.finditer(text):
+                yield "", m
+
+
+def left_context(text: str, at: int) -> str:
+    """The context n-gram before a position."""
+    m = _LEFT.search(text, max(0, at - _LEFT_SIZE), at)
+    return m.group().lower() if m else ""
 
 
 def _parts(m: re.Match) -> tuple[list[str], list[str]]:
@@ -265,10 +297,11 @@ def _parts(m: re.Match) -> tuple[list[str], list[str]]:
 
 
 class Names:
-    """Given and family names, and how family names end."""
+    """Given and family names, how family names end, and what introduces people."""
 
-    def __init__(self, given: Iterable[str], family: Iterable[str], ends: frozenset[str] | None = None):
+    def __init__(self, given: Iterable[str], family: Iterable[str], ends: frozenset[str] | None = None, cues: Cues | None = None):
         self.given, self.family = frozenset(given) - _NO_NAMES, frozenset(family)
+        self.cues = cues or Cues()
         # of a hyphenated name the last part shows in a text's words
         self.shown = frozenset(max(words_of(w), key=len) for w in self.given if words_of(w))
         if ends is None:
@@ -279,11 +312,16 @@ class Names:
         parts = [w for w in word.casefold().split("-") if w]
         return bool(parts) and all(w in self.family or len(w) >= 6 and w[-4:] in self.ends for w in parts)
 
-    def find(self, text: str, present: frozenset[bytes]) -> Iterator[tuple[int, int]]:
-        for m in _introduced(text, present):
+    def knows(self, m: re.Match) -> bool:
+        """Whether given and family name of a match are in the lexicon."""
+        g, f = _parts(m)
+        return g[0] in self.given and bool(f) and all(w in self.family for w in f)
+
+    def find(self, text: str, present: frozenset[bytes] | None) -> Iterator[tuple[int, int]]:
+        for _, m in self.cues.names(text, present):
             if _parts(m)[0][0] not in _NO_NAMES:
                 yield m.start(), m.end()
-        if self.shown.isdisjoint(present):
+        if not _may(self.shown, present):
             return
         words = list(_WORD.finditer(text))
         for i, w in enumerate(words):
@@ -319,20 +357,23 @@ def _same_case(a: str, b: str) -> bool:
 NOBODY = Names((), ())
 
 
-def find(text: str | None, names: Names = NOBODY) -> list[Found]:
-    """Personal information of a text in order, as source spans that do not overlap."""
+def find(text: str | None, names: Names = NOBODY, gated: bool = True) -> list[Found]:
+    """Personal information of a text in order, as source spans that do not overlap.
+
+    Everything is looked for in the rewritten text. ``gated`` skips what its
+    words rule out, which changes nothing in the result.
+    """
     if not text:
         return []
-    words = words_of(text)
-    r = rewrite(text, words)
+    words = words_of(text) if gated else None
+    r = rewrite(text, words, gated)
     t = r.text
-    shown = words if r.ranges is None else words_of(t)
+    shown = words if r.ranges is None or not gated else words_of(t)
     found: list[Found] = []
     taken: list[tuple[int, int]] = []
 
-    def take(kind: str, begin: int, end: int, mapped: bool = True) -> None:
-        if mapped:
-            begin, end = r.source(begin, end)
+    def take(kind: str, begin: int, end: int) -> None:
+        begin, end = r.source(begin, end)
         if all(end <= b or e <= begin for b, e in taken):
             taken.append((begin, end))
             found.append(Found(kind, begin, end))
@@ -342,11 +383,14 @@ def find(text: str | None, names: Names = NOBODY) -> list[Found]:
             take("email", m.start(), m.end())
     if any(ch in t for ch in "0123456789"):
         for keys, gate, rx in _ADDRESSES:
-            if (any(w.endswith(keys) for w in shown) if isinstance(keys, tuple) else not keys.isdisjoint(shown)) and gate.search(t):
+            if (shown is None or any(w.endswith(keys) for w in shown) if isinstance(keys, tuple) else _may(keys, shown)) and gate.search(t):
                 for m in rx.finditer(t):
                     take("address", m.start(), m.end())
         # of a run that begins with a date, the date is passed over
         near = [(d.end() if (d := _DATE.match(t, m.start())) else max(0, m.start() - 8), m.end()) for rx in _NUMBERS for m in rx.finditer(t)]
+        # a bank account number is none of the kinds, nor is a part of it
+        if (accounts := [m.span() for m in _ACCOUNT.finditer(t)]) and near:
+            near = [(b, e) for b, e in near if not any(x < e and b < y for x, y in accounts)]
         for kind, rx in (("id_number", _ID), ("phone", _PHONE)):
             for begin, end in near:
                 for m in rx.finditer(t, begin, end + 60):
@@ -357,8 +401,8 @@ def find(text: str | None, names: Names = NOBODY) -> list[Found]:
             begin, end = r.source(m.start(), m.end())
             if any(map(str.isalpha, text[begin:end])):  # said in words, so without the separators that tell a number's kind
                 take("phone", m.start(), m.end())
-    for begin, end in names.find(text, words):
-        take("name", begin, end, False)
+    for begin, end in names.find(t, shown):
+        take("name", begin, end)
     return sorted(found, key=lambda x: x.begin)
 
 
@@ -375,31 +419,96 @@ def redact(text: str | None, found: list[Found]) -> str | None:
 
 # --- on tables -------------------------------------------------------------------------------------------------------
 
-def introduced_words(turns: DataFrame) -> DataFrame:
-    """``part, word``: given (g) and family (f) names introduced often enough in either field of any row."""
+def _each_text(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, frozenset[bytes]]]:
+    """Every text of a batch, rewritten, with its words."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, 1000):
+            for column in batch.slice(k, 1000).columns:
+                for t in column.to_pylist():
+                    if t:
+                        words = words_of(t)
+                        r = rewrite(t, words)
+                        yield r.text, words if r.ranges is None else words_of(r.text)
+
+
+def _summed(turns: DataFrame, count: Callable[[str, frozenset[bytes], Counter], None]) -> DataFrame:
+    """``kind, key, n``: what ``count`` counts in the texts of all rows, in partial sums first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
 
         def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array([k for k, _ in seen], pa.string()), pa.array([w for _, w in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], names=["part", "word", "n"])
+            out = pa.RecordBatch.from_arrays([pa.array([k for k, _ in seen], pa.string()), pa.array([w for _, w in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], names=["kind", "key", "n"])
             seen.clear()
             return out
 
-        for batch in batches:
-            for column in batch.columns:
-                for t in column.to_pylist():
-                    if t:
-                        for m in _introduced(t, words_of(t)):
-                            g, f = _parts(m)
-                            if g[0] not in _NO_NAMES:
-                                seen.update([("g", g[0]), *(("f", w) for w in f)])
+        for t, words in _each_text(batches):
+            count(t, words, seen)
             if len(seen) > 200_000:
                 yield flush()
         yield flush()
 
-    counts = turns.select(*FIELDS).mapInArrow(run, "part string, word string, n bigint").groupBy("part", "word").agg(F.sum("n").alias("n"))
-    return cut(counts.where(F.col("n") >= SEEN).select("part", "word"), "lexicon")
+    return turns.select(*FIELDS).mapInArrow(run, "kind string, key string, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+
+
+def _named(m: re.Match) -> list[tuple[str, str]]:
+    g, f = _parts(m)
+    return [] if g[0] in _NO_NAMES else [("g", g[0]), *(("f", w) for w in f)]
+
+
+def introduced_words(turns: DataFrame) -> tuple[DataFrame, Cues]:
+    """``part, word``, the given (g) and family (f) names introduced often enough in either field of any row, and the introductions.
+
+    Three counts over all rows: the words after seed phrases; the contexts before
+    names made of these words; and, for the contexts that recur, how often any
+    name stands there, and the words of these names. The lexicon that finds
+    contexts is broadcast up to ``LEXICON`` words; beyond, contexts are counted
+    with the words introduced most often.
+    """
+    sc, cues = turns.sparkSession.sparkContext, Cues()
+
+    def seeds(t: str, words: frozenset[bytes], seen: Counter) -> None:
+        for _, m in cues.names(t, words):
+            seen.update(_named(m))
+
+    first = cut(_summed(turns, seeds).where(F.col("n") >= SEEN), "seed-words")
+    rows = first.orderBy(F.desc("n"), "kind", "key").limit(LEXICON).collect()
+    known = sc.broadcast(Names((r["key"] for r in rows if r["kind"] == "g"), (r["key"] for r in rows if r["kind"] == "f")))
+
+    def contexts(t: str, words: frozenset[bytes], seen: Counter) -> None:
+        names = known.value
+        if names.shown.isdisjoint(words):
+            return
+        for m in _NAME_AT.finditer(t):
+            if names.knows(m) and words_of(c := left_context(t, m.start())):
+                seen[("c", c)] += 1
+
+    counted = cut(_summed(turns, contexts), "contexts")
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    often = {r["key"]: r["n"] for r in counted.where(F.col("n") >= max(CONTEXT_SEEN, CONTEXT_SHARE * total)).collect()}
+    tried = sc.broadcast(Cues(often))
+
+    def after(t: str, words: frozenset[bytes], seen: Counter) -> None:
+        names = known.value
+        for cue, m in tried.value.names(t, words):
+            parts = _named(m)
+            seen.update((f"{k}{cue}", w) for k, w in parts)
+            seen[("all", cue)] += 1
+        if not names.shown.isdisjoint(words):
+            for w in _WORD.findall(t):
+                if (low := w.casefold()) in names.given:
+                    seen[("lower" if w[0].islower() else "upper", low)] += 1
+
+    third = cut(_summed(turns, after), "introductions")
+    all_ = {r["key"]: r["n"] for r in third.where("kind = 'all'").collect()}  # a row per introduction
+    learned = [c for c, n in often.items() if n >= CONTEXT_NAMES * all_.get(c, n)]
+    ways = turns.sparkSession.createDataFrame([(k + c,) for c in {*BEFORE, *learned, ""} for k in "gf"], "kind string")
+    # a word that mostly stands in small letters is none
+    case = third.where("kind in ('lower', 'upper')").groupBy("key").pivot("kind", ["lower", "upper"]).agg(F.sum("n"))
+    common = case.where(F.coalesce("upper", F.lit(0)) < CAPITAL * (F.coalesce("upper", F.lit(0)) + F.coalesce("lower", F.lit(0)))).select(F.lit("g").alias("part"), F.col("key").alias("word"))
+    words = (third.where("kind not in ('all', 'lower', 'upper')").join(F.broadcast(ways), "kind").groupBy(F.substring("kind", 1, 1).alias("part"), F.col("key").alias("word")).agg(F.sum("n").alias("n"))
+             .where(F.col("n") >= SEEN).select("part", "word").join(common, ["part", "word"], "left_anti"))
+    return cut(words, "lexicon"), Cues(learned)
 
 
 def _texts_and_names(turns: DataFrame) -> tuple[DataFrame, Callable[[pa.RecordBatch], list[Names]]]:
@@ -410,11 +519,11 @@ def _texts_and_names(turns: DataFrame) -> tuple[DataFrame, Callable[[pa.RecordBa
     how family names end is counted over the whole lexicon either way.
     """
     spark = turns.sparkSession
-    lexicon = introduced_words(turns)
+    lexicon, cues = introduced_words(turns)
     texts = turns.select("memory_id", *FIELDS)
     rows = lexicon.limit(LEXICON + 1).collect()
     if len(rows) <= LEXICON:
-        names = spark.sparkContext.broadcast(Names((r["word"] for r in rows if r["part"] == "g"), (r["word"] for r in rows if r["part"] == "f")))
+        names = spark.sparkContext.broadcast(Names((r["word"] for r in rows if r["part"] == "g"), (r["word"] for r in rows if r["part"] == "f"), cues=cues))
         return texts, lambda batch: [names.value] * batch.num_rows
     del rows
     # four letters, so few even of a large lexicon
@@ -427,7 +536,7 @@ def _texts_and_names(turns: DataFrame) -> tuple[DataFrame, Callable[[pa.RecordBa
                 part = batch.slice(k, 1000)
                 keys, held = [], []
                 for key, *both in zip(*(c.to_pylist() for c in part.columns)):
-                    own = {w.group().casefold() for t in both if t for w in _WORD.finditer(t)}
+                    own = {w.group().casefold() for t in both if t for w in _WORD.finditer(rewrite(t).text)}
                     own |= {x for w in own if "-" in w for x in w.split("-")}
                     keys += [key] * len(own)
                     held += own
@@ -437,7 +546,7 @@ def _texts_and_names(turns: DataFrame) -> tuple[DataFrame, Callable[[pa.RecordBa
     held = keyed.select("key", *FIELDS).mapInArrow(words, "key string, word string").join(lexicon, "word").groupBy("key").agg(F.collect_set(F.struct("part", "word")).alias("known"))
 
     def of(batch: pa.RecordBatch) -> list[Names]:
-        return [Names([x["word"] for x in known or () if x["part"] == "g"], [x["word"] for x in known or () if x["part"] == "f"], shared.value) for known in batch.column(3).to_pylist()]
+        return [Names([x["word"] for x in known or () if x["part"] == "g"], [x["word"] for x in known or () if x["part"] == "f"], shared.value, cues) for known in batch.column(3).to_pylist()]
 
     return keyed.join(held, "key", "left").select("memory_id", *FIELDS, "known"), of
 
