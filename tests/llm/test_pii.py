@@ -134,7 +134,7 @@ def test_contexts_are_learned(spark):
     rows += [(200, "then please ask for Ursel Humbrecht when it fails", None), (201, "then see Load Balancer Ursel Humbrecht", "ask for it")]
     rows += [(300 + i, "so my name is Row Counter and the row is a row in this row of the row", None) for i in range(3)]
     df = spark.createDataFrame(rows, "memory_id bigint, user_prompt string, assistant_response string")
-    lexicon, cues = pii.introduced_words(df)
-    assert "ask for " in cues.learned and ("g", "row") not in {tuple(r) for r in lexicon.collect()}
+    lexicon, learned = pii.introduced_words(df)
+    assert "ask for " in learned and ("g", "row") not in {tuple(r) for r in lexicon.collect()}
     got = {(r.memory_id, r.pii_text) for r in pii.find_all(df).collect() if r.memory_id in (200, 201)}
     assert got == {(200, "Ursel Humbrecht")}

@@ -145,15 +145,19 @@ def _may(keys: frozenset[bytes], words: frozenset[bytes] | None) -> bool:
     return words is None or not keys.isdisjoint(words)
 
 
+def plain_characters(text: str) -> Rewritten:
+    """The first transducer: characters that stand for others."""
+    if text.isascii():
+        return Rewritten(text, None)
+    edits = [(m.start(), m.end(), new) for m in _ODD.finditer(text) if (new := _plain(m.group())) is not None]
+    # letters of another script count as disguised only in words that are Latin otherwise
+    edits = [e for e in edits if text[e[0]] not in LOOK_ALIKES or any("a" <= c.lower() <= "z" or c in "@." for c in text[max(0, e[0] - 1):e[0] + 2])]
+    return Rewritten(text, None).replace(edits) if edits else Rewritten(text, None)
+
+
 def rewrite(text: str, words: frozenset[bytes] | None = None, gated: bool = True) -> Rewritten:
     """Undo disguises; most texts come back unchanged and without a map. ``gated`` looks only for what the words allow, with the same result."""
-    r = Rewritten(text, None)
-    if not text.isascii():
-        edits = [(m.start(), m.end(), new) for m in _ODD.finditer(text) if (new := _plain(m.group())) is not None]
-        # letters of another script count as disguised only in words that are Latin otherwise
-        edits = [e for e in edits if text[e[0]] not in LOOK_ALIKES or any("a" <= c.lower() <= "z" or c in "@." for c in text[max(0, e[0] - 1):e[0] + 2])]
-        if edits:
-            r = r.replace(edits)
+    r = plain_characters(text)
     # a disguise may hide a word, so what the text can hold is seen in the rewritten one
     words = None if not gated else words_of(r.text) if words is None or r.ranges is not None else words
     digits = _DIGIT_BYTES if words is None else _DIGIT_BYTES & words
@@ -216,15 +220,18 @@ def _bytes(words: str) -> frozenset[bytes]:
     return frozenset(w.casefold().encode() for w in words.split())
 
 
-#: For each language: words (or, as a tuple, endings of words) without which there is no address, what must stand around a number, and the form.
+_BEFORE_NO = re.compile(r"[a-zß.] \d")
+#: How German streets end, by themselves or as the end of a longer word.
+_DE_ENDS = tuple(x for w in "weg straße strasse str. platz gasse allee kamp stieg steig ufer damm ring hof graben markt wall chaussee pfad park".split() for x in (w, w.capitalize()))
+#: For each language: words without which there is no address, what must stand around a number, and the form.
 _ADDRESSES = [
-    (_bytes("street st road rd lane ln avenue ave drive dr court ct terrace place square way boulevard blvd close crescent parkway row walk hill grove gardens"), re.compile(r"\d[a-zA-Z]? [A-ZÀ-Ý]"),
+    (_bytes("street st road rd lane ln avenue ave drive dr court ct terrace place square way boulevard blvd close crescent parkway row walk hill grove gardens"), re.compile(r"\d[a-zA-Z]? [A-ZÀ-Ý]").search,
      re.compile(rf"(?<![\w./:-]){_NO} (?:{_CAP} ){{1,3}}{_EN_TYPE}(?!\w){_UNIT}{_ZIP_TOWN}")),
-    (tuple(_bytes("weg straße strasse str platz gasse allee kamp stieg steig ufer damm ring hof graben markt wall chaussee pfad park")), re.compile(rf"(?:{_DE_TYPE}|Weg|Stra(?:ß|ss)e|Str\.|Platz|Gasse|Allee|Ring|Ufer|Damm) \d"),
+    (None, lambda t: any(t[max(0, m.start() - 8):m.start() + 1].endswith(_DE_ENDS) for m in _BEFORE_NO.finditer(t)),
      re.compile(rf"(?<![\w./:-])(?:{_CAP}{_DE_TYPE}|(?:{_CAP}[ -]){{1,2}}(?:Weg|Stra(?:ß|ss)e|Str\.|Platz|Gasse|Allee|Ring|Ufer|Damm)) {_NO}(?![\w/.:-]\w){_UNIT}{_ZIP_TOWN}")),
-    (_bytes("calle c avenida avda av paseo plaza pl p camino ronda travesía carretera cuesta glorieta"), re.compile(rf"{_ES_TYPE} "),
+    (_bytes("calle c avenida avda av paseo plaza pl p camino ronda travesía carretera cuesta glorieta"), re.compile(rf"{_ES_TYPE} ").search,
      re.compile(rf"(?<!\w){_ES_TYPE} (?:{_LINK}|{_CAP} ){{0,4}}{_CAP},? (?:(?:nº|n\.º|núm\.?|número|no\.) ?)?{_NO}(?![\w/.:-]\w){_UNIT}{_ZIP_TOWN}")),
-    (_bytes("rue avenue av place boulevard bd chemin impasse allée quai cours route square passage sentier"), re.compile(rf"\d(?: ?[a-zA-Z])?(?: bis| ter)?,? {_FR_TYPE} "),
+    (_bytes("rue avenue av place boulevard bd chemin impasse allée quai cours route square passage sentier"), re.compile(rf"\d(?: ?[a-zA-Z])?(?: bis| ter)?,? {_FR_TYPE} ").search,
      re.compile(rf"(?<![\w./:-]){_NO}(?: (?:bis|ter))?,? {_FR_TYPE} {_LINK}?{_CAP}(?:[ -](?:{_LINK})?(?!{_STARTS}){_CAP}){{0,3}}{_UNIT}{_ZIP_TOWN}")),
 ]
 
@@ -245,48 +252,53 @@ BEFORE = (
 )
 #: What follows a person who did something.
 AFTER = (" reported it", " wrote in", " hat den Fehler gemeldet", " hat gemeldet", " a signalé", " informó del", " avisó de")
-_AFTER_NAME = re.compile(rf"(?:{_NAME})(?=(?:{'|'.join(map(re.escape, AFTER))})\b)")
 _NAME_AT = re.compile(_NAME)
+#: Where a name may begin: a capitalised word before another, or before particles; those before a family name that comes first.
+_PAIR = re.compile(r"[A-ZÀ-Ý][\w'’-]+(?: [A-ZÀ-Ý]\.){0,2},? (?=[A-ZÀ-Ý]|(?:von|van|de|del|della|der|den|di|da|dos|la|le|zu|ter|ten) |d['’])")
+_LED = re.compile(rf"(?:{_PARTICLE}){{1,2}}\Z", re.I)
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
-_AFTER_WORDS = frozenset(max(words_of(x), key=len) for x in AFTER)
-#: Function words begin sentences and are no given names.
-_NO_NAMES = frozenset(w for words in SEEDS.values() for w in words.split())
+#: Words of closed classes beside the seed words of the languages; they begin sentences and are no names.
+_CLOSED = (
+    "a about all also an any as at both by each either every he her here his i if in its let me my neither no nor nothing off once one or other our out over please she since so some such there these they those though through under until up us very we while whose within yes yet you your "
+    "alle allem am an ans beim bitte da dann dem des deren dessen diese dieser dieses du er es euch ihr im in ins ja jede jeder kein keine man mein mich mir nein ob sehr sein seine seit so uns unser vom weil wer wo "
+    "à ainsi alors après car chaque chez comme donc dont eux ici ils je là leur lorsque lui ma me même mon ni non notre nos on oui puis quand quel quelle quoi sa se si son ta te tes ton tu votre vos y "
+    "a ahora algo ante aquí así aunque cada cual desde donde e él ella ellos entre eso ese hasta hay le les mi mis nada ni nos o otra otro porque quien si sí sino sus tan tanto te tu tus unas unos yo"
+)
+_NO_NAMES = frozenset(w for words in (*SEEDS.values(), _CLOSED) for w in words.split())
 #: What stands before a name: the rest of its own token, and one token more.
 _LEFT = re.compile(r"(?<!\S)(?:\S{1,24}[^\S\n]+)?\S{0,24}\s*\Z")
-_LEFT_SIZE = 52
-
-
-class Cues:
-    """Introductions: the seed phrases and contexts learned."""
-
-    def __init__(self, learned: Iterable[str] = ()):
-        self.learned = frozenset(learned)
-        self.by_word: dict[bytes, list[str]] = {}
-        for cue in {*BEFORE, *self.learned}:
-            self.by_word.setdefault(max(words_of(cue), key=lambda w: (len(w), w)), []).append(cue)
-
-    def names(self, text: str, words: frozenset[bytes] | None) -> Iterator[tuple[str, re.Match]]:
-        """Each introduction (empty for what follows a name) and the name."""
-        shown = self.by_word.keys() if words is None else self.by_word.keys() & words
-        if shown:
-            lower = text.lower()
-            if len(lower) != len(text):
-                lower = "".join(c if len(x := c.lower()) != 1 else x for c in text)
-            for cue in sorted(c for w in shown for c in self.by_word[w]):
-                at = lower.find(cue)
-                while at >= 0:
-                    if not (at and cue[0].isalnum() and lower[at - 1].isalnum()) and (m := _NAME_AT.match(text, at + len(cue))):
-                        yield cue, m
-                    at = lower.find(cue, at + len(cue))
-        if _may(_AFTER_WORDS, words) and any(x in text for x in AFTER):
-            for m in _AFTER_NAME.finditer(text):
-                yield "", m
+_LEFT_SIZE, _CUE_SIZE = 52, max(map(len, BEFORE)) + 1
+
+
+def candidates(text: str) -> Iterator[re.Match]:
+    """Whatever has the form of a full name."""
+    done = 0
+    for pair in _PAIR.finditer(text):
+        at = pair.start()
+        if at < done or at and (text[at - 1].isalnum() or text[at - 1] == "-") or pair.group().strip(" ,").casefold() in _NO_NAMES:
+            continue
+        led = _LED.search(text, max(done, at - 12), at)
+        m = led and not text[led.start() - 1:led.start()].isalnum() and _NAME_AT.match(text, led.start()) or _NAME_AT.match(text, at)
+        if m and _NO_NAMES.isdisjoint(w for part in _parts(m) for w in part):
+            done = m.end()
+            yield m
 
 
 def left_context(text: str, at: int) -> str:
-    """The context n-gram before a position."""
+    """The context n-gram before a position, empty if it has no letter."""
     m = _LEFT.search(text, max(0, at - _LEFT_SIZE), at)
-    return m.group().lower() if m else ""
+    left = m.group().lower() if m else ""
+    return left if any(map(str.isalpha, left)) else ""
+
+
+def introduced(text: str, m: re.Match, learned: frozenset[str] = frozenset()) -> bool:
+    """Whether a seed phrase, or a learned context, stands before a name, or what persons do after it."""
+    left = text[max(0, m.start() - _CUE_SIZE):m.start()].lower()
+    if left.endswith(BEFORE):
+        size = max(len(c) for c in BEFORE if left.endswith(c))
+        if not left[-size].isalpha() or not left[-size - 1:-size].isalnum():
+            return True
+    return text.startswith(AFTER, m.end()) or bool(learned) and left_context(text, m.start()) in learned
 
 
 def _parts(m: re.Match) -> tuple[list[str], list[str]]:
@@ -299,9 +311,9 @@ def _parts(m: re.Match) -> tuple[list[str], list[str]]:
 class Names:
     """Given and family names, how family names end, and what introduces people."""
 
-    def __init__(self, given: Iterable[str], family: Iterable[str], ends: frozenset[str] | None = None, cues: Cues | None = None):
+    def __init__(self, given: Iterable[str], family: Iterable[str], ends: frozenset[str] | None = None, learned: frozenset[str] = frozenset()):
         self.given, self.family = frozenset(given) - _NO_NAMES, frozenset(family)
-        self.cues = cues or Cues()
+        self.learned = learned
         # of a hyphenated name the last part shows in a text's words
         self.shown = frozenset(max(words_of(w), key=len) for w in self.given if words_of(w))
         if ends is None:
@@ -312,14 +324,9 @@ class Names:
         parts = [w for w in word.casefold().split("-") if w]
         return bool(parts) and all(w in self.family or len(w) >= 6 and w[-4:] in self.ends for w in parts)
 
-    def knows(self, m: re.Match) -> bool:
-        """Whether given and family name of a match are in the lexicon."""
-        g, f = _parts(m)
-        return g[0] in self.given and bool(f) and all(w in self.family for w in f)
-
     def find(self, text: str, present: frozenset[bytes] | None) -> Iterator[tuple[int, int]]:
-        for _, m in self.cues.names(text, present):
-            if _parts(m)[0][0] not in _NO_NAMES:
+        for m in candidates(text):
+            if introduced(text, m, self.learned):
                 yield m.start(), m.end()
         if not _may(self.shown, present):
             return
@@ -383,7 +390,7 @@ def find(text: str | None, names: Names = NOBODY, gated: bool = True) -> list[Fo
             take("email", m.start(), m.end())
     if any(ch in t for ch in "0123456789"):
         for keys, gate, rx in _ADDRESSES:
-            if (shown is None or any(w.endswith(keys) for w in shown) if isinstance(keys, tuple) else _may(keys, shown)) and gate.search(t):
+            if (keys is None or _may(keys, shown)) and gate(t):
                 for m in rx.finditer(t):
                     take("address", m.start(), m.end())
         # of a run that begins with a date, the date is passed over
@@ -419,96 +426,74 @@ def redact(text: str | None, found: list[Found]) -> str | None:
 
 # --- on tables -------------------------------------------------------------------------------------------------------
 
-def _each_text(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, frozenset[bytes]]]:
-    """Every text of a batch, rewritten, with its words."""
-    for batch in batches:
-        for k in range(0, batch.num_rows, 1000):
-            for column in batch.slice(k, 1000).columns:
-                for t in column.to_pylist():
-                    if t:
-                        words = words_of(t)
-                        r = rewrite(t, words)
-                        yield r.text, words if r.ranges is None else words_of(r.text)
-
+def _candidate_names(turns: DataFrame) -> DataFrame:
+    """``kind, context, given, family, n`` of everything in the form of a name in either field of any row, in partial sums first.
 
-def _summed(turns: DataFrame, count: Callable[[str, frozenset[bytes], Counter], None]) -> DataFrame:
-    """``kind, key, n``: what ``count`` counts in the texts of all rows, in partial sums first."""
+    kind is i where a seed phrase introduces it and c otherwise, with the context
+    before it. Kind l counts how often the given name stands in small letters in
+    the same text.
+    """
+    names = ["kind", "context", "given", "family", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
 
         def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array([k for k, _ in seen], pa.string()), pa.array([w for _, w in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], names=["kind", "key", "n"])
+            keys = list(zip(*seen)) or [[]] * 4
+            out = pa.RecordBatch.from_arrays([*(pa.array(k, pa.string()) for k in keys[:3]), pa.array(keys[3], pa.list_(pa.string())), pa.array(list(seen.values()), pa.int64())], names=names)
             seen.clear()
             return out
 
-        for t, words in _each_text(batches):
-            count(t, words, seen)
+        for batch in batches:
+            for k in range(0, batch.num_rows, 1000):
+                for column in batch.slice(k, 1000).columns:
+                    for raw in column.to_pylist():
+                        if raw:
+                            t = plain_characters(raw).text
+                            for m in candidates(t):
+                                (g, *_), f = _parts(m)
+                                seen[("i" if introduced(t, m) else "c", left_context(t, m.start()), g, tuple(f))] += 1
+                                if low := t.count(f" {g} "):
+                                    seen[("l", "", g, ())] += low
             if len(seen) > 200_000:
                 yield flush()
         yield flush()
 
-    return turns.select(*FIELDS).mapInArrow(run, "kind string, key string, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    counts = turns.select(*FIELDS).mapInArrow(run, "kind string, context string, given string, family array<string>, n bigint")
+    return cut(counts.groupBy("kind", "context", "given", "family").agg(F.sum("n").alias("n")), "names")
 
 
-def _named(m: re.Match) -> list[tuple[str, str]]:
-    g, f = _parts(m)
-    return [] if g[0] in _NO_NAMES else [("g", g[0]), *(("f", w) for w in f)]
+def _words(names: DataFrame) -> DataFrame:
+    """``part, word, n``: the given (g) and family (f) names of counted names."""
+    part = F.concat(F.array(F.struct(F.lit("g").alias("part"), F.col("given").alias("word"))), F.transform("family", lambda w: F.struct(F.lit("f").alias("part"), w.alias("word"))))
+    return names.select(F.inline(part), "n").groupBy("part", "word").agg(F.sum("n").alias("n"))
 
 
-def introduced_words(turns: DataFrame) -> tuple[DataFrame, Cues]:
-    """``part, word``, the given (g) and family (f) names introduced often enough in either field of any row, and the introductions.
+def introduced_words(turns: DataFrame) -> tuple[DataFrame, frozenset[str]]:
+    """``part, word``, the given and family names introduced often enough in either field of any row, and the contexts learned.
 
-    Three counts over all rows: the words after seed phrases; the contexts before
-    names made of these words; and, for the contexts that recur, how often any
-    name stands there, and the words of these names. The lexicon that finds
-    contexts is broadcast up to ``LEXICON`` words; beyond, contexts are counted
-    with the words introduced most often.
+    The words that seed phrases introduce tell which names are known; a context
+    is learned if enough known names stand after it, and enough of all names
+    there are known; the words it introduces count too then. A given name that
+    mostly stands in small letters is none.
     """
-    sc, cues = turns.sparkSession.sparkContext, Cues()
-
-    def seeds(t: str, words: frozenset[bytes], seen: Counter) -> None:
-        for _, m in cues.names(t, words):
-            seen.update(_named(m))
-
-    first = cut(_summed(turns, seeds).where(F.col("n") >= SEEN), "seed-words")
-    rows = first.orderBy(F.desc("n"), "kind", "key").limit(LEXICON).collect()
-    known = sc.broadcast(Names((r["key"] for r in rows if r["kind"] == "g"), (r["key"] for r in rows if r["kind"] == "f")))
-
-    def contexts(t: str, words: frozenset[bytes], seen: Counter) -> None:
-        names = known.value
-        if names.shown.isdisjoint(words):
-            return
-        for m in _NAME_AT.finditer(t):
-            if names.knows(m) and words_of(c := left_context(t, m.start())):
-                seen[("c", c)] += 1
-
-    counted = cut(_summed(turns, contexts), "contexts")
-    total = counted.agg(F.sum("n")).first()[0] or 0
-    often = {r["key"]: r["n"] for r in counted.where(F.col("n") >= max(CONTEXT_SEEN, CONTEXT_SHARE * total)).collect()}
-    tried = sc.broadcast(Cues(often))
-
-    def after(t: str, words: frozenset[bytes], seen: Counter) -> None:
-        names = known.value
-        for cue, m in tried.value.names(t, words):
-            parts = _named(m)
-            seen.update((f"{k}{cue}", w) for k, w in parts)
-            seen[("all", cue)] += 1
-        if not names.shown.isdisjoint(words):
-            for w in _WORD.findall(t):
-                if (low := w.casefold()) in names.given:
-                    seen[("lower" if w[0].islower() else "upper", low)] += 1
-
-    third = cut(_summed(turns, after), "introductions")
-    all_ = {r["key"]: r["n"] for r in third.where("kind = 'all'").collect()}  # a row per introduction
-    learned = [c for c, n in often.items() if n >= CONTEXT_NAMES * all_.get(c, n)]
-    ways = turns.sparkSession.createDataFrame([(k + c,) for c in {*BEFORE, *learned, ""} for k in "gf"], "kind string")
-    # a word that mostly stands in small letters is none
-    case = third.where("kind in ('lower', 'upper')").groupBy("key").pivot("kind", ["lower", "upper"]).agg(F.sum("n"))
-    common = case.where(F.coalesce("upper", F.lit(0)) < CAPITAL * (F.coalesce("upper", F.lit(0)) + F.coalesce("lower", F.lit(0)))).select(F.lit("g").alias("part"), F.col("key").alias("word"))
-    words = (third.where("kind not in ('all', 'lower', 'upper')").join(F.broadcast(ways), "kind").groupBy(F.substring("kind", 1, 1).alias("part"), F.col("key").alias("word")).agg(F.sum("n").alias("n"))
-             .where(F.col("n") >= SEEN).select("part", "word").join(common, ["part", "word"], "left_anti"))
-    return cut(words, "lexicon"), Cues(learned)
+    all_ = _candidate_names(turns)
+    names = all_.where("kind <> 'l'")
+    seeds = _words(names.where("kind = 'i'")).where(F.col("n") >= SEEN)
+    given, family = (seeds.where(F.col("part") == p).select(F.col("word").alias("w"), F.lit(1).alias("is")) for p in "gf")
+    each = names.select("context", "given", "family", "n", F.monotonically_increasing_id().alias("k")).where("context <> ''")
+    known = (each.select("context", "k", "n", "given", F.explode("family").alias("f")).join(given.withColumnRenamed("w", "given"), "given", "left_semi")
+             .join(family.withColumnRenamed("w", "f"), "f", "left").groupBy("context", "k", "n").agg(F.min(F.coalesce("is", F.lit(0))).alias("is")).where("is = 1")
+             .groupBy("context").agg(F.sum("n").alias("known")))
+    known = cut(known, "contexts")
+    total = known.agg(F.sum("known")).first()[0] or 0
+    often = known.where(F.col("known") >= max(CONTEXT_SEEN, CONTEXT_SHARE * total))  # 1,000 at most
+    learned = cut(each.join(F.broadcast(often), "context").groupBy("context").agg(F.sum("n").alias("n"), F.max("known").alias("known")).where(F.col("known") >= CONTEXT_NAMES * F.col("n")).select("context"), "learned")
+    words = _words(names.join(F.broadcast(learned.withColumn("is", F.lit(1))), "context", "left").where("kind = 'i' or is = 1")).where(F.col("n") >= SEEN)
+    upper = names.groupBy(F.lit("g").alias("part"), F.col("given").alias("word")).agg(F.sum("n").alias("upper"))
+    lower = all_.where("kind = 'l'").groupBy(F.lit("g").alias("part"), F.col("given").alias("word")).agg(F.sum("n").alias("lower"))
+    common = lower.join(upper, ["part", "word"]).where(F.col("upper") < CAPITAL * (F.col("upper") + F.col("lower"))).select("part", "word")
+    return cut(words.select("part", "word").join(common, ["part", "word"], "left_anti"), "lexicon"), frozenset(r["context"] for r in learned.collect())
 
 
 def _texts_and_names(turns: DataFrame) -> tuple[DataFrame, Callable[[pa.RecordBatch], list[Names]]]:
@@ -519,11 +504,11 @@ def _texts_and_names(turns: DataFrame) -> tuple[DataFrame, Callable[[pa.RecordBa
     how family names end is counted over the whole lexicon either way.
     """
     spark = turns.sparkSession
-    lexicon, cues = introduced_words(turns)
+    lexicon, learned = introduced_words(turns)
     texts = turns.select("memory_id", *FIELDS)
     rows = lexicon.limit(LEXICON + 1).collect()
     if len(rows) <= LEXICON:
-        names = spark.sparkContext.broadcast(Names((r["word"] for r in rows if r["part"] == "g"), (r["word"] for r in rows if r["part"] == "f"), cues=cues))
+        names = spark.sparkContext.broadcast(Names((r["word"] for r in rows if r["part"] == "g"), (r["word"] for r in rows if r["part"] == "f"), learned=learned))
         return texts, lambda batch: [names.value] * batch.num_rows
     del rows
     # four letters, so few even of a large lexicon
@@ -546,7 +531,7 @@ def _texts_and_names(turns: DataFrame) -> tuple[DataFrame, Callable[[pa.RecordBa
     held = keyed.select("key", *FIELDS).mapInArrow(words, "key string, word string").join(lexicon, "word").groupBy("key").agg(F.collect_set(F.struct("part", "word")).alias("known"))
 
     def of(batch: pa.RecordBatch) -> list[Names]:
-        return [Names([x["word"] for x in known or () if x["part"] == "g"], [x["word"] for x in known or () if x["part"] == "f"], shared.value, cues) for known in batch.column(3).to_pylist()]
+        return [Names([x["word"] for x in known or () if x["part"] == "g"], [x["word"] for x in known or () if x["part"] == "f"], shared.value, learned) for known in batch.column(3).to_pylist()]
 
     return keyed.join(held, "key", "left").select("memory_id", *FIELDS, "known"), of
 
