@@ -1,16 +1,17 @@
 """Byte-level BPE as a streaming transducer with bounded lookahead.
 
 The encoder reads text in windows, cuts it into pretokens as soon as their end
-can no longer move, and turns each pretoken into ids. Short pretokens are merged
-at once and remembered in a bounded cache. A pretoken longer than ``LONG`` bytes
-is fed through :class:`PieceTransducer`, which keeps one "last token" per byte
-of its open end and emits every token that all possible continuations share.
-
-What is stable is decided exactly: a sequence of tokens is the BPE encoding of
-its bytes if and only if each adjacent pair of tokens encodes to itself, so each
-prefix of the input has one determined last token, and a token is final once the
-chains of all open prefixes run through it. :func:`sufficient_lookahead` bounds
-from the merge list alone how many bytes that can take.
+can no longer move, and feeds each pretoken through :class:`PieceTransducer`,
+byte by byte. The ids of a pretoken are remembered in a bounded cache; one that
+is longer than a window is handed on as it comes.
+
+The transducer keeps the last token of the encoding of each prefix of the open
+end. A sequence of tokens is the BPE encoding of its bytes if and only if each
+adjacent pair of tokens encodes to itself, so that last token is unique and
+found by looking at the one before. A token is emitted as soon as the bytes read
+after it are as many as the merge list's sufficient lookahead, which
+:func:`sufficient_lookahead` computes: then no continuation can change it.
+What is held is never more than that and the longest token.
 
 :class:`ByteToText` is the decoder: an incremental UTF-8 state machine that
 takes ids one at a time and gives back text without buffering the input.
@@ -32,8 +33,6 @@ RUNS = [regex.compile(p) for p in (r"\s+", r"\p{L}+", r"\p{N}+", r"[^\s\p{L}\p{N
 TEXT_LOOKAHEAD = 3
 #: Code points of text looked at together.
 WINDOW = 1 << 16
-#: Bytes from which a pretoken is streamed and not merged in one piece.
-LONG = 512
 #: Pretokens kept in the cache; it is emptied when full, so memory is constant.
 CACHE = 1 << 18
 
@@ -45,6 +44,7 @@ class Merges:
         self.ranks = ranks
         self.tokens = {i: b for b, i in ranks.items()}
         self.longest = max(map(len, ranks), default=1)
+        self._lookahead: int | None = None
         self._parts: dict[int, tuple[int, int]] = {}
         self._valid: dict[tuple[int, int], bool] = {}
 
@@ -70,6 +70,13 @@ class Merges:
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
         return [ranks[p] for p in parts]
 
+    @property
+    def lookahead(self) -> int:
+        """The sufficient lookahead in bytes, computed once."""
+        if self._lookahead is None:
+            self._lookahead = sufficient_lookahead(self)
+        return self._lookahead
+
     def parts(self, token: int) -> tuple[int, int]:
         """The two tokens merged into ``token``; a single byte gives itself twice."""
         got = self._parts.get(token)
@@ -127,51 +134,44 @@ class PieceTransducer:
         self.tail = bytearray()  # bytes after the last emitted token, at most
         self.last: list[int] = []  # last token of each prefix of the tail
         self.before: int | None = None  # last emitted token
+        # emitted in turns, so that a turn's walk along the open end is shared by as many bytes
+        self.hold = 2 * (merges.lookahead + merges.longest)
 
     def push(self, data: bytes) -> list[int]:
         m, out = self.m, []
+        ranks, valid, longest, tail, last = m.ranks, m.valid, m.longest, self.tail, self.last
         for byte in data:
-            self.tail.append(byte)
-            n = len(self.tail)
-            for size in range(min(n, m.longest), 0, -1):
-                t = m.ranks.get(bytes(self.tail[n - size:n]))
+            tail.append(byte)
+            n = len(tail)
+            for size in range(min(n, longest), 0, -1):
+                t = ranks.get(bytes(tail[n - size:n]))
                 if t is None:
                     continue
-                p = self.before if n == size else self.last[n - size - 1]
-                if p is None or m.valid(p, t):
-                    self.last.append(t)
+                p = self.before if n == size else last[n - size - 1]
+                if p is None or valid(p, t):
+                    last.append(t)
                     break
-            if n >= 4 * m.longest and n % m.longest == 0:
-                out += self._stable()
+            if n >= self.hold:
+                out += self._emit(n - m.lookahead)
         return out
 
-    def _chain(self, end: int) -> list[int]:
-        """Ends of the tokens of the encoding of the first ``end`` bytes of the tail."""
-        ends = []
+    def _emit(self, upto: int) -> list[int]:
+        """Emit the tokens that end at ``upto`` or before."""
+        ends, end = [], len(self.tail)
         while end > 0:
-            ends.append(end)
+            if end <= upto:
+                ends.append(end)
             end -= len(self.m.tokens[self.last[end - 1]])
-        return ends[::-1]
-
-    def _stable(self) -> list[int]:
-        """Emit the tokens that the chains of every open prefix share."""
-        n = len(self.tail)
-        common = set(self._chain(n))
-        for end in range(max(1, n - self.m.longest), n):
-            common &= set(self._chain(end)) | {0}
-        cut = max(common, default=0)
-        if not cut:
+        if not ends:
             return []
-        out = [self.last[e - 1] for e in self._chain(cut)]
+        out = [self.last[e - 1] for e in reversed(ends)]
         self.before = out[-1]
-        del self.tail[:cut]
-        del self.last[:cut]
+        del self.tail[:ends[0]]
+        del self.last[:ends[0]]
         return out
 
     def finish(self) -> list[int]:
-        out = [self.last[e - 1] for e in self._chain(len(self.tail))]
-        self.tail.clear()
-        self.last.clear()
+        out = self._emit(len(self.tail))
         self.before = None
         return out
 
@@ -181,22 +181,16 @@ class Encoder:
 
     def __init__(self, merges: Merges, pattern: str = PATTERN, window: int = WINDOW):
         self.m, self.window = merges, window
-        self.find = regex.compile(pattern).finditer
         self.all = regex.compile(pattern).findall
         self.cache: dict[str, list[int]] = {}
 
     def _piece(self, piece: str) -> list[int]:
         ids = self.cache.get(piece)
         if ids is None:
-            raw = piece.encode("utf-8", "replace")
-            whole = self.m.ranks.get(raw)
-            if whole is not None:
-                ids = [whole]
-            elif len(raw) < LONG:
-                ids = self.m.merge(raw)
-            else:
-                t = PieceTransducer(self.m)
-                return t.push(raw) + t.finish()
+            t = PieceTransducer(self.m)
+            ids = t.push(piece.encode("utf-8", "replace")) + t.finish()
+            if len(piece) > self.window:
+                return ids
             if len(self.cache) >= CACHE:
                 self.cache.clear()
             self.cache[piece] = ids
@@ -206,11 +200,6 @@ class Encoder:
         """Ids of a text; null and empty give the empty list."""
         if not text:
             return []
-        if len(text) <= self.window:
-            get, out = self.cache.get, []
-            for piece in self.all(text):
-                out += get(piece) or self._piece(piece)
-            return out
         return [i for ids in self.stream(text[k:k + self.window] for k in range(0, len(text), self.window)) for i in ids]
 
     def stream(self, chunks: Iterable[str]) -> Iterator[list[int]]:
@@ -238,15 +227,16 @@ class Encoder:
                     continue
                 out += piece.finish()
                 run = None
-            done, last = 0, None
             sure = min(len(held) - TEXT_LOOKAHEAD, len(held.rstrip()))  # a run of white space ends differently if more follows
-            for x in self.find(held):
-                if x.end() > sure:
-                    last = x
-                    break
-                out += self._piece(x.group())
-                done = x.end()
-            if last and not done and last.end() == len(held) > self.window:
+            pieces = self.all(held)  # without gaps
+            done, last = len(held), 0
+            while pieces and done > sure:
+                last = done
+                done -= len(pieces.pop())
+            get = self.cache.get
+            for x in pieces:
+                out += get(x) or self._piece(x)
+            if not done and last == len(held) > self.window:
                 inner = held[1] if held[0] == " " and not held[1].isspace() else held[0]
                 pattern = next(r for r in RUNS if r.match(inner))
                 run = pattern, int(pattern is RUNS[0]), PieceTransducer(self.m)
@@ -257,7 +247,8 @@ class Encoder:
         if run:
             yield run[2].push(held.encode("utf-8", "replace")) + run[2].finish()
         else:
-            yield [i for piece in self.all(held) for i in self._piece(piece)]
+            get = self.cache.get
+            yield [i for x in self.all(held) for i in get(x) or self._piece(x)]
 
 
 class ByteToText:
