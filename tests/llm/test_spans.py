@@ -1,6 +1,7 @@
 import random
 import string
 
+import numpy as np
 import pytest
 
 from tidemark.llm import spans
@@ -77,3 +78,34 @@ def test_very_long_and_uniform_texts(spark):
     same = "ab" * 40_000
     rows = [(1, same, None), (2, same[:500], None), (3, "b" * 300, None)]
     assert {tuple(r) for r in spans.texts_with_shared_spans(tables(spark, rows)).collect()} == {(1, "user_prompt"), (2, "user_prompt")}
+
+
+def test_a_long_run_of_one_character_in_many_texts(spark):
+    long = "x" * 1_000_000
+    rows = [(i, "y" * (i % 7) + "=" * (3_000 + i), None) for i in range(300)] + [(1000, long, None), (1001, "-" * 150 + long, "ab" * 400), (1002, "ab" * 300, None), (1003, "q" * 5_000, None)]
+    got = {(r.memory_id, r.field): r.shared_chars for r in spans.shared_shares(tables(spark, rows)).collect()}
+    # the least window of a text may hold what stands before the run
+    assert all(got[i, "user_prompt"] >= 3_000 + i for i in range(299))
+    assert got[1000, "user_prompt"] == len(long) and got[1001, "user_prompt"] == len(long) and got[1001, "assistant_response"] == 800 and got[1002, "user_prompt"] == 600 and got[1003, "user_prompt"] == 0
+
+
+def test_windows_with_one_hash_are_told_apart_by_text(monkeypatch):
+    monkeypatch.setattr(spans, "gram_hashes", lambda c, size: np.zeros(max(len(c) - size + 1, 0), np.uint64))
+    a, b = "a" * 150 + "b" * 60, "a" * 140 + "b" * 60 + "c" * 20
+    got = sorted(spans._shared_windows([1, 2, 3], [0, 0, 0], [5, 7, 9], [a, b, "z" * 200]))
+    same = {(k, j) for k in range(11) for j in range(21) if a[k:k + 200] == b[j:j + 200]}
+    assert {(1, 0, 5 + k, 205 + k, 1) for k, _ in same} == {x for x in got if x[0] == 1} and {(2, 0, 7 + j, 207 + j, 1) for _, j in same} == {x for x in got if x[0] == 2} and not [x for x in got if x[0] == 3]
+
+
+def test_clusters(spark):
+    rnd = random.Random(9)
+    text = lambda: "".join(rnd.choice(string.ascii_lowercase + " ") for _ in range(260))
+    a, b, c = text(), text(), text()
+    rows = [(5, a, None), (7, text(), a + b), (9, b, c), (4, text(), text()), (20, c, None), (30, x := text(), None), (31, "1" + x, None), (None, a, a)]
+    for hot in (1 << 17, 3):
+        spans.HOT, old = hot, spans.HOT
+        try:
+            assert sorted(map(tuple, spans.clusters(tables(spark, rows)).collect())) == [(5, 5, 1), (7, 5, 1), (9, 5, 2), (20, 5, 1), (30, 30, 1), (31, 30, 1)]
+        finally:
+            spans.HOT = old
+    assert spans.clusters(tables(spark, [])).count() == 0

@@ -37,7 +37,7 @@ def p2_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.conversations import rebuild
 
-    return rebuild(table(spark, sf_dir, "memories"), table(spark, sf_dir, "sessions"), table(spark, sf_dir, "filtered_turns"), f"{sf_dir}/memories.parquet*")
+    return rebuild(table(spark, sf_dir, "memories"), table(spark, sf_dir, "sessions"), table(spark, sf_dir, "filtered_turns"), f"{sf_dir}/memories.parque[t]")  # a pattern for just this name, which may be a file or a folder
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

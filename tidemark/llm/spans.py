@@ -6,33 +6,43 @@ paragraphs. Its MinHash is the least hash of its ``GRAM``-grams. Equal windows
 have equal minima, so one band of one row finds every shared span; neighbouring
 windows mostly share their minimum, so a text needs only about one print per
 ``(SPAN - GRAM + 2) / 2`` characters. Colliding windows are verified exactly:
-the text around the gram is compared character by character (as the windows
-that hold the gram), in the tasks that share the gram.
+the windows that hold the gram are found equal by their hashes, in the tasks
+that share the gram, and then compared character by character.
 
-A print that very many texts have is not compared in one task: its windows are
-spread by the hash of the whole window and counted with partial sums.
+A print that stands for very many windows, in many texts or in one text that
+repeats itself, is not compared in one task: its windows are spread by the hash
+of the whole window, once for each text and hash, and counted with partial sums.
+What a task holds is thus bounded by windows and their characters, not by texts.
+
+Texts linked by shared spans, directly or over others, form clusters
+(:func:`clusters`), whose smallest memory_id stands for them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.projects import components
 from tidemark.runtime import cut
 
 SPAN = 200
 GRAM = 128
 #: Code points hashed together.
 CHUNK = 1 << 18
-#: Occurrences from which a print's windows are spread over tasks.
-HOT = 4096
-#: Rows up to which prints, and texts with their prints, are broadcast (each about 32 MB); beyond, the join shuffles.
-BROADCAST_PRINTS = 1 << 20
-BROADCAST_TEXTS = 1 << 16
+#: Windows from which those of a print are spread over tasks; each has 200 characters at most beside its neighbour's.
+HOT = 1 << 17
+#: Prints up to which they are broadcast (about 24 bytes each in memory), and up to which the texts that hold them are, with their prints
+#: (at most 100 bytes a print): 4 and 12 MB. Beyond, the join shuffles.
+BROADCAST_PRINTS = 1 << 17
+BROADCAST_TEXTS = 1 << 17
+#: Rows handed on at once.
+ROWS = 4096
 
 _MULT = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
@@ -113,22 +123,33 @@ def _first_at(h: np.ndarray, value: np.ndarray, window: np.ndarray, width: int)
 
 
 def text_prints(turns: DataFrame) -> DataFrame:
-    """``fp, memory_id, field`` for the distinct prints of every text."""
+    """``fp, memory_id, field, n`` for the distinct prints of every text; n windows have it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for f in (0, 1):
                 texts = [t or "" for t in batch.column(1 + f).to_pylist()]
-                text, fp, _, _, _ = prints(texts)
-                pair = np.unique(np.stack([text.astype(np.uint64), fp], 1), axis=0) if len(text) else np.empty((0, 2), np.uint64)
-                yield pa.RecordBatch.from_arrays([pa.array(pair[:, 1].view(np.int64) if len(pair) else np.empty(0, np.int64)), pa.array(ids[pair[:, 0].astype(np.int64)]), pa.array(np.full(len(pair), f, np.int8))], names=["fp", "memory_id", "field"])
+                text, fp, first, last, _ = prints(texts)
+                pair, at = np.unique(np.stack([text.astype(np.uint64), fp], 1), axis=0, return_inverse=True) if len(text) else (np.empty((0, 2), np.uint64), np.empty(0, np.int64))
+                n = np.bincount(at.ravel(), last - first + 1, len(pair)).astype(np.int64) if len(pair) else np.empty(0, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pair[:, 1]).view(np.int64)), pa.array(ids[pair[:, 0].astype(np.int64)]), pa.array(np.full(len(pair), f, np.int8)), pa.array(n)], names=["fp", "memory_id", "field", "n"])
+
+    return turns.where("memory_id is not null").select("memory_id", *FIELDS).mapInArrow(run, "fp bigint, memory_id bigint, field tinyint, n bigint")
+
+
+def _small(df: DataFrame, few: bool) -> DataFrame:
+    return F.broadcast(df) if few else df
 
-    return turns.where("memory_id is not null").select("memory_id", *FIELDS).mapInArrow(run, "fp bigint, memory_id bigint, field tinyint")
 
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+def _joined(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending starts of windows as intervals of text, put together where they touch."""
+    new = np.flatnonzero(np.r_[True, np.diff(starts) > SPAN])
+    return starts[new], starts[np.r_[new[1:], len(starts)] - 1] + SPAN
 
 
 def _occurrences(candidates: DataFrame) -> DataFrame:
@@ -136,98 +157,146 @@ def _occurrences(candidates: DataFrame) -> DataFrame:
 
     A row per run: ``fp, memory_id, field, first, last`` (window starts) and
     ``around``, the text from the first window to the end of the last. For hot
-    prints a row per window instead, with ``key`` the hash of the window.
+    prints a row per text and window instead, with ``key`` the hash of the window
+    and in ``begins, ends`` where it stands.
     """
-    schema = "fp bigint, key bigint, memory_id bigint, field tinyint, first int, last int, at int, around string"
+    schema = "fp bigint, key bigint, memory_id bigint, field tinyint, first int, last int, around string, begins array<int>, ends array<int>"
+    names = ["fp", "key", "memory_id", "field", "first", "last", "around", "begins", "ends"]
+    arrow = pa.schema([("fp", pa.int64()), ("key", pa.int64()), ("memory_id", pa.int64()), ("field", pa.int8()), ("first", pa.int32()), ("last", pa.int32()), ("around", pa.string()), ("begins", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32()))])
+
+    def rows(batch: pa.RecordBatch) -> Iterator[tuple]:
+        ids, fields, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
+        wanted = [{x["fp"]: x["hot"] for x in fps} for fps in batch.column(3).to_pylist()]
+        hot: dict[int, list[tuple[int, int]]] = {}
+        text, fp, first, last, _ = prints(texts)
+        for t, v, a, b in zip(text.tolist(), fp.view(np.int64).tolist(), first.tolist(), last.tolist()):
+            is_hot = wanted[t].get(v)
+            if is_hot:
+                hot.setdefault(t, []).append((a, b))
+            elif is_hot is not None:
+                yield v, None, ids[t], fields[t], a, b, texts[t][a:b + SPAN], None, None
+        for t, runs in hot.items():
+            h = gram_hashes(_codes(texts[t]), SPAN).view(np.int64)
+            starts = np.concatenate([np.arange(a, b + 1) for a, b in runs])
+            order = np.lexsort((starts, h[starts]))
+            starts = starts[order]
+            edges = np.flatnonzero(np.r_[True, np.diff(h[starts]) != 0])
+            for x, y in zip(edges, np.r_[edges[1:], len(starts)]):
+                begins, ends = _joined(starts[x:y])
+                yield None, int(h[starts[x]]), ids[t], fields[t], None, None, None, begins.tolist(), ends.tolist()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, fields, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist()
-            wanted = [{x["fp"]: x["hot"] for x in fps} for fps in batch.column(3).to_pylist()]
-            rows: list[tuple] = []
-            text, fp, first, last, at = prints(texts)
-            for t, v, a, b, p in zip(text.tolist(), fp.view(np.int64).tolist(), first.tolist(), last.tolist(), at.tolist()):
-                hot = wanted[t].get(v)
-                if hot is None:
-                    continue
-                around = texts[t][a:b + SPAN]
-                if hot:
-                    c = np.frombuffer(around.encode("utf-32-le", "surrogatepass"), np.uint32)
-                    rows += [(v, k, ids[t], fields[t], a + i, a + i, None, None) for i, k in enumerate(gram_hashes(c, SPAN).view(np.int64).tolist())]
-                else:
-                    rows.append((v, None, ids[t], fields[t], a, b, p - a, around))
-            for k in range(0, len(rows), 4096):
-                yield pa.RecordBatch.from_pylist([dict(zip(NAMES, r)) for r in rows[k:k + 4096]], schema=ARROW)
-
-    NAMES = ["fp", "key", "memory_id", "field", "first", "last", "at", "around"]
-    ARROW = pa.schema([("fp", pa.int64()), ("key", pa.int64()), ("memory_id", pa.int64()), ("field", pa.int8()), ("first", pa.int32()), ("last", pa.int32()), ("at", pa.int32()), ("around", pa.string())])
+            for k in range(0, batch.num_rows, 256):
+                each = rows(batch.slice(k, 256))
+                while some := list(islice(each, ROWS)):
+                    yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in some], schema=arrow)
+
     return candidates.mapInArrow(run, schema)
 
 
+def _shared_windows(ids: list[int], fields: list[int], first: list[int], around: list[str]) -> Iterator[tuple[int, int, int, int, int]]:
+    """Of the runs of one print: ``memory_id, field, begin, end`` of what another memory_id has too, and the least memory_id that has it."""
+    if len(set(ids)) < 2:
+        return
+    owners: dict[str, tuple[int, int]] = {}  # of each text the least and the greatest memory_id
+    for i, s in zip(ids, around):
+        lo, hi = owners.get(s, (i, i))
+        owners[s] = min(lo, i), max(hi, i)
+    texts = list(owners)
+    if len(texts) == 1:
+        (lo, _), = owners.values()
+        yield from ((i, f, a, a + len(s), lo) for i, f, a, s in zip(ids, fields, first, around))
+        return
+    hashes = [gram_hashes(_codes(s), SPAN) for s in texts]
+    size = np.array([len(h) for h in hashes])
+    of, start = np.repeat(np.arange(len(texts)), size), np.concatenate([np.arange(n) for n in size])
+    lo, hi = (np.array([owners[s][k] for s in texts], np.int64)[of] for k in (0, 1))
+    order = np.argsort(h := np.concatenate(hashes), kind="stable")
+    new = np.r_[True, np.diff(h[order]) != 0]
+    edges, group = np.flatnonzero(new), np.cumsum(new) - 1
+    least, most = np.minimum.reduceat(lo[order], edges)[group], np.maximum.reduceat(hi[order], edges)[group]
+    shared = np.empty(len(order), bool)
+    shared[order] = least != most
+    rep = np.empty(len(order), np.int64)
+    rep[order] = least
+    head = np.empty(len(order), np.int64)  # the first window with this hash
+    head[order] = order[edges][group]
+    odd = set()
+    for w in np.flatnonzero(shared & (head != np.arange(len(head)))):
+        k, x, y = int(start[w]), int(of[w]), int(head[w])
+        if texts[x][k:k + SPAN] != texts[int(of[y])][int(start[y]):int(start[y]) + SPAN]:
+            odd.add(int(h[w]))
+    if odd:  # different windows with one hash are told apart by their text
+        exact: dict[str, list[int]] = {}
+        for w in np.flatnonzero(np.isin(h, np.array(list(odd), h.dtype))):
+            exact.setdefault(texts[int(of[w])][int(start[w]):int(start[w]) + SPAN], []).append(int(w))
+        for ws in exact.values():
+            shared[ws], rep[ws] = min(lo[ws]) != max(hi[ws]), min(lo[ws])
+    begin = np.cumsum(size) - size
+    found: dict[str, list[tuple[int, int, int]]] = {}
+    for x, s in enumerate(texts):
+        own = slice(begin[x], begin[x] + size[x])
+        at, r = np.flatnonzero(shared[own]), rep[own]
+        found[s] = []
+        if len(at):
+            cuts = np.flatnonzero(np.r_[True, (np.diff(at) > 1) | (np.diff(r[at]) != 0)])
+            found[s] = [(int(at[c]), int(at[d - 1]) + SPAN, int(r[at[c]])) for c, d in zip(cuts, np.r_[cuts[1:], len(at)])]
+    for i, f, a, s in zip(ids, fields, first, around):
+        yield from ((i, f, a + b, a + e, r) for b, e, r in found[s])
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of runs sorted by print: the windows that stand in another memory_id as well, as intervals of starts."""
-
-    def group(ids: list[int], fields: list[int], first: list[int], last: list[int], around: list[str]):
-        if len(set(ids)) < 2:
-            return
-        owner: dict[str, int] = {}  # window text -> memory_id, or -1 if several have it
-        runs: dict[tuple[int, str], None] = dict.fromkeys(zip(ids, around))
-        whole: dict[str, int] = {}
-        for i, s in runs:
-            whole[s] = i if whole.get(s, i) == i else -1
-        if len(whole) > 1:
-            for s, i in whole.items():
-                for k in range(len(s) - SPAN + 1):
-                    w = s[k:k + SPAN]
-                    owner[w] = i if owner.get(w, i) == i else -1
-        for i, f, a, s in zip(ids, fields, first, around):
-            if whole[s] == -1:
-                yield i, f, a, a + len(s)
-            elif len(whole) > 1:
-                hits = [k for k in range(len(s) - SPAN + 1) if owner[s[k:k + SPAN]] == -1]
-                for k, j in zip(hits, [*hits[1:], None]):
-                    # starts next to each other overlap, so the union is taken later
-                    yield i, f, a + k, a + k + SPAN
-
-    names = ["memory_id", "field", "begin", "end"]
+    """Of runs sorted by print: what also stands in another memory_id, as intervals."""
 
     def out(rows: list[tuple]) -> pa.RecordBatch:
-        cols = list(zip(*rows)) or [[], [], [], []]
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int8()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32())], names=names)
+        cols = list(zip(*rows)) or [[]] * 5
+        kinds = (pa.int64(), pa.int8(), pa.int32(), pa.int32(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["memory_id", "field", "begin", "end", "rep"])
 
-    held: list[list] = [[], [], [], [], []]
+    held: list[list] = [[], [], [], []]
     current = None
     for batch in batches:
         fp = batch.column(0).to_numpy()
-        cols = [batch.column(i).to_pylist() for i in (1, 2, 3, 4, 5)]
+        cols = [batch.column(i).to_pylist() for i in (1, 2, 3, 4)]
         edges = np.r_[np.flatnonzero(np.r_[True, fp[1:] != fp[:-1]]), len(fp)] if len(fp) else [0]
-        rows: list[tuple] = []
         for a, b in zip(edges[:-1], edges[1:]):
             if fp[a] != current:
-                rows += group(*held)
-                held, current = [[], [], [], [], []], fp[a]
+                each = _shared_windows(*held)
+                while some := list(islice(each, ROWS)):
+                    yield out(some)
+                held, current = [[], [], [], []], fp[a]
             for h, c in zip(held, cols):
                 h += c[a:b]
-        yield out(rows)
-    yield out(list(group(*held)))
+    each = _shared_windows(*held)
+    while some := list(islice(each, ROWS)):
+        yield out(some)
 
 
 def shared_intervals(turns: DataFrame) -> DataFrame:
-    """``memory_id, field, begin, end``: overlapping intervals of code points that stand verbatim in another memory_id, each of at least ``SPAN``."""
+    """``memory_id, field, begin, end, rep``: overlapping intervals of code points that stand verbatim in another memory_id, each of at least ``SPAN``, and the least memory_id that has it."""
     occ = cut(text_prints(turns), "prints")
-    shared = cut(occ.groupBy("fp").agg(F.min("memory_id").alias("lo"), F.max("memory_id").alias("hi"), F.count("*").alias("n"))
+    shared = cut(occ.groupBy("fp").agg(F.min("memory_id").alias("lo"), F.max("memory_id").alias("hi"), F.sum("n").alias("n"))
                  .where("lo <> hi").select("fp", (F.col("n") > HOT).alias("hot")), "shared-prints")
-    wanted = cut(occ.join(_small(shared, BROADCAST_PRINTS), "fp").groupBy("memory_id").agg(F.collect_set(F.struct("field", "fp", "hot")).alias("all")), "shared-texts")
-    texts = (turns.select("memory_id", *FIELDS).join(_small(wanted, BROADCAST_TEXTS), "memory_id")
+    wanted = cut(occ.join(_small(shared, shared.count() <= BROADCAST_PRINTS), "fp").groupBy("memory_id").agg(F.collect_set(F.struct("field", "fp", "hot")).alias("all")), "shared-texts")
+    carried = wanted.agg(F.sum(F.size("all"))).first()[0] or 0
+    texts = (turns.select("memory_id", *FIELDS).join(_small(wanted, carried <= BROADCAST_TEXTS), "memory_id")
              .withColumn("f", F.explode(F.array(*[F.struct(F.lit(i).cast("tinyint").alias("field"), F.col(c).alias("text")) for i, c in enumerate(FIELDS)])))
              .select("memory_id", "f.field", "f.text", F.transform(F.filter("all", lambda x: x["field"] == F.col("f.field")), lambda x: F.struct(x["fp"].alias("fp"), x["hot"].alias("hot"))).alias("fps"))
              .where(F.size("fps") > 0).where(F.length("text") >= SPAN))
     at = cut(_occurrences(texts), "occurrences")
-    plain = (at.where("key is null").select("fp", "memory_id", "field", "first", "last", "around")
-             .repartition("fp").sortWithinPartitions("fp").mapInArrow(_verify, "memory_id bigint, field tinyint, begin int, end int"))
-    hot = at.where("key is not null").select("key", "memory_id", "field", F.col("first").alias("begin"))
-    twice = hot.groupBy("key").agg(F.min("memory_id").alias("lo"), F.max("memory_id").alias("hi")).where("lo <> hi").select("key")
-    return plain.unionByName(hot.join(twice, "key").select("memory_id", "field", "begin", (F.col("begin") + SPAN).alias("end")))
+    plain = (at.where("key is null").select("fp", "memory_id", "field", "first", "around")
+             .repartition("fp").sortWithinPartitions("fp").mapInArrow(_verify, "memory_id bigint, field tinyint, begin int, end int, rep bigint"))
+    hot = at.where("key is not null").select("key", "memory_id", "field", "begins", "ends")
+    twice = hot.groupBy("key").agg(F.min("memory_id").alias("rep"), F.max("memory_id").alias("hi")).where("rep <> hi").select("key", "rep")
+    return plain.unionByName(hot.join(twice, "key").select("memory_id", "field", F.inline(F.arrays_zip(F.col("begins").alias("begin"), F.col("ends").alias("end"))), "rep"))
+
+
+def clusters(turns: DataFrame) -> DataFrame:
+    """``memory_id, cluster, texts``: the memories that share spans, directly or over others, by the least memory_id among them, and how many of their texts do."""
+    links = cut(shared_intervals(turns).groupBy("memory_id", "field", "rep").agg(F.count("*").alias("n")), "links")
+    label = components(links, "memory_id", "rep").withColumnRenamed("component", "cluster")
+    return label.join(links.groupBy("memory_id").agg(F.countDistinct("field").alias("texts")), "memory_id").select("memory_id", "cluster", "texts")
 
 
 def _named(field: str = "field"):
