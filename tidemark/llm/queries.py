@@ -52,6 +52,12 @@ def p4_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_shares(table(spark, sf_dir, "filtered_turns"))
 
 
+def p4_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.spans import clusters
+
+    return clusters(table(spark, sf_dir, "filtered_turns"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.neighbours import neighbour_pairs
 
@@ -100,7 +106,7 @@ def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return composition(_subjects(spark, sf_dir), table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p2_found": p2_found, "p2_redacted": p2_redacted, "p3_found": p3_found, "p4_found": p4_found, "p4_shares": p4_shares, "p5_found": p5_found, "p6_ids": p6_ids, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p8_found": p8_found, "p8_composition": p8_composition}
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p2_found": p2_found, "p2_redacted": p2_redacted, "p3_found": p3_found, "p4_found": p4_found, "p4_shares": p4_shares, "p4_clusters": p4_clusters, "p5_found": p5_found, "p6_ids": p6_ids, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p8_found": p8_found, "p8_composition": p8_composition}
 #: SQL of the same results, where SQL can express the operator.
 ORACLES: dict[str, str] = {"p3_found": r"""with s as (select distinct id, tool, native_id, segment_index from sessions where id is not null and tool is not null and native_id is not null),
 segs as (select tool, native_id, min(coalesce(segment_index,-1))=0 and max(segment_index)+1=count(distinct segment_index) as whole from s group by all),
