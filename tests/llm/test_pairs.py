@@ -1,6 +1,6 @@
 import pytest
 
-from tidemark.llm import langid, pairs
+from tidemark.llm import langid, pairs, refusals
 
 SCHEMA = "memory_id bigint, user_prompt string, assistant_response string, omitted_before_chars bigint, defect string, ends string"
 GOOD = [
@@ -57,7 +57,8 @@ def test_padding_and_length_hide_nothing():
         assert pairs.is_empty("N/A" + pad) and pairs.is_empty(pad + "null" + pad) and not pairs.is_empty("null" + pad + "and so on")
         assert pairs.is_copied("Move the check", pad * 5 + "move the check" + pad * 5) and pairs.is_copied(pad * 9 + "Move the check", "move the check.")
     assert not pairs.is_copied("Move the check", "Moved the check and ran all tests")
-    assert pairs.is_refusal("I cannot help with this request. " * 60) and not pairs.is_refusal("I cannot help with this request. " * 60 + "The loader is fixed now.")
+    model = refusals.fit(refusals.background([a for _, a in GOOD] * 50))
+    assert refusals.is_refusal(model, "I cannot help with this request. " * 200) and not refusals.is_refusal(model, "I cannot help with this request. " * 200 + "The loader is fixed now.")
 
 
 def test_language_model_counts_all_rows(spark):
@@ -65,3 +66,27 @@ def test_language_model_counts_all_rows(spark):
     df = spark.createDataFrame(rows, "memory_id bigint, user_prompt string, assistant_response string")
     want = langid.fit_pairs([(r[1], r[2]) for r in rows])
     assert abs(pairs.language_model(df) - want).max() < 0.01
+
+
+@pytest.mark.parametrize("text,want", [
+    ("I am afraid I cannot assist with this request.", True), ("That would go against my policy, and I have to decline.", True), ("Lo siento, pero no puedo ayudar con esa pregunta.", True), ("Leider darf ich diese Anfrage nicht beantworten.", True),
+    ("Désolé, je ne peux pas répondre à cette demande.", True), ("I'm unable to provide an answer about src/a_b.py.", True), ("I'm sorry, but I can't help with that. Please ask someone on the import team instead.", True),
+    ("I moved the check into the loader and all tests pass.", False), ('The line "Sorry, I can\'t help with that" is now printed only when it has failed.', False), ("I'm sorry, but I can't help with that. I moved the check into the loader, and the tests pass.", False),
+    ("Please ask someone else.", False), ("", False), ("```", False)])
+def test_refusals(text, want):
+    model = refusals.fit(refusals.background([refusals.opening(a) for _, a in GOOD] * 200))
+    assert refusals.is_refusal(model, text) is want
+
+
+def test_ends_are_likelier_than_going_on():
+    # the last five words tell most, then three, then one
+    assert pairs.ends_here([(9, 10), (9, 100), (0, 1000)], 0.05) and not pairs.ends_here([(0, 10), (0, 100), (900, 1000)], 0.05)
+    assert not pairs.ends_here([(0, 0), (0, 0), (0, 0)], 0.05) and pairs.ends_here([(0, 0), (90, 100), (0, 0)], 0.05) and not pairs.ends_here([(0, 0), (1, 1), (0, 50)], 0.05)
+
+
+def test_counted_ends():
+    from collections import Counter
+
+    places, ends = Counter(), Counter()
+    pairs.count_ends("it waits for the lock. it waits for the lock now\nit waits for the lock", None, None, places, ends)
+    assert (places["it waits for the lock"], ends["it waits for the lock"]) == (2, 1) and (places["1 lock"], ends["1 lock"]) == (2, 1) and (places["1 now"], ends["1 now"]) == (1, 0)

@@ -104,57 +104,69 @@ def likelihoods(counts: np.ndarray, smoothing: float = 0.5) -> np.ndarray:
     return np.log(counts / counts.sum(axis=0)).astype(np.float32)
 
 
-def seed_counts(texts: list[str | None]) -> np.ndarray:
-    """Counts of the lines whose function words tell their language."""
-    lines = [x for t in texts for x in prose(t)]
+def seed_counts(texts: list[list[str]]) -> np.ndarray:
+    """Counts of the lines of prose whose function words tell their language."""
+    lines = [x for t in texts for x in t]
     return _counts(lines, [seed_label(x) for x in lines])
 
 
+def _scored(model: np.ndarray, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Log likelihoods of texts of prose by language; their trigrams, the text of each, and which of them lie within one text."""
+    out = np.zeros((len(texts), len(LANGUAGES)), np.float32)
+    some = np.array([i for i, x in enumerate(texts) if x], np.int64)
+    if not len(some):
+        none = np.zeros(0, np.int64)
+        return out, none, none, np.zeros(0, bool)
+    grams, begin = _grams([texts[i] for i in some])
+    like = model[grams]
+    within = np.ones(len(grams), bool)
+    within[begin[1:-1] - 1] = within[begin[1:-1] - 2] = False
+    like[~within] = 0
+    out[some] = np.add.reduceat(like, begin[:-1], axis=0)
+    size = np.diff(begin)
+    size[-1] -= 2  # the last trigram begins two before the end
+    return out, grams, np.repeat(some, size), within
+
+
 def pair_counts(first: np.ndarray, pairs: list[tuple[str | None, str | None]], sure: float = 15.0) -> np.ndarray:
     """Counts of a second round, in which a text too short to tell its language also learns from its partner.
 
-    Both texts of nearly all pairs are in one language. A text that the first
-    model cannot tell takes the label of the other text of its pair, so that
-    phrases like "go on" become known.
+    ``pairs`` are texts of prose. Both texts of nearly all pairs are in one
+    language. A text that the first model cannot tell takes the label of the
+    other text of its pair, so that phrases like "go on" become known.
     """
     flat = [t for pair in pairs for t in pair]
-    ranked = log_posteriors(first, flat)
-    best = ranked.argmax(axis=1)
-    ranked = np.sort(ranked, axis=1)
+    score, grams, of, within = _scored(first, flat)
+    best = score.argmax(axis=1)
+    ranked = np.sort(score, axis=1)
     lead = ranked[:, -1] - ranked[:, -2]
-    lines, labels = [], []
-    for i, t in enumerate(flat):
-        other = i ^ 1
-        own = int(best[i]) if lead[i] >= sure else int(best[other]) if lead[other] >= sure else None
-        if own is not None:
-            x = prose(t)
-            lines += x
-            labels += [own] * len(x)
-    return _counts(lines, labels)
+    partner = np.arange(len(flat)) ^ 1
+    label = np.where(lead >= sure, best, np.where(lead[partner] >= sure, best[partner], -1))[of] if len(of) else of
+    return np.stack([np.bincount(grams[within & (label == k)], minlength=BUCKETS) for k in range(len(LANGUAGES))], 1).astype(float)
 
 
 def fit(texts: list[str]) -> np.ndarray:
     """Log likelihoods, a row per bucket and a column per language."""
-    return likelihoods(seed_counts(texts))
+    return likelihoods(seed_counts([prose(t) for t in texts]))
 
 
 def fit_pairs(pairs: list[tuple[str | None, str | None]]) -> np.ndarray:
     """Like :func:`fit`, in two rounds."""
-    return likelihoods(pair_counts(fit([t for pair in pairs for t in pair if t]), pairs))
+    return likelihoods(pair_counts(fit([t for pair in pairs for t in pair if t]), [(plain(a), plain(b)) for a, b in pairs]))
+
+
+def plain(text: str | None) -> str:
+    """The prose of a text in one line."""
+    return " ".join(prose(text))
 
 
 def log_posteriors(model: np.ndarray, texts: list[str | None]) -> np.ndarray:
     """Log posteriors (equal priors) of each text; all equal where nothing is known."""
-    joined = [" ".join(prose(t)) for t in texts]
-    out = np.full((len(texts), len(LANGUAGES)), -np.log(len(LANGUAGES)), np.float32)
-    some = [i for i, x in enumerate(joined) if x]
-    if not some:
-        return out
-    grams, begin = _grams([joined[i] for i in some])
-    like = model[grams]
-    like[begin[1:-1] - 1] = 0  # trigrams across two texts
-    like[begin[1:-1] - 2] = 0
-    sums = np.add.reduceat(like, begin[:-1], axis=0)
-    sums -= sums.max(axis=1, keepdims=True)
-    out[some] = sums - np.log(np.exp(sums).sum(axis=1, keepdims=True))
-    return out
+    return posteriors(model, [plain(t) for t in texts])
+
+
+def posteriors(model: np.ndarray, texts: list[str | None]) -> np.ndarray:
+    """The same of texts of prose."""
+    score = _scored(model, texts)[0]
+    score -= score.max(axis=1, keepdims=True)
+    return score - np.log(np.exp(score).sum(axis=1, keepdims=True))

@@ -2,12 +2,15 @@
 
 Each pair gets at most one defect: ``empty``, ``refusal``, ``copied``,
 ``language`` or ``truncated``, tested in this order. Language defects compare
-the language posteriors of prompt and response (:mod:`tidemark.llm.langid`).
-Truncation compares the last words of a response with how sentences end in the
-whole corpus: n-grams of the words before each sentence end are counted over all
-responses, and a response whose end no sentence shares has broken off. Endings
-that say it themselves (open fences, dangling list marks, colons, commas) need
-no counts.
+the language posteriors of prompt and response by a naive Bayes model over
+character trigrams (:mod:`tidemark.llm.langid`), refusals are told by another
+over words (:mod:`tidemark.llm.refusals`).
+
+Truncation is a likelihood of the text's end: n-grams of the last five, three
+and one words are counted over all responses, at all places and where a sentence
+ends; the interpolated likelihood that a text ends on its last words is compared
+with that of going on. Endings that say it themselves (open fences, dangling
+list marks, colons, commas) need no counts.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import islice
 
 import numpy as np
@@ -23,16 +26,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm import langid
+from tidemark.llm import langid, refusals
 from tidemark.runtime import cut
 
 #: Nats by which the best language must lead, in prompt and in response.
 MARGIN = 3.0
-#: A response that ends without punctuation is complete if its last words end so many sentences,
-#: and at least this share of all places where they stand.
-ENDS, END_SHARE = 2, 0.1
+#: Occurrences that the shorter n-gram counts as in the likelihood of a longer one, for the last five, three and one words.
+BACKOFF = (2.0, 16.0, 64.0)
 #: Most words of a line that counts as ended by its line break alone (items, trailers); longer ones may be pasted in halves.
 LINE_WORDS = 7
+#: Stands for all places among the n-grams.
+ANYWHERE = ""
 #: Last words up to which the set of those to be counted is broadcast (about 25 MB); beyond, all are counted.
 BROADCAST_WORDS = 1 << 18
 #: Most letters and digits of an introduction before a repeated prompt.
@@ -76,17 +80,6 @@ sin respuesta
 sin salida
 vacío""".splitlines())
 
-_R = "['’]"
-#: How a sentence declines, in four languages.
-_DECLINES = re.compile(
-    rf"\b(?:i(?:{_R}m| am) (?:sorry|afraid|unable|not able|not allowed|not permitted)\b.*|(?:i )?(?:can{_R}?t|cannot|can not|could not|won{_R}t|will not|am unable to|must decline|have to decline|have to refuse|must refuse|have to pass|refuse to|decline to)\b.{{0,40}}\b(?:help|assist|comply|answer|discuss|provide|support|fulfil|fulfill|do (?:this|that|it)|with (?:this|that)|request|on this|work on|offer|share|able to|edit)\b.*"
-    rf"|this is not something i can\b.*|(?:i{_R}d|i would) (?:rather|prefer) not\b.*|(?:against|violates?|outside|conflicts? with) (?:my|our|the) (?:policy|policies|guidelines?|instructions|rules)\b.*|nothing i can offer\b.*|(?:instructions|guidelines|policy|rules) do(?:es)? not (?:permit|allow)\b.*|i (?:must|have to) (?:decline|refuse|pass)\b.*|i (?:decline|refuse)\b.*"
-    rf"|tut mir (?:sehr )?leid\b.*|(?:kann|darf|werde) (?:ich )?(?:\w+ ){{0,6}}(?:nicht|keine?)\b.*(?:helfen|auskunft|beantworten|unterstützen|bearbeiten|geben|antworten)\b.*|ablehnen\b.*|verstößt gegen (?:meine|die)\b.*|gegen meine richtlinien\b.*|nicht gestattet\b.*"
-    rf"|désolée?\b.*|je ne (?:peux|puis|suis)\b.{{0,20}}\b(?:pas|autoris)\w*\b.*|je (?:dois|préfère) (?:refuser|décliner|ne pas)\b.*|m{_R}est impossible\b.*|(?:à l{_R}encontre de|contraire à) mes (?:consignes|règles)\b.*|ce qui m{_R}est permis\b.*|ne m{_R}est pas permis\b.*"
-    rf"|lo siento\b.*|no (?:puedo|me es posible|me está permitido|estoy autorizad[oa])\b.*(?:ayudar|responder|modificar|permitido|hacer|eso|esa|esto|petición|pregunta).*|(?:debo|tengo que) (?:rechazar|negarme)\b.*|en contra de mis (?:normas|reglas|directrices)\b.*)", re.I)
-#: Sentences that may go with a refusal and give nothing either.
-_ASIDE = re.compile(
-    rf"(?:please|kindly) (?:ask|contact|consult|reach out|try|speak)\b.*|(?:if you have|feel free|let me know|is there|you (?:may|can|could) (?:ask|contact|try))\b.*(?:question|ask|else|help|team|free).*|(?:sorry|i apologi[sz]e|apologies|unfortunately|thank you|thanks)\b.{{0,60}}|i hope you understand.*|bitte (?:wende|wenden|frag|fragen)\b.*|adressez-vous\b.*|veuillez\b.*|(?:por favor )?(?:consulta|consulte|pregunta|contacta)\b.*|entschuldigung.{{0,40}}", re.I)
 #: A request for a language, and the names of the languages.
 _ASKED = {
     "de": re.compile(r"\b(?:german|deutsch\w*|allemande?|alemán|aleman)\b", re.I),
@@ -94,7 +87,7 @@ _ASKED = {
     "es": re.compile(r"\b(?:spanish|spanisch\w*|espagnole?|español|espanol|castellano)\b", re.I),
     "fr": re.compile(r"\b(?:french|französisch\w*|française?|francés|frances)\b", re.I),
 }
-_SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
+LONGEST_STAND_IN = max(sum(map(str.isalnum, x)) for x in STAND_INS)
 _EMOJI = frozenset(("So", "Sk", "Cf", "Mn", "Cs", "Co"))
 _EXT = re.compile(r"\.[A-Za-z]{1,8}(?:\.[A-Za-z]{1,6})?$")
 _HEX = re.compile(r"(?=.*\d)[0-9a-f]{7,}")
@@ -113,30 +106,12 @@ def is_empty(text: str | None) -> bool:
     """Null, nothing visible, mere punctuation, or a stand-in for missing text."""
     if not visible(text):
         return True
-    if sum(1 for _ in islice(filter(str.isalnum, text), 41)) > 40:
-        return False
+    if sum(1 for _ in islice(filter(str.isalnum, text), LONGEST_STAND_IN + 1)) > LONGEST_STAND_IN:
+        return False  # longer than any of them
     core = "".join(ch if ch.isalnum() or ch in "/'" else " " for ch in text.casefold())
     return " ".join(core.split()) in STAND_INS
 
 
-def is_refusal(text: str) -> bool:
-    """Whether every sentence declines, or goes with declining, and one declines."""
-    declines = False
-    for s in _SENTENCE.split(text.strip()):
-        s = s.strip()
-        if not visible(s):
-            continue
-        # what is quoted is talked about, not said
-        bare = re.sub(r"[\"“„«][^\"“”„«»]*[\"”“»]", " ", s)
-        if bare != s:
-            return False
-        if _DECLINES.search(s) and not re.search(r"\bbut the\b|\bthough the\b|\bin this step\b", s, re.I):
-            declines = True
-        elif not _ASIDE.match(s):
-            return False
-    return declines
-
-
 def _letters(text: str) -> str:
     return "".join(filter(str.isalnum, text.casefold()))
 
@@ -196,36 +171,48 @@ def _last_words(tokens: list[str], at: int) -> tuple[str, str]:
     return five, " ".join(words[-3:]) if words[0] != "^" else five
 
 
-def sentence_ends(text: str, into: Counter) -> None:
-    """Count the last words of every sentence that is seen to end: by punctuation, or by a line that more text follows."""
-    lines = text.split("\n")
-    final = max((i for i, x in enumerate(lines) if x.strip()), default=-1)
-    for i, line in enumerate(lines):
-        tokens = line.split()
-        last = len(tokens) - 1
-        for k, t in enumerate(tokens):
-            if t[-1] in ".!?" and len(t) > 1 or k == last and i < final and last < LINE_WORDS:
-                five, three = _last_words(tokens, k)
-                into[five] += 1
-                if three != five:
-                    into[three] += 1
+def last_words(tokens: list[str], at: int) -> tuple[str, str, str]:
+    """The n-grams that end with token ``at``: five, three and one."""
+    five, three = _last_words(tokens, at)
+    return five, three, "1 " + five.rpartition(" ")[2]
 
 
-def occurrences(text: str, wanted: frozenset[str] | None, last: frozenset[str] | None, into: Counter) -> None:
-    """Count where last words (the wanted ones, if given) stand at all, whether a sentence ends there or not; the open end of the text is left out, as it tells neither."""
+def count_ends(text: str, wanted: frozenset[str] | None, last: frozenset[str] | None, places: Counter, ends: Counter) -> None:
+    """Count where n-grams (the wanted ones, if given) stand at all, and where a sentence is seen to end on them: by punctuation, or by a line that more text follows.
+
+    The open end of the text is left out, as it tells neither. All places and
+    ends together count under ``ANYWHERE``.
+    """
     lines = text.split("\n")
     final = max((i for i, x in enumerate(lines) if x.strip()), default=-1)
+    any_places = any_ends = 0
     for i, line in enumerate(lines):
         tokens = line.split()
+        end = len(tokens) - 1
         for k, t in enumerate(tokens):
-            if i == final and k == len(tokens) - 1 and t[-1] not in ".!?":
+            stop = t[-1] in ".!?"
+            if i == final and k == end and not stop:
                 continue
-            if last is None or _KINDS[t.rstrip(".!?")] in last:
-                five, three = _last_words(tokens, k)
-                if wanted is None or five in wanted:
-                    into[five] += 1
-                if three != five and (wanted is None or three in wanted):
-                    into[three] += 1
+            ends_here = stop and len(t) > 1 or k == end and i < final and end < LINE_WORDS
+            any_ends += ends_here
+            any_places += 1
+            if last is not None and _KINDS[t.rstrip(".!?") if stop else t] not in last:
+                continue
+            for words in {*last_words(tokens, k)}:
+                if wanted is None or words in wanted:
+                    places[words] += 1
+                    if ends_here:
+                        ends[words] += 1
+    places[ANYWHERE] += any_places
+    ends[ANYWHERE] += any_ends
+
+
+def ends_here(counts: list[tuple[int, int]], anywhere: float) -> bool:
+    """Whether ending is likelier than going on after last words with these ``(ends, places)``, for the last five, three and one; ``anywhere`` is the share of ends of all places."""
+    p = anywhere
+    for (ends, places), k in zip(reversed(counts), reversed(BACKOFF)):
+        p = (ends + k * p) / (places + k)
+    return p >= 0.5
 
 
 def _without_symbols(text: str) -> str:
@@ -235,7 +222,7 @@ def _without_symbols(text: str) -> str:
     return text
 
 
-def ending(text: str, omitted: bool) -> bool | tuple[str, str]:
+def ending(text: str, omitted: bool) -> bool | tuple[str, str, str]:
     """Whether a response broke off; its last words where only the corpus can tell."""
     t = _without_symbols(text)
     lines = t.split("\n")
@@ -265,61 +252,95 @@ def ending(text: str, omitted: bool) -> bool | tuple[str, str]:
         return False
     if last.startswith("|"):
         return True
-    return _last_words(tokens, len(tokens) - 1)
+    return last_words(tokens, len(tokens) - 1)
 
 
-def _classify(model: np.ndarray, prompts: list, responses: list, omitted: list) -> Iterator[tuple[int, str | None, str | None, str | None]]:
-    """Row number, defect, last five and three words of the pairs of a batch that may be defective."""
+COLUMNS = ["memory_id", "prompt", "response", "omitted", "prose", "reply_prose", "opening", "at", "n"]
+PREPARED = "memory_id bigint, prompt string, response string, omitted bigint, prose string, reply_prose string, opening string, at bigint, n double"
+#: Where the counts of the refusals' background begin among those of the languages.
+_BACKGROUND = langid.BUCKETS * len(langid.LANGUAGES)
+
+
+def _prepared(rows: DataFrame) -> DataFrame:
+    """All rows with the prose of both texts and the opening sentence of the response, taken out once; and, in rows without memory_id, the counts of labelled trigrams and of openings."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(_BACKGROUND + refusals.BUCKETS)
+        for batch in batches:
+            for k in range(0, batch.num_rows, 2000):
+                b = batch.slice(k, 2000)
+                texts = [c.to_pylist() for c in b.columns[1:3]]
+                prose = [[langid.prose(t) for t in side] for side in texts]
+                openings = [refusals.opening(t) if t else None for t in texts[1]]
+                total[:_BACKGROUND] += langid.seed_counts([*prose[0], *prose[1]]).ravel()
+                total[_BACKGROUND:] += refusals.background(openings)
+                none = pa.nulls(b.num_rows, pa.float64())
+                yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array([" ".join(x) for x in side], pa.string()) for side in prose), pa.array(openings, pa.string()), none.cast(pa.int64()), none], names=COLUMNS)
+        at = np.flatnonzero(total)
+        none = pa.nulls(len(at), pa.string())
+        yield pa.RecordBatch.from_arrays([none.cast(pa.int64()), none, none, none.cast(pa.int64()), none, none, none, pa.array(at), pa.array(total[at])], names=COLUMNS)
+
+    return cut(rows.mapInArrow(run, PREPARED), "prepared")
+
+
+def _models(prepared: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The language model of all pairs, in two rounds of trigram counts, and the refusal model."""
+
+    def collected(counts: DataFrame, size: int) -> np.ndarray:
+        out = np.zeros(size)
+        for at, n in counts.groupBy("at").agg(F.sum("n").alias("n")).collect():  # at most a row per bucket and class
+            out[at] = n
+        return out
+
+    first = collected(prepared.where("memory_id is null").select("at", "n"), _BACKGROUND + refusals.BUCKETS)
+    known = prepared.sparkSession.sparkContext.broadcast(langid.likelihoods(first[:_BACKGROUND].reshape(langid.BUCKETS, -1)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((langid.BUCKETS, len(langid.LANGUAGES)))
+        for batch in batches:
+            for k in range(0, batch.num_rows, 2000):
+                total += langid.pair_counts(known.value, list(zip(*(c.to_pylist() for c in batch.slice(k, 2000).columns))))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel()[at])], names=["at", "n"])
+
+    second = collected(prepared.where("memory_id is not null").select("prose", "reply_prose").mapInArrow(run, "at bigint, n double"), _BACKGROUND)
+    return langid.likelihoods(second.reshape(langid.BUCKETS, -1)), refusals.fit(first[_BACKGROUND:])
+
+
+def language_model(rows: DataFrame) -> np.ndarray:
+    """The language model of all pairs of a table."""
+    return _models(_prepared(rows.select("memory_id", "user_prompt", "assistant_response", F.lit(0).cast("bigint"))))[0]
+
+
+def _classify(language: np.ndarray, refusal: np.ndarray, prompts: list, responses: list, omitted: list, prose: list, reply_prose: list, openings: list) -> Iterator[tuple]:
+    """Row number, defect, and the last five, three and one words, of the pairs of a batch that may be defective."""
     undecided = []
     for i, (u, a) in enumerate(zip(prompts, responses)):
         if not visible(u):
             continue
         if is_empty(a):
-            yield i, "empty", None, None
-        elif is_refusal(a):
-            yield i, "refusal", None, None
+            yield i, "empty", None, None, None
+        elif refusals.is_refusal(refusal, a, openings[i]):
+            yield i, "refusal", None, None, None
         elif is_copied(u, a):
-            yield i, "copied", None, None
+            yield i, "copied", None, None, None
         else:
             undecided.append(i)
-    pu = langid.log_posteriors(model, [prompts[i] for i in undecided])
-    pa_ = langid.log_posteriors(model, [responses[i] for i in undecided])
-    su, sa = np.sort(pu, axis=1), np.sort(pa_, axis=1)
-    sure = (su[:, -1] - su[:, -2] >= MARGIN) & (sa[:, -1] - sa[:, -2] >= MARGIN)
-    lu, la = pu.argmax(axis=1), pa_.argmax(axis=1)
+    of = [langid.posteriors(language, [side[i] for i in undecided]) for side in (prose, reply_prose)]
+    ranked = [np.sort(x, axis=1) for x in of]
+    sure = (ranked[0][:, -1] - ranked[0][:, -2] >= MARGIN) & (ranked[1][:, -1] - ranked[1][:, -2] >= MARGIN)
+    lu, la = (x.argmax(axis=1) for x in of)
     for n, i in enumerate(undecided):
         if sure[n] and lu[n] != la[n] and not _ASKED[langid.LANGUAGES[la[n]]].search(prompts[i]):
-            yield i, "language", None, None
+            yield i, "language", None, None, None
             continue
         end = ending(responses[i], bool(omitted[i]))
         if end is True:
-            yield i, "truncated", None, None
+            yield i, "truncated", None, None, None
         elif end:
             yield i, None, *end
 
 
-def language_model(rows: DataFrame) -> np.ndarray:
-    """The language model of all pairs, in two rounds of trigram counts summed over the rows."""
-
-    def summed(count: Callable[[list, list], np.ndarray]) -> np.ndarray:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros((langid.BUCKETS, len(langid.LANGUAGES)))
-            for batch in batches:
-                for k in range(0, batch.num_rows, 2000):
-                    total += count(*(c.to_pylist() for c in batch.slice(k, 2000).columns))
-            at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel()[at])], names=["at", "n"])
-
-        parts = rows.select("user_prompt", "assistant_response").mapInArrow(run, "at bigint, n double").groupBy("at").agg(F.sum("n").alias("n"))
-        out = np.zeros(langid.BUCKETS * len(langid.LANGUAGES))
-        for at, n in parts.collect():  # at most a row per bucket and language
-            out[at] = n
-        return out.reshape(langid.BUCKETS, -1)
-
-    first = rows.sparkSession.sparkContext.broadcast(langid.likelihoods(summed(lambda u, a: langid.seed_counts([*u, *a]))))
-    return langid.likelihoods(summed(lambda u, a: langid.pair_counts(first.value, list(zip(u, a)))))
-
-
 def find_defects(turns: DataFrame) -> DataFrame:
     """``memory_id, defect`` of the pairs whose response does not serve the prompt.
 
@@ -329,58 +350,54 @@ def find_defects(turns: DataFrame) -> DataFrame:
     name counts. Extra columns are ignored, an empty table gives no rows.
     Null omitted_before_chars count as 0.
     """
-    spark = turns.sparkSession
-    rows = turns.where("memory_id is not null").select("memory_id", "user_prompt", "assistant_response", F.coalesce("omitted_before_chars", F.lit(0)).cast("bigint").alias("omitted"))
-    model = spark.sparkContext.broadcast(language_model(rows))
-    schema = "memory_id bigint, defect string, five string, three string, n bigint"
+    sc = turns.sparkSession.sparkContext
+    prepared = _prepared(turns.where("memory_id is not null").select("memory_id", "user_prompt", "assistant_response", F.coalesce("omitted_before_chars", F.lit(0)).cast("bigint").alias("omitted")))
+    models = sc.broadcast(_models(prepared))
+    names = ["memory_id", "defect", "five", "three", "one"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["memory_id", "defect", "five", "three", "n"]
-        ends: Counter = Counter()
-
-        def flush() -> pa.RecordBatch:
-            keys = list(ends)
-            none = pa.nulls(len(keys), pa.string())
-            out = pa.RecordBatch.from_arrays([pa.nulls(len(keys), pa.int64()), none, pa.array(keys, pa.string()), none, pa.array([ends[k] for k in keys], pa.int64())], names=names)
-            ends.clear()
-            return out
-
         for batch in batches:
             for k in range(0, batch.num_rows, 2000):
-                b = batch.slice(k, 2000)
-                ids, responses = b.column(0).to_pylist(), b.column(2).to_pylist()
-                for a in responses:
-                    if a:
-                        sentence_ends(a, ends)
-                found = list(zip(*_classify(model.value, b.column(1).to_pylist(), responses, b.column(3).to_pylist()))) or [[]] * 4
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in found[0]], pa.int64()), *(pa.array(list(found[j]), pa.string()) for j in (1, 2, 3)), pa.nulls(len(found[0]), pa.int64())], names=names)
-            if len(ends) > 200_000:
-                yield flush()
-        yield flush()
-
-    out = cut(rows.mapInArrow(run, schema), "pairs")
-    ends = out.where("n is not null").groupBy(F.col("five").alias("words")).agg(F.sum("n").alias("ends")).where(F.col("ends") >= ENDS)
-    open_ = out.where("n is null and defect is null").select("memory_id", "five", "three").distinct()
-    asked = cut(open_.select(F.explode(F.array("five", "three")).alias("words")).distinct().join(ends, "words"), "last-words")
-    few = asked.select("words").limit(BROADCAST_WORDS + 1).collect()
+                ids, *columns = (c.to_pylist() for c in batch.slice(k, 2000).columns)
+                found = list(zip(*_classify(*models.value, *columns))) or [[]] * 5
+                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in found[0]], pa.int64()), *(pa.array(list(found[j]), pa.string()) for j in (1, 2, 3, 4))], names=names)
+
+    rows = prepared.where("memory_id is not null")
+    out = cut(rows.select(*COLUMNS[:7]).mapInArrow(run, "memory_id bigint, defect string, five string, three string, one string"), "pairs")
+    open_ = out.where("defect is null").select("memory_id", "five", "three", "one").distinct()
+    asked = cut(open_.select(F.explode(F.array("five", "three", "one")).alias("words")).distinct(), "last-words")
+    few = asked.limit(BROADCAST_WORDS + 1).collect()
     wanted = frozenset(r["words"] for r in few) if len(few) <= BROADCAST_WORDS else None
-    shared = spark.sparkContext.broadcast((wanted, wanted and frozenset(w.rpartition(" ")[2] for w in wanted)))
+    shared = sc.broadcast((wanted, wanted and frozenset(w.rpartition(" ")[2] for w in wanted)))
 
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, last = shared.value
-        seen: Counter = Counter()
+        places: Counter = Counter()
+        ends: Counter = Counter()
+
+        def flush() -> pa.RecordBatch:
+            keys = list(places)
+            result = pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(list(places.values()), pa.int64()), pa.array([ends[k] for k in keys], pa.int64())], names=["words", "places", "ends"])
+            places.clear()
+            ends.clear()
+            return result
+
         for batch in batches:
             for a in batch.column(0).to_pylist():
                 if a:
-                    occurrences(a, words, last, seen)
-            if len(seen) > 200_000:
-                yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["words", "n"])
-                seen.clear()
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["words", "n"])
-
-    total = rows.select("assistant_response").mapInArrow(places, "words string, n bigint").groupBy("words").agg(F.sum("n").alias("n"))
-    known = cut(asked.join(total, "words").where(F.col("ends") >= END_SHARE * F.col("n")).select("words"), "sentence-ends")
-    five, three = known.select(F.col("words").alias("five"), F.lit(True).alias("s4")), known.select(F.col("words").alias("three"), F.lit(True).alias("s3"))
-    broken = (open_.join(five, "five", "left").join(three, "three", "left").where("s4 is null and s3 is null")
-              .select("memory_id", F.lit("truncated").alias("defect")))
+                    count_ends(a, words, last, places, ends)
+                if len(places) > 400_000:
+                    yield flush()
+        yield flush()
+
+    counted = rows.select("response").mapInArrow(count, "words string, places bigint, ends bigint").groupBy("words").agg(F.sum("places").alias("places"), F.sum("ends").alias("ends"))
+    counted = cut(counted.join(asked.withColumn("asked", F.lit(True)), "words", "left").where((F.col("words") == ANYWHERE) | F.col("asked")).drop("asked"), "ends")
+    known = counted.where(F.col("words") != ANYWHERE)
+    all_ = counted.where(F.col("words") == ANYWHERE).first()
+    p = F.lit(all_["ends"] / max(all_["places"], 1) if all_ else 0.0)
+    scored = open_
+    for n, k in zip(("one", "three", "five"), reversed(BACKOFF)):
+        scored = scored.join(known.select(F.col("words").alias(n), F.col("places").alias(f"{n}_places"), F.col("ends").alias(f"{n}_ends")), n, "left")
+        p = (F.coalesce(f"{n}_ends", F.lit(0)) + k * p) / (F.coalesce(f"{n}_places", F.lit(0)) + k)
+    broken = scored.where(p < 0.5).select("memory_id", F.lit("truncated").alias("defect"))
     return out.where("defect is not null").select("memory_id", "defect").unionByName(broken).groupBy("memory_id").agg(F.max("defect").alias("defect"))
