@@ -1,4 +1,6 @@
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from tidemark.llm import langid, pairs, refusals
 
@@ -88,5 +90,26 @@ def test_counted_ends():
     from collections import Counter
 
     places, ends = Counter(), Counter()
-    pairs.count_ends("it waits for the lock. it waits for the lock now\nit waits for the lock", None, None, places, ends)
+    pairs.count_ends("it waits for the lock. it waits for the lock now\nit waits for the lock", None, pairs._Ends(None), places, ends)
     assert (places["it waits for the lock"], ends["it waits for the lock"]) == (2, 1) and (places["1 lock"], ends["1 lock"]) == (2, 1) and (places["1 now"], ends["1 now"]) == (1, 0)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["it", "waits", "for", "the", "lock.", "lock", "src/a_b.py", "3.", "v2.", "now!", "?", "\n", "ABC", "fooBar()", "- x", "e28570c18c"]), max_size=40))
+def test_counted_places_are_those_of_last_words(parts):
+    from collections import Counter
+
+    text = " ".join(parts).replace(" \n ", "\n")
+    places, ends = Counter(), Counter()
+    pairs.count_ends(text, None, pairs._Ends(None), places, ends)
+    want = Counter()
+    lines = text.split("\n")
+    final = max((i for i, x in enumerate(lines) if x.strip()), default=-1)
+    for i, line in enumerate(lines):
+        tokens = line.split()
+        for k, t in enumerate(tokens):
+            if i == final and k == len(tokens) - 1 and t[-1] not in ".!?":
+                continue
+            want.update({*pairs.last_words(tokens, k)})
+            want[pairs.ANYWHERE] += 1
+    assert +places == +want and all(ends[k] <= n for k, n in places.items())

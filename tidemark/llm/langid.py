@@ -51,6 +51,11 @@ _WORDS = _Words()
 
 def prose(text: str | None) -> list[str]:
     """Lines of plain words of a text."""
+    return [x for x, _ in labelled_prose(text)]
+
+
+def labelled_prose(text: str | None) -> list[tuple[str, int | None]]:
+    """Lines of plain words of a text, with the language that their function words tell."""
     if not text:
         return []
     if "```" in text:
@@ -60,7 +65,11 @@ def prose(text: str | None) -> list[str]:
         tokens = line.split()
         words = [w for w in map(_WORDS.__getitem__, tokens) if w]
         if words and len(words) >= PLAIN * len(tokens):
-            out.append(" ".join(words).replace("’", "'"))
+            x = " ".join(words)
+            if "’" in x:
+                x = x.replace("’", "'")
+                words = x.split(" ")
+            out.append((x, seed_label(words)))
     return out
 
 
@@ -73,16 +82,18 @@ def _grams(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return (h % np.uint32(BUCKETS)).astype(np.int64), begin
 
 
-def seed_label(line: str) -> int | None:
+def seed_label(words: list[str]) -> int | None:
     """The language whose function words clearly prevail in a line."""
-    words = line.split()
-    n = [sum(w in s for w in words) for s in _SEED_SETS]
-    best = int(np.argmax(n))
-    rest = sorted(n)[-2]
-    return best if n[best] >= 3 and n[best] >= 2 * rest + 1 else None
+    hits = [k for of in map(_SEED_OF.get, words) if of for k in of]
+    if len(hits) < 3:
+        return None
+    n = [hits.count(k) for k in range(len(LANGUAGES))]
+    most, rest = sorted(n)[:-3:-1]
+    return n.index(most) if most >= 3 and most >= 2 * rest + 1 else None
 
 
-_SEED_SETS = [frozenset(s.split()) for s in SEEDS.values()]
+#: The languages of each seed word.
+_SEED_OF = {w: tuple(k for k, s in enumerate(SEEDS.values()) if w in s.split()) for s in SEEDS.values() for w in s.split()}
 
 
 def _counts(lines: list[str], labels: list[int | None]) -> np.ndarray:
@@ -104,10 +115,10 @@ def likelihoods(counts: np.ndarray, smoothing: float = 0.5) -> np.ndarray:
     return np.log(counts / counts.sum(axis=0)).astype(np.float32)
 
 
-def seed_counts(texts: list[list[str]]) -> np.ndarray:
-    """Counts of the lines of prose whose function words tell their language."""
+def seed_counts(texts: list[list[tuple[str, int | None]]]) -> np.ndarray:
+    """Counts of the lines of labelled prose whose function words tell their language."""
     lines = [x for t in texts for x in t]
-    return _counts(lines, [seed_label(x) for x in lines])
+    return _counts([x for x, _ in lines], [y for _, y in lines])
 
 
 def _scored(model: np.ndarray, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -147,7 +158,7 @@ def pair_counts(first: np.ndarray, pairs: list[tuple[str | None, str | None]], s
 
 def fit(texts: list[str]) -> np.ndarray:
     """Log likelihoods, a row per bucket and a column per language."""
-    return likelihoods(seed_counts([prose(t) for t in texts]))
+    return likelihoods(seed_counts([labelled_prose(t) for t in texts]))
 
 
 def fit_pairs(pairs: list[tuple[str | None, str | None]]) -> np.ndarray:

@@ -177,32 +177,81 @@ def last_words(tokens: list[str], at: int) -> tuple[str, str, str]:
     return five, three, "1 " + five.rpartition(" ")[2]
 
 
-def count_ends(text: str, wanted: frozenset[str] | None, last: frozenset[str] | None, places: Counter, ends: Counter) -> None:
+class _Ends(dict):
+    """Of each token its kind at a sentence's end, whether that is among the wanted last words, whether a mark of the end closes it, and whether it closes a sentence before others."""
+
+    def __init__(self, last: frozenset[str] | None):
+        super().__init__()
+        self.last = last
+
+    def __missing__(self, t: str) -> tuple[str, bool, bool, bool]:
+        if len(self) > 1 << 17:
+            self.clear()
+        stop = t[-1] in ".!?"
+        kind = _KINDS[t.rstrip(".!?") if stop else t]
+        self[t] = x = kind, self.last is None or kind in self.last, stop, stop and len(t) > 1 and not t[:-1].isdigit()
+        return x
+
+
+class _Middle(dict):
+    """Of each token its kind within a sentence."""
+
+    def __missing__(self, t: str) -> str:
+        if len(self) > 1 << 17:
+            self.clear()
+        kind = _KINDS[t]
+        self[t] = kind = "P" if kind[:2] == "P." else kind
+        return kind
+
+
+_MIDDLE = _Middle()
+
+
+def count_ends(text: str, wanted: frozenset[str] | None, known: _Ends, places: Counter, ends: Counter) -> None:
     """Count where n-grams (the wanted ones, if given) stand at all, and where a sentence is seen to end on them: by punctuation, or by a line that more text follows.
 
-    The open end of the text is left out, as it tells neither. All places and
-    ends together count under ``ANYWHERE``.
+    ``known`` looks tokens up. The open end of the text is left out, as it tells
+    neither. All places and ends together count under ``ANYWHERE``.
     """
     lines = text.split("\n")
     final = max((i for i, x in enumerate(lines) if x.strip()), default=-1)
     any_places = any_ends = 0
     for i, line in enumerate(lines):
         tokens = line.split()
+        if not tokens:
+            continue
         end = len(tokens) - 1
-        for k, t in enumerate(tokens):
-            stop = t[-1] in ".!?"
+        middle = [_MIDDLE[t] for t in tokens]
+        closed = i < final and end < LINE_WORDS
+        first = 0  # where the sentence begins
+        for k, (kind, hit, stop, breaks) in enumerate([known[t] for t in tokens]):
+            here = stop and len(tokens[k]) > 1 or k == end and closed
             if i == final and k == end and not stop:
-                continue
-            ends_here = stop and len(t) > 1 or k == end and i < final and end < LINE_WORDS
-            any_ends += ends_here
+                break
+            any_ends += here
             any_places += 1
-            if last is not None and _KINDS[t.rstrip(".!?") if stop else t] not in last:
-                continue
-            for words in {*last_words(tokens, k)}:
-                if wanted is None or words in wanted:
-                    places[words] += 1
-                    if ends_here:
-                        ends[words] += 1
+            if hit:
+                begin = k - 4 if k - 4 > first else first
+                words = middle[begin:k]
+                words.append(kind)
+                if len(words) < 5:
+                    five = three = " ".join(["^", *words])
+                else:
+                    five, three = " ".join(words), " ".join(words[2:])
+                if wanted is None or five in wanted:
+                    places[five] += 1
+                    if here:
+                        ends[five] += 1
+                if three != five and (wanted is None or three in wanted):
+                    places[three] += 1
+                    if here:
+                        ends[three] += 1
+                one = f"1 {kind}"
+                places[one] += 1
+                if here:
+                    ends[one] += 1
+            if breaks:
+                first = k + 1
     places[ANYWHERE] += any_places
     ends[ANYWHERE] += any_ends
 
@@ -270,12 +319,12 @@ def _prepared(rows: DataFrame) -> DataFrame:
             for k in range(0, batch.num_rows, 2000):
                 b = batch.slice(k, 2000)
                 texts = [c.to_pylist() for c in b.columns[1:3]]
-                prose = [[langid.prose(t) for t in side] for side in texts]
+                prose = [[langid.labelled_prose(t) for t in side] for side in texts]
                 openings = [refusals.opening(t) if t else None for t in texts[1]]
                 total[:_BACKGROUND] += langid.seed_counts([*prose[0], *prose[1]]).ravel()
                 total[_BACKGROUND:] += refusals.background(openings)
                 none = pa.nulls(b.num_rows, pa.float64())
-                yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array([" ".join(x) for x in side], pa.string()) for side in prose), pa.array(openings, pa.string()), none.cast(pa.int64()), none], names=COLUMNS)
+                yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array([" ".join([line for line, _ in x]) for x in side], pa.string()) for side in prose), pa.array(openings, pa.string()), none.cast(pa.int64()), none], names=COLUMNS)
         at = np.flatnonzero(total)
         none = pa.nulls(len(at), pa.string())
         yield pa.RecordBatch.from_arrays([none.cast(pa.int64()), none, none, none.cast(pa.int64()), none, none, none, pa.array(at), pa.array(total[at])], names=COLUMNS)
@@ -372,6 +421,7 @@ def find_defects(turns: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, last = shared.value
+        known = _Ends(last)
         places: Counter = Counter()
         ends: Counter = Counter()
 
@@ -385,7 +435,7 @@ def find_defects(turns: DataFrame) -> DataFrame:
         for batch in batches:
             for a in batch.column(0).to_pylist():
                 if a:
-                    count_ends(a, words, last, places, ends)
+                    count_ends(a, words, known, places, ends)
                 if len(places) > 400_000:
                     yield flush()
         yield flush()

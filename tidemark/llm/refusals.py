@@ -125,10 +125,10 @@ PRIOR = 4.0
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 _QUOTED = re.compile(r"[\"“„«][^\"“”„«»]*[\"”“»]")
 #: Paths, identifiers, numbers and code, each as one word.
-_CODE = re.compile(r"`[^`\n]*`|\S*(?:[\w-][/_]|\w\.\w|[a-z][A-Z]|\(\)|\d)\S*")
+_CODE = re.compile(r"`.*|.*`[.,;:!?]*|.*(?:[\w-][/_]|\w\.\w|[a-z][A-Z]|\(\)|\d).*")
 _TOKEN = re.compile(r"[^\W_]+(?:'[^\W_]+)*|[^\W\d_]")
 #: What stands for quotes and for code.
-_QUOTE, _NAME = " quotedwords ", " codename "
+_QUOTE, _NAME = " quotedwords ", "codename"
 
 
 def sentences(text: str) -> list[str]:
@@ -156,9 +156,25 @@ class _Hashes(dict):
 _HASHES = _Hashes()
 
 
+class _Words(dict):
+    """The words of a token."""
+
+    def __missing__(self, token: str) -> list[str]:
+        if len(self) > 1 << 17:
+            self.clear()
+        w = self[token] = [_NAME] if _CODE.fullmatch(token) else _TOKEN.findall(token.replace("’", "'").lower())
+        return w
+
+
+_WORDS = _Words()
+
+
 def grams(sentence: str) -> list[int]:
     """Hashed words, pairs and triples of words."""
-    w = ["<", *_TOKEN.findall(_CODE.sub(_NAME, _QUOTED.sub(_QUOTE, sentence)).replace("’", "'").lower()), ">"]
+    w = ["<"]
+    for token in _QUOTED.sub(_QUOTE, sentence).split():
+        w += _WORDS[token]
+    w.append(">")
     return [_HASHES[g] for g in (*w[1:-1], *map(" ".join, zip(w, w[1:])), *map(" ".join, zip(w, w[1:], w[2:])))]
 
 
