@@ -113,3 +113,9 @@ def test_counted_places_are_those_of_last_words(parts):
             want.update({*pairs.last_words(tokens, k)})
             want[pairs.ANYWHERE] += 1
     assert +places == +want and all(ends[k] <= n for k, n in places.items())
+    # those that are wanted count the same by themselves
+    some = frozenset(k for i, k in enumerate(sorted(want)) if k != pairs.ANYWHERE and i % 2)
+    if some:
+        own = [Counter(), Counter()]
+        pairs.count_ends(text, some, pairs._Ends(some), *own)
+        assert all((own[0][k], own[1][k]) == (places[k], ends[k]) for k in some)

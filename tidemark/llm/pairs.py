@@ -177,22 +177,41 @@ def last_words(tokens: list[str], at: int) -> tuple[str, str, str]:
     return five, three, "1 " + five.rpartition(" ")[2]
 
 
+_HIT, _STOP, _ENDS, _BREAKS = 1, 2, 4, 8
+
+
 class _Ends(dict):
-    """Of each token its kind at a sentence's end, whether that is among the wanted last words, whether a mark of the end closes it, and whether it closes a sentence before others."""
+    """What each token is: a wanted last word, closed by a mark of the end, the end of a sentence, and such a one before others; 0 for most."""
 
-    def __init__(self, last: frozenset[str] | None):
+    def __init__(self, wanted: frozenset[str] | None):
         super().__init__()
-        self.last = last
+        self.last = wanted and frozenset(w.rpartition(" ")[2] for w in wanted)
+        #: the last three words of the wanted n-grams, or all there are
+        self.tails = wanted and frozenset(tuple(w.rsplit(" ", 3)[-3:]) for w in wanted)
 
-    def __missing__(self, t: str) -> tuple[str, bool, bool, bool]:
+    def __missing__(self, t: str) -> int:
         if len(self) > 1 << 17:
             self.clear()
-        stop = t[-1] in ".!?"
-        kind = _KINDS[t.rstrip(".!?") if stop else t]
-        self[t] = x = kind, self.last is None or kind in self.last, stop, stop and len(t) > 1 and not t[:-1].isdigit()
+        x = _HIT if self.last is None or _AT_END[t] in self.last else 0
+        if t[-1] in ".!?":
+            x |= _STOP | (_ENDS if len(t) > 1 else 0) | (_BREAKS if len(t) > 1 and not t[:-1].isdigit() else 0)
+        self[t] = x
         return x
 
 
+class _AtEnd(dict):
+    """Of each token its kind at a sentence's end."""
+
+    def __missing__(self, t: str) -> str:
+        if len(self) > 1 << 17:
+            self.clear()
+        kind = self[t] = _KINDS[t.rstrip(".!?") if t[-1] in ".!?" else t]
+        return kind
+
+
+_AT_END = _AtEnd()
+
+
 class _Middle(dict):
     """Of each token its kind within a sentence."""
 
@@ -213,45 +232,65 @@ def count_ends(text: str, wanted: frozenset[str] | None, known: _Ends, places: C
     ``known`` looks tokens up. The open end of the text is left out, as it tells
     neither. All places and ends together count under ``ANYWHERE``.
     """
+    text = text.rstrip()
     lines = text.split("\n")
-    final = max((i for i, x in enumerate(lines) if x.strip()), default=-1)
+    final = len(lines) - 1
     any_places = any_ends = 0
+    tails, look, at_end, middle = known.tails, known.__getitem__, _AT_END, _MIDDLE
+    ones: list[str] = []
+    ended: list[str] = []
     for i, line in enumerate(lines):
         tokens = line.split()
         if not tokens:
             continue
+        codes = list(map(look, tokens))
         end = len(tokens) - 1
-        middle = [_MIDDLE[t] for t in tokens]
-        closed = i < final and end < LINE_WORDS
+        if codes[end] & _STOP == 0:
+            if i == final:
+                codes.pop()  # the open end
+            elif end < LINE_WORDS:
+                codes[end] |= _ENDS
+        any_places += len(codes)
+        if not any(codes):
+            continue
         first = 0  # where the sentence begins
-        for k, (kind, hit, stop, breaks) in enumerate([known[t] for t in tokens]):
-            here = stop and len(tokens[k]) > 1 or k == end and closed
-            if i == final and k == end and not stop:
-                break
-            any_ends += here
-            any_places += 1
-            if hit:
-                begin = k - 4 if k - 4 > first else first
-                words = middle[begin:k]
-                words.append(kind)
-                if len(words) < 5:
-                    five = three = " ".join(["^", *words])
-                else:
-                    five, three = " ".join(words), " ".join(words[2:])
-                if wanted is None or five in wanted:
-                    places[five] += 1
-                    if here:
-                        ends[five] += 1
-                if three != five and (wanted is None or three in wanted):
-                    places[three] += 1
-                    if here:
-                        ends[three] += 1
-                one = f"1 {kind}"
-                places[one] += 1
+        for k, x in enumerate(codes):
+            if not x:
+                continue
+            here = x & _ENDS
+            if here:
+                any_ends += 1
+            if x & _HIT:
+                kind = at_end[tokens[k]]
+                ones.append(kind)
                 if here:
-                    ends[one] += 1
-            if breaks:
+                    ended.append(kind)
+                if k - first > 1:
+                    tail = middle[tokens[k - 2]], middle[tokens[k - 1]], kind
+                elif k > first:
+                    tail = "^", middle[tokens[k - 1]], kind
+                else:
+                    tail = "^", kind
+                if tails is None or tail in tails:
+                    words = [middle[t] for t in tokens[k - 4 if k - 4 > first else first:k]]
+                    words.append(kind)
+                    if len(words) < 5:
+                        five = three = " ".join(["^", *words])
+                    else:
+                        five, three = " ".join(words), " ".join(words[2:])
+                    if wanted is None or five in wanted:
+                        places[five] += 1
+                        if here:
+                            ends[five] += 1
+                    if three != five and (wanted is None or three in wanted):
+                        places[three] += 1
+                        if here:
+                            ends[three] += 1
+            if x & _BREAKS:
                 first = k + 1
+    for into, kinds in ((places, ones), (ends, ended)):
+        for kind, n in Counter(kinds).items():
+            into[f"1 {kind}"] += n
     places[ANYWHERE] += any_places
     ends[ANYWHERE] += any_ends
 
@@ -417,11 +456,11 @@ def find_defects(turns: DataFrame) -> DataFrame:
     asked = cut(open_.select(F.explode(F.array("five", "three", "one")).alias("words")).distinct(), "last-words")
     few = asked.limit(BROADCAST_WORDS + 1).collect()
     wanted = frozenset(r["words"] for r in few) if len(few) <= BROADCAST_WORDS else None
-    shared = sc.broadcast((wanted, wanted and frozenset(w.rpartition(" ")[2] for w in wanted)))
+    shared = sc.broadcast(wanted)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, last = shared.value
-        known = _Ends(last)
+        words = shared.value
+        known = _Ends(words)
         places: Counter = Counter()
         ends: Counter = Counter()
 
