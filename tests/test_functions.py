@@ -44,12 +44,21 @@ def test_vectors(spark):
     assert one(spark, E.cosine(v(1, 0), v(2, 0))) == 1.0 and one(spark, E.cosine(v(0, 0), v(1, 0))) is None and one(spark, E.usable(v(1, 2), F.lit(2))) is True and one(spark, E.usable(v(0, 0), F.lit(2))) is False and one(spark, E.usable(v(1, float("nan")), F.lit(2))) is False
 
 
-@pytest.mark.parametrize("text,strip,escape", [("plain", "plain", "plain"), ("$(rm x)", "rm x", "\\$(rm x)"), ("`a` $($(b))", "a b", "\\`a\\` \\$(\\$(b))"), ("\\`a\\`", None, "\\`a\\`"), ("cost $5", "cost $5", "cost $5")])
+@pytest.mark.parametrize("text,strip,escape", [
+    ("plain", "plain", "plain"), ("$(rm x)", "rm x", "$\\(rm x)"), ("`a` $($(b))", "a b", "\\`a\\` $\\($\\(b))"), ("\\`a\\`", None, "\\`a\\`"), ("cost $5", "cost $5", "cost $5"), ("cat <<EOF", "cat EOF", "cat <\\<EOF"), ("${HOME}/x", "HOME/x", "$\\{HOME}/x"),
+    ("diff <(a) >(b (c))", "diff a b (c)", "diff <\\(a) >\\(b (c))"), ("a\n  && make; b", "a\n   make; b", "a\n  \\&\\& make; b"), ("a\n\\&& b", "a\n b", "a\n\\&\\& b"), ("Tom & Jerry; x", "Tom & Jerry; x", "Tom & Jerry; x"), ("a \x1b]0;t\x07b\x1b[31mc\rd", "a bcd", "a bcd"),
+    ("cat <<EOF && rm x; $(a", "cat EOF && rm x; a", "cat <\\<EOF && rm x; $\\(a")])
 def test_shell(text, strip, escape):
     assert strip is None or shell.stripped(text) == strip
     assert shell.escaped(text) == escape and not shell.detected(escape)
 
 
+@pytest.mark.parametrize("text,want", [("first\n| grep x", True), ("first\n  ; rm", True), ("x\n|| true", True), ("& disown", True), ("first\n\\&& make", True), ("a\x00b", True), ("a\rb", True), ("cat <<< x", True), ("first; then second", False), ("a < b and b > c", False),
+                                       ("run \\`date\\` first", False), ("first\n\\&\\& make", False), ("one\n\tindented", False), ("", False)])
+def test_shell_is_detected(text, want):
+    assert shell.detected(text) is want
+
+
 @given(st.text(alphabet="$(){}`\\a<>&|", max_size=30))
 def test_shell_is_idempotent(text):
     assert shell.escaped(shell.escaped(text)) == shell.escaped(text) and not shell.detected(shell.escaped(text))
@@ -58,7 +67,7 @@ def test_shell_is_idempotent(text):
 
 def test_shell_column(spark):
     df = spark.createDataFrame([("$(a)",), ("b",), (None,)], "t string")
-    assert [tuple(r) for r in df.select(shell.has_shell(F.col("t")), shell.escape_shell(F.col("t"))).collect()] == [(True, "\\$(a)"), (False, "b"), (False, None)]
+    assert [tuple(r) for r in df.select(shell.has_shell(F.col("t")), shell.escape_shell(F.col("t"))).collect()] == [(True, "$\\(a)"), (False, "b"), (False, None)]
 
 
 @pytest.mark.parametrize("prompt,want", [(None, None), ("```\n## Fix the **login** page of the shop\nmore", "Fix the login page of the shop"), ("ok", "ok"), ("---\n{}", None), ("word " * 40, "word " * 13 + "word…")])
@@ -67,8 +76,10 @@ def test_titles(prompt, want):
 
 
 def test_units_and_evidence():
-    assert titles.units("One. Two is here.\n\nThe list:\n\n- a") == ["One.", "Two is here.", "The list:\n- a"]
-    assert titles.pack_evidence(["a lease", "no", "the lease queue"], {"lease", "queue"}, 24) == ["a lease", "the lease queue"]
+    assert titles.units("One. Two is here.\n\nThe list:\n\n- a\n\n- b") == ["One.", "Two is here.", "The list:\n\n- a\n\n- b"]
+    assert titles.units("Never do this:\n\nDelete it.") == ["Never do this:\n\nDelete it."] and titles.units("See\n\n1. a") == ["See\n\n1. a"] and titles.units(" \n") == [] and titles.units(None) == []
+    assert titles.pack_evidence(["first unit", "second"], 60) == ("first unit\n\nsecond", 0) and titles.pack_evidence(["first unit", "second"], 40) is None and titles.pack_evidence(["x" * 50], 40) is None and titles.pack_evidence([], 40) is None
+    assert titles.pack_evidence(["a", "b" * 90, "c"], 80) == ("a\n\n" + titles.OMITTED_AFTER, 2) and titles.pack_evidence(["a"], 80, omitted_before=True) == (titles.OMITTED_BEFORE + "\n\na", 0)
 
 
 def test_near_verbatim(spark):
@@ -110,13 +121,35 @@ def test_advance_needs_the_expected_turn(spark):
 
 
 def test_recall(spark):
-    s = spark.createDataFrame([(1, "Lease queue", "x", 1), (2, "other", "the lease queue here", 2), (3, None, None, 3), (4, "lease", None, 4), (5, "none", "none", 5)], "id bigint, title string, prompt string, ended_at bigint")
+    rows = [(1, "Lease queue", "x", None, 1), (2, "other", "the lease queue here", None, 2), (3, None, None, None, 3), (4, "lease", None, None, 4), (5, "none", "none", None, 5), (6, None, None, "queue the lease", 6)]
+    s = spark.createDataFrame(rows, "id bigint, title string, prompt string, rollup string, ended_at bigint")
     c = spark.createDataFrame([(3, "about a queue"), (3, "and a lease")], "id bigint, text string")
-    assert [r.id for r in recall.recall(s, c, "the lease queue").collect()] == [1, 2, 3]
-    assert [r.tier for r in recall.recall(s, c, "the lease queue").collect()] == [5, 4, 2]
-    assert recall.recall(s, c, "absent").collect() == []
+    got = recall.recall(s, c, "the lease queue").collect()
+    assert [r.id for r in got] == [1, 2, 6, 3] and [r.tier for r in got] == [12_000, 10_000, 6_000, 4_500]
+    assert recall.recall(s, c, "absent").collect() == [] and recall.recall(s, c, "please the").collect() == []
     assert [r.id for r in recall.recall(s, c, "lease absent", strict=True).collect()] == []  # no hit reaches the rarest token's weight
-    assert recall.query_tokens("What did we do about the fooBar?") == ["foo", "bar"] and recall.query_tokens("the") == ["the"]
+    assert recall.query_tokens("What about the fooBar?") == ["what", "foo", "bar"] and recall.query_tokens("the") == [] and recall.question("Please, the to") is None
+    q = recall.question("the lease_queue/x in fooBar ﬁle")
+    assert q.components == ("lease", "queue", "x", "in", "foo", "bar", "file") and q.tokens == ("lease_queue/x", "lease", "queue", "x", "in", "foo", "bar", "file")
+    assert len(recall.query_tokens(" ".join(f"w{i}" for i in range(300)))) == 300
+
+
+def test_one_token_is_too_few_beside_two(spark):
+    s = spark.createDataFrame([(i, t, None, None, i) for i, t in enumerate(["alpha beta", "alpha", "beta", "other", "more"])], "id bigint, title string, prompt string, rollup string, ended_at bigint")
+    c = spark.createDataFrame([], "id bigint, text string")
+    assert [r.id for r in recall.recall(s, c, "alpha beta", strict=False).collect()] == [0]
+
+
+def test_best_score_by_session(spark):
+    t = spark.createDataFrame([(1, "queue queue x"), (1, "nothing here"), (2, "queue and a long text with other words"), (3, "none"), (4, "none"), (5, "none")], "id bigint, text string")
+    got = {r.id: r.bm25 for r in recall.bm25_by_session(t, "the queue").collect()}
+    assert set(got) == {1, 2} and got[1] > got[2] > 0 and recall.bm25_by_session(t, "the").collect() == []
+
+
+def test_decisions_go_to_their_turns(spark):
+    d = spark.createDataFrame([(1, "a", "Use sqlite for storage", 7), (1, "b", "use the sqlite storage layer", 99), (1, "c", "something else entirely", None), (1, "d", "is it in on of", None), (2, "e", "alpha", None)], "session_id int, key string, what string, claimed int")
+    t = spark.createDataFrame([(1, 3, ["picked sqlite as storage", "x"]), (1, 5, ["storage layer: sqlite"]), (1, 7, None), (2, 1, [])], "session_id int, turn_index int, decisions array<string>")
+    assert sorted(tuple(r) for r in rollups.attribute(d, t).collect()) == [(1, "a", 7, "claimed"), (1, "b", 5, "matched"), (1, "c", 7, "last"), (1, "d", 7, "last"), (2, "e", 1, "last")]
 
 
 def test_windows_of_time():

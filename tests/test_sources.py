@@ -65,3 +65,25 @@ def test_call_log(spark, tmp_path):
     df = spark.createDataFrame([("a", True, "2025-01-01"), ("b", False, "2025-01-05")], "name string, ok boolean, d string").selectExpr("name", "ok", "cast(d as date) day")
     R.write_calls(df, str(tmp_path / "calls"))
     assert [r.name for r in R.read_calls(spark, str(tmp_path / "calls"), "name string, ok boolean", "2025-01-02").collect()] == ["b"]
+
+
+def test_tail_refuses_files_rewritten_as_long_or_longer_and_passes_over_long_records(tmp_path):
+    from tidemark.sources.records import _TailReader
+
+    p = tmp_path / "a.jsonl"
+    p.write_bytes(b'{"a":1}\n{"a":2}\n{"unfinished')
+    reader = _TailReader({"path": str(tmp_path), "maxrecordbytes": "20"})
+    first = reader.latestOffset()
+    (part,) = reader.partitions({}, first)
+    assert [r[1:] for r in reader.read(part)] == [(0, '{"a":1}'), (8, '{"a":2}')]
+    with p.open("ab") as f:
+        f.write(b'": 3}\n' + b"x" * 3_000_000 + b'\n{"a":4}\n')
+    second = reader.latestOffset()
+    (part,) = reader.partitions(first, second)
+    assert [r[2] for r in reader.read(part)] == ['{"unfinished": 3}', None, '{"a":4}']
+    assert reader.partitions(second, second) == []
+    p.write_bytes(b'{"b":1}\n' + p.read_bytes()[8:] + b'{"b":5}\n')
+    reader.partitions(second, _TailReader({"path": str(tmp_path)}).latestOffset())  # only the bytes before the offset are fingerprinted
+    p.write_bytes(p.read_bytes().replace(b'{"a":4}', b'{"z":4}'))
+    with pytest.raises(ValueError, match="rewritten"):
+        reader.partitions(second, _TailReader({"path": str(tmp_path)}).latestOffset())

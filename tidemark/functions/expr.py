@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Recall tokens: runs of letters and digits.
+#: Recall tokens are runs of letters and digits; humps are split where an upper case letter begins a word.
 COMPONENT = r"[\p{L}\p{N}]+"
 #: Compounds keep their inner punctuation.
 COMPOUND = r"[\p{L}\p{N}]+(?:[._/@:+-][\p{L}\p{N}]+)+"
 BLANK_ENDS = r"(?U)^\s+|\s+$"
-ANSI = r"\x1b\[[0-?]*[ -/]*[@-~]"
-CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]"
+#: Terminal sequences (with parameters; of the operating system, up to their end; of two characters) and control characters other than tab and line feed.
+ANSI = r"\x1b\[[0-?]*[ -/]*[@-~]|\x1b\][^\x07\x1b]*(?:\x07|\x1b\\)?|\x1b[@-_]?"
+CONTROL = r"[\x00-\x08\x0b-\x1f\x7f-\x9f]"
 
 
 def _c(x: Column | str) -> Column:
@@ -34,13 +35,13 @@ def blank(x: Column | str) -> Column:
 
 
 def without_control(x: Column | str) -> Column:
-    """Without ANSI escape sequences and control characters other than tab and line breaks."""
+    """Without terminal sequences and control characters other than tab and line feed."""
     return F.regexp_replace(F.regexp_replace(_c(x), ANSI, ""), CONTROL, "")
 
 
 def folded(x: Column | str) -> Column:
     """Humps split (``fooBar`` to ``foo Bar``, ``ABCDef`` to ``ABC Def``), then lower case."""
-    return F.lower(F.regexp_replace(F.regexp_replace(_c(x), r"(\p{Lu}+)(\p{Lu}\p{Ll})", "$1 $2"), r"([\p{Ll}\p{N}])(\p{Lu})", "$1 $2"))
+    return F.lower(F.regexp_replace(F.regexp_replace(_c(x), r"(\p{Lu}+)(\p{Lu}\p{Ll})", "$1 $2"), r"([\p{Ll}\p{Nd}])(\p{Lu})", "$1 $2"))
 
 
 def components(x: Column | str) -> Column:
@@ -50,7 +51,7 @@ def components(x: Column | str) -> Column:
 
 def lexical_tokens(x: Column | str) -> Column:
     """Distinct compounds and components of a text."""
-    t = F.lower(F.coalesce(_c(x), F.lit("")))
+    t = folded(F.coalesce(_c(x), F.lit("")))
     return F.array_union(F.regexp_extract_all(t, F.lit(COMPOUND), F.lit(0)), components(x))
 
 

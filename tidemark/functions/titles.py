@@ -13,7 +13,10 @@ from pyspark.sql import types as T
 LIMIT, ENOUGH = 72, 20
 _NOISE = re.compile(r"^\s*(?:```|~~~|[-=*_#|]{3,}|\d{4}-\d\d-\d\dT|at \S+ \(|[\w./-]+:\d+|[{}\[\]();]+|https?://\S+|<[^>]+>|\$ |> ?$)")
 _MARKDOWN = re.compile(r"^\s*(?:#{1,6}\s+|>\s*|[-*+•]\s+|\d+[.)]\s+)|[*_`]{1,3}|\[([^\]]*)\]\([^)]*\)")
-_UNITS = re.compile(r"(?<=[.!?])\s+(?=[A-ZÀ-Ý0-9\"'(¿¡])|\n\s*\n+")
+_UNITS = re.compile(r"\n\s*\n|(?<=[.!?])\s+(?=[A-ZÀ-ÖØ-Þ])")
+_ITEM = re.compile(r"\s*(?:[-*]|\d+[.)])\s")
+#: What stands for text left out before and after.
+OMITTED_BEFORE, OMITTED_AFTER = "[Earlier text omitted from this turn.]", "[Later text omitted from this turn.]"
 
 
 def title(prompt: str | None) -> str | None:
@@ -36,29 +39,27 @@ def title(prompt: str | None) -> str | None:
 
 
 def units(text: str | None) -> list[str]:
-    """Sentences and paragraphs of a text; the items of a list stay with the line before them."""
+    """Sentences and paragraphs of a text; a list stays with what leads it in, and so does whatever follows a colon."""
     out: list[str] = []
-    for part in _UNITS.split(text or ""):
-        part = part.strip()
-        if not part:
+    for part in _UNITS.split((text or "").strip()):
+        if not part.strip():
             continue
-        if out and re.match(r"[-*+•]\s|\d+[.)]\s", part) and out[-1].endswith(":"):
-            out[-1] += "\n" + part
+        if out and (_ITEM.match(part) or out[-1].rstrip().endswith(":")):
+            out[-1] += "\n\n" + part
         else:
             out.append(part)
     return out
 
 
-def pack_evidence(parts: list[str], wanted: set[str], limit: int) -> list[str]:
-    """Units that hold wanted words, most words first, as far as they fit; given in text order."""
-    words = [set(re.findall(r"\w+", p.lower())) for p in parts]
-    ranked = sorted((i for i in range(len(parts)) if words[i] & wanted), key=lambda i: (-len(words[i] & wanted), i))
-    taken, used = [], 0
-    for i in ranked:
-        if used + len(parts[i]) + bool(taken) <= limit:
-            taken.append(i)
-            used += len(parts[i]) + bool(len(taken) > 1)
-    return [parts[i] for i in sorted(taken)]
+def pack_evidence(parts: list[str], limit: int, omitted_before: bool = False, extra: int = 0) -> tuple[str, int] | None:
+    """The first units, in order, as far as they fit with the marks for what is left out and ``extra`` characters; and how many are left out. None if the first does not fit."""
+    best = None
+    for n in range(1, len(parts) + 1):
+        text = "\n\n".join([*([OMITTED_BEFORE] if omitted_before else []), *parts[:n], *([OMITTED_AFTER] if n < len(parts) else [])])
+        if len(text) + extra > limit:
+            break
+        best = text, len(parts) - n
+    return best
 
 
 def derived_title(x: Column) -> Column:
@@ -83,4 +84,5 @@ def nfkc(x: Column) -> Column:
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 
-    return F.when(x.rlike(r"[^\x00-\x7f]"), run(x)).otherwise(x)
+    # letters of Latin-1 and typographic quotes and dashes are their own compatibility form
+    return F.when(x.rlike(r"[^\x00-\x7f\u00c0-\u00ff\u2010\u2012-\u2016\u2018-\u2023\u20ac]"), run(x)).otherwise(x)

@@ -9,9 +9,9 @@ from tidemark.functions import expr as E
 
 #: Turns whose text holds this mark were put there by the system itself.
 SENTINEL = "[[session-memory:"
-#: Tags of blocks that cite a source and are not kept, and prompts that only pause.
-CITATIONS = ("oai-mem-citation", "citation")
-PAUSES = ("pause", "pause.", "/pause")
+#: The tag of blocks that cite injected memory and are not kept, and how a prompt asks to do nothing.
+CITATION = "oai-mem-citation"
+PAUSE = r"(?i)\b(?:no\s+(?:hagas?|hacer|toques?)\s+nada(?:\s+de\s+momento)?|do(?:n't| not)\s+(?:do|change|touch)\s+anything|hold\s+off|pause\s+here|wait\s+for\s+now)\b"
 
 
 def assemble(records: DataFrame, file: str = "file", pos: str = "pos") -> DataFrame:
@@ -46,9 +46,9 @@ def accounting(records: DataFrame, raw: str, known: list[str]) -> DataFrame:
 
 
 def projection(turns: DataFrame) -> DataFrame:
-    """Turns as they are kept: citation blocks off, tool calls only with paths, turns that just pause and call nothing left out."""
-    strip = lambda c: E.trimmed(F.regexp_replace(c, rf"(?s)<({'|'.join(CITATIONS)})>.*?</\1>", ""))
+    """Turns as they are kept: citation blocks off, tool calls only with paths, turns that ask to pause and call nothing left out."""
+    strip = lambda c: E.trimmed(F.regexp_replace(c, rf"(?s)<{CITATION}>.*?</{CITATION}>", ""))
     calls = F.filter(F.coalesce("tool_calls", F.array().cast(turns.schema["tool_calls"].dataType)), lambda x: F.coalesce(F.size(x["file_paths"]), F.lit(0)) > 0)
     t = turns.withColumn("kept_calls", calls).withColumn("omitted_calls", F.greatest(F.lit(0), F.coalesce(F.size("tool_calls"), F.lit(0))) - F.size("kept_calls"))
-    pause = F.lower(F.coalesce(E.trimmed("user_prompt"), F.lit(""))).isin(*PAUSES) & (F.coalesce(F.size("tool_calls"), F.lit(0)) <= 0)
-    return t.where(~pause).withColumn("prompt", strip("user_prompt")).withColumn("reply", strip("assistant_response"))
+    t = t.withColumn("prompt", strip("user_prompt")).withColumn("reply", strip("assistant_response"))
+    return t.where(~(F.coalesce(F.col("prompt").rlike(PAUSE), F.lit(False)) & (F.coalesce(F.size("tool_calls"), F.lit(0)) <= 0)))

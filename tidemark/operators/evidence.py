@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import expr as E
+from tidemark.functions.titles import OMITTED_AFTER
 
 
 def chat_evidence(turns: DataFrame, tokens: list[str], candidates: int = 12, shown: int = 3, budget: int = 3000) -> DataFrame:
@@ -95,6 +96,40 @@ def rendered(turns: DataFrame) -> DataFrame:
     return turns.withColumn("rendered", F.concat_ws("\n\n", head, say("User", "user_prompt"), say("Assistant", "assistant_response")))
 
 
+def rollup_units(decisions: DataFrame, pending: DataFrame) -> DataFrame:
+    """``id, pos, unit``: what a session's rollup says, decisions with their reasons (``id, pos, what, why``) before open items (``id, pos, item``); decisions without a reason say too little."""
+    d = decisions.where("what is not null and why is not null").select("id", F.struct(F.lit(0).alias("part"), "pos").alias("pos"), F.concat(F.lit("Decision: "), "what", F.lit("\nWhy: "), "why").alias("unit"))
+    p = pending.where("item is not null").select("id", F.struct(F.lit(1).alias("part"), "pos").alias("pos"), F.concat(F.lit("Pending: "), "item").alias("unit"))
+    return d.unionByName(p)
+
+
+def session_evidence(units: DataFrame, components: list[str], limit: int = 800) -> DataFrame:
+    """``id, text, omitted``: of each session the units that hold any of the words first, then the others, in order, up to the first that does not fit.
+
+    The text with its mark of what is left out, and the statement of coverage
+    that is shown with it, keep within ``limit`` characters. Sessions whose first
+    unit does not fit have no row. Shell syntax is to be escaped where the text
+    is shown.
+    """
+    low = F.lower("unit")
+    holds = F.lit(False)
+    for w in components:
+        holds = holds | F.contains(low, F.lit(w))
+    w = Window.partitionBy("id").orderBy(~F.col("holds"), "pos")
+    u = units.withColumn("holds", holds)
+    u = u.withColumn("n", F.row_number().over(w)).withColumn("all", F.count("*").over(Window.partitionBy("id")))
+    left = F.col("all") - F.col("n")
+    size = F.sum(F.length("unit") + 2).over(w.rowsBetween(Window.unboundedPreceding, 0)) - 2 + F.when(left > 0, 2 + len(OMITTED_AFTER)).otherwise(0) + F.length(coverage(left)) + 1
+    u = u.withColumn("fits", F.min((size <= limit)).over(w.rowsBetween(Window.unboundedPreceding, 0))).where("fits")
+    g = u.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "unit"))), lambda x: x["unit"]), "\n\n").alias("text"), (F.max("all") - F.max("n")).alias("omitted"))
+    return g.select("id", F.when(F.col("omitted") > 0, F.concat("text", F.lit("\n\n" + OMITTED_AFTER))).otherwise(F.col("text")).alias("text"), "omitted")
+
+
+def coverage(omitted: Column) -> Column:
+    """The statement of what evidence covers."""
+    return F.concat(F.lit("Coverage: stored rollup; "), omitted.cast("string"), F.lit(" later evidence units omitted; other session material excluded; relevance unverified."))
+
+
 def attach_children(sessions: DataFrame, parent: str = "parent_id") -> DataFrame:
     """``id, children``: top sessions with the children attached to them; a child whose parent is not stored stands by itself."""
     s = sessions.select("id", F.col(parent).alias("_p"))

@@ -33,9 +33,9 @@ def emptied_projects(sessions: DataFrame, plan: DataFrame) -> DataFrame:
     return plan.select("project_id").distinct().join(left, "project_id", "left_anti")
 
 
-def export(tables: dict[str, DataFrame], projects: list[str]) -> dict[str, DataFrame]:
-    """The rows of each table that belong to projects at the given paths: projects, their sessions, memories and copies, by semi-joins."""
-    p = tables["projects"].where(F.col("path").isin(projects))
+def export(tables: dict[str, DataFrame], paths: DataFrame) -> dict[str, DataFrame]:
+    """The rows of each table that belong to projects at the given paths (``path``): projects, their sessions, memories and copies, by semi-joins."""
+    p = tables["projects"].join(paths.select("path").distinct(), "path", "left_semi")
     s = tables["sessions"].join(p.select(F.col("id").alias("project_id")), "project_id", "left_semi")
     m = tables["memories"].join(s.select(F.col("id").alias("session_id")), "session_id", "left_semi")
     t = tables["filtered_turns"].join(m.select(F.col("id").alias("memory_id")), "memory_id", "left_semi")

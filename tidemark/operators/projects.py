@@ -38,12 +38,13 @@ def groups(projects: DataFrame) -> DataFrame:
 
 
 def consent(paths: DataFrame, roots: DataFrame, path: str = "path") -> DataFrame:
-    """``path, state``: the state of the deepest root that holds a path; ``pending`` without any.
+    """``path, state``: the state of the deepest decided root that holds a path; ``pending`` without any.
 
-    Of roots at one path the one from the command line, then decided last, then
-    of the largest id counts.
+    A pending root is no decision, so one above it holds. Of roots at one path
+    the one from the command line, then decided last, then of the largest id
+    counts.
     """
-    best = roots.withColumn("_rn", F.row_number().over(Window.partitionBy("root").orderBy(F.desc(F.col("source") == "cli"), F.desc("decided_at"), F.desc("ulid")))).where("_rn = 1").select("root", "state")
+    best = roots.where("state <> 'pending'").withColumn("_rn", F.row_number().over(Window.partitionBy("root").orderBy(F.desc(F.col("source") == "cli"), F.desc("decided_at"), F.desc("ulid")))).where("_rn = 1").select("root", "state")
     probe = paths.select(path).distinct()
     up = probe.select(path, F.posexplode(ancestors(path)).alias("depth", "root"))
     found = up.join(best, "root").groupBy(path).agg(F.max_by("state", "depth").alias("state"))
@@ -80,11 +81,16 @@ def resolve(projects: DataFrame, names: DataFrame) -> DataFrame:
 
     Ranks: 1 path, 2 git root, 3 remote, 4 name or last part of the path, 5 a part of the path. Several rows at one rank are an ambiguity.
     """
-    p = projects.select("id", "path", "git_root", "git_remote", "display_name")
-    q = F.col("query")
-    rank = (F.when(F.col("path") == q, 1).when(F.col("git_root") == q, 2).when(F.col("git_remote") == q, 3)
-            .when((F.lower("display_name") == F.lower(q)) | (F.lower(F.element_at(F.split("path", "/"), -1)) == F.lower(q)), 4).when(F.contains(F.lower("path"), F.lower(q)), 5))
-    hits = p.join(F.broadcast(names.select("query").distinct()), rank.isNotNull()).withColumn("rank", rank)
+    q = names.where("query is not null").select("query").distinct()
+    last = F.lower(F.element_at(F.split("path", "/"), -1))
+    keys = [F.struct(F.lit(r).alias("rank"), k.alias("key")) for r, k in ((1, F.col("path")), (2, F.col("git_root")), (3, F.col("git_remote")), (4, F.lower("display_name")), (4, last))]
+    p = projects.select("id", F.inline(F.array(*keys))).where("key is not null").distinct()
+    asked = q.select("query", F.inline(F.array(*[F.struct(F.lit(r).alias("rank"), (F.lower("query") if r == 4 else F.col("query")).alias("key")) for r in (1, 2, 3, 4)])))
+    exact = cut(asked.join(p, ["rank", "key"]).select("query", "rank", "id").distinct(), "named")
+    # only what nothing equals is looked for within the paths
+    rest = q.join(exact.select("query").distinct(), "query", "left_anti")
+    part = rest.join(projects.where("path is not null").select("id", F.lower("path").alias("low")), F.contains(F.col("low"), F.lower("query"))).select("query", F.lit(5).alias("rank"), "id")
+    hits = exact.unionByName(part)
     return hits.withColumn("_best", F.min("rank").over(Window.partitionBy("query"))).where("rank = _best").select("query", "rank", "id")
 
 

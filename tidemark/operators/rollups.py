@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,21 +41,29 @@ def advance(rollups: DataFrame, batch: DataFrame) -> DataFrame:
 def pack(rows: DataFrame, key: str, order: list[str], size: str, limit: int) -> DataFrame:
     """Batch numbers: rows in order, a new batch where the next one would pass ``limit``; a row beyond it stands alone.
 
-    The sum starts anew at each batch, so it is no prefix sum: rows are folded
-    per key. Only sizes are folded, texts stay outside.
+    The sum starts anew at each batch, so it is no prefix sum: the rows of a key
+    come in order and are walked once, however many there are; only sizes are
+    walked, texts stay outside.
     """
-    w = Window.partitionBy(key).orderBy(*order)
-    n = rows.withColumn("_n", F.row_number().over(w))
-    packed = n.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("_n").alias("n"), F.col(size).cast("bigint").alias("s")))).alias("items"))
-    start = F.struct(F.lit(0).alias("b"), F.lit(0).cast("bigint").alias("sum"), F.array().cast("array<struct<n:int,batch:int>>").alias("out"))
-
-    def step(acc, x):
-        new = (acc["sum"] > 0) & (acc["sum"] + x["s"] > limit)
-        b = acc["b"] + new.cast("int")
-        return F.struct(b.alias("b"), F.when(new, x["s"]).otherwise(acc["sum"] + x["s"]).alias("sum"), F.concat(acc["out"], F.array(F.struct(x["n"].alias("n"), b.alias("batch")))).alias("out"))
-
-    numbers = packed.select(key, F.inline(F.aggregate("items", start, step, lambda acc: acc["out"]))).withColumnRenamed("n", "_n")
-    return n.join(numbers, [key, "_n"]).drop("_n")
+    n = rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+    kind = rows.schema[key].dataType.simpleString()
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, batch_no, total = object(), 0, 0
+        for part in batches:
+            out = []
+            for k, s in zip(part.column(0).to_pylist(), part.column(2).to_pylist()):
+                if k != current:
+                    current, batch_no, total = k, 0, 0
+                if total > 0 and total + s > limit:
+                    batch_no, total = batch_no + 1, 0
+                total += s
+                out.append(batch_no)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.int32())], names=[key, "_n", "batch"])
+
+    sizes = n.select(key, "_n", F.coalesce(F.col(size), F.lit(0)).cast("bigint").alias("_s")).repartition(key).sortWithinPartitions(key, "_n")
+    numbers = sizes.mapInArrow(walk, f"`{key}` {kind}, _n int, batch int").withColumnRenamed(key, "_k")
+    return n.join(numbers, F.col(key).eqNullSafe(F.col("_k")) & (n["_n"] == numbers["_n"])).drop("_n", "_k")
 
 
 def newest_within(rows: DataFrame, key: str, order: list[Column], size: Column, budget: int, separator: int = 1) -> DataFrame:
@@ -61,14 +72,37 @@ def newest_within(rows: DataFrame, key: str, order: list[Column], size: Column,
     return rows.withColumn("_sum", F.sum(size + separator).over(w) - separator).where(F.col("_sum") <= budget).drop("_sum")
 
 
+#: Words that tell nothing of where a decision came from.
+STOP_WORDS = ("the", "a", "an", "to", "for", "and", "or", "with", "by", "as", "at", "is", "are", "was", "were", "be", "been", "it", "its", "this", "that", "from", "into", "use", "used", "using", "in", "on", "of")
+
+
+def telling_words(x: Column | str) -> Column:
+    """Distinct words of a text that tell it from others: ASCII words and paths of three characters or more that are no stop words."""
+    words = F.split(F.regexp_replace(F.lower(F.coalesce(E._c(x), F.lit(""))), r"[^a-z0-9_./-]+", " "), " ")
+    return F.array_distinct(F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(*STOP_WORDS)))
+
+
 def attribute(decisions: DataFrame, turns: DataFrame, least: float = 0.5) -> DataFrame:
-    """The turn each decision came from: of its session the one that shares most of its words (at least half of the smaller set; the earliest of equals), else the last."""
-    t = turns.select("session_id", F.col("turn_index").alias("t"), F.array_distinct(E.components("text")).alias("words"))
-    d = decisions.select("session_id", "key", F.array_distinct(E.components("what")).alias("own"))
-    o = F.size(F.array_intersect("own", "words")) / F.least(F.size("own"), F.size("words"))
-    both = d.join(t, "session_id").withColumn("o", F.when((F.size("own") > 0) & (F.size("words") > 0), o).otherwise(0.0))
-    g = both.groupBy("session_id", "key").agg(F.min(F.when(F.col("o") >= least, F.struct((-F.col("o")).alias("neg"), "t"))).alias("best"), F.max("t").alias("last"))
-    return g.select("session_id", "key", F.coalesce("best.t", "last").alias("turn_index"), F.col("best").isNotNull().alias("matched"))
+    """``session_id, key, turn_index, how``: the turn each decision came from.
+
+    ``decisions`` has ``session_id, key, what, claimed``, ``turns`` ``session_id,
+    turn_index, decisions`` (a batch's turns with their own decision texts). A
+    claimed turn counts if it is one of the batch (``claimed``); else the turn
+    whose decisions share most words, at least half of the smaller set, the
+    earliest of equals (``matched``); else the last turn (``last``). Decisions
+    meet turns by the words they share, not each with each.
+    """
+    t = turns.select("session_id", F.col("turn_index").alias("t"), telling_words(F.array_join("decisions", " ")).alias("words")).withColumn("theirs", F.size("words"))
+    d = decisions.select("session_id", "key", "claimed", telling_words("what").alias("words")).withColumn("own", F.size("words"))
+    shared = (d.select("session_id", "key", "own", F.explode("words").alias("w")).join(t.select("session_id", "t", "theirs", F.explode("words").alias("w")), ["session_id", "w"])
+              .groupBy("session_id", "key", "own", "t", "theirs").agg(F.count("*").alias("n")))
+    score = F.col("n") / F.least("own", "theirs")
+    best = shared.where(score >= least).groupBy("session_id", "key").agg(F.min(F.struct((-score).alias("neg"), "t")).alias("best"))
+    is_turn = t.select("session_id", F.col("t").alias("claimed"), F.lit(True).alias("is_turn")).distinct()
+    last = t.groupBy("session_id").agg(F.max("t").alias("last"))
+    g = d.drop("words", "own").join(is_turn, ["session_id", "claimed"], "left").join(best, ["session_id", "key"], "left").join(last, "session_id")
+    how = F.when(F.col("is_turn"), "claimed").when(F.col("best").isNotNull(), "matched").otherwise("last")
+    return g.select("session_id", "key", F.when(F.col("is_turn"), F.col("claimed")).otherwise(F.coalesce("best.t", "last")).alias("turn_index"), how.alias("how"))
 
 
 def failure_windows(events: DataFrame, key: str, order: list[str], failed: Column, size: int = 20, least: int = 5, share: float = 0.3) -> DataFrame:

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from tidemark.functions import expr as E
 
 
+#: What a session's stored content may cover.
+BUCKETS = ("complete", "complete_truncated", "incomplete", "evicted", "never")
+
+
 def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key in the given order."""
     return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_rn = 1").drop("_rn")
@@ -37,19 +41,24 @@ def served_kind() -> Column:
     return ~F.coalesce(F.col("kind"), F.lit("")).eqNullSafe("adjudicator")
 
 
-def served_sessions(sessions: DataFrame, memories: DataFrame) -> DataFrame:
+def served_sessions(sessions: DataFrame, memories: DataFrame, rolled_up: DataFrame, open_turns: DataFrame) -> DataFrame:
     """Served sessions with what a list shows of each.
 
-    Memories are summed up per session before the join, so nothing multiplies.
-    ``substantive``: two turns, or a file touched, or a decision noted.
+    ``rolled_up`` has ``id, notes``, the sessions with a rollup and how many
+    decisions and instructions it holds, ``open_turns`` the ``id`` of sessions
+    with a staged open turn. Memories are summed up per session before the join,
+    so nothing multiplies. ``substantive``: an open turn; else with a rollup its
+    notes or a file touched; else two turns or a file touched.
     """
     per = current_memories(memories).groupBy(F.col("session_id").alias("id")).agg(
         F.count("*").alias("turns"), F.sum(F.size("files_touched").cast("bigint")).alias("files"), F.sum(F.size("decisions").cast("bigint")).alias("decisions"))
-    s = current_sessions(sessions).where(served_kind()).join(per, "id", "left")
+    s = (current_sessions(sessions).where(served_kind()).join(per, "id", "left").join(rolled_up.select("id", "notes").withColumn("rolled_up", F.lit(True)), "id", "left")
+         .join(open_turns.select("id").distinct().withColumn("is_open", F.lit(True)), "id", "left"))
+    noted = F.when(F.coalesce("rolled_up", F.lit(False)), F.coalesce("notes", F.lit(0)) > 0).otherwise(F.coalesce("turns", F.lit(0)) >= 2)
     n = lambda c: F.coalesce(c, F.lit(0)).cast("bigint")
     return s.select(
         "id", "tool", "native_id", "segment_index", "project_id", F.coalesce("custom_title", "title", F.lit("untitled")).alias("title"), F.coalesce("surface", F.lit("unknown")).alias("surface"),
-        ended_at().alias("ended_at"), n("turns").alias("turns"), n("files").alias("files"), ((n("turns") >= 2) | (n("files") > 0) | (n("decisions") > 0)).alias("substantive"))
+        ended_at().alias("ended_at"), n("turns").alias("turns"), n("files").alias("files"), (F.coalesce("is_open", F.lit(False)) | noted | (n("files") > 0)).alias("substantive"))
 
 
 def page(served: DataFrame, before: Column | None = None, tool: str | None = None, limit: int = 20) -> DataFrame:
@@ -107,19 +116,55 @@ def chat_before(memories: DataFrame, sessions: DataFrame) -> DataFrame:
 
 
 def copy_state(memories: DataFrame, turns: DataFrame, version: int) -> DataFrame:
-    """Per memory whether its stored copy is ``current``, ``outdated``, ``excluded`` or ``missing``, and what a search index would hold of it."""
-    c = current_copies(turns).select(F.col("memory_id").alias("id"), "included", "omitted_before_chars", "filter_version")
-    m = current_memories(memories).select("id", "session_id")
-    state = (F.when(F.col("filter_version").isNull(), "missing").when(~F.coalesce("included", F.lit(False)), "excluded").when(F.col("filter_version") < version, "outdated").otherwise("current"))
+    """Per memory whether its stored copy is ``current``, ``outdated`` (of another filter version), ``superseded`` (captured before the turn was ingested again) or ``missing``, and what a search index would hold of it."""
+    c = current_copies(turns).select(F.col("memory_id").alias("id"), "included", "omitted_before_chars", "filter_version", "captured_at", F.lit(True).alias("held"))
+    m = current_memories(memories).select("id", "session_id", "reingested_at")
+    older = F.col("reingested_at").isNotNull() & F.coalesce(F.col("captured_at") < F.col("reingested_at"), F.lit(True))
+    state = F.when(F.col("held").isNull(), "missing").when(~F.col("filter_version").eqNullSafe(F.lit(version)), "outdated").when(older, "superseded").otherwise("current")
     coverage = F.when(~F.coalesce("included", F.lit(False)), "excluded").when(F.coalesce("omitted_before_chars", F.lit(0)) > 0, "truncated").otherwise("included")
     return m.join(c, "id", "left").select("id", "session_id", state.alias("state"), coverage.alias("coverage"))
 
 
-def session_coverage(states: DataFrame) -> DataFrame:
-    """Per session, in order of precedence: ``never`` copied, ``incomplete``, ``complete_truncated``, ``complete``."""
-    g = states.groupBy("session_id").agg(F.count("*").alias("turns"), F.count_if(F.col("state") == "missing").alias("missing"), F.count_if(F.col("state") == "outdated").alias("outdated"), F.count_if(F.col("coverage") == "truncated").alias("truncated"))
-    bucket = (F.when(F.col("missing") == F.col("turns"), "never").when(F.col("missing") + F.col("outdated") > 0, "incomplete").when(F.col("truncated") > 0, "complete_truncated").otherwise("complete"))
-    return g.select("session_id", "turns", bucket.alias("bucket"))
+def capture_states(states: DataFrame, failed: DataFrame) -> DataFrame:
+    """Per session what its capture has come to: ``parse_error`` where parsing ``failed`` (``session_id``), ``disabled_gap`` with any copy that is not current, ``complete_truncated``, ``complete``."""
+    g = states.groupBy("session_id").agg(F.count("*").alias("turns"), F.count_if(F.col("state") != "current").alias("gaps"), F.count_if(F.col("state") != "missing").alias("held"), F.count_if(F.col("coverage") == "truncated").alias("truncated"))
+    bad = failed.select("session_id").distinct().withColumn("bad", F.lit(True))
+    state = F.when(F.col("bad"), "parse_error").when(F.col("gaps") > 0, "disabled_gap").when(F.col("truncated") > 0, "complete_truncated").otherwise("complete")
+    return g.join(bad, "session_id", "left").select("session_id", "turns", "gaps", "held", state.alias("state"))
+
+
+def session_coverage(captures: DataFrame, evicted: DataFrame) -> DataFrame:
+    """Per session, in order of precedence: ``complete`` or ``complete_truncated`` while all copies are current, ``evicted`` (``session_id``), ``incomplete`` with some copy, ``never`` captured."""
+    gone = evicted.select("session_id").distinct().withColumn("gone", F.lit(True))
+    bucket = (F.when(F.col("gone"), "evicted").when(F.col("state").isin("complete", "complete_truncated") & (F.col("gaps") == 0), F.col("state"))
+              .when(F.col("held") > 0, "incomplete").otherwise("never"))
+    return captures.join(gone, "session_id", "left").select("session_id", "turns", bucket.alias("bucket"))
+
+
+def has_real_content(untitled: str = "untitled") -> Column:
+    """Whether a session shows work: an own title, or a title other than that of an untitled one."""
+    return (~E.blank("custom_title")) | (~E.blank("title") & (E.trimmed("title") != untitled))
+
+
+def recall_candidates(sessions: DataFrame, command: str, newest: int | None = None) -> DataFrame:
+    """Sessions that may be recalled, newest first with their ``rank``: served ones, without those that hold nothing but a command (``command`` begins a title or the first prompt and there is no real title). ``newest`` is the recency cap, where one is wanted."""
+    starts = lambda c: F.coalesce(F.startswith(F.lower(F.ltrim(F.col(c))), F.lit(command)), F.lit(False))
+    only = ~has_real_content() & (starts("custom_title") | starts("title") | starts("first_prompt_search"))
+    rows = current_sessions(sessions).where(served_kind() & ~only).withColumn("ended_at", ended_at())
+    if newest is not None:
+        rows = rows.orderBy(F.desc("ended_at"), F.asc("id")).limit(newest)
+    return rows
+
+
+def recall_coverage(candidates: DataFrame, searched: DataFrame, coverage: DataFrame) -> DataFrame:
+    """One row that says what a search has covered: projects and sessions in all, those searched (with an indexed first prompt, among ``searched``), sessions by content coverage, and whether absence is conclusive."""
+    s = searched.select("id", F.lit(True).alias("seen"))
+    c = candidates.join(s, "id", "left").join(coverage.select(F.col("session_id").alias("id"), "bucket"), "id", "left")
+    ok = F.coalesce("seen", F.lit(False)) & F.col("first_prompt_search").isNotNull()
+    per = c.groupBy("project_id").agg(F.count("*").alias("n"), F.count_if(ok).alias("k"), *[F.count_if(F.coalesce("bucket", F.lit("never")) == b).alias(b) for b in BUCKETS], F.count_if(F.coalesce("seen", F.lit(False)) & F.col("first_prompt_search").isNull()).alias("unindexed"))
+    total = lambda x: F.coalesce(F.sum(x), F.lit(0)).alias(x)
+    out = per.agg(F.count("*").alias("projects"), F.count_if(F.col("n") == F.col("k")).alias("projects_searched"), F.coalesce(F.sum("n"), F.lit(0)).alias("sessions"), F.coalesce(F.sum("k"), F.lit(0)).alias("sessions_searched"), *[total(b) for b in BUCKETS], total("unindexed"))
+    return out.withColumn("conclusive", (F.col("sessions") == F.col("sessions_searched")) & (F.col("sessions") == F.col("complete")))
 
 
 def first_prompts(memories: DataFrame, turns: DataFrame) -> DataFrame:

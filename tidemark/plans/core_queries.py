@@ -42,13 +42,23 @@ def size(c: str) -> str:
 
 
 def folded(c: str) -> str:
-    return rf"lower(regexp_replace(regexp_replace({c}, '(\p{{Lu}}+)(\p{{Lu}}\p{{Ll}})', '\1 \2', 'g'), '([\p{{Ll}}\p{{N}}])(\p{{Lu}})', '\1 \2', 'g'))"
+    return rf"lower(regexp_replace(regexp_replace({c}, '(\p{{Lu}}+)(\p{{Lu}}\p{{Ll}})', '\1 \2', 'g'), '([\p{{Ll}}\p{{Nd}}])(\p{{Lu}})', '\1 \2', 'g'))"
 
 
 def components(c: str) -> str:
     return rf"regexp_extract_all({folded(f"coalesce({c}, '')")}, '[\p{{L}}\p{{N}}]+')"
 
 
+def lexical(c: str) -> str:
+    """Compounds and components."""
+    return rf"list_distinct(list_concat(regexp_extract_all({folded(f"coalesce({c}, '')")}, '[\p{{L}}\p{{N}}]+(?:[._/@:+-][\p{{L}}\p{{N}}]+)+'), {components(c)}))"
+
+
+def uncontrolled(c: str) -> str:
+    """Without terminal sequences and control characters."""
+    return rf"regexp_replace(regexp_replace({c}, '\x1b\[[0-?]*[ -/]*[@-~]|\x1b\][^\x07\x1b]*(?:\x07|\x1b\\)?|\x1b[@-_]?', '', 'g'), '[\x00-\x08\x0b-\x1f\x7f-\x9f]', '', 'g')"
+
+
 def utf8(c: str) -> str:
     return f"coalesce(strlen({c}), 0)"
 
@@ -105,21 +115,29 @@ def call_health(spark, d):
 
 # --- served sessions -------------------------------------------------------------------------------------------------
 
-SERVED = ctes("s", "m") + f""", per as (select session_id as id, count(*) as turns, sum({size('files_touched')}) as files, sum({size('decisions')}) as decisions from m group by 1),
+# a rollup is there once all turns of a session are summed up; a session whose last activity is unknown has an open turn
+SERVED = ctes("s", "m") + f""", per as (select session_id as id, count(*) as turns, sum({size('files_touched')}) as files, sum({size('decisions')}) as decisions, bool_and(coalesce(summarizer_status = 'ok', false)) as rolled from m group by 1),
 served as (select s.id, s.tool, native_id, segment_index, project_id, coalesce(custom_title, title, 'untitled') as title, coalesce(surface, 'unknown') as surface,
 coalesce(last_turn_at, last_ingested_at, started_at) as ended_at, cast(coalesce(turns, 0) as bigint) as turns, cast(coalesce(files, 0) as bigint) as files,
-coalesce(turns, 0) >= 2 or coalesce(files, 0) > 0 or coalesce(decisions, 0) > 0 as substantive from s left join per using (id) where kind is distinct from 'adjudicator')"""
+last_turn_at is null or case when coalesce(rolled, false) then coalesce(decisions, 0) > 0 else coalesce(turns, 0) >= 2 end or coalesce(files, 0) > 0 as substantive from s left join per using (id) where kind is distinct from 'adjudicator')"""
+
+
+def _served(spark, d):
+    s, m = _t(spark, d, "sessions", "memories")
+    rolled = (store.current_memories(m).groupBy(F.col("session_id").alias("id")).agg(F.min(F.coalesce(F.col("summarizer_status") == "ok", F.lit(False))).alias("rolled"), F.sum(F.greatest(F.lit(0), F.coalesce(F.size("decisions"), F.lit(0)))).alias("notes"))
+              .where("rolled"))
+    return store.served_sessions(s, m, rolled, store.current_sessions(s).where("last_turn_at is null"))
 
 
 @query(SERVED + " select * from served")
 def served_sessions(spark, d):
-    return store.served_sessions(*_t(spark, d, "sessions", "memories"))
+    return _served(spark, d)
 
 
 @query(SERVED + """, top as (select *, row_number() over (order by ended_at desc, id desc) as rank from served where substantive and tool = 'codex' and ended_at < timestamp '2025-11-01' order by rank limit 21)
 select id, title, ended_at, cast(rank as int) as rank, (select count(*) from top) > 20 as has_more from top where rank <= 20""")
 def list_page(spark, d):
-    served = store.served_sessions(*_t(spark, d, "sessions", "memories"))
+    served = _served(spark, d)
     return store.page(served, F.lit("2025-11-01").cast("timestamp_ntz"), "codex").select("id", "title", "ended_at", "rank", "has_more")
 
 
@@ -156,8 +174,21 @@ def chat_before(spark, d):
     return store.chat_before(*_t(spark, d, "memories", "sessions"))
 
 
-STATES = ctes("m", "c") + """, st as (select m.id, session_id, case when filter_version is null then 'missing' when not coalesce(included, false) then 'excluded' when filter_version < 3 then 'outdated' else 'current' end as state,
+STATES = ctes("m", "c") + """, st as (select m.id, session_id, case when c.memory_id is null then 'missing' when filter_version is distinct from 3 then 'outdated' when reingested_at is not null and coalesce(captured_at < reingested_at, true) then 'superseded' else 'current' end as state,
 case when not coalesce(included, false) then 'excluded' when coalesce(omitted_before_chars, 0) > 0 then 'truncated' else 'included' end as coverage from m left join c on c.memory_id = m.id)"""
+# sessions of the adjudicator stand for those whose parsing failed, sessions without rendered text for those evicted
+CAPTURES = STATES + """, cs as (select session_id, count(*) as turns, count(*) filter (state <> 'current') as gaps, count(*) filter (state <> 'missing') as held, case when session_id in (select id from sessions where kind = 'adjudicator') then 'parse_error'
+when count(*) filter (state <> 'current') > 0 then 'disabled_gap' when count(*) filter (coverage = 'truncated') > 0 then 'complete_truncated' else 'complete' end as state from st group by session_id)"""
+COVERAGE = CAPTURES + """, cov as (select session_id, turns, case when session_id in (select id from sessions where rendered_chars is null) then 'evicted' when state in ('complete', 'complete_truncated') and gaps = 0 then state when held > 0 then 'incomplete' else 'never' end as bucket from cs)"""
+
+
+def _captures(spark, d):
+    s, m, t = _t(spark, d, "sessions", "memories", "filtered_turns")
+    return store.capture_states(store.copy_state(m, t, version=3), s.where("kind = 'adjudicator'").select(F.col("id").alias("session_id")))
+
+
+def _coverage(spark, d):
+    return store.session_coverage(_captures(spark, d), table(spark, d, "sessions").where("rendered_chars is null").select(F.col("id").alias("session_id")))
 
 
 @query(STATES + " select * from st")
@@ -165,10 +196,36 @@ def copy_state(spark, d):
     return store.copy_state(*_t(spark, d, "memories", "filtered_turns"), version=3)
 
 
-@query(STATES + """ select session_id, count(*) as turns, case when count(*) filter (state = 'missing') = count(*) then 'never' when count(*) filter (state in ('missing', 'outdated')) > 0 then 'incomplete'
-when count(*) filter (coverage = 'truncated') > 0 then 'complete_truncated' else 'complete' end as bucket from st group by session_id""")
+@query(CAPTURES + " select * from cs where session_id is not null")
+def capture_states(spark, d):
+    return _captures(spark, d).where("session_id is not null")
+
+
+@query(COVERAGE + " select * from cov where session_id is not null")
 def session_coverage(spark, d):
-    return store.session_coverage(store.copy_state(*_t(spark, d, "memories", "filtered_turns"), version=3))
+    return _coverage(spark, d).where("session_id is not null")
+
+
+# what begins with this word stands for a command
+COMMAND = "fix"
+CANDIDATES = f"""cand as (select *, coalesce(last_turn_at, last_ingested_at, started_at) as ended_at from s where kind is distinct from 'adjudicator' and not (
+not (not {blank('custom_title')} or (not {blank('title')} and {trimmed('title')} <> 'untitled')) and (coalesce(starts_with(lower(ltrim(custom_title)), '{COMMAND}'), false) or coalesce(starts_with(lower(ltrim(title)), '{COMMAND}'), false) or coalesce(starts_with(lower(ltrim(first_prompt_search)), '{COMMAND}'), false))))"""
+
+
+@query(ctes("s") + f", {CANDIDATES} select id, ended_at from cand")
+def recall_candidates(spark, d):
+    return store.recall_candidates(table(spark, d, "sessions"), COMMAND).select("id", "ended_at")
+
+
+@query(COVERAGE + f""", {CTE['s']}, {CANDIDATES}, seen as (select id from cand order by ended_at desc nulls last, id limit 5000),
+x as (select cand.*, seen.id is not null as seen, coalesce(bucket, 'never') as bucket from cand left join seen on seen.id = cand.id left join cov on cov.session_id = cand.id),
+per as (select project_id, count(*) as n, count(*) filter (seen and first_prompt_search is not null) as k from x group by project_id)
+select (select count(*) from per) as projects, (select count(*) from per where n = k) as projects_searched, count(*) as sessions, count(*) filter (seen and first_prompt_search is not null) as sessions_searched, {', '.join(f"count(*) filter (bucket = '{b}') as {b}" for b in store.BUCKETS)},
+count(*) filter (seen and first_prompt_search is null) as unindexed, count(*) = count(*) filter (seen and first_prompt_search is not null) and count(*) = count(*) filter (bucket = 'complete') as conclusive from x""")
+def recall_coverage(spark, d):
+    s = table(spark, d, "sessions")
+    # the newest 5,000 sessions are searched, and what is left out is said
+    return store.recall_coverage(store.recall_candidates(s, COMMAND), store.recall_candidates(s, COMMAND, newest=5000), _coverage(spark, d))
 
 
 @query("select distinct memory_id from filtered_turns where memory_id is not null and memory_id not in (select id from memories where id is not null)")
@@ -240,7 +297,7 @@ def record_accounting(spark, d):
 
 @query(ctes("c") + rf""", x as (select memory_id, user_prompt, assistant_response, tool_calls, list_filter(coalesce(tool_calls, []), lambda x: len(x.file_paths) > 0) as kept from c)
 select memory_id, len(kept) as kept_calls, {size('tool_calls')} - len(kept) as omitted_calls, {trimmed('user_prompt')} as prompt, {trimmed('assistant_response')} as reply
-from x where not (lower(coalesce({trimmed('user_prompt')}, '')) in ('pause', 'pause.', '/pause') and {size('tool_calls')} = 0)""")
+from x where not (coalesce(regexp_matches({trimmed('user_prompt')}, '(?i)\b(?:no\s+(?:hagas?|hacer|toques?)\s+nada(?:\s+de\s+momento)?|do(?:n''t| not)\s+(?:do|change|touch)\s+anything|hold\s+off|pause\s+here|wait\s+for\s+now)\b'), false) and {size('tool_calls')} = 0)""")
 def turn_projection(spark, d):
     p = assemble.projection(store.current_copies(table(spark, d, "filtered_turns")))
     return p.select("memory_id", F.size("kept_calls").cast("bigint").alias("kept_calls"), F.col("omitted_calls").cast("bigint").alias("omitted_calls"), "prompt", "reply")
@@ -322,13 +379,13 @@ def canonical_projects(spark, d):
     return projects.canonical(table(spark, d, "projects"))
 
 
-# every project's root decides for what lies under it: with a remote it is approved, without one denied
-ROOTS = f"""r as (select path as root, case when {_known('git_remote')} is null then 'denied' else 'approved' end as state, case when git_root is null then 'cli' else 'scan' end as source, first_seen_at as decided_at, id as ulid from projects where path is not null),
-b as (select root, state from (select *, row_number() over (partition by root order by source = 'cli' desc, decided_at desc, ulid desc) rn from r) where rn = 1)"""
+# every project's root decides for what lies under it: with a remote it is approved, without one denied, and without a name it is pending
+ROOTS = f"""r as (select path as root, case when display_name is null then 'pending' when {_known('git_remote')} is null then 'denied' else 'approved' end as state, case when git_root is null then 'cli' else 'scan' end as source, first_seen_at as decided_at, id as ulid from projects where path is not null),
+b as (select root, state from (select *, row_number() over (partition by root order by source = 'cli' desc, decided_at desc, ulid desc) rn from r where state <> 'pending') where rn = 1)"""
 
 
 def _roots(p: DataFrame) -> DataFrame:
-    return p.where("path is not null").select(F.col("path").alias("root"), F.when(projects._set("git_remote").isNull(), "denied").otherwise("approved").alias("state"), F.when(F.col("git_root").isNull(), "cli").otherwise("scan").alias("source"), F.col("first_seen_at").alias("decided_at"), F.col("id").alias("ulid"))
+    return p.where("path is not null").select(F.col("path").alias("root"), F.when(F.col("display_name").isNull(), "pending").when(projects._set("git_remote").isNull(), "denied").otherwise("approved").alias("state"), F.when(F.col("git_root").isNull(), "cli").otherwise("scan").alias("source"), F.col("first_seen_at").alias("decided_at"), F.col("id").alias("ulid"))
 
 
 @query(f"""with {ROOTS}, p as (select distinct path from (select path from projects where path is not null union all select source_path from sessions where source_path is not null))
@@ -377,22 +434,43 @@ QUESTION = "Why does the flush interval lease fail in the roster worker?"
 
 
 _TOKENS = recall.query_tokens(QUESTION)
-_HELD = f"list_filter({_TOKENS!r}, lambda w: list_contains({{}}, w))"
+_Q = recall.question(QUESTION)
+_HELD = f"list_filter({list(_Q.tokens)!r}, lambda w: list_contains({{}}, w))"
+NOTES = ctes("m") + rf""", dd as (select session_id, turn_index, id, p, d, lower({trimmed(uncontrolled('d.what'))}) as key from (select session_id, turn_index, id, generate_subscripts(decisions, 1) as p, unnest(decisions) as d from m) where not {blank('d.what')}),
+notes as (select session_id, key, struct_extract(arg_min(struct_pack(x := d.what), (turn_index, id, p)), 'x') as what, struct_extract(arg_min(struct_pack(x := case when not {blank('d.why')} then d.why end), (turn_index, id, p)), 'x') as why, min(turn_index) as turn_index, count(*) as times from dd group by session_id, key)"""
+BEST = f"""bt as (select session_id as id, {components("concat_ws(chr(10), user_prompt, assistant_response)")} as t from m join c on c.memory_id = m.id), bn as (select *, len(t) as length from bt where len(t) > 0), bz as (select count(*) as n, avg(length) as mean from bn),
+bp as (select id, length, token, len(list_filter(t, lambda x: x = token)) as tf from bn, (select unnest({_TOKENS!r}) as token)), bd as (select token, count(*) as df from bp where tf > 0 group by token),
+best as (select id, round(max(greatest(1e-6, ln((bz.n - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 6) as bm25 from bp join bd using (token), bz where tf > 0 group by id)"""
+
+
+def _contents(spark, d):
+    m, c = _t(spark, d, "memories", "filtered_turns")
+    return (store.current_memories(m).select("id", "session_id").join(store.current_copies(c).select(F.col("memory_id").alias("id"), titles.nfkc(F.concat_ws("\n", "user_prompt", "assistant_response")).alias("text")), "id")
+            .select(F.col("session_id").alias("id"), "text"))
 
 
-@query(ctes("s", "m", "c") + f""", sv as (select id, coalesce(last_turn_at, last_ingested_at, started_at) as ended_at, {components("concat_ws(' ', custom_title, title)")} as ct, {components('first_prompt_search')} as cp from s where kind is distinct from 'adjudicator'),
-tx as (select session_id as id, {components("concat_ws(chr(10), user_prompt, assistant_response)")} as t from m join c on c.memory_id = m.id), it as (select id, list_distinct(flatten(list({_HELD.format('t')}))) as it from tx group by id),
-h as (select id, ended_at, {_HELD.format('ct')} as a, {_HELD.format('cp')} as b, coalesce(it, []) as it, contains(array_to_string(cp, ' '), '{' '.join(_TOKENS)}') as ph from sv left join it using (id)),
-u as (select *, list_distinct(list_concat(list_concat(a, b), it)) as hit from h), n as (select count(*) as n from u), k as (select token, count(*) filter (list_contains(hit, token)) as df from u, (select unnest({_TOKENS!r}) as token) group by token),
-w as (select token, ln((n + 1) / (df + 1)) + 1 as wt from k, n), sc as (select id, ended_at, round(sum(wt), 6) as score, any_value(case when len(a) > 0 then 5 when {len(_TOKENS)} > 1 and ph then 4 when len(it) > 0 then 2 else 1 end) as tier, count(*) as hits from u join w on list_contains(hit, token) group by id, ended_at),
-f as (select * from sc where score >= (select round(max(wt), 6) from w)), g as (select * from f where hits = {len(_TOKENS)} or not exists (select 1 from f where hits = {len(_TOKENS)})),
-top as (select *, row_number() over (order by score desc, tier desc, ended_at desc, id) as r from g order by r limit 5)
-select id, score, tier, cast(hits as int) as hits from top where hits >= 2 or (select hits from top where r = 1) < 2""")
+@query(ctes("m", "c") + f", {BEST} select * from best where id is not null")
+def bm25_by_session(spark, d):
+    return recall.bm25_by_session(_contents(spark, d), QUESTION).where("id is not null")
+
+
+@query(NOTES + f""", {CTE['s']}, {CTE['c']}, {CANDIDATES}, {BEST}, pend as (select session_id as id, arg_max(coalesce(pending_items, []), (turn_index, id)) as p from m group by 1), ru as (select session_id as id, string_agg(concat_ws(' ', what, why), ' ') as r from notes group by 1),
+sv as (select id, ended_at, {lexical("concat_ws(' ', custom_title, title)")} as ct, {lexical('first_prompt_search')} as cp, {lexical("concat_ws(' ', r, array_to_string(p, ' '))")} as cr, {components('first_prompt_search')} as pw from cand left join ru using (id) left join pend using (id)),
+tx as (select session_id as id, {lexical("concat_ws(chr(10), user_prompt, assistant_response)")} as t from m join c on c.memory_id = m.id), it as (select id, list_distinct(flatten(list({_HELD.format('t')}))) as it from tx group by id),
+h as (select id, ended_at, {_HELD.format('ct')} as a, {_HELD.format('cp')} as b, {_HELD.format('cr')} as r, coalesce(it, []) as it, contains(array_to_string(pw, ' '), '{_Q.phrase}') as ph from sv left join it using (id)),
+u as (select *, list_distinct(list_concat(list_concat(list_concat(a, b), r), it)) as hit from h), n as (select count(*) as n from u), k as (select token, count(*) filter (list_contains(hit, token)) as df from u, (select unnest({list(_Q.tokens)!r}) as token) group by token),
+w as (select token, ln((n + 1) / (df + 1)) + 1 as wt from k, n), sc as (select id, ended_at, round(sum(wt), 6) as score, any_value(case when len(a) > 0 then 12000 when ph then 10000 when len(r) > 0 then 6000 when len(it) > 0 then 4500 else 3000 end) as tier, count(*) as hits, count(*) filter (token in {tuple(_TOKENS)!r}) as comps from u join w on list_contains(hit, token) group by id, ended_at),
+f as (select * from sc where comps > 0 and score >= (select round(max(wt), 6) from w)), g as (select f.*, case when tier = 4500 then coalesce(bm25, 0) else 0 end as cb from f left join best using (id) where comps = {len(_TOKENS)} or not exists (select 1 from f where comps = {len(_TOKENS)})),
+top as (select *, row_number() over (order by score desc, tier desc, cb desc, ended_at desc nulls last, id) as r from g)
+select id, score, tier, cast(hits as int) as hits from top where hits >= 2 or (select hits from top where r = 1) < 2 order by r limit 5""")
 def recall_sessions(spark, d):
-    s, m, c = _t(spark, d, "sessions", "memories", "filtered_turns")
-    served = store.current_sessions(s).where(store.served_kind()).select("id", F.concat_ws(" ", "custom_title", "title").alias("title"), F.col("first_prompt_search").alias("prompt"), store.ended_at().alias("ended_at"))
-    text = store.current_memories(m).select("id", "session_id").join(store.current_copies(c).select(F.col("memory_id").alias("id"), F.concat_ws("\n", "user_prompt", "assistant_response").alias("text")), "id").select(F.col("session_id").alias("id"), "text")
-    return recall.recall(served, text, QUESTION)
+    s, m = _t(spark, d, "sessions", "memories")
+    m = store.current_memories(m)
+    note = rollups.merged_decisions(m).groupBy(F.col("session_id").alias("id")).agg(F.array_join(F.collect_list(F.concat_ws(" ", "what", "why")), " ").alias("r"))
+    open_ = m.groupBy(F.col("session_id").alias("id")).agg(F.max_by(F.coalesce("pending_items", F.array().cast("array<string>")), F.struct("turn_index", "id")).alias("p"))
+    served = (store.recall_candidates(s, COMMAND).join(note, "id", "left").join(open_, "id", "left")
+              .select("id", titles.nfkc(F.concat_ws(" ", "custom_title", "title")).alias("title"), titles.nfkc(F.col("first_prompt_search")).alias("prompt"), titles.nfkc(F.concat_ws(" ", "r", F.array_join("p", " "))).alias("rollup"), "ended_at"))
+    return recall.recall(served, _contents(spark, d), QUESTION)
 
 
 @query(ctes("c") + f""", t as (select memory_id as doc, {components("concat_ws(' ', user_prompt, assistant_response)")} as t from c), n as (select doc, t, len(t) as length from t where len(t) > 0),
@@ -440,27 +518,38 @@ def near_verbatim(spark, d):
     return j.select("id", dedupe.near_verbatim(F.col("user_prompt"), F.col("first_prompt_search")).alias("near"))
 
 
-@query(ctes("m", "c") + """, o as (select session_id, turn_index, sha256(coalesce(user_prompt, '')) as was from (select *, row_number() over (partition by session_id, turn_index order by reingested_at nulls first, m0.id) rn from memories m0 join c on c.memory_id = m0.id where m0.id is not null and session_id is not null) where rn = 1),
-n as (select session_id, turn_index, sha256(coalesce(user_prompt, '')) as now from m join c on c.memory_id = m.id where session_id is not null), ch as (select session_id, min(turn_index) as first_changed from o left join n using (session_id, turn_index) where was is distinct from now group by 1)
-select o.session_id, count(*) as kept from o left join ch using (session_id) where first_changed is null or turn_index < first_changed group by 1""")
+def _fields(calls: str, prefix: str = "m.") -> str:
+    return f"[{prefix}tool, cast({prefix}project_id as varchar), cast(epoch_us({prefix}turn_started_at) as varchar), user_prompt, assistant_response, {calls}, case when included then null else 'dropped' end, case when coalesce({prefix}has_external_content, false) then 'external' else 'own' end]"
+
+
+def _digest(calls: str) -> str:
+    return f"sha256(array_to_string(list_transform({_fields(calls)}, lambda x: coalesce(length(x) || ':' || x, '-')), '|'))"
+
+
+_CALLS = "array_to_string(list_transform(tool_calls, lambda x: coalesce(x.name, '') || '(' || coalesce(array_to_string(x.file_paths, ','), '') || ')'), ';')"
+
+
+@query(ctes("m", "c") + f""", o as (select session_id, turn_index, was from (select m.session_id, turn_index, {_digest(_CALLS)} as was, row_number() over (partition by m.session_id, turn_index order by reingested_at nulls first, m.id) rn from memories m join c on c.memory_id = m.id where m.id is not null and m.session_id is not null) where rn = 1),
+n as (select session_id, turn_index, {_digest(_CALLS)} as now from m join c on c.memory_id = m.id where session_id is not null), ch as (select session_id, min(turn_index) as first_changed from o left join n using (session_id, turn_index) where was is distinct from now group by 1)
+select o.session_id, count(*) as kept, max(first_changed) as first_changed from o left join ch using (session_id) where first_changed is null or turn_index < first_changed group by 1""")
 def reconcile(spark, d):
     m, c = _t(spark, d, "memories", "filtered_turns")
-    text = store.current_copies(c).select(F.col("memory_id").alias("id"), F.sha2(F.coalesce("user_prompt", F.lit("")), 256).alias("digest"))
-    known = m.where("id is not null and session_id is not null").select("id", "session_id", "turn_index", "reingested_at").join(text, "id")
-    old = store.first_by(known, ["session_id", "turn_index"], [F.asc_nulls_first("reingested_at"), F.asc("id")])
-    new = store.current_memories(m).select("id", "session_id", "turn_index").join(text, "id")
-    return dedupe.retract(old, dedupe.first_changes(old, new, "session_id", "turn_index", "digest"), "session_id", "turn_index").groupBy("session_id").agg(F.count("*").alias("kept"))
+    c = store.current_copies(c).withColumnRenamed("memory_id", "id").select("id", "user_prompt", "assistant_response", "tool_calls", "included")
+    calls = F.array_join(F.transform("tool_calls", lambda x: F.concat(F.coalesce(x["name"], F.lit("")), F.lit("("), F.coalesce(F.array_join(x["file_paths"], ","), F.lit("")), F.lit(")"))), ";")
+    parts = [F.col("tool"), F.col("project_id").cast("string"), F.unix_micros(F.col("turn_started_at").cast("timestamp")).cast("string"), F.col("user_prompt"), F.col("assistant_response"), calls,
+             F.when(F.coalesce("included", F.lit(False)), None).otherwise("dropped"), F.when(F.coalesce("has_external_content", F.lit(False)), "external").otherwise("own")]
+    of = lambda rows: rows.where("session_id is not null").join(c, "id").select("id", "session_id", "turn_index", "reingested_at", dedupe.digest(*parts).alias("digest"))
+    old = store.first_by(of(m.where("id is not null").select("id", "session_id", "turn_index", "reingested_at", "tool", "project_id", "turn_started_at", "has_external_content")), ["session_id", "turn_index"], [F.asc_nulls_first("reingested_at"), F.asc("id")])
+    changes = dedupe.first_changes(old, of(store.current_memories(m)), "session_id", "turn_index", "digest")
+    kept = dedupe.retract(old, changes, "session_id", "turn_index").groupBy("session_id").agg(F.count("*").alias("kept"))
+    return kept.join(changes, "session_id", "left").select("session_id", "kept", "first_changed")
 
 
 # --- rollups ---------------------------------------------------------------------------------------------------------
 
-NOTES = ctes("m") + rf""", dd as (select session_id, turn_index, id, p, d, lower({trimmed(r"regexp_replace(d.what, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', '', 'g')")}) as key from (select session_id, turn_index, id, generate_subscripts(decisions, 1) as p, unnest(decisions) as d from m) where not {blank('d.what')}),
-notes as (select session_id, key, arg_min(d.what, (turn_index, id, p)) as what, arg_min(case when not {blank('d.why')} then d.why end, (turn_index, id, p)) as why0, min(turn_index) as turn_index, count(*) as times from dd group by session_id, key)"""
-
-
-@query(NOTES + " select session_id, key, what, turn_index, times from notes")
+@query(NOTES + " select session_id, key, what, why, turn_index, times from notes")
 def merged_decisions(spark, d):
-    return rollups.merged_decisions(store.current_memories(table(spark, d, "memories"))).drop("why")
+    return rollups.merged_decisions(store.current_memories(table(spark, d, "memories")))
 
 
 @query(NOTES + f""", b as (select session_id, count(*) as turns, max(turn_index) as through, arg_max({size('pending_items')}, (turn_index, id)) as pending from m group by session_id),
@@ -470,7 +559,9 @@ def session_rollups(spark, d):
     return rollups.rollup(store.current_memories(table(spark, d, "memories")).where("session_id is not null"))
 
 
-@query()
+@query(ctes("m", "c").replace("with ", "with recursive ", 1) + """, r as (select session_id, id, n, row_number() over (partition by session_id order by turn_index, id) as k from (select m.session_id, m.id, turn_index, coalesce(length(assistant_response), 0) as n from m join c on c.memory_id = m.id)),
+w as (select session_id, id, k, 0 as batch, n as total from r where k = 1 union all select r.session_id, r.id, r.k, case when w.total > 0 and w.total + r.n > 2000 then w.batch + 1 else w.batch end, case when w.total > 0 and w.total + r.n > 2000 then r.n else w.total + r.n end from w join r on r.session_id is not distinct from w.session_id and r.k = w.k + 1)
+select id, cast(batch as int) as batch from w""")
 def packed_batches(spark, d):
     m, c = _t(spark, d, "memories", "filtered_turns")
     j = store.current_memories(m).select("id", "session_id", "turn_index").join(store.current_copies(c).select(F.col("memory_id").alias("id"), F.coalesce(F.length("assistant_response"), F.lit(0)).alias("n")), "id")
@@ -485,14 +576,19 @@ def budget_tail(spark, d):
     return rollups.newest_within(j, "session_id", [F.desc("turn_index"), F.desc("id")], n, 4000).select("id")
 
 
-@query(NOTES + f""", {CTE['c']}, t as (select session_id, turn_index as t, list_distinct({components('user_prompt')}) as words from m join c on c.memory_id = m.id), o as (select n.session_id, key, list_distinct({components('what')}) as own from notes n),
-x as (select o.session_id, key, t, case when len(own) > 0 and len(words) > 0 then len(list_intersect(own, words)) / least(len(own), len(words)) else 0.0 end as s from o join t on t.session_id = o.session_id)
-select session_id, key, coalesce(arg_min(t, (-s, t)) filter (s >= 0.5), max(t)) as turn_index, count(*) filter (s >= 0.5) > 0 as matched from x group by session_id, key""")
+def _telling(c: str) -> str:
+    return f"list_distinct(list_filter(string_split(regexp_replace(lower(coalesce({c}, '')), '[^a-z0-9_./-]+', ' ', 'g'), ' '), lambda w: length(w) > 2 and not list_contains({list(rollups.STOP_WORDS)!r}, w)))"
+
+
+# the turn that a note claims is the next one, so that claims fail at the end of each session
+@query(NOTES + f""", t as (select session_id, turn_index as t, {_telling("array_to_string(list_transform(decisions, lambda x: coalesce(x.what, '')), ' ')")} as words from m where session_id is not null),
+o as (select session_id, key, turn_index + 1 as claimed, {_telling('what')} as own from notes where session_id is not null and length(key) % 3 = 0 union all select session_id, key, null, {_telling('what')} from notes where session_id is not null and length(key) % 3 <> 0),
+x as (select o.session_id, key, claimed, t, case when len(own) > 0 and len(words) > 0 then len(list_intersect(own, words)) / least(len(own), len(words)) else 0.0 end as s from o join t on t.session_id = o.session_id)
+select session_id, key, case when bool_or(t = claimed) then any_value(claimed) else coalesce(arg_min(t, (-s, t)) filter (s >= 0.5), max(t)) end as turn_index, case when bool_or(t = claimed) then 'claimed' when count(*) filter (s >= 0.5) > 0 then 'matched' else 'last' end as how from x group by session_id, key""")
 def decision_sources(spark, d):
-    m, c = _t(spark, d, "memories", "filtered_turns")
-    m = store.current_memories(m)
-    turns = m.select("id", "session_id", "turn_index").join(store.current_copies(c).select(F.col("memory_id").alias("id"), F.col("user_prompt").alias("text")), "id")
-    return rollups.attribute(rollups.merged_decisions(m), turns)
+    m = store.current_memories(table(spark, d, "memories")).where("session_id is not null")
+    notes = rollups.merged_decisions(m).withColumn("claimed", F.when(F.length("key") % 3 == 0, F.col("turn_index") + 1))
+    return rollups.attribute(notes, m.select("session_id", "turn_index", F.transform("decisions", lambda x: F.coalesce(x["what"], F.lit(""))).alias("decisions")))
 
 
 @query("""with w as (select *, avg(case when event_type = 'error' then 1.0 else 0.0 end) over f as ratio, count(*) over f as n from events window f as (partition by user_id order by ts, event_id rows between 19 preceding and current row)),
@@ -528,17 +624,14 @@ def without_tombstones(spark, d):
     return governance.without(s, s.where("kind = 'adjudicator'")).select("id")
 
 
-@query("""with p as (select id, path from projects where git_remote is null), x as (select distinct id from sessions where project_id in (select id from p)), y as (select distinct id from memories where session_id in (select id from x))
-select 'projects' as part, count(*) as n from p union all select 'sessions', count(*) from x union all select 'memories', count(*) from y union all select 'filtered_turns', count(distinct memory_id) from filtered_turns where memory_id in (select id from y)""")
+@query("""with p as (select id from projects where git_remote is null), x as (select id, project_id from sessions where project_id in (select id from p)), y as (select id, session_id from memories where session_id in (select id from x))
+select distinct 'projects' as part, id, null::bigint as owner from p union select distinct 'sessions', id, project_id from x union select distinct 'memories', id, session_id from y union select distinct 'filtered_turns', memory_id, memory_id from filtered_turns where memory_id in (select id from y)""")
 def project_export(spark, d):
     t = {n: table(spark, d, n) for n in ("projects", "sessions", "memories", "filtered_turns")}
-    paths = [r["path"] for r in t["projects"].where("git_remote is null").select("path").collect()]  # a fixed table of 400 rows
-    parts = governance.export(t, paths)
-    out = None
-    for name, df in parts.items():
-        n = df.agg(F.countDistinct("memory_id" if name == "filtered_turns" else "id").alias("n")).select(F.lit(name).alias("part"), "n")
-        out = n if out is None else out.unionByName(n)
-    return out
+    parts = governance.export(t, t["projects"].where("git_remote is null").select("path"))
+    owner = {"projects": F.lit(None), "sessions": F.col("project_id"), "memories": F.col("session_id"), "filtered_turns": F.col("memory_id")}
+    out = [df.select(F.lit(n).alias("part"), F.col("memory_id" if n == "filtered_turns" else "id").alias("id"), owner[n].cast("bigint").alias("owner")).distinct() for n, df in parts.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
 
 
 @query(rf"""with c as (select id, unnest(list_filter([case when coalesce(tool in ('claude-code', 'codex', 'opencode'), false) then null else 'tool' end, case when coalesce(segment_index >= 0, false) then null else 'segment' end,
@@ -548,11 +641,11 @@ def validation(spark, d):
     return governance.violations(table(spark, d, "sessions"), "id", rules).groupBy("id", "rule").agg(F.count("*").alias("n"))
 
 
-@query(rf"""with b as (select memory_id, user_prompt as a, regexp_replace(regexp_replace(user_prompt, '\x1b\[[0-?]*[ -/]*[@-~]', '', 'g'), '\r\n', chr(10), 'g') as z from filtered_turns) select distinct memory_id from b where a is distinct from z""")
+@query(ctes("c") + f""" select memory_id from c where user_prompt is distinct from {uncontrolled('user_prompt')} or assistant_response is distinct from {uncontrolled('assistant_response')}""")
 def backfill_changes(spark, d):
     b = store.current_copies(table(spark, d, "filtered_turns"))
-    after = b.withColumn("user_prompt", F.regexp_replace(F.regexp_replace("user_prompt", E.ANSI, ""), "\r\n", "\n"))
-    return governance.changed(b, after, ["memory_id"], ["user_prompt"])
+    after = b.withColumns({c: E.without_control(c) for c in ("user_prompt", "assistant_response")})
+    return governance.changed(b, after, ["memory_id"], ["user_prompt", "assistant_response"])
 
 
 DISPOSITION = ctes("s") + """, u as (select tool, native_id, min(project_id) as project_id from s group by all), pu as (select distinct tool, native_id from s where kind = 'adjudicator'), st as (select distinct tool, native_id from s where rendered_chars > 10000)
@@ -613,7 +706,24 @@ def derived_titles(spark, d):
 @query()
 def reply_units(spark, d):
     c = store.current_copies(table(spark, d, "filtered_turns"))
-    return c.select("memory_id", F.size(titles.text_units(F.col("assistant_response"))).alias("units"))
+    return c.select("memory_id", F.posexplode(titles.text_units(F.col("assistant_response"))).alias("position", "unit"))
+
+
+@query(NOTES + f""", pend as (select session_id as id, arg_max(coalesce(pending_items, []), (turn_index, id)) as p from m where session_id is not null group by 1),
+un as (select session_id as id, (0, row_number() over (partition by session_id order by turn_index, key)) as pos, 'Decision: ' || what || chr(10) || 'Why: ' || why as unit from notes where session_id is not null and what is not null and why is not null
+union all select id, (1, k), 'Pending: ' || item from (select id, generate_subscripts(p, 1) as k, unnest(p) as item from pend) where item is not null),
+o as (select *, row_number() over w as n, count(*) over (partition by id) as al from (select *, list_bool_or(list_transform({_TOKENS!r}, lambda w: contains(lower(unit), w))) as holds from un) window w as (partition by id order by not holds, pos)),
+z as (select *, sum(length(unit) + 2) over (partition by id order by n) - 2 + case when al > n then 2 + {len(titles.OMITTED_AFTER)} else 0 end + length('Coverage: stored rollup; ' || (al - n) || ' later evidence units omitted; other session material excluded; relevance unverified.') + 1 as size from o),
+f as (select *, bool_and(size <= 800) over (partition by id order by n rows unbounded preceding) as fits from z)
+select id, string_agg(unit, chr(10) || chr(10) order by n) || case when max(al) > max(n) then chr(10) || chr(10) || '{titles.OMITTED_AFTER}' else '' end as text, max(al) - max(n) as omitted from f where fits group by id""")
+def session_evidence(spark, d):
+    from pyspark.sql import Window
+
+    m = store.current_memories(table(spark, d, "memories")).where("session_id is not null")
+    notes = rollups.merged_decisions(m).withColumn("pos", F.row_number().over(Window.partitionBy("session_id").orderBy("turn_index", "key"))).withColumnRenamed("session_id", "id")
+    last = m.groupBy(F.col("session_id").alias("id")).agg(F.max_by(F.coalesce("pending_items", F.array().cast("array<string>")), F.struct("turn_index", "id")).alias("p"))
+    units = evidence.rollup_units(notes, last.select("id", F.posexplode("p").alias("pos", "item")))
+    return evidence.session_evidence(units, _TOKENS)
 
 
 # --- transcripts and evidence ----------------------------------------------------------------------------------------
@@ -654,13 +764,13 @@ def dirty_sessions(spark, d):
     return transcripts.dirty_sessions(o.drop("o_orderstatus"), datetime(1997, 1, 1), 100, o.where("o_orderstatus = 'F'"), 200)
 
 
-EVIDENCE = ctes("m", "c") + f""", t as (select session_id as chat, turn_index as turn, m.id, user_prompt as text from m join c on c.memory_id = m.id where session_id is not null and turn_index is not null),"""
+EVIDENCE = ctes("m", "c") + f""", t as (select session_id as chat, turn_index as turn, m.id, concat_ws(chr(10), user_prompt, assistant_response) as text from m join c on c.memory_id = m.id where session_id is not null and turn_index is not null),"""
 
 
 def _chat_turns(spark, d):
     m, c = _t(spark, d, "memories", "filtered_turns")
     return (store.current_memories(m).where("session_id is not null and turn_index is not null").select("id", F.col("session_id").alias("chat"), F.col("turn_index").alias("turn"))
-            .join(store.current_copies(c).select(F.col("memory_id").alias("id"), F.col("user_prompt").alias("text")), "id"))
+            .join(store.current_copies(c).select(F.col("memory_id").alias("id"), F.concat_ws("\n", "user_prompt", "assistant_response").alias("text")), "id"))
 
 
 @query(EVIDENCE + f""" h as (select *, len(list_filter({_TOKENS!r}, lambda x: list_contains({components('text')}, x))) as hits from t),

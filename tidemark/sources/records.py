@@ -7,6 +7,7 @@ Lines are numbered within their file, by which turns are assembled later.
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Iterator
 from pathlib import Path
@@ -19,6 +20,8 @@ from tidemark.functions import expr as E
 
 #: Longest record that is read, in bytes.
 RECORD_BYTES = 64 << 20
+#: Bytes before an offset that are fingerprinted, and bytes looked at together.
+FINGERPRINT_BYTES, CHUNK_BYTES = 4096, 1 << 20
 #: Record types of the two formats that carry no text of a turn.
 SKIPPED = ("system", "ai-title", "custom-title", "summary", "progress", "file-history-snapshot", "queue-operation", "session_meta", "turn_context", "compacted")
 
@@ -28,13 +31,15 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
 
     Files are the unit of work (a line has no offset of its own in Spark's text
     source), so a file is one row of its bytes split here; tools write many
-    files of moderate size. Records over ``RECORD_BYTES`` are left to the caller.
+    files of moderate size. Of records over ``RECORD_BYTES``
+    the value is null, so that they count as malformed.
     """
     raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.jsonl").option("recursiveFileLookup", "true").load(path)
     whole = F.split(F.decode("content", "UTF-8"), "\n")
     # the last piece follows the last line break: a record still being written
     done = F.slice(whole, 1, F.greatest(F.lit(0), F.size(whole) - 1))
-    return raw.select(F.col("path").alias("file"), F.posexplode(done).alias("pos", "value")).where(F.trim("value") != "")
+    return (raw.select(F.col("path").alias("file"), F.posexplode(done).alias("pos", "value")).where(F.trim("value") != "")
+            .withColumn("value", F.when(F.octet_length("value") <= RECORD_BYTES, F.col("value"))))
 
 
 def _text(content: Column) -> Column:
@@ -88,12 +93,28 @@ class _Range(InputPartition):
         self.path, self.begin, self.end = path, begin, end
 
 
+def _mark(f, offset: int) -> str:
+    """An offset with the fingerprint of what stands before it."""
+    f.seek(max(0, offset - FINGERPRINT_BYTES))
+    return f"{offset}:{hashlib.sha256(f.read(min(offset, FINGERPRINT_BYTES))).hexdigest()}"
+
+
+def _offset(mark: str | None) -> int:
+    return int(mark.split(":")[0]) if mark else 0
+
+
 class _TailReader(DataSourceStreamReader):
-    """Reads what was appended to files since the last batch; offsets are bytes by file."""
+    """Reads what was appended to files since the last batch.
+
+    An offset says of each file how many bytes were read and holds a fingerprint
+    of the last of them. A file that is shorter, or that holds others there, was
+    rewritten and is refused: its records would be read from the middle.
+    """
 
     def __init__(self, options: dict):
         self.folder = Path(options["path"])
-        self.limit = int(options.get("maxbytesperfile", RECORD_BYTES))
+        self.limit = int(options.get("maxrecordbytes", RECORD_BYTES))
+        self.seen: dict[str, int] = {}
 
     def initialOffset(self) -> dict:
         return {}
@@ -101,21 +122,34 @@ class _TailReader(DataSourceStreamReader):
     def latestOffset(self) -> dict:
         out = {}
         for p in sorted(self.folder.rglob("*.jsonl")):
-            size = p.stat().st_size
             with p.open("rb") as f:
-                # up to the last line break: an unfinished line is left for later
-                back = min(size, self.limit)
-                f.seek(size - back)
-                at = f.read(back).rfind(b"\n")
-            out[str(p)] = size - back + at + 1 if at >= 0 else 0
+                end = self._last_line_break(f, p.stat().st_size, self.seen.get(str(p), 0))
+                self.seen[str(p)] = end
+                out[str(p)] = _mark(f, end)
         return out
 
+    @staticmethod
+    def _last_line_break(f, size: int, known: int) -> int:
+        """Up to the last line break, as an unfinished line is left for later; looked for backwards, a chunk at a time, down to what is known."""
+        stop = size
+        while stop > known:
+            start = max(known, stop - CHUNK_BYTES)
+            f.seek(start)
+            at = f.read(stop - start).rfind(b"\n")
+            if at >= 0:
+                return start + at + 1
+            stop = start
+        return min(known, size)
+
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         parts = []
-        for path, stop in end.items():
-            begin = start.get(path, 0)
-            if stop < begin:
-                raise ValueError(f"{path} is shorter than what was read of it; it must be read anew under a new checkpoint")
+        for path, mark in end.items():
+            begin, stop = _offset(start.get(path)), _offset(mark)
+            with open(path, "rb") as f:
+                if stop < begin or f.seek(0, 2) < stop:
+                    raise ValueError(f"{path} is shorter than what was read of it; it must be read anew under a new checkpoint")
+                if begin and _mark(f, begin) != start[path]:
+                    raise ValueError(f"{path} was rewritten since it was read; it must be read anew under a new checkpoint")
             if stop > begin:
                 parts.append(_Range(path, begin, stop))
         return parts
@@ -125,10 +159,15 @@ class _TailReader(DataSourceStreamReader):
             f.seek(partition.begin)
             at = partition.begin
             while at < partition.end:
-                raw = f.readline()
-                if raw.strip():
+                raw = f.readline(self.limit + 1)
+                size = len(raw)
+                if size > self.limit:  # too long: passed over in pieces, and counted as malformed
+                    while not raw.endswith(b"\n") and (raw := f.readline(CHUNK_BYTES)):
+                        size += len(raw)
+                    yield partition.path, at, None
+                elif raw.strip():
                     yield partition.path, at, raw.rstrip(b"\r\n").decode("utf-8", "replace")
-                at += len(raw)
+                at += size
 
     def commit(self, end: dict) -> None:
         pass
