@@ -1,18 +1,21 @@
-"""Subject areas of documents by n-gram language models (problem 8).
-
-Each subject has an interpolated bigram model of the sentences that deal with
-it, compared per token with a background model of the sentences on other
-subjects: the difference of the cross-entropies says which subject a sentence's
-words belong to. Whether it deals with the subject or only mentions a word in
-passing is said by a second pair of models, in which every subject word is
-replaced by one mark: sentences that deal with any subject against all others
-(talk about code, tests and commits, lists, logs, passing mentions).
-
-Labels are known per document, not per sentence. Words that keep to documents
-of one subject give the first models; their sentences then train the next ones:
-a sentence that speaks of a subject its document is not labelled with is a
-passing mention. The least difference that gives a document a subject is
-calibrated on documents the models were not fitted on.
+"""Subject areas of documents by interpolated n-gram language models (problem 8).
+
+Every subject has an interpolated bigram model of the sentences that deal with
+it and a background model of all other sentences, both counted over all
+documents in Spark. A sentence's score for a subject is the difference of its
+cross-entropies per token under the two. Whether it deals with the subject or
+only mentions a word in passing is said by another pair of interpolated models,
+in which every subject word is replaced by one mark: sentences that deal with
+any subject against all others (talk about code, tests and commits, lists, logs,
+passing mentions). A document has the subjects of the sentences that deal with
+one and whose score reaches that subject's threshold, which is calibrated on the
+labelled documents, with these documents' own counts taken out.
+
+Which sentences count for which subject is said by seed models, fitted on a
+bounded sample of labelled documents. Labels are known per document, not per
+sentence: words that keep to documents of one subject give the first models,
+whose sentences train the next ones; a sentence that speaks of a subject its
+document is not labelled with is a passing mention.
 """
 
 from __future__ import annotations
@@ -28,8 +31,6 @@ from pyspark.sql import functions as F
 
 #: Labelled documents the models are fitted on, those with the smallest hashed ids.
 LABELLED = 8_000
-#: Documents without label whose clear sentences train the later rounds too, chosen alike.
-UNLABELLED = 8_000
 #: Rounds in which sentences are assigned anew.
 ROUNDS = 5
 #: Weights of bigram, unigram and uniform probabilities.
@@ -42,6 +43,13 @@ SUBJECT_SENTENCE = 4.0
 #: A word seen this often in labelled documents must be preferred by their labels by so many nats.
 OFTEN = 6
 WITH_LABELS = 0.8
+#: Buckets of words and of word pairs in the subject models, and how many classes they may have: at most
+#: 4 * (2 * WORDS + PAIRS) bytes for each subject are sent to the driver and broadcast, 4 MB; the counts of all documents fit whatever their number.
+WORDS, PAIRS = 1 << 18, 1 << 19
+#: Weight of the bigram in a subject model, occurrences that its unigram counts as there, and share of all words in a subject's unigrams.
+BIGRAM, BACKOFF, SMOOTHING = 0.5, 20.0, 0.0125
+#: Threshold of a subject without labelled documents, in nats a token.
+UNLABELLED_LEAST = 1.0
 #: Nats a token by which sentences may seem not to deal with a subject in the first rounds and still train its model.
 SLACK = 0.7
 #: Tokens of which a sentence must have this many to be scored.
@@ -229,59 +237,43 @@ def _masked(c: Corpus, words: np.ndarray) -> Corpus:
     return Corpus(uni, before * np.uint64(0x9E3779B97F4A7C15) ^ uni, c.begin, c.doc)
 
 
-class Models(NamedTuple):
-    """Subject models with their backgrounds, the subject words, and the models of dealing and not dealing."""
+class Seeds(NamedTuple):
+    """What the labelled documents teach: preferences and subject words, and the models of dealing and not dealing."""
 
     subjects: tuple[str, ...]
     topic: Topics
     words: np.ndarray
     manner: Ngrams
-    least: float
-
-    def sentence_scores(self, c: Corpus) -> np.ndarray:
-        """Per sentence and subject, the difference of the cross-entropies times tokens; 0 unless it is the best subject and the sentence deals with it."""
-        k = len(self.subjects)
-        if not len(c.begin) or not len(self.words):
-            return np.zeros((len(c.begin), k))
-        topic = self.topic.sentence_gains(c)
-        deals = self.deals(c)
-        best = topic.argmax(axis=1)
-        out = np.zeros_like(topic)
-        rows = np.flatnonzero(deals)
-        out[rows, best[rows]] = np.maximum(topic[rows, best[rows]], 0)
-        return out
 
     def deals(self, c: Corpus, slack: float = 0.0) -> np.ndarray:
         """Whether each sentence deals with some subject, within ``slack`` nats a token."""
         y = self.manner.log_probabilities(_masked(c, self.words))
         return np.add.reduceat(y[:, 0] - y[:, 1] + slack, c.begin) > 0
 
-    def document_scores(self, texts: list[str | None]) -> np.ndarray:
-        """Per document and subject, the largest score of a sentence."""
-        c = corpus(texts)
-        out = np.zeros((len(texts), len(self.subjects)))
-        if len(c.begin):
-            np.maximum.at(out, c.doc, self.sentence_scores(c))
-        return out
+    def classes(self, c: Corpus) -> np.ndarray:
+        """The subject each sentence clearly deals with, or the number of subjects for none."""
+        k = len(self.subjects)
+        if not len(c.begin) or not len(self.words):
+            return np.full(len(c.begin), k)
+        gain = self.topic.sentence_gains(c)
+        best = gain.argmax(axis=1)
+        return np.where(self.deals(c) & (gain[np.arange(len(gain)), best] >= SUBJECT_SENTENCE), best, k)
 
 
-def fit(subjects: list[str], labelled: list[tuple[str | None, frozenset[str]]], unlabelled: list[str | None] = ()) -> Models:
-    """Fit the models; ``labelled`` are texts with all their subjects, ``unlabelled`` further texts."""
+def fit(subjects: list[str], labelled: list[tuple[str | None, frozenset[str]]]) -> Seeds:
+    """Fit the seed models; ``labelled`` are texts with all their subjects."""
     names = tuple(sorted(subjects))
     k = len(names)
-    c = corpus([*(t for t, _ in labelled), *unlabelled])
+    c = corpus([t for t, _ in labelled])
     if not len(c.begin) or not k:
         keys, none = np.zeros(0, np.uint64), np.zeros((0, 2), np.float32)
-        return Models(names, Topics(keys, np.zeros((0, k), np.float32), keys, np.zeros((0, k), np.float32)), keys, Ngrams(keys, none, keys, none), SUBJECT_SENTENCE)
-    label = np.zeros((len(labelled) + len(unlabelled), k))
-    label[:len(labelled)] = [[s in x for s in names] for _, x in labelled]
-    label = label[c.doc]
-    known = c.doc < len(labelled)
+        return Seeds(names, Topics(keys, np.zeros((0, k), np.float32), keys, np.zeros((0, k), np.float32)), keys, Ngrams(keys, none, keys, none))
+    label = np.array([[float(s in x) for s in names] for _, x in labelled])[c.doc]
     only = np.where(label.sum(axis=1) == 1, label.argmax(axis=1), -1)
     own = (label / np.maximum(label.sum(axis=1, keepdims=True), 1)) ** 2  # documents of several subjects say less about each
     first = Topics.count(c, np.hstack([own, np.zeros((len(own), 1))]))
-    seen = np.bincount(_index(first.uni_keys, c.uni[np.repeat(known, np.diff(np.r_[c.begin, len(c.uni)]))]), minlength=len(first.uni_keys))
-    models = Models(names, first, np.zeros(0, np.uint64), None, SUBJECT_SENTENCE)
+    seen = np.bincount(_index(first.uni_keys, c.uni), minlength=len(first.uni_keys))
+    models = Seeds(names, first, np.zeros(0, np.uint64), None)
     rows = np.arange(len(own))
     for n in range(ROUNDS):
         gain = models.topic.sentence_gains(c)
@@ -289,42 +281,136 @@ def fit(subjects: list[str], labelled: list[tuple[str | None, frozenset[str]]],
         most = gain[rows, best]
         # first only some sentences of the rarer languages are known to deal with anything
         deals = models.deals(c, SLACK / n) if n else np.zeros(len(rows), bool)
-        # of a labelled document: a clear sentence on one of its subjects, or any sentence that deals with something if there is one subject only
-        agrees = known & (most >= SUBJECT_SENTENCE) & (label[rows, best] > 0)
-        fills = known & ~agrees & deals & (only >= 0) & (most < SUBJECT_SENTENCE)
-        clear = ~known & deals & (most >= SUBJECT_SENTENCE)
+        # a clear sentence on one of the document's subjects, or any sentence that deals with something if there is one subject only
+        agrees = (most >= SUBJECT_SENTENCE) & (label[rows, best] > 0)
+        fills = ~agrees & deals & (only >= 0) & (most < SUBJECT_SENTENCE)
         # without subject words, or on a subject that the document is not labelled with: talk, or a passing mention
-        none = ~deals & ~agrees & (known & ((most == 0) | (label[rows, best] == 0)) | ~known & (n > 0))
+        none = ~deals & ~agrees & ((most == 0) | (label[rows, best] == 0))
         own = np.zeros((len(rows), k + 1))
-        own[rows[agrees | clear], best[agrees | clear]] = 1
+        own[rows[agrees], best[agrees]] = 1
         own[rows[fills], only[fills]] = 1
         own[none, k] = 1
         topic = Topics.count(c, own).bounded(first, seen)
         words = topic.words()
-        manner = Ngrams.count(_masked(c, words), np.stack([agrees | fills | clear, none], 1).astype(float))
-        models = Models(names, topic, words, manner, SUBJECT_SENTENCE)
+        manner = Ngrams.count(_masked(c, words), np.stack([agrees | fills, none], 1).astype(float))
+        models = Seeds(names, topic, words, manner)
     return models
 
 
-def calibrated(subjects: list[str], labelled: list[tuple[str | None, frozenset[str]]], unlabelled: list[str | None] = ()) -> Models:
-    """Models of all labelled documents, with the least score that gives the best F1 on halves not fitted on."""
-    models = fit(subjects, labelled, unlabelled)
-    scores, truth = [], []
-    for half in (0, 1):
-        m = fit(subjects, labelled[half::2], unlabelled)
-        rest = labelled[1 - half::2]
-        scores.append(m.document_scores([t for t, _ in rest]))
-        truth += [[s in x for s in m.subjects] for _, x in rest]
-    t = np.array(truth, bool).ravel()
-    if not t.any():
-        return models
-    s = np.concatenate(scores).ravel()
-    best, least = -1.0, SUBJECT_SENTENCE
-    for x in np.arange(1.0, 15.5, 0.5):
-        f1 = 2 * ((s >= x) & t).sum() / ((s >= x).sum() + t.sum())
-        if f1 > best + 1e-9:
-            best, least = f1, float(x)
-    return models._replace(least=least)
+class Counts(NamedTuple):
+    """Words, word pairs and what stands before a word, by bucket, in the sentences of each subject and, last, of none."""
+
+    uni: np.ndarray
+    bi: np.ndarray
+    before: np.ndarray
+
+    @classmethod
+    def none(cls, classes: int) -> Counts:
+        return cls(*(np.zeros((n, classes), np.float32) for n in (WORDS, PAIRS, WORDS)))
+
+    def add(self, c: Corpus, of: np.ndarray) -> None:
+        """Count sentences by their class."""
+        if len(c.begin):
+            each = np.repeat(of, np.diff(np.r_[c.begin, len(c.uni)]))
+            for table, at in zip(self, _buckets(c)):
+                table += np.bincount(at * table.shape[1] + each, minlength=table.size).reshape(table.shape)
+
+    def minus(self, other: Counts) -> Counts:
+        return Counts(*(np.maximum(a - b, 0) for a, b in zip(self, other)))
+
+
+def _buckets(c: Corpus) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each token its bucket, that of the pair it ends, and that of the token before it."""
+    uni = (c.uni % np.uint64(WORDS)).astype(np.int64)
+    before = np.r_[0, uni[:-1]]
+    before[c.begin] = _START % WORDS
+    return uni, ((c.bi ^ (c.bi >> np.uint64(31))) % np.uint64(PAIRS)).astype(np.int64), before
+
+
+class Models(NamedTuple):
+    """Interpolated models of the subjects and of their backgrounds, the seeds, and each subject's threshold in nats a token."""
+
+    seeds: Seeds
+    own: np.ndarray
+    rest: np.ndarray
+    bi: np.ndarray
+    before: np.ndarray
+    least: np.ndarray
+
+    @property
+    def subjects(self) -> tuple[str, ...]:
+        return self.seeds.subjects
+
+    @classmethod
+    def of(cls, seeds: Seeds, counts: Counts) -> Models:
+        """Unigrams are interpolated with all words, so that what neither model has seen tells nothing."""
+        uni = counts.uni.astype(np.float64)
+        all_ = uni.sum(axis=1, keepdims=True)
+        anywhere = (all_ + 0.5) / (all_.sum() + 0.5 * WORDS)
+        share = lambda x: ((1 - SMOOTHING) * x / np.maximum(x.sum(axis=0), 1) + SMOOTHING * anywhere).astype(np.float32)
+        return cls(seeds, share(uni[:, :-1]), share(all_ - uni[:, :-1]), counts.bi, counts.before, np.full(len(seeds.subjects), UNLABELLED_LEAST))
+
+    def sentence_scores(self, c: Corpus) -> np.ndarray:
+        """Per sentence and subject, how much less the cross-entropy per token is under the subject's model than under its background."""
+        uni, bi, before = _buckets(c)
+
+        def model(unigram: np.ndarray, pairs: np.ndarray, context: np.ndarray) -> np.ndarray:
+            return np.log((1 - BIGRAM) * unigram + BIGRAM * (pairs + BACKOFF * unigram) / (context + BACKOFF))
+
+        pairs, context = self.bi[bi], self.before[before]
+        own = model(self.own[uni], pairs[:, :-1], context[:, :-1])
+        rest = model(self.rest[uni], pairs.sum(axis=1, keepdims=True) - pairs[:, :-1], context.sum(axis=1, keepdims=True) - context[:, :-1])
+        return np.add.reduceat(own - rest, c.begin, axis=0) / np.diff(np.r_[c.begin, len(c.uni)])[:, None]
+
+    def document_scores(self, texts: list[str | None]) -> np.ndarray:
+        """Per document and subject, the largest score of a sentence that deals with its best subject; -inf without one."""
+        c = corpus(texts)
+        out = np.full((len(texts), len(self.subjects)), -np.inf)
+        if len(c.begin) and len(self.seeds.words):
+            rows = np.flatnonzero(self.seeds.deals(c))
+            scores = self.sentence_scores(c)[rows]
+            best = scores.argmax(axis=1)
+            np.maximum.at(out, (c.doc[rows], best), scores[np.arange(len(rows)), best])
+        return out
+
+    def calibrated(self, labelled: list[tuple[str | None, frozenset[str]]]) -> Models:
+        """With the threshold of each subject that gives its best F1 on labelled documents, the middle of those that do."""
+        scores = self.document_scores([t for t, _ in labelled])
+        least = self.least.copy()
+        for j, name in enumerate(self.subjects):
+            truth = np.array([name in x for _, x in labelled], bool)
+            found = np.isfinite(scores[:, j])
+            if not (truth & found).any():
+                continue
+            order = np.argsort(-scores[found, j], kind="stable")
+            x, hit = scores[found, j][order], np.cumsum(truth[found][order])
+            f1 = 2 * hit / (np.arange(1, len(x) + 1) + truth.sum())
+            last = np.r_[x[1:] != x[:-1], True]  # equal scores are accepted together
+            f1 = np.where(last, f1, 0)
+            best = np.flatnonzero(f1 >= f1.max() - 1e-12)
+            at = best[len(best) // 2]
+            least[j] = (x[at] + x[at + 1]) / 2 if at + 1 < len(x) else x[at] - 0.1
+        return self._replace(least=least)
+
+
+def train(subjects: list[str], labelled: list[tuple[str | None, frozenset[str]]], texts: list[str | None]) -> Models:
+    """Models of some texts, counted here; what :func:`learn` does with a table."""
+    seeds = fit(subjects, labelled)
+    return _finished(seeds, _counted(seeds, texts), labelled)
+
+
+def _counted(seeds: Seeds, texts: list[str | None]) -> Counts:
+    counts = Counts.none(len(seeds.subjects) + 1)
+    for k in range(0, len(texts), 1000):
+        c = corpus(texts[k:k + 1000])
+        counts.add(c, seeds.classes(c))
+    return counts
+
+
+def _finished(seeds: Seeds, counts: Counts, labelled: list[tuple[str | None, frozenset[str]]]) -> Models:
+    """Thresholds come from models without the labelled documents' own counts."""
+    apart = Models.of(seeds, counts.minus(_counted(seeds, [t for t, _ in labelled]))).calibrated(labelled)
+    return Models.of(seeds, counts)._replace(least=apart.least)
 
 
 def _sample(docs: DataFrame, n: int, total: int, seed: int) -> DataFrame:
@@ -334,8 +420,30 @@ def _sample(docs: DataFrame, n: int, total: int, seed: int) -> DataFrame:
     return docs.where(h <= F.lit(int(part * (1 << 30)))).orderBy(h, "doc_id").limit(n)
 
 
+def count_documents(docs: DataFrame, seeds: Seeds) -> Counts:
+    """The n-grams of all documents (``text``) by class, partial sums of every task summed up; a row per bucket and class at most."""
+    classes = len(seeds.subjects) + 1
+    shared = docs.sparkSession.sparkContext.broadcast(seeds)
+    size = np.cumsum([0, *(classes * n for n in (WORDS, PAIRS, WORDS))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = Counts.none(classes)
+        for batch in batches:
+            for k in range(0, batch.num_rows, 1000):
+                c = corpus(batch.column(0).slice(k, 1000).to_pylist())
+                counts.add(c, shared.value.classes(c))
+        for begin, table in zip(size, counts):
+            at = np.flatnonzero(table)
+            yield pa.RecordBatch.from_arrays([pa.array(at + begin), pa.array(table.ravel()[at].astype(np.float64))], names=["at", "n"])
+
+    flat = np.zeros(size[-1], np.float32)
+    sums = docs.select("text").mapInArrow(run, "at bigint, n double").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    flat[sums.column("at").to_numpy()] = sums.column("n").to_numpy()
+    return Counts(*(flat[a:b].reshape(-1, classes) for a, b in zip(size, size[1:])))
+
+
 def learn(documents: DataFrame, labels: DataFrame, areas: DataFrame) -> Models:
-    """Models from a bounded sample of the labelled documents and a bounded sample of others.
+    """Models counted over all documents, by seeds from a bounded sample of the labelled ones (``LABELLED``, those with the smallest hashed ids).
 
     Repeated labels count once; labels without document, subjects that are not
     in ``areas``, and nulls are ignored.
@@ -345,10 +453,9 @@ def learn(documents: DataFrame, labels: DataFrame, areas: DataFrame) -> Models:
     known = labels.where("doc_id is not null").join(F.broadcast(areas), "subject").groupBy("doc_id").agg(F.collect_set("subject").alias("subjects"))
     docs = documents.where("doc_id is not null and text is not null").select("doc_id", "text")
     sample = _sample(known, LABELLED, known.count(), 5).join(docs, "doc_id").collect()
-    others = _sample(docs, UNLABELLED, documents.count(), 6).collect()
-    taken = {r["doc_id"] for r in sample}
     labelled = [(r["text"], frozenset(r["subjects"])) for r in sorted(sample, key=lambda r: (r["doc_id"], r["text"]))]
-    return calibrated(subjects, labelled, [r["text"] for r in others if r["doc_id"] not in taken])
+    seeds = fit(subjects, labelled)
+    return _finished(seeds, count_documents(docs, seeds), labelled)
 
 
 def assign(documents: DataFrame, models: Models) -> DataFrame:
@@ -367,7 +474,7 @@ def assign(documents: DataFrame, models: Models) -> DataFrame:
                 part = batch.slice(k, 1000)
                 scores = m.document_scores(part.column(1).to_pylist())
                 doc, subject = np.nonzero(scores >= m.least)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc)), pa.array([m.subjects[j] for j in subject], pa.string()), pa.array(scores[doc, subject])], names=["doc_id", "subject", "score"])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc)), pa.array([m.subjects[j] for j in subject], pa.string()), pa.array(scores[doc, subject].astype(np.float64))], names=["doc_id", "subject", "score"])
 
     return documents.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, "doc_id bigint, subject string, score double")
 
