@@ -116,6 +116,35 @@ def public_id_parts(x: Column | str) -> Column:
     return F.from_json(F.try_to_binary(padded, F.lit("base64")).cast("string"), "array<string>")
 
 
+def fingerprint(x: Column | str, window: int = 4096) -> Column:
+    """Sixteen hex digits that tell the last ``window`` characters of a text."""
+    return F.substr(F.sha2(F.right(_c(x), F.lit(window)), 256), F.lit(1), F.lit(16))
+
+
+def newest_text(prompt: Column | str, reply: Column | str, limit: int = 4000) -> Column:
+    """What is embedded of a turn: the newest ``limit`` characters of prompt and reply."""
+    return F.right(F.concat_ws("\n", _c(prompt), _c(reply)), F.lit(limit))
+
+
+def discriminator(x: Column | str, limit: int = 80) -> Column:
+    """An unknown type as it may be shown: without control characters, and if it is long its first ``limit`` characters with a digest of all."""
+    t = without_control(x)
+    return F.when(F.length(t) <= limit, t).otherwise(F.concat(F.substr(t, F.lit(1), F.lit(limit)), F.lit("~"), F.substr(F.sha2(t, 256), F.lit(1), F.lit(12))))
+
+
+def iso_millis(x: Column | str) -> Column:
+    """Milliseconds of an ISO time stamp with date and time; null for any other text."""
+    t = _c(x)
+    return F.when(t.rlike(r"^\d{4}-\d\d-\d\d[T ]\d\d:\d\d(:\d\d(\.\d+)?)?(Z|[+-]\d\d:\d\d)?$"), F.unix_millis(F.try_to_timestamp(t)))
+
+
+def json_strings(x: Column | str) -> Column:
+    """The strings of a JSON array, other entries left out; empty for what is no array."""
+    x = _c(x)
+    kept = F.filter(F.from_json(x, "array<variant>"), lambda v: F.schema_of_variant(v) == "STRING")
+    return F.when(x.isNull(), None).otherwise(F.coalesce(F.transform(kept, lambda v: F.variant_get(v, "$", "string")), F.array().cast("array<string>")))
+
+
 def json_length(x: Column | str) -> Column:
     """Length of a JSON array: 0 for other JSON, null for what is no JSON."""
     x = _c(x)
