@@ -31,3 +31,14 @@ def test_conversations_equal_sql(spark):
     names = [x[0] for x in cur.description]
     want = sorted(tuple(r) for r in cur.fetchall())
     assert sorted(tuple(r) for r in QUERIES["p3_found"](spark, SF).select(*names).collect()) == want
+
+
+@pytest.mark.parametrize("name", ["p4_found", "p4_shares", "p4_clusters"])
+def test_shared_spans_equal_sql(spark, name):
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    con.execute(f"create view filtered_turns as select * from '{SF}/filtered_turns.parquet'")
+    cur = con.execute(ORACLES[name])
+    names = [x[0] for x in cur.description]
+    want = sorted(tuple(r) for r in cur.fetchall())
+    assert want and sorted(tuple(r) for r in QUERIES[name](spark, SF).select(*names).collect()) == want

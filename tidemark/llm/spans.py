@@ -326,5 +326,5 @@ def shared_shares(turns: DataFrame) -> DataFrame:
     sizes = (turns.where("memory_id is not null").select("memory_id", F.posexplode(F.array(*[F.length(c) for c in FIELDS])).alias("field", "n_chars"))
              .where("n_chars is not null").groupBy("memory_id", F.col("field").cast("tinyint").alias("field")).agg(F.max("n_chars").alias("n_chars")))
     return (sizes.join(covered, ["memory_id", "field"], "left")
-            .select("memory_id", _named().alias("field"), "n_chars", F.least("n_chars", F.coalesce("shared_chars", F.lit(0))).alias("shared_chars"))
+            .select("memory_id", _named().alias("field"), F.col("n_chars").cast("bigint").alias("n_chars"), F.least("n_chars", F.coalesce("shared_chars", F.lit(0))).cast("bigint").alias("shared_chars"))
             .withColumn("share", F.when(F.col("n_chars") > 0, F.col("shared_chars") / F.col("n_chars")).otherwise(0.0)))
