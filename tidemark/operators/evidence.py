@@ -27,13 +27,22 @@ def quotes(quoted: DataFrame, turns: DataFrame, newest: int = 64) -> DataFrame:
 
     ``quoted`` has ``quote_id, chat, turn, quote``, ``turns`` ``chat, turn,
     text``. Only the ``newest`` turns before a report are looked at; if there
-    were more and none held it, the state is ``incomplete``.
+    were more and none held it, the state is ``incomplete``. Turns are numbered
+    first, and a quote meets only the two blocks of ``newest`` turns that hold
+    its range, so its chat may be as long as it likes.
     """
-    j = quoted.join(turns.select("chat", F.col("turn").alias("at"), "text"), "chat").where(F.col("at") <= F.col("turn"))
-    j = j.withColumn("n", F.row_number().over(Window.partitionBy("quote_id").orderBy(F.desc("at"))))
-    g = j.groupBy("quote_id").agg(F.max(F.when((F.col("n") <= newest) & F.contains("text", "quote") & (F.col("quote") != ""), F.col("at"))).alias("found_at"), F.max("n").alias("turns"))
-    g = quoted.select("quote_id").join(g, "quote_id", "left")
-    return g.select("quote_id", "found_at", F.when(F.col("found_at").isNotNull(), "verified").when(F.coalesce("turns", F.lit(0)) > newest, "incomplete").otherwise("absent").alias("state"))
+    mine = turns.select("chat", F.col("turn").alias("at"), "text", F.lit(None).cast("string").alias("quote_id"))
+    asks = quoted.select("chat", F.col("turn").alias("at"), F.lit(None).cast("string").alias("text"), F.col("quote_id").cast("string").alias("quote_id"))
+    w = Window.partitionBy("chat").orderBy("at", F.col("quote_id").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    numbered = mine.unionByName(asks).withColumn("pos", F.count_if(F.col("quote_id").isNull()).over(w))
+    at = numbered.where("quote_id is null").select("chat", "at", "text", "pos", F.floor(F.col("pos") / newest).alias("block"))
+    upto = numbered.where("quote_id is not null").select("quote_id", F.col("pos").alias("upto"))
+    q = quoted.withColumn("key", F.col("quote_id").cast("string")).join(upto.withColumnRenamed("quote_id", "key"), "key").drop("key")
+    last = F.floor(F.col("upto") / newest)
+    near = q.withColumn("block", F.explode(F.array(last - 1, last))).join(at, ["chat", "block"]).where((F.col("pos") <= F.col("upto")) & (F.col("pos") > F.col("upto") - newest))
+    found = near.where(F.contains("text", "quote") & (F.col("quote") != "")).groupBy("quote_id").agg(F.max("at").alias("found_at"))
+    g = q.select("quote_id", "upto").join(found, "quote_id", "left")
+    return g.select("quote_id", "found_at", F.when(F.col("found_at").isNotNull(), "verified").when(F.col("upto") > newest, "incomplete").otherwise("absent").alias("state"))
 
 
 def served_before(turns: DataFrame, served: DataFrame) -> DataFrame:

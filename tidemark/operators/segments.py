@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,33 +44,55 @@ def assess(gap, trailing_branch, branch, trailing_files, files, marker):
     return F.when(gap >= CUT_HOURS, True).when(gap < LEAST_HOURS, False).when(F.coalesce(overlap >= HIGH_OVERLAP, F.lit(False)), False).otherwise(evidence)
 
 
-def with_state(rows: DataFrame, key: str, time: str, order: list[str], branch: str, files: str) -> DataFrame:
+def with_state(rows: DataFrame, key: str, time: str, order: list[str], branch: str, files: str, marker: str | None = None) -> DataFrame:
     """Segment numbers by all evidence, whose file memory starts empty at each cut.
 
-    The state depends on the cuts, so each key is folded in order. A gap that
-    cuts by itself resets the state, so keys are split there and only the runs
-    between such gaps are folded, each in its own array.
+    The state depends on the cuts, so rows are walked in order. A gap that cuts
+    by itself resets the state: a key is split there first, so that its runs
+    are spread over tasks, and each is walked once with a state of constant size.
     """
     w = Window.partitionBy(key).orderBy(*order)
     g = rows.withColumn("_gap", gap_hours(time, w)).withColumn("_n", F.row_number().over(w))
     runs = Window.partitionBy(key).orderBy("_n").rowsBetween(Window.unboundedPreceding, 0)
     g = g.withColumn("_run", F.sum(F.when((F.col("_n") == 1) | (F.col("_gap") >= CUT_HOURS), 1).otherwise(0)).over(runs))
-    item = F.struct(F.col("_n").alias("n"), F.col("_gap").alias("gap"), F.col(branch).alias("branch"), F.col(files).alias("files"))
-    packed = g.groupBy(key, "_run").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    start = F.struct(F.lit(0).alias("segment"), F.lit(None).cast("string").alias("branch"), F.array().cast("array<string>").alias("files"), F.array().cast("array<struct<n:int,segment:int>>").alias("out"))
-
-    def step(acc, x):
-        first = F.size(acc["out"]) == 0
-        cut = ~first & assess(x["gap"], acc["branch"], x["branch"], acc["files"], x["files"], F.lit(False))
-        kept = F.when(cut, F.array().cast("array<string>")).otherwise(acc["files"])
-        segment = acc["segment"] + cut.cast("int")
-        return F.struct(segment.alias("segment"), F.when(cut, x["branch"]).otherwise(F.coalesce(x["branch"], acc["branch"])).alias("branch"),
-                        F.slice(F.array_union(F.coalesce(x["files"], F.array().cast("array<string>")), kept), 1, TRAILING_FILES).alias("files"),
-                        F.concat(acc["out"], F.array(F.struct(x["n"].alias("n"), segment.alias("segment")))).alias("out"))
-
-    folded = packed.select(key, "_run", F.inline(F.aggregate("items", start, step, lambda acc: acc["out"]))).withColumnRenamed("n", "_n").withColumnRenamed("segment", "_seg")
+    kind = rows.schema[key].dataType.simpleString()
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current: object = object()
+        segment, trailing, kept = 0, None, []
+        for part in batches:
+            keys, run, n, gaps, branches, lists, marks = (c.to_pylist() for c in part.columns)
+            out = []
+            for k, r, gap, b, f, mark in zip(keys, run, gaps, branches, lists, marks):
+                f = f or []
+                if (k, r) != current:
+                    current, segment, trailing, kept = (k, r), 0, b, []
+                elif cuts(gap, trailing, b, kept, f, bool(mark)):
+                    segment, trailing, kept = segment + 1, b, []
+                else:
+                    trailing = trailing if b is None else b
+                kept = list(dict.fromkeys([*f, *kept]))[:TRAILING_FILES]
+                out.append(segment)
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(out, pa.int32())], names=[key, "_run", "_n", "_seg"])
+
+    slim = g.select(key, "_run", "_n", "_gap", F.col(branch).alias("b"), F.col(files).alias("f"), (F.col(marker) if marker else F.lit(False)).alias("m"))
+    folded = slim.repartition(key, "_run").sortWithinPartitions(key, "_run", "_n").mapInArrow(walk, f"`{key}` {kind}, _run bigint, _n int, _seg int")
     # each run continues the numbers of the runs before it
-    per = folded.groupBy(key, "_run").agg(F.max("_seg").alias("m"))
-    base = per.withColumn("_base", F.coalesce(F.sum(F.col("m") + 1).over(Window.partitionBy(key).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select(key, "_run", "_base")
-    numbered = folded.join(base, [key, "_run"]).select(key, "_n", (F.col("_seg") + F.col("_base")).cast("int").alias("segment"))
-    return g.join(numbered, [key, "_n"]).drop("_gap", "_n", "_run")
+    before = Window.partitionBy(key).orderBy("_run", "_n").rowsBetween(Window.unboundedPreceding, 0)
+    fresh = F.coalesce(F.col("_seg") != F.lag("_seg").over(Window.partitionBy(key).orderBy("_run", "_n")), F.lit(False)) | (F.coalesce(F.lag("_run").over(Window.partitionBy(key).orderBy("_run", "_n")), F.col("_run")) != F.col("_run"))
+    numbered = folded.withColumn("segment", F.sum(fresh.cast("int")).over(before).cast("int")).select(F.col(key).alias("_k"), F.col("_n").alias("_at"), "segment")
+    return g.join(numbered, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_n") == F.col("_at"))).drop("_gap", "_n", "_run", "_k", "_at")
+
+
+def cuts(gap: float, trailing_branch: str | None, branch: str | None, trailing_files: list[str], files: list[str], marker: bool) -> bool:
+    """The rule of :func:`assess` on plain values."""
+    if gap >= CUT_HOURS:
+        return True
+    if gap < LEAST_HOURS:
+        return False
+    union = {*trailing_files, *files}
+    overlap = len({*trailing_files} & {*files}) / len(union) if trailing_files and files else None
+    if overlap is not None and overlap >= HIGH_OVERLAP:
+        return False
+    known = branch is not None and trailing_branch is not None
+    return known and branch != trailing_branch or overlap is not None and overlap < LOW_OVERLAP and not (known and branch == trailing_branch) or marker
