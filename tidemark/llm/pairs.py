@@ -15,9 +15,9 @@ list marks, colons, commas) need no counts.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 from itertools import islice
 
@@ -35,8 +35,6 @@ MARGIN = 3.0
 BACKOFF = (2.0, 16.0, 64.0)
 #: Most words of a line that counts as ended by its line break alone (items, trailers); longer ones may be pasted in halves.
 LINE_WORDS = 7
-#: Stands for all places among the n-grams.
-ANYWHERE = ""
 #: Last words up to which the set of those to be counted is broadcast (about 25 MB); beyond, all are counted.
 BROADCAST_WORDS = 1 << 18
 #: Most letters and digits of an introduction before a repeated prompt.
@@ -177,122 +175,98 @@ def last_words(tokens: list[str], at: int) -> tuple[str, str, str]:
     return five, three, "1 " + five.rpartition(" ")[2]
 
 
-_HIT, _STOP, _ENDS, _BREAKS = 1, 2, 4, 8
+_MASK = (1 << 64) - 1
+#: Odd factors of the words of an n-gram from its last, and what tells three words and one from five.
+_FACTORS = tuple(0x9E3779B97F4A7C15 ** k & _MASK for k in (1, 3, 5, 7, 9, 11))
+_THREE, _ONE = 0x2545F4914F6CDD1D, 0x5851F42D4C957F2D
+_STOP, _LONG, _BREAKS = 1, 2, 4
 
 
-class _Ends(dict):
-    """What each token is: a wanted last word, closed by a mark of the end, the end of a sentence, and such a one before others; 0 for most."""
+def _kind_hash(kind: str) -> int:
+    return int.from_bytes(hashlib.blake2b(kind.encode("utf-8", "replace"), digest_size=8).digest(), "little")
 
-    def __init__(self, wanted: frozenset[str] | None):
-        super().__init__()
-        self.last = wanted and frozenset(w.rpartition(" ")[2] for w in wanted)
-        #: the last three words of the wanted n-grams, or all there are
-        self.tails = wanted and frozenset(tuple(w.rsplit(" ", 3)[-3:]) for w in wanted)
 
-    def __missing__(self, t: str) -> int:
-        if len(self) > 1 << 17:
-            self.clear()
-        x = _HIT if self.last is None or _AT_END[t] in self.last else 0
-        if t[-1] in ".!?":
-            x |= _STOP | (_ENDS if len(t) > 1 else 0) | (_BREAKS if len(t) > 1 and not t[:-1].isdigit() else 0)
-        self[t] = x
-        return x
+_CARET = _kind_hash("^")
 
 
-class _AtEnd(dict):
-    """Of each token its kind at a sentence's end."""
+def words_hash(words: str) -> int:
+    """The hash of last words as :func:`last_words` gives them, as a signed number; two different ones of a corpus meet in one with a chance of about 1 in 10^9."""
+    parts = words.split(" ")
+    one, caret = parts[0] == "1" and len(parts) == 2, parts[0] == "^"
+    parts = parts[1:] if one or caret else parts
+    h = sum(_kind_hash(w) * f for w, f in zip(reversed(parts), _FACTORS)) + (_CARET * _FACTORS[len(parts)] if caret else 0)
+    h = h + (_ONE if one else _THREE if not caret and len(parts) == 3 else 0) & _MASK
+    return h - (1 << 64) if h >> 63 else h
 
-    def __missing__(self, t: str) -> str:
-        if len(self) > 1 << 17:
-            self.clear()
-        kind = self[t] = _KINDS[t.rstrip(".!?") if t[-1] in ".!?" else t]
-        return kind
-
-
-_AT_END = _AtEnd()
 
+class _Tokens(dict):
+    """Numbers of tokens; of each the hashes of its kind at a sentence's end and within one, and its marks."""
 
-class _Middle(dict):
-    """Of each token its kind within a sentence."""
-
-    def __missing__(self, t: str) -> str:
-        if len(self) > 1 << 17:
-            self.clear()
-        kind = _KINDS[t]
-        self[t] = kind = "P" if kind[:2] == "P." else kind
-        return kind
-
+    def __init__(self) -> None:
+        super().__init__()
+        self.at_end: list[int] = []
+        self.within: list[int] = []
+        self.marks: list[int] = []
 
-_MIDDLE = _Middle()
+    def __missing__(self, t: str) -> int:
+        stop = t[-1] in ".!?"
+        end, kind = _KINDS[t.rstrip(".!?") if stop else t], _KINDS[t]
+        self.at_end.append(_kind_hash(end))
+        self.within.append(_kind_hash("P" if kind[:2] == "P." else kind))
+        self.marks.append((_STOP | (_LONG if len(t) > 1 else 0) | (_BREAKS if len(t) > 1 and not t[:-1].isdigit() else 0)) if stop else 0)
+        n = self[t] = len(self)
+        return n
 
 
-def count_ends(text: str, wanted: frozenset[str] | None, known: _Ends, places: Counter, ends: Counter) -> None:
-    """Count where n-grams (the wanted ones, if given) stand at all, and where a sentence is seen to end on them: by punctuation, or by a line that more text follows.
+def places_and_ends(texts: list[str | None], known: _Tokens) -> tuple[list[np.ndarray], np.ndarray]:
+    """The hashes of five, three and one last words at all places of some texts, and where a sentence is seen to end: by punctuation, or by a line that more text follows.
 
-    ``known`` looks tokens up. The open end of the text is left out, as it tells
-    neither. All places and ends together count under ``ANYWHERE``.
+    The open end of a text is left out, as it tells neither. ``known`` numbers tokens.
     """
-    text = text.rstrip()
-    lines = text.split("\n")
-    final = len(lines) - 1
-    any_places = any_ends = 0
-    tails, look, at_end, middle = known.tails, known.__getitem__, _AT_END, _MIDDLE
-    ones: list[str] = []
-    ended: list[str] = []
-    for i, line in enumerate(lines):
-        tokens = line.split()
-        if not tokens:
-            continue
-        codes = list(map(look, tokens))
-        end = len(tokens) - 1
-        if codes[end] & _STOP == 0:
-            if i == final:
-                codes.pop()  # the open end
-            elif end < LINE_WORDS:
-                codes[end] |= _ENDS
-        any_places += len(codes)
-        if not any(codes):
-            continue
-        first = 0  # where the sentence begins
-        for k, x in enumerate(codes):
-            if not x:
-                continue
-            here = x & _ENDS
-            if here:
-                any_ends += 1
-            if x & _HIT:
-                kind = at_end[tokens[k]]
-                ones.append(kind)
-                if here:
-                    ended.append(kind)
-                if k - first > 1:
-                    tail = middle[tokens[k - 2]], middle[tokens[k - 1]], kind
-                elif k > first:
-                    tail = "^", middle[tokens[k - 1]], kind
-                else:
-                    tail = "^", kind
-                if tails is None or tail in tails:
-                    words = [middle[t] for t in tokens[k - 4 if k - 4 > first else first:k]]
-                    words.append(kind)
-                    if len(words) < 5:
-                        five = three = " ".join(["^", *words])
-                    else:
-                        five, three = " ".join(words), " ".join(words[2:])
-                    if wanted is None or five in wanted:
-                        places[five] += 1
-                        if here:
-                            ends[five] += 1
-                    if three != five and (wanted is None or three in wanted):
-                        places[three] += 1
-                        if here:
-                            ends[three] += 1
-            if x & _BREAKS:
-                first = k + 1
-    for into, kinds in ((places, ones), (ends, ended)):
-        for kind, n in Counter(kinds).items():
-            into[f"1 {kind}"] += n
-    places[ANYWHERE] += any_places
-    ends[ANYWHERE] += any_ends
+    tokens: list[str] = []
+    sizes: list[int] = []
+    closes: list[int] = []  # of each line: 0 nothing, 1 its break ends it, 2 the text's open end
+    for text in texts:
+        if text:
+            lines = text.rstrip().split("\n")
+            for line in lines:
+                words = line.split()
+                if words:
+                    tokens += words
+                    sizes.append(len(words))
+                    closes.append(1 if len(words) <= LINE_WORDS else 0)
+            if lines[-1].strip():
+                closes[-1] = 2
+    if not tokens:
+        return [np.zeros(0, np.int64)] * 3, np.zeros(0, bool)
+    ids = np.fromiter(map(known.__getitem__, tokens), np.int64, len(tokens))
+    at_end, within = (np.array(x, np.uint64)[ids] for x in (known.at_end, known.within))
+    marks = np.array(known.marks, np.int8)[ids]
+    size, close = np.array(sizes), np.array(closes)
+    stop = np.cumsum(size)
+    line = np.repeat(stop - size, size)
+    at = np.arange(len(ids))
+    ends = (marks & _LONG) > 0
+    last = stop - 1
+    unmarked = (marks[last] & _STOP) == 0
+    ends[last[unmarked & (close == 1)]] = True
+    valid = np.ones(len(ids), bool)
+    valid[last[unmarked & (close == 2)]] = False
+    # where the sentence of each place begins
+    behind = np.where(marks & _BREAKS, at + 1, 0)
+    first = np.maximum(np.maximum.accumulate(np.r_[0, behind[:-1]]), line)
+    f = [np.uint64(x) for x in _FACTORS]
+    one = at_end * f[0]
+    five, three = one.copy(), one.copy()
+    for d in range(1, 5):
+        before = np.maximum(at - d, 0)
+        part = np.where(at - d >= first, within[before] * f[d], np.where(at - d == first - 1, np.uint64(_CARET * _FACTORS[d] & _MASK), np.uint64(0)))
+        five += part
+        if d < 3:
+            three += part
+    short = at - first < 4  # fewer than five words: there is one form only
+    three = np.where(short, five, three + np.uint64(_THREE))
+    return [x[valid].view(np.int64) for x in (five, three, one + np.uint64(_ONE))], ends[valid]
 
 
 def ends_here(counts: list[tuple[int, int]], anywhere: float) -> bool:
@@ -448,41 +422,52 @@ def find_defects(turns: DataFrame) -> DataFrame:
             for k in range(0, batch.num_rows, 2000):
                 ids, *columns = (c.to_pylist() for c in batch.slice(k, 2000).columns)
                 found = list(zip(*_classify(*models.value, *columns))) or [[]] * 5
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in found[0]], pa.int64()), *(pa.array(list(found[j]), pa.string()) for j in (1, 2, 3, 4))], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in found[0]], pa.int64()), pa.array(list(found[1]), pa.string()), *(pa.array([x and words_hash(x) for x in found[j]], pa.int64()) for j in (2, 3, 4))], names=names)
 
     rows = prepared.where("memory_id is not null")
-    out = cut(rows.select(*COLUMNS[:7]).mapInArrow(run, "memory_id bigint, defect string, five string, three string, one string"), "pairs")
+    out = cut(rows.select(*COLUMNS[:7]).mapInArrow(run, "memory_id bigint, defect string, five bigint, three bigint, one bigint"), "pairs")
     open_ = out.where("defect is null").select("memory_id", "five", "three", "one").distinct()
     asked = cut(open_.select(F.explode(F.array("five", "three", "one")).alias("words")).distinct(), "last-words")
     few = asked.limit(BROADCAST_WORDS + 1).collect()
-    wanted = frozenset(r["words"] for r in few) if len(few) <= BROADCAST_WORDS else None
+    wanted = np.sort(np.array([r["words"] for r in few], np.int64)) if len(few) <= BROADCAST_WORDS else None
     shared = sc.broadcast(wanted)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = shared.value
-        known = _Ends(words)
-        places: Counter = Counter()
-        ends: Counter = Counter()
-
-        def flush() -> pa.RecordBatch:
-            keys = list(places)
-            result = pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(list(places.values()), pa.int64()), pa.array([ends[k] for k in keys], pa.int64())], names=["words", "places", "ends"])
-            places.clear()
-            ends.clear()
-            return result
+        keys = shared.value
+        total = None if keys is None else np.zeros((2, len(keys)), np.int64)
+        anywhere = np.zeros(2, np.int64)
+        known = _Tokens()
+
+        def result(words: np.ndarray, places: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.int64()), pa.array(places, pa.int64()), pa.array(ends, pa.int64())], names=["words", "places", "ends"])
 
         for batch in batches:
-            for a in batch.column(0).to_pylist():
-                if a:
-                    count_ends(a, words, known, places, ends)
-                if len(places) > 400_000:
-                    yield flush()
-        yield flush()
-
-    counted = rows.select("response").mapInArrow(count, "words string, places bigint, ends bigint").groupBy("words").agg(F.sum("places").alias("places"), F.sum("ends").alias("ends"))
-    counted = cut(counted.join(asked.withColumn("asked", F.lit(True)), "words", "left").where((F.col("words") == ANYWHERE) | F.col("asked")).drop("asked"), "ends")
-    known = counted.where(F.col("words") != ANYWHERE)
-    all_ = counted.where(F.col("words") == ANYWHERE).first()
+            for k in range(0, batch.num_rows, 2000):
+                grams, ends = places_and_ends(batch.column(0).slice(k, 2000).to_pylist(), known)
+                anywhere += len(ends), ends.sum()
+                same = grams[0] == grams[1]
+                each = np.concatenate([grams[0], grams[1][~same], grams[2]])
+                ended = np.concatenate([ends, ends[~same], ends])
+                if total is None:
+                    own, of = np.unique(each, return_inverse=True)
+                    yield result(own, np.bincount(of), np.bincount(of[ended], minlength=len(own)))
+                elif len(keys):
+                    at = np.minimum(np.searchsorted(keys, each), len(keys) - 1)
+                    hit = keys[at] == each
+                    total[0] += np.bincount(at[hit], minlength=len(keys))
+                    total[1] += np.bincount(at[hit & ended], minlength=len(keys))
+                if len(known) > 1 << 18:
+                    known = _Tokens()
+        if total is not None:
+            seen = np.flatnonzero(total[0])
+            yield result(keys[seen], total[0][seen], total[1][seen])
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array(anywhere[:1]), pa.array(anywhere[1:])], names=["words", "places", "ends"])
+
+    counted = rows.select("response").mapInArrow(count, "words bigint, places bigint, ends bigint").groupBy("words").agg(F.sum("places").alias("places"), F.sum("ends").alias("ends"))
+    # null stands for all places together
+    counted = cut(counted.join(asked.withColumn("asked", F.lit(True)), "words", "left").where("words is null or asked").drop("asked"), "ends")
+    known = counted.where("words is not null")
+    all_ = counted.where("words is null").first()
     p = F.lit(all_["ends"] / max(all_["places"], 1) if all_ else 0.0)
     scored = open_
     for n, k in zip(("one", "three", "five"), reversed(BACKOFF)):
