@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import segments
-from tidemark.streaming.sessions import segment_stream, upsert_parquet
+from tidemark.streaming.sessions import latest_version, segment_stream, upsert_parquet
 
 T0 = datetime(2025, 1, 1)
 
@@ -89,8 +89,23 @@ def test_upsert_sink_is_idempotent(spark, tmp_path):
     sink(one, 0)
     sink(two, 1)
     sink(two, 1)
-    assert {tuple(r) for r in spark.read.parquet(f"{path}/version=1").collect()} == {(1, 1, "a"), (2, 2, "c"), (3, 1, "d")}
+    rows = lambda epoch: {tuple(r) for r in latest_version(spark, path, epoch, one.schema).collect()}
+    assert rows(1) == {(1, 1, "a"), (2, 2, "c"), (3, 1, "d")} and rows(0) == {(1, 1, "a"), (2, 1, "b")}
+    sink(one.limit(0), 2)
+    assert rows(2) == rows(1)
+    sink(spark.createDataFrame([(2, 9, "e")], one.schema), 3)
+    assert rows(3) == {(1, 1, "a"), (2, 9, "e"), (3, 1, "d")}
+    # only the part that holds the key is written again
+    assert len(list((tmp_path / "t" / "data" / "version=3").glob("_part=*"))) == 1
 
 
 def test_empty(spark):
     assert segments.with_state(spark.createDataFrame([], SCHEMA), "key", "at", ["turn"], "branch", "files").count() == 0
+
+
+def test_markers_cut_within_a_week_unless_the_files_speak_against_it(spark):
+    at = lambda h: T0 + timedelta(hours=h)
+    rows = [("k", 0, at(0), "b", ["f"], True), ("k", 1, at(1), "b", ["f"], True), ("k", 2, at(9), "b", ["x"], True), ("k", 3, at(20), "b", ["x"], True), ("k", 4, at(30), "b", None, False)]
+    df = spark.createDataFrame(rows, "key string, turn int, at timestamp, branch string, files array<string>, marker boolean")
+    got = segments.with_state(df, "key", "at", ["turn"], "branch", "files", "marker").orderBy("turn").collect()
+    assert [r.segment for r in got] == [0, 0, 1, 1, 1]

@@ -2,7 +2,7 @@
 
 These are fix-point and parity rules that column expressions cannot state, so
 they run as Arrow-batched Pandas functions; texts without any of the marks are
-told apart in the JVM first and never reach Python.
+told apart in the JVM first and reach Python as nulls.
 """
 
 from __future__ import annotations
@@ -87,12 +87,12 @@ def _apply(f, kind):
 
 
 def strip_shell(x: Column) -> Column:
-    return F.when(x.rlike(MARKS), _apply(stripped, T.StringType())(x)).otherwise(x)
+    return F.coalesce(_apply(stripped, T.StringType())(F.when(x.rlike(MARKS), x)), x)
 
 
 def escape_shell(x: Column) -> Column:
-    return F.when(x.rlike(MARKS), _apply(escaped, T.StringType())(x)).otherwise(x)
+    return F.coalesce(_apply(escaped, T.StringType())(F.when(x.rlike(MARKS), x)), x)
 
 
 def has_shell(x: Column) -> Column:
-    return F.coalesce(x.rlike(MARKS) & _apply(detected, T.BooleanType())(F.when(x.rlike(MARKS), x)), F.lit(False))
+    return F.coalesce(_apply(detected, T.BooleanType())(F.when(x.rlike(MARKS), x)), F.lit(False))

@@ -84,5 +84,6 @@ def nfkc(x: Column) -> Column:
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 
-    # letters of Latin-1 and typographic quotes and dashes are their own compatibility form
-    return F.when(x.rlike(r"[^\x00-\x7f\u00c0-\u00ff\u2010\u2012-\u2016\u2018-\u2023\u20ac]"), run(x)).otherwise(x)
+    # letters of Latin-1 and typographic quotes and dashes are their own compatibility form; what needs none goes to Python as null
+    odd = (F.octet_length(x) != F.length(x)) & x.rlike(r"[^\x00-\x7f\u00c0-\u00ff\u2010\u2012-\u2016\u2018-\u2023\u20ac]")
+    return F.coalesce(run(F.when(odd, x)), x)

@@ -55,15 +55,30 @@ def postings(docs: DataFrame, doc: str, text) -> DataFrame:
             .select("token", "doc", "tf", "length"))
 
 
-def term_parts(docs: DataFrame, keys: list[str], text: Column, tokens: list[str]) -> DataFrame:
-    """``keys, parts``: for each document that holds any token, its BM25 part by each token (k1 1.2, b 0.75, inverse frequency at least 1e-6)."""
+def term_counts(docs: DataFrame, keys: list[str], text: Column, q: Question) -> DataFrame:
+    """``keys, length, tf, compounds``: of every document with any word its length, how often it holds each component, and which compounds. Texts are taken apart once."""
+    tokens = list(dict.fromkeys(q.components))
+    compounds = [t for t in q.tokens if t not in tokens]
+    none = F.array().cast("array<string>")
+    held = none
+    if compounds:
+        may = F.lit(False)
+        for c in compounds:
+            may = may | F.contains(F.lower(text), F.lit(c))
+        held = F.when(may, F.array_intersect(F.array(*[F.lit(c) for c in compounds]), E.lexical_tokens(text))).otherwise(none)
+    # the words are a lambda's argument, so that they are made once whatever is asked of them
+    of = F.transform(F.array(E.components(text)), lambda t: F.struct(F.size(t).alias("length"), F.filter(t, lambda x: x.isin(*tokens)).alias("t")))
+    t = docs.select(*keys, held.alias("compounds"), F.inline(of)).where("length > 0")
     wanted = F.array(*[F.lit(w) for w in tokens])
-    t = docs.select(*keys, E.components(text).alias("t")).where(F.size("t") > 0)
-    t = t.select(*keys, F.size("t").alias("length"), F.transform(wanted, lambda w: F.size(F.filter("t", lambda x: x == w))).alias("tf"))
-    t = cut(t, "term-counts")  # narrow rows, so that texts are taken apart once
+    t = t.select(*keys, "length", F.transform(wanted, lambda w: F.size(F.filter("t", lambda x: x == w))).alias("tf"), "compounds")
+    return cut(t, "term-counts")
+
+
+def term_parts(counts: DataFrame, keys: list[str], tokens: int) -> DataFrame:
+    """``keys, parts``: for each counted document that holds any token, its BM25 part by each token (k1 1.2, b 0.75, inverse frequency at least 1e-6)."""
     # one row: documents, their mean length, and how many hold each token
-    whole = t.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), F.array(*[F.count_if(F.col("tf")[i] > 0) for i in range(len(tokens))]).alias("df"))
-    s = t.where(F.exists("tf", lambda x: x > 0)).crossJoin(F.broadcast(whole))
+    whole = counts.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), F.array(*[F.count_if(F.col("tf")[i] > 0) for i in range(tokens)]).alias("df"))
+    s = counts.where(F.exists("tf", lambda x: x > 0)).crossJoin(F.broadcast(whole))
     weight = lambda df: F.greatest(F.lit(1e-6), F.log((F.col("n") - df + 0.5) / (df + 0.5)))
     part = lambda tf, df: weight(df) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.col("mean")))
     return s.select(*keys, F.zip_with("tf", "df", part).alias("parts"))
@@ -71,20 +86,24 @@ def term_parts(docs: DataFrame, keys: list[str], text: Column, tokens: list[str]
 
 def bm25(docs: DataFrame, doc: str, text, query: str, limit: int = 20) -> DataFrame:
     """The best documents for any token of the query by BM25; ties go to the smaller id, a question of fillers finds none."""
-    tokens = query_tokens(query)
-    if not tokens:
+    q = question(query)
+    if q is None:
         return docs.select(F.col(doc).alias("doc"), F.lit(0.0).alias("score")).limit(0)
-    s = term_parts(docs.select(F.col(doc).alias("doc"), text.alias("text")), ["doc"], F.col("text"), tokens)
+    counts = term_counts(docs.select(F.col(doc).alias("doc"), text.alias("text")), ["doc"], F.col("text"), Question(q.components, q.components))
     score = F.aggregate("parts", F.lit(0.0), lambda acc, x: acc + x)
-    return s.select("doc", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "doc").limit(limit)
+    return term_parts(counts, ["doc"], len(set(q.components))).select("doc", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "doc").limit(limit)
+
+
+def _best(counts: DataFrame, tokens: int) -> DataFrame:
+    return term_parts(counts, ["id"], tokens).groupBy("id").agg(F.round(F.max(F.array_max("parts")), 6).alias("bm25"))
 
 
 def bm25_by_session(turns: DataFrame, query: str) -> DataFrame:
     """``id, bm25``: of each session (``id, text`` in any number of rows) the best score that any of its rows has for any one token."""
-    tokens = query_tokens(query)
-    if not tokens:
+    q = question(query)
+    if q is None:
         return turns.select("id", F.lit(0.0).alias("bm25")).limit(0)
-    return term_parts(turns, ["id"], F.col("text"), tokens).groupBy("id").agg(F.round(F.max(F.array_max("parts")), 6).alias("bm25"))
+    return _best(term_counts(turns, ["id"], F.col("text"), Question(q.components, q.components)), len(set(q.components)))
 
 
 def recall(sessions: DataFrame, contents: DataFrame, query: str, strict: bool = True, limit: int = 5) -> DataFrame:
@@ -104,7 +123,10 @@ def recall(sessions: DataFrame, contents: DataFrame, query: str, strict: bool =
     tokens = list(q.tokens)
     wanted = F.array(*[F.lit(w) for w in tokens])
     held = lambda c: F.array_intersect(wanted, E.lexical_tokens(c))
-    in_text = contents.select("id", held("text").alias("t")).where(F.size("t") > 0).groupBy("id").agg(F.array_distinct(F.flatten(F.collect_set("t"))).alias("in_text"))
+    components = list(dict.fromkeys(q.components))
+    found = term_counts(contents, ["id"], F.col("text"), q)
+    own = F.array_compact(F.array(*[F.when(F.col("tf")[i] > 0, F.lit(w)) for i, w in enumerate(components)]))
+    in_text = found.select("id", F.concat("compounds", own).alias("t")).where(F.size("t") > 0).groupBy("id").agg(F.array_distinct(F.flatten(F.collect_set("t"))).alias("in_text"))
     is_phrase = F.contains(F.array_join(E.components("prompt"), " "), F.lit(q.phrase)) if len(q.components) > 1 else F.lit(False)
     s = (sessions.select("id", "ended_at", held("title").alias("in_title"), held("prompt").alias("in_prompt"), held("rollup").alias("in_rollup"), is_phrase.alias("is_phrase"))
          .join(in_text, "id", "left").withColumn("in_text", F.coalesce("in_text", F.array().cast("array<string>"))))
@@ -115,10 +137,10 @@ def recall(sessions: DataFrame, contents: DataFrame, query: str, strict: bool =
     weights = F.map_from_arrays(wanted, F.array(*[E.idf(F.col("n"), F.col(f"d{i}")) for i in range(len(tokens))]))
     score = F.aggregate(F.transform("hit", lambda w: F.element_at(weights, w)), F.lit(0.0), lambda acc, x: acc + x)
     tier = (F.when(F.size("in_title") > 0, TIERS["title"]).when(F.col("is_phrase"), TIERS["phrase"]).when(F.size("in_rollup") > 0, TIERS["rollup"]).when(F.size("in_text") > 0, TIERS["content"]).otherwise(TIERS["body"]))
-    needed = F.array(*[F.lit(w) for w in dict.fromkeys(q.components)])
+    needed = F.array(*[F.lit(w) for w in components])
     s = s.select("id", "ended_at", F.round(score, 6).alias("score"), tier.alias("tier"), F.size("hit").alias("hits"), F.round(F.array_max(F.map_values(weights)), 6).alias("floor"),
                  (F.size(F.array_except(needed, "hit")) == 0).alias("every"), F.arrays_overlap(needed, "hit").alias("any")).where("score >= floor and any")
-    s = cut(s.join(bm25_by_session(contents, query), "id", "left"), "hits")
+    s = cut(s.join(_best(found, len(components)), "id", "left"), "hits")
     if strict and not s.where("every").isEmpty():
         s = s.where("every")
     s = s.withColumn("order", F.struct("score", "tier", F.when(F.col("tier") == TIERS["content"], F.coalesce("bm25", F.lit(0.0))).otherwise(0.0).alias("c"), "ended_at", (-F.col("id")).alias("i")))

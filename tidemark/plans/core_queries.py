@@ -464,13 +464,18 @@ f as (select * from sc where comps > 0 and score >= (select round(max(wt), 6) fr
 top as (select *, row_number() over (order by score desc, tier desc, cb desc, ended_at desc nulls last, id) as r from g)
 select id, score, tier, cast(hits as int) as hits from top where hits >= 2 or (select hits from top where r = 1) < 2 order by r limit 5""")
 def recall_sessions(spark, d):
+    return recall_for(spark, d, QUESTION)
+
+
+def recall_for(spark, d, text):
+    """The best sessions for a question."""
     s, m = _t(spark, d, "sessions", "memories")
     m = store.current_memories(m)
     note = rollups.merged_decisions(m).groupBy(F.col("session_id").alias("id")).agg(F.array_join(F.collect_list(F.concat_ws(" ", "what", "why")), " ").alias("r"))
     open_ = m.groupBy(F.col("session_id").alias("id")).agg(F.max_by(F.coalesce("pending_items", F.array().cast("array<string>")), F.struct("turn_index", "id")).alias("p"))
     served = (store.recall_candidates(s, COMMAND).join(note, "id", "left").join(open_, "id", "left")
               .select("id", titles.nfkc(F.concat_ws(" ", "custom_title", "title")).alias("title"), titles.nfkc(F.col("first_prompt_search")).alias("prompt"), titles.nfkc(F.concat_ws(" ", "r", F.array_join("p", " "))).alias("rollup"), "ended_at"))
-    return recall.recall(served, _contents(spark, d), QUESTION)
+    return recall.recall(served, _contents(spark, d), text)
 
 
 @query(ctes("c") + f""", t as (select memory_id as doc, {components("concat_ws(' ', user_prompt, assistant_response)")} as t from c), n as (select doc, t, len(t) as length from t where len(t) > 0),

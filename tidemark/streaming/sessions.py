@@ -12,25 +12,47 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from tidemark.operators.segments import CUT_HOURS, HIGH_OVERLAP, LEAST_HOURS, LOW_OVERLAP, TRAILING_FILES
 
 
-def upsert_parquet(path: str, keys: list[str], order: str) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` sink: each batch becomes a version folder that holds, of each key, the row latest by ``order``.
+#: Parts of an upserted table by the hash of its keys; a batch rewrites those it touches.
+PARTS = 64
 
-    A repeated batch writes the same version again, so the effect is exactly once.
-    Readers take the newest version with :func:`latest_version`.
+
+def upsert_parquet(path: str, keys: list[str], order: str, parts: int = PARTS) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` sink: a table that holds, of each key, the row latest by ``order``.
+
+    The table lies in ``parts`` by the hash of the keys. A batch writes a new
+    version of the parts it touches and a list of which version of each part
+    counts; other parts stay as they are. A repeated batch writes the same again,
+    so the effect is exactly once. Readers take an epoch with :func:`latest_version`.
     """
     def run(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
+        part = F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int")
+        came = batch.withColumn("_part", part)
+        touched = [r[0] for r in came.select("_part").distinct().collect()]  # as many as there are parts at most
+        known = _versions(spark, path, epoch - 1)
+        old = [f"{path}/data/version={known[p]}/_part={p}" for p in touched if p in known]
         rows = batch
-        if epoch:
-            rows = spark.read.schema(batch.schema).parquet(f"{path}/version={epoch - 1}").unionByName(batch)
-        last = rows.groupBy(*keys).agg(F.max(F.struct(F.col(order).alias("_o"), *[c for c in batch.columns if c not in keys])).alias("x"))
-        last.select(*[F.col(c) if c in keys else F.col(f"x.{c}") for c in batch.columns]).write.mode("overwrite").parquet(f"{path}/version={epoch}")
+        if old:
+            rows = spark.read.schema(batch.schema).parquet(*old).unionByName(batch)
+        if touched:
+            last = rows.groupBy(*keys).agg(F.max(F.struct(F.col(order).alias("_o"), *[c for c in batch.columns if c not in keys])).alias("x"))
+            (last.select(*[F.col(c) if c in keys else F.col(f"x.{c}") for c in batch.columns]).withColumn("_part", part)
+             .write.mode("overwrite").partitionBy("_part").parquet(f"{path}/data/version={epoch}"))
+        known |= dict.fromkeys(touched, epoch)
+        spark.createDataFrame(sorted(known.items()), "part int, version bigint").coalesce(1).write.mode("overwrite").parquet(f"{path}/versions/epoch={epoch}")
 
     return run
 
 
+def _versions(spark, path: str, epoch: int) -> dict[int, int]:
+    """Which version of each part counts after an epoch."""
+    return {r["part"]: r["version"] for r in spark.read.schema("part int, version bigint").parquet(f"{path}/versions/epoch={epoch}").collect()} if epoch >= 0 else {}
+
+
 def latest_version(spark, path: str, epoch: int, schema) -> DataFrame:
-    return spark.read.schema(schema).parquet(f"{path}/version={epoch}")
+    """The upserted table after an epoch."""
+    parts = [f"{path}/data/version={v}/_part={p}" for p, v in sorted(_versions(spark, path, epoch).items())]
+    return spark.read.schema(schema).parquet(*parts) if parts else spark.createDataFrame([], schema)
 
 
 OUT = "key string, segment int, turns int, first_at timestamp, last_at timestamp, final boolean"
