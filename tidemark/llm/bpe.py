@@ -200,6 +200,9 @@ class Encoder:
         """Ids of a text; null and empty give the empty list."""
         if not text:
             return []
+        if len(text) <= self.window:
+            (ids, rest) = self.stream((text,))
+            return ids + rest
         return [i for ids in self.stream(text[k:k + self.window] for k in range(0, len(text), self.window)) for i in ids]
 
     def stream(self, chunks: Iterable[str]) -> Iterator[list[int]]:
