@@ -25,3 +25,14 @@ def test_entry_without_llm(tmp_path):
         shutil.copytree(src, tmp_path / name, ignore=shutil.ignore_patterns("llm", "__pycache__")) if src.is_dir() else shutil.copy(src, tmp_path / name)
     out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; q = e.queries(); assert q and not any(n[0] == 'p' and n[1].isdigit() for n in q); assert set(e.oracle_sql()) <= set(q)"], cwd=tmp_path, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path), "HOME": "/root"}, capture_output=True, text=True)
     assert out.returncode == 0, out.stderr
+
+
+def test_scratch_is_cleared(spark, tmp_path):
+    from tidemark import runtime
+
+    path = Path(runtime.local_path(runtime.scratch(spark, "some")))
+    df = runtime.cut(spark.range(3), "kept")
+    assert df.count() == 3 and path.parent.is_dir()
+    runtime.clear_scratch(spark)
+    assert not path.parent.exists()
+    runtime.clear_scratch(spark)  # nothing left is no error

@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from tidemark.functions import expr as E
-from tidemark.operators import serving, upkeep
+from tidemark.operators import serving, transcripts, upkeep
 
 T0 = datetime(2025, 6, 1)
 
@@ -77,3 +77,18 @@ def test_empty_tables(spark):
     assert upkeep.import_matches(p, p).count() == 0
     r = spark.createDataFrame([], "o int, i int, t string")
     assert upkeep.admitted_rules(r, "o", "i", "t").count() == 0
+
+
+def test_open_turns_at_the_end_of_files(spark):
+    m = lambda n: T0 + timedelta(minutes=n)
+    seen = spark.createDataFrame([(1, "a", m(0)), (1, "a", m(1)), (2, "a", m(0)), (3, "a", m(0)), (4, "a", m(58)), (5, "a", m(0))], "session_id int, source_id string, at timestamp")
+    now = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, "a")], "session_id int, source_id string")
+    done = spark.createDataFrame([(1, m(0)), (2, m(3))], "session_id int, at timestamp")
+    got = {r.session_id: (r.state, r.staged_at) for r in transcripts.staged_open_turns(seen, now, done, F.lit(m(60))).collect()}
+    assert got == {1: ("open", m(1)), 2: ("closed", m(0)), 3: ("invalid", m(0)), 4: ("waiting", m(58)), 5: ("invalid", m(0))}
+
+
+def test_summaries_since_the_last_compaction(spark):
+    rows = [("a", 0, False, "old"), ("a", 1, True, None), ("a", 2, False, "new"), ("a", 3, False, "new"), ("b", 0, False, "x"), ("b", 1, False, "y"), ("c", 0, True, None), ("d", 0, False, " "), ("e", 0, False, "z" * 11), ("f", 0, True, "own")]
+    got = {r.file: (r.state, r.summary) for r in transcripts.compact_summaries(spark.createDataFrame(rows, "file string, pos int, compacted boolean, summary string"), 10).collect()}
+    assert got == {"a": ("found", "new"), "b": ("ambiguous", None), "c": ("none", None), "d": ("blank", None), "e": ("oversize", None), "f": ("found", "own")}

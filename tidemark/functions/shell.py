@@ -19,6 +19,7 @@ from tidemark.functions.expr import ANSI, CONTROL
 #: What a shell would act on, anywhere or at the start of a line, and what is taken out of texts in any case.
 MARKS = rf"`|[$<>]\(|\$\{{|<<|(?m)^[ \t]*\\*[|;&]|{ANSI}|{CONTROL}"
 _UNSEEN = re.compile(f"{ANSI}|{CONTROL}")
+#: Openers, here-documents, operators at the start of a line with the backslashes before them, backticks.
 _PAIRED = re.compile(r"[$<>]\(|\$\{")
 _HERE = re.compile(r"(\\*)<<")
 _LEADING = re.compile(r"^([ \t]*)((?:\\*[|;&])+)", re.M)

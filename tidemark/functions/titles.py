@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 LIMIT, ENOUGH = 72, 20
 _NOISE = re.compile(r"^\s*(?:```|~~~|[-=*_#|]{3,}|\d{4}-\d\d-\d\dT|at \S+ \(|[\w./-]+:\d+|[{}\[\]();]+|https?://\S+|<[^>]+>|\$ |> ?$)")
 _MARKDOWN = re.compile(r"^\s*(?:#{1,6}\s+|>\s*|[-*+•]\s+|\d+[.)]\s+)|[*_`]{1,3}|\[([^\]]*)\]\([^)]*\)")
+#: Where units of a text end, and how the items of a list begin.
 _UNITS = re.compile(r"\n\s*\n|(?<=[.!?])\s+(?=[A-ZÀ-ÖØ-Þ])")
 _ITEM = re.compile(r"\s*(?:[-*]|\d+[.)])\s")
 #: What stands for text left out before and after.

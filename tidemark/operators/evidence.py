@@ -135,7 +135,7 @@ def session_evidence(units: DataFrame, components: list[str], limit: int = 800)
 
 
 def coverage(omitted: Column) -> Column:
-    """The statement of what evidence covers."""
+    """The statement of what evidence covers (a fixed value)."""
     return F.concat(F.lit("Coverage: stored rollup; "), omitted.cast("string"), F.lit(" later evidence units omitted; other session material excluded; relevance unverified."))
 
 

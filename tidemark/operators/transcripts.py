@@ -80,3 +80,33 @@ def with_retries(page: DataFrame, pending: DataFrame, limit: int = 32) -> DataFr
 def without_own_output(turns: DataFrame, mark: str, *texts: str) -> DataFrame:
     """Turns in none of whose texts the system's own mark stands."""
     return turns.where(~F.coalesce(F.contains(F.concat_ws("\n", *texts), F.lit(mark)), F.lit(False)))
+
+
+def staged_open_turns(observed: DataFrame, sources: DataFrame, closed: DataFrame, now: Column, grace_minutes: int = 5) -> DataFrame:
+    """``session_id, staged_at, state``: open turns seen at a file's failed end (``session_id, source_id, at``), the last sighting of each session.
+
+    ``closed`` where a turn of the session closed since (``session_id, at``),
+    ``invalid`` where the file is another now (``session_id, source_id``) or
+    gone, ``waiting`` within the grace, else ``open``.
+    """
+    last = observed.groupBy("session_id").agg(F.max(F.struct("at", "source_id")).alias("x")).select("session_id", F.col("x.at").alias("staged_at"), F.col("x.source_id").alias("source_id"))
+    is_now = sources.groupBy("session_id").agg(F.max("source_id").alias("is_now"))
+    done = closed.groupBy("session_id").agg(F.max("at").alias("done"))
+    state = (F.when(F.col("done") >= F.col("staged_at"), "closed").when(~F.col("source_id").eqNullSafe(F.col("is_now")), "invalid")
+             .when(F.col("staged_at") + F.expr(f"interval {int(grace_minutes)} minutes") > now, "waiting").otherwise("open"))
+    return last.join(is_now, "session_id", "left").join(done, "session_id", "left").select("session_id", "staged_at", state.alias("state"))
+
+
+def compact_summaries(records: DataFrame, limit: int) -> DataFrame:
+    """``file, state, summary``: the summary that stands for what a file held before its last compaction.
+
+    ``records`` has ``file, pos, compacted`` (a compaction ends here) and
+    ``summary``. Only summaries since the last compaction count: ``none``,
+    ``blank``, ``oversize`` (over ``limit`` characters), ``ambiguous`` (several
+    texts), else ``found``.
+    """
+    last = records.groupBy("file").agg(F.max(F.when(F.col("compacted"), F.col("pos"))).alias("since"))
+    tail = records.join(last, "file").where(F.col("summary").isNotNull() & (F.col("pos") >= F.coalesce("since", F.lit(0))))
+    g = tail.groupBy("file").agg(F.countDistinct("summary").alias("n"), F.min("summary").alias("summary"))
+    state = F.when(F.col("n").isNull(), "none").when(F.col("n") > 1, "ambiguous").when(E.blank("summary"), "blank").when(F.length("summary") > limit, "oversize").otherwise("found")
+    return last.join(g, "file", "left").select("file", state.alias("state"), F.when(state == "found", F.col("summary")).alias("summary"))

@@ -157,6 +157,25 @@ def session_kinds(spark, d):
     return s.select("id", transcripts.surface(F.col("surface")).alias("shown"), transcripts.session_kind(F.col("kind"), forked, F.col("kind") == "subagent").alias("first_kind"))
 
 
+# errors stand for failed ends, sign-ups for the file that is there, purchases for closed turns
+@query("""with o as (select user_id as session_id, ts as seen, json_extract_string(props, '$.k') as source_id from events where event_type = 'error'), l as (select session_id, max(seen) as staged_at, arg_max(source_id, (seen, source_id)) as source_id from o group by 1),
+n as (select user_id as session_id, max(json_extract_string(props, '$.k')) as is_now from events where event_type = 'signup' group by 1), d as (select user_id as session_id, max(ts) as done from events where event_type = 'purchase' group by 1)
+select l.session_id, staged_at, case when done >= staged_at then 'closed' when l.source_id is distinct from is_now then 'invalid' when staged_at + interval 5 minute > timestamp '2024-01-20' then 'waiting' else 'open' end as state from l left join n using (session_id) left join d using (session_id)""")
+def staged_open_turns(spark, d):
+    e = table(spark, d, "events").withColumn("source_id", F.get_json_object("props", "$.k")).withColumnsRenamed({"user_id": "session_id", "ts": "at"})
+    of = lambda kind: e.where(F.col("event_type") == kind)
+    return transcripts.staged_open_turns(of("error").select("session_id", "at", "source_id"), of("signup").select("session_id", "source_id"), of("purchase").select("session_id", "at"), F.lit("2024-01-20").cast("timestamp_ntz"))
+
+
+# sign-ups stand for compactions, the kinds of clicks and errors for summaries
+@query("""with r as (select user_id as file, event_id as pos, event_type = 'signup' as c, case when event_type in ('click', 'error') then json_extract_string(props, '$.k') end as summary from events), l as (select file, max(pos) filter (c) as since from r group by 1),
+g as (select r.file, count(distinct summary) as n, min(summary) as summary from r join l using (file) where summary is not null and pos >= coalesce(since, 0) group by 1)
+select l.file, case when n is null then 'none' when n > 1 then 'ambiguous' when trim(summary) = '' then 'blank' when length(summary) > 1 then 'oversize' else 'found' end as state, case when n = 1 and trim(summary) <> '' and length(summary) <= 1 then summary end as summary from l left join g using (file)""")
+def compact_summaries(spark, d):
+    k = F.when(F.col("event_type").isin("click", "error"), F.get_json_object("props", "$.k"))
+    return transcripts.compact_summaries(table(spark, d, "events").select(F.col("user_id").alias("file"), F.col("event_id").alias("pos"), (F.col("event_type") == "signup").alias("compacted"), k.alias("summary")), 1)
+
+
 # --- retention -------------------------------------------------------------------------------------------------------
 
 # the first main session of a project stands for the parent of its subagents' sessions; sessions without a last turn have an open one; older copies are let pass
