@@ -122,9 +122,13 @@ class Assembly:
         batch.select(*SPOT, F.col("closes.end").alias("closes"), "last.at", "last.seen", "last.whole", "last.reingested_at", "last.memory_id").write.mode("overwrite").parquet(came)
         rows = spark.read.schema(OPEN).parquet(came)
         # all days before the watermark, which is as far as the batches before have brought it, have left the state
-        newest = max((t for t in (rows.agg(F.max("closes").cast("double")).first()[0], self._watermark(), self.passed.get(before)) if t is not None), default=None)
+        closed = rows.agg(F.max("closes").cast("double")).first()[0]
+        newest = max((t for t in (closed, self._watermark(), self.passed.get(before)) if t is not None), default=None)
         if newest is None:
             return
+        if closed is None and before is not None and newest == self.passed[before]:  # nothing has changed
+            self.waiting[epoch], self.passed[epoch] = self.waiting[before], newest
+            return
         if before is not None:
             rows = rows.unionByName(spark.read.schema(OPEN).parquet(self.waiting[before]))
         chat = ["tool", "native_id"]
