@@ -88,6 +88,15 @@ def test_ends_are_likelier_than_going_on():
     assert not pairs.ends_here([(0, 0), (0, 0), (0, 0)], 0.05) and pairs.ends_here([(0, 0), (90, 100), (0, 0)], 0.05) and not pairs.ends_here([(0, 0), (1, 1), (0, 50)], 0.05)
 
 
+def test_answers_in_a_set_form_are_whole_though_the_form_goes_on_elsewhere(spark):
+    q = "Which commit moved the check into the loader?"
+    answers = [(i, q, f"commit {0xABC1230 + i:x}") for i in range(40)]
+    within = [(100 + i, q, f"commit {0xBCD1230 + i:x} moved the check into the loader and all tests pass.") for i in range(30)]
+    # broken in the middle of words that go on elsewhere, two at the same place
+    broken = [(200 + i, q, f"{n} tests failed. The worker was waiting for the lo") for i, n in enumerate(("Three", "Four"))]
+    assert find(spark, base() + answers + within + broken) == {200: "truncated", 201: "truncated"}
+
+
 def counted(*texts):
     grams, ends = pairs.places_and_ends(list(texts), pairs._Tokens())
     places, ended = Counter(), Counter()

@@ -9,8 +9,11 @@ over words (:mod:`tidemark.llm.refusals`).
 Truncation is a likelihood of the text's end: n-grams of the last five, three
 and one words are counted over all responses, at all places and where a sentence
 ends; the interpolated likelihood that a text ends on its last words is compared
-with that of going on. Endings that say it themselves (open fences, dangling
-list marks, colons, commas) need no counts.
+with that of going on. A text is whole too if, after the words before its last,
+most texts stop with that last word: answers in set forms ("commit 3f2a9b1") are
+seldom seen within texts, and texts that break off stop at any word. Endings
+that say it themselves (open fences, dangling list marks, colons, commas) need
+no counts.
 """
 
 from __future__ import annotations
@@ -199,6 +202,20 @@ def words_hash(words: str) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+def before_last(text: str) -> int | None:
+    """The hash of the last words before the last of a text, within its sentence."""
+    tokens = _without_symbols(text).rpartition("\n")[2].split()
+    if len(tokens) < 2 or len(tokens[-2]) > 1 and tokens[-2][-1] in ".!?" and not tokens[-2][:-1].isdigit():
+        return None
+    return words_hash(last_words(tokens, len(tokens) - 2)[0])
+
+
+def text_hash(text: str) -> int:
+    """The hash of a text, blanks and line breaks apart, as a signed number."""
+    h = _kind_hash(" ".join(text.split()))
+    return h - (1 << 64) if h >> 63 else h
+
+
 class _Tokens(dict):
     """Numbers of tokens; of each the hashes of its kind at a sentence's end and within one, and its marks."""
 
@@ -415,19 +432,21 @@ def find_defects(turns: DataFrame) -> DataFrame:
     sc = turns.sparkSession.sparkContext
     prepared = _prepared(turns.where("memory_id is not null").select("memory_id", "user_prompt", "assistant_response", F.coalesce("omitted_before_chars", F.lit(0)).cast("bigint").alias("omitted")))
     models = sc.broadcast(_models(prepared))
-    names = ["memory_id", "defect", "five", "three", "one"]
+    names = ["memory_id", "defect", "five", "three", "one", "before", "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 2000):
                 ids, *columns = (c.to_pylist() for c in batch.slice(k, 2000).columns)
                 found = list(zip(*_classify(*models.value, *columns))) or [[]] * 5
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in found[0]], pa.int64()), pa.array(list(found[1]), pa.string()), *(pa.array([x and words_hash(x) for x in found[j]], pa.int64()) for j in (2, 3, 4))], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in found[0]], pa.int64()), pa.array(list(found[1]), pa.string()), *(pa.array([x and words_hash(x) for x in found[j]], pa.int64()) for j in (2, 3, 4)), *(pa.array([None if d else of(columns[1][i]) for i, d in zip(*found[:2])], pa.int64()) for of in (before_last, text_hash))], names=names)
 
     rows = prepared.where("memory_id is not null")
-    out = cut(rows.select(*COLUMNS[:7]).mapInArrow(run, "memory_id bigint, defect string, five bigint, three bigint, one bigint"), "pairs")
-    open_ = out.where("defect is null").select("memory_id", "five", "three", "one").distinct()
-    asked = cut(open_.select(F.explode(F.array("five", "three", "one")).alias("words")).distinct(), "last-words")
+    out = cut(rows.select(*COLUMNS[:7]).mapInArrow(run, "memory_id bigint, defect string, five bigint, three bigint, one bigint, before bigint, text bigint"), "pairs")
+    open_ = out.where("defect is null").select("memory_id", "five", "three", "one", "before").distinct()
+    asked = cut(open_.select(F.explode(F.array("five", "three", "one", "before")).alias("words")).where("words is not null").distinct(), "last-words")
+    # how many other texts stop so; a text that is repeated tells nothing new
+    stops = out.where("defect is null and before is not null").groupBy("before", "five").agg((F.countDistinct("text") - 1).alias("others"))
     few = asked.limit(BROADCAST_WORDS + 1).collect()
     wanted = np.sort(np.array([r["words"] for r in few], np.int64)) if len(few) <= BROADCAST_WORDS else None
     shared = sc.broadcast(wanted)
@@ -473,5 +492,7 @@ def find_defects(turns: DataFrame) -> DataFrame:
     for n, k in zip(("one", "three", "five"), reversed(BACKOFF)):
         scored = scored.join(known.select(F.col("words").alias(n), F.col("places").alias(f"{n}_places"), F.col("ends").alias(f"{n}_ends")), n, "left")
         p = (F.coalesce(f"{n}_ends", F.lit(0)) + k * p) / (F.coalesce(f"{n}_places", F.lit(0)) + k)
-    broken = scored.where(p < 0.5).select("memory_id", F.lit("truncated").alias("defect"))
+    scored = scored.join(known.select(F.col("words").alias("before"), F.col("places").alias("before_places")), "before", "left").join(stops, ["before", "five"], "left")
+    seldom = F.coalesce("others", F.lit(0)) / (F.coalesce("before_places", F.lit(0)) + BACKOFF[0]) < 0.5
+    broken = scored.where((p < 0.5) & seldom).select("memory_id", F.lit("truncated").alias("defect"))
     return out.where("defect is not null").select("memory_id", "defect").unionByName(broken).groupBy("memory_id").agg(F.max("defect").alias("defect"))
