@@ -65,6 +65,17 @@ def test_recall_in_a_dense_cluster_far_above_a_list(spark, monkeypatch):
     assert len(got) == len(want) and len(got & want) / len(want) > 0.98
 
 
+def test_cutting_lists_loses_nothing(spark, monkeypatch):
+    x = clusters(9, 40, 30, dims=64)
+    rows = [(i, T0, "m", "r", x.shape[1], v.tolist()) for i, v in enumerate(x)]
+    monkeypatch.setattr(neighbours, "CANDIDATES", 24)
+    sims = []
+    for size in (16384, 64):
+        monkeypatch.setattr(neighbours, "LIST", size)
+        sims.append({(r.a, r.rank): r.sim for r in neighbours.nearest(table(spark, rows), 10).collect()})
+    assert sims[0].keys() <= sims[1].keys() and all(sims[1][k] >= s - 1e-6 for k, s in sims[0].items())
+
+
 def test_blocks_bring_every_query_to_every_member_once(spark):
     from pyspark.sql import functions as F
 

@@ -9,11 +9,11 @@ are multiplied with the query and ranked again by cosine. A query's best over
 its lists are merged. Vectors travel as unit vectors in half precision, which
 moves a cosine by about 0.00002.
 
-The number of pivots grows with the root of the group, so lists do too; a list
-beyond ``LIST`` members is split by the members' next pivots. Where these still
-agree for more than ``LIST``, the list is cut into blocks and every block of
-queries meets every block of members in a task of its own, so nothing is lost by
-the cut and no task holds more than two blocks. A query that finds fewer than k
+The number of pivots grows with the root of the group, so lists do too. A list
+beyond ``LIST`` members is cut into blocks and every block of queries meets
+every block of members in a task of its own. ``CANDIDATES`` are taken from each
+block, among them those that the uncut list would have, so nothing is lost by
+the cut, and no task holds more than two blocks. A query that finds fewer than k
 meets its whole group in blocks likewise, by cosine. Equal vectors are
 represented by one of them, so copies cost nothing.
 """
@@ -37,7 +37,7 @@ POSTED = 5
 #: Members of a list ranked again by cosine, per query.
 CANDIDATES = 96
 #: Most members of a posting list, or of a block of one, in a task.
-LIST = 4096
+LIST = 16384
 #: Pivots of a group, by the root of its size.
 PIVOTS_PER_ROOT = 1.25
 #: Most pivots of a group. At 1536 dimensions that is 50 MB in single precision.
@@ -143,17 +143,12 @@ def _blocks(queries: Column, members: Column, role: str) -> Column:
 
 
 def posted(perms: DataFrame) -> DataFrame:
-    """Postings ``g, p1, p2, qb, mb, q, m, id, dims, p, v``: the lists are (g, p1), split by p2 where they are too long, and cut into blocks where they still are."""
-    first = perms.select("g", "id", "p", F.explode(F.slice("p", 1, POSTED)).alias("p1"))
-    long1 = first.groupBy("g", "p1").agg(F.count("*").alias("n1")).where(F.col("n1") > LIST)
-    rest = F.slice(F.array_except("p", F.array("p1")), 1, 2)
-    size2 = first.join(long1, ["g", "p1"]).select("g", "p1", F.explode_outer(rest).alias("p2")).groupBy("g", "p1", F.coalesce("p2", F.lit(-1)).alias("p2")).agg(F.count("*").alias("n2"))
-    sizes = cut(size2.groupBy("g", "p1").agg(F.map_from_entries(F.collect_list(F.struct("p2", "n2"))).alias("under")), "long-lists")
-    rows = perms.withColumn("p1", F.explode(F.slice("p", 1, POSTED))).join(sizes, ["g", "p1"], "left")
-    rows = rows.withColumn("p2", F.explode(F.when(F.col("under").isNull() | (F.size(rest) == 0), F.array(F.lit(-1))).otherwise(rest)))
-    n = F.coalesce(F.try_element_at("under", F.col("p2")), F.lit(1))
-    rows = rows.withColumn("n", F.ceil(n / F.lit(LIST)).cast("int"))
-    return rows.select("g", "p1", "p2", "id", "dims", "p", "v", F.inline(_blocks(F.col("n"), F.col("n"), "both")))
+    """Postings ``g, p1, qb, mb, q, m, id, dims, p, v``: the lists are (g, p1), cut into blocks where they are too long."""
+    p1 = F.explode(F.slice("p", 1, POSTED)).alias("p1")
+    sizes = perms.select("g", p1).groupBy("g", "p1").agg(F.ceil(F.count("*") / F.lit(LIST)).cast("int").alias("n"))
+    rows = perms.select("*", p1).join(cut(sizes.where("n > 1"), "long-lists"), ["g", "p1"], "left")
+    n = F.coalesce("n", F.lit(1))
+    return rows.select("g", "p1", "id", "dims", "p", "v", F.inline(_blocks(n, n, "both")))
 
 
 def _ranked(k: int, footrule: bool = True):
@@ -259,7 +254,7 @@ def nearest(embeddings: DataFrame, k: int = 10) -> DataFrame:
     rows = every.join(copies.where("id <> rep"), "id", "left_anti") if repeated else every
     perms = cut(permutations(rows, choose_pivots(rows)), "permutations")
     size = sum(r["n"] * (2 * r["dims"] + 64) for r in perms.groupBy("g", "dims").agg(F.count("*").alias("n")).collect())  # a row per model, revision and dimensions
-    keys = ["g", "p1", "p2", "qb", "mb"]
+    keys = ["g", "p1", "qb", "mb"]
     found = _spread(posted(perms), 2 * POSTED * size, *keys).groupBy(*keys).applyInArrow(_ranked(k), FOUND)
     best = cut(_top(found, k), "neighbours")
     sizes = perms.groupBy("g").agg(F.count("*").alias("n"))  # a row per model, revision and dimensions
