@@ -76,6 +76,17 @@ def test_cutting_lists_loses_nothing(spark, monkeypatch):
     assert sims[0].keys() <= sims[1].keys() and all(sims[1][k] >= s - 1e-6 for k, s in sims[0].items())
 
 
+def test_recall_in_lists_much_longer_than_the_candidates(spark, monkeypatch):
+    # as in groups of millions, where a list holds some 70 times the candidates
+    monkeypatch.setattr(neighbours, "CANDIDATES", 14)
+    x = clusters(11, 200, 15, dims=96)
+    rows = [(i, T0, "m", "r", x.shape[1], v.tolist()) for i, v in enumerate(x)]
+    got = {(r.a, r.b) for r in neighbours.nearest(table(spark, rows), 10).collect()}
+    want = exact(x, 10)
+    print("recall", len(got & want) / len(want))
+    assert len(got) == len(want) and len(got & want) / len(want) > 0.95
+
+
 def test_blocks_bring_every_query_to_every_member_once(spark):
     from pyspark.sql import functions as F
 
