@@ -131,3 +131,72 @@ def test_copies_share_their_neighbours(spark):
     assert len(got) == len(rows) and all(len(v) == 10 for v in got.values())
     assert all(got[100 + i] <= {0, *range(100, 140)} for i in range(40)) and got[0] <= set(range(100, 140))
     assert {1, 200, 201} - {1} <= got[1] and {1, 201} <= got[200]
+
+
+def files_at_most(spark, work):
+    """Bytes at most, while ``work`` runs, of the shuffle files and cut tables that come to be."""
+    import threading
+    from pathlib import Path
+
+    from tidemark import runtime
+
+    places = [*spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString(), runtime.local_path(runtime.shared_dir(spark))]
+
+    def sizes():
+        out = {}
+        for p in (p for at in places for kind in ("shuffle_*", "*.parquet") for p in Path(at).rglob(kind)):
+            try:
+                out[p] = p.stat().st_size
+            except OSError:
+                pass
+        return out
+
+    old, most, over = sizes(), [0], threading.Event()
+
+    def watch():
+        while not over.wait(0.02):
+            most[0] = max(most[0], sum(n for p, n in sizes().items() if p not in old))
+
+    t = threading.Thread(target=watch)
+    t.start()
+    try:
+        work()
+    finally:
+        over.set()
+        t.join()
+    return most[0]
+
+
+def test_disk_is_a_few_copies_of_the_vectors(spark, monkeypatch):
+    # with lists of 200 many rows are posted three times and more in each of their seven
+    monkeypatch.setattr(neighbours, "LIST", 200)
+    monkeypatch.setattr(neighbours, "PASS_BYTES", 0, raising=False)
+    x = np.random.default_rng(13).normal(size=(1500, 384)).astype(np.float32)
+    df = table(spark, [(i, T0, "m", "r", x.shape[1], v.tolist()) for i, v in enumerate(x)]).repartition(4).localCheckpoint()
+    most = files_at_most(spark, lambda: neighbours.nearest(df, 10).count())
+    print("copies of the input", most / x.nbytes)
+    assert most < 2.5 * x.nbytes
+
+
+def test_passes_change_nothing(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "LIST", 100)
+    x = clusters(15, 25, 16)
+    df = table(spark, [(i, T0, "m", "r", x.shape[1], v.tolist()) for i, v in enumerate(x)])
+    got = []
+    for size in (1 << 30, 1 << 18):
+        monkeypatch.setattr(neighbours, "PASS_BYTES", size)
+        got.append({(r.a, r.rank): r.sim for r in neighbours.nearest(df, 10).collect()})
+    assert got[0].keys() == got[1].keys() and all(abs(got[0][k] - s) < 1e-6 for k, s in got[1].items())
+
+
+def test_whole_groups_in_passes(spark, monkeypatch):
+    from tidemark import runtime
+
+    monkeypatch.setattr(neighbours, "LIST", 32)
+    monkeypatch.setattr(neighbours, "PASS_BYTES", 0)
+    x = clusters(17, 30, 4)
+    rows = neighbours.latest_usable(table(spark, [(i, T0, "m", "r", x.shape[1], v.tolist()) for i, v in enumerate(x)]))
+    none = runtime.cut(runtime.empty(spark, neighbours.FOUND), "none")
+    got = neighbours._whole(none, rows, rows.where("id < 40"), 120 * (2 * x.shape[1] + 64), 10).collect()
+    want = {(a, b) for a, b in exact(x, 10) if a < 40}
+    assert len(got) == len(want) and len({(r.a, r.b) for r in got} & want) / len(want) > 0.99

@@ -16,6 +16,11 @@ block, among them those that the uncut list would have, so nothing is lost by
 the cut, and no task holds more than two blocks. A query that finds fewer than k
 meets its whole group in blocks likewise, by cosine. Equal vectors are
 represented by one of them, so copies cost nothing.
+
+Postings are made in passes, each of a hash slice of the tasks and of about
+``PASS`` copies of the vectors. The best of the passes so far are merged with
+those of the next and the files of a pass go at its end. So the disk holds a few
+copies of the vectors, however many lists and blocks a vector is posted in.
 """
 
 from __future__ import annotations
@@ -44,6 +49,8 @@ PIVOTS_PER_ROOT = 1.25
 MAX_PIVOTS = 8192
 #: Most bytes of pivots of all groups; beyond, each gets fewer in proportion.
 PIVOT_BYTES = 256 << 20
+#: Copies of all vectors posted in a pass, about, and bytes up to which there is only one.
+PASS, PASS_BYTES = 1, 8 << 20
 #: Bytes of a shuffle partition beyond which there are more of them than the session sets.
 PARTITION_BYTES = 16 << 20
 #: Bytes of candidates multiplied at once.
@@ -142,11 +149,20 @@ def _blocks(queries: Column, members: Column, role: str) -> Column:
     return F.concat(F.array(part(own(members), own(members), True, True)), F.transform(rest, lambda j: part(own(members), j, True, False)), F.transform(rest, lambda i: part(i, own(members), False, True)))
 
 
-def posted(perms: DataFrame) -> DataFrame:
-    """Postings ``g, p1, qb, mb, q, m, id, dims, p, v``: the lists are (g, p1), cut into blocks where they are too long."""
-    p1 = F.explode(F.slice("p", 1, POSTED)).alias("p1")
-    sizes = perms.select("g", p1).groupBy("g", "p1").agg(F.ceil(F.count("*") / F.lit(LIST)).cast("int").alias("n"))
-    rows = perms.select("*", p1).join(cut(sizes.where("n > 1"), "long-lists"), ["g", "p1"], "left")
+def _bytes(df: DataFrame, rows: Column) -> int:
+    """Bytes of so many rows with their vectors."""
+    return int(df.agg(F.sum(rows * (2 * F.col("dims") + 64).cast("bigint")).alias("n")).first()["n"] or 0)
+
+
+def long_lists(perms: DataFrame) -> DataFrame:
+    """``g, p1, n, dims, rows``: the lists cut into n > 1 blocks and the rows posted for each."""
+    sizes = perms.select("g", "dims", F.explode(F.slice("p", 1, POSTED)).alias("p1")).groupBy("g", "p1").agg(F.ceil(F.count("*") / F.lit(LIST)).cast("int").alias("n"), F.count("*").alias("members"), F.first("dims").alias("dims"))
+    return cut(sizes.where("n > 1").select("g", "p1", "n", "dims", "members", (F.col("members") * (2 * F.col("n") - 1)).alias("rows")), "long-lists", sweep=True)
+
+
+def posted(perms: DataFrame, long: DataFrame) -> DataFrame:
+    """Postings ``g, p1, qb, mb, q, m, id, dims, p, v``: the lists are (g, p1), cut into blocks where they are ``long``, as at most one in ``LIST`` postings is."""
+    rows = perms.select("*", F.explode(F.slice("p", 1, POSTED)).alias("p1")).join(F.broadcast(long.select("g", "p1", "n")), ["g", "p1"], "left")
     n = F.coalesce("n", F.lit(1))
     return rows.select("g", "p1", "id", "dims", "p", "v", F.inline(_blocks(n, n, "both")))
 
@@ -197,21 +213,31 @@ def _ranked(k: int, footrule: bool = True):
     return run
 
 
-def _spread(rows: DataFrame, size: int, *keys: str) -> DataFrame:
-    """Rows by keys in partitions that do not grow with the data, where ``size`` bytes ask for more than the session's."""
-    n = math.ceil(size / PARTITION_BYTES)
-    return rows.repartition(n, *keys) if n > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows
+FOUND = "a bigint, b bigint, sim float"
 
 
-FOUND = "a bigint, b bigint, sim float"
+def _in_passes(best: DataFrame | None, posts: DataFrame, keys: list[str], total: int, size: int, k: int, footrule: bool = True) -> DataFrame:
+    """The k best of ``best`` and of the tasks ``keys`` of ``posts``, ``total`` bytes from vectors of ``size`` bytes; ``best`` is removed."""
+    passes = max(1, math.ceil(total / max(1, PASS * size, PASS_BYTES)))
+    n = math.ceil(2 * total / passes / PARTITION_BYTES)
+    for i in range(passes):
+        rows = posts.where(F.pmod(F.xxhash64(*keys, F.lit(5)), F.lit(passes)) == i)
+        if n > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")):  # partitions that do not grow with the data
+            rows = rows.repartition(n, *keys)
+        found = rows.groupBy(*keys).applyInArrow(_ranked(k, footrule), FOUND)
+        last, best = best, cut(_top(found if best is None else best.select("a", "b", "sim").unionByName(found), k), "neighbours", sweep=True)
+        if last is not None:
+            uncut(last)
+    return best
 
 
-def _whole(rows: DataFrame, short: DataFrame, k: int) -> DataFrame:
-    """The queries ``short`` against all rows of their groups, a block against a block in each task."""
-    size = lambda df, name: df.groupBy("g").agg(F.ceil(F.count("*") / F.lit(LIST)).cast("int").alias(name))
-    n = size(short, "nq").join(size(rows, "nm"), "g")
-    both = [df.join(F.broadcast(n), "g").select("g", "id", "dims", "v", F.inline(_blocks(F.col("nq"), F.col("nm"), role))) for df, role in ((short, "q"), (rows, "m"))]
-    return both[0].unionByName(both[1]).groupBy("g", "qb", "mb").applyInArrow(_ranked(k, footrule=False), FOUND)
+def _whole(best: DataFrame, rows: DataFrame, short: DataFrame, size: int, k: int) -> DataFrame:
+    """``best`` with the queries ``short`` against all ``rows``, of ``size`` bytes, of their groups, a block against a block in each task."""
+    count = lambda df, to: df.groupBy("g", "dims").agg(F.count("*").alias(to), F.ceil(F.count("*") / F.lit(LIST)).cast("int").alias(f"n{to}"))
+    n = cut(count(short, "q").join(count(rows, "m"), ["g", "dims"]), "short-groups", sweep=True)  # a row per model, revision and dimensions
+    both = [df.join(F.broadcast(n.select("g", "nq", "nm")), "g").select("g", "id", "dims", "v", F.inline(_blocks(F.col("nq"), F.col("nm"), role))) for df, role in ((short, "q"), (rows, "m"))]
+    total = _bytes(n, F.col("q") * F.col("nm") + F.col("m") * F.col("nq"))
+    return _in_passes(best, both[0].unionByName(both[1]), ["g", "qb", "mb"], total, size, k, footrule=False)
 
 
 def _top(found: DataFrame, k: int) -> DataFrame:
@@ -248,24 +274,24 @@ def nearest(embeddings: DataFrame, k: int = 10) -> DataFrame:
     Equal vectors are neighbours with similarity 1; of more than k ties the
     smallest ids of those seen count. Extra columns are ignored.
     """
-    every = cut(latest_usable(embeddings), "unit-vectors")
-    copies = cut(copies_of(every), "copies")
+    every = cut(latest_usable(embeddings), "unit-vectors", sweep=True)
+    copies = cut(copies_of(every), "copies", sweep=True)
     repeated = not copies.isEmpty()
     rows = every.join(copies.where("id <> rep"), "id", "left_anti") if repeated else every
-    perms = cut(permutations(rows, choose_pivots(rows)), "permutations")
+    perms = cut(permutations(rows, choose_pivots(rows)), "permutations", sweep=True)
     uncut(every)  # all of it that is needed is in perms and copies
-    size = sum(r["n"] * (2 * r["dims"] + 64) for r in perms.groupBy("g", "dims").agg(F.count("*").alias("n")).collect())  # a row per model, revision and dimensions
-    keys = ["g", "p1", "qb", "mb"]
-    found = _spread(posted(perms), 2 * POSTED * size, *keys).groupBy(*keys).applyInArrow(_ranked(k), FOUND)
-    best = cut(_top(found, k), "neighbours")
+    size, long = _bytes(perms, F.lit(1)), long_lists(perms)
+    total = POSTED * size + _bytes(long, F.col("rows") - F.col("members"))
+    best = _in_passes(None, posted(perms, long), ["g", "p1", "qb", "mb"], total, size, k)
     sizes = perms.groupBy("g").agg(F.count("*").alias("n"))  # a row per model, revision and dimensions
     have = best.groupBy("a").agg(F.count("*").alias("have"))
     # ids first: the vectors of the few that found too little are read only if there are any
     short = (perms.select("id", "g").join(have, F.col("id") == F.col("a"), "left").join(F.broadcast(sizes), "g")
              .where(F.coalesce("have", F.lit(0)) < F.least(F.lit(k), F.col("n") - 1)).select("id"))
-    short = cut(short, "short")
+    short = cut(short, "short", sweep=True)
     if not short.isEmpty():
-        best = cut(_top(best.select("a", "b", "sim").unionByName(_whole(perms, perms.join(short, "id", "left_semi"), k)), k), "completed")
+        best = _whole(best, perms, perms.join(short, "id", "left_semi"), size, k)
+    uncut(perms)
     return _with_copies(best, copies, k) if repeated else best
 
 

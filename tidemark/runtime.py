@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 
 
 _SHIPPED: set[str] = set()
+#: Removes the shuffle files of an action at its end.
+SWEEP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def ship(spark: SparkSession) -> None:
@@ -66,14 +68,22 @@ def clear_scratch(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+def cut(df: DataFrame, name: str, sweep: bool = False) -> DataFrame:
     """Write ``df`` into the shared folder and read it back.
 
     The written table replaces the lineage, so a lost executor costs a re-read
-    and never a recomputation of what came before.
+    and never a recomputation of what came before. With ``sweep`` the shuffle
+    files of the write go when it is done, else when the driver collects garbage.
     """
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    conf, before = df.sparkSession.conf, df.sparkSession.conf.get(SWEEP, None)
+    if sweep:
+        conf.set(SWEEP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if sweep:
+            conf.set(SWEEP, before) if before is not None else conf.unset(SWEEP)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._cut_path = path
     return out
